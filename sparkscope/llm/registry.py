@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscope.llm import chat, phrase_index, secrets, token_counts, unigram
-from sparkscope.llm.common import table
+from sparkscope.llm import chat, near_duplicates, phrase_index, quality, secrets, token_counts, unigram, warc
+from sparkscope.llm.common import fresh_path, table
 from sparkscope.llm.vocabulary import default_path
 
 
@@ -13,6 +13,11 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels"), keep_text=False)
+    return scored.select("doc_id", "_quality.*")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), default_path())
 
@@ -23,6 +28,16 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(log))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), target)
+    return warc.read(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.round_trip(table(spark, sf_dir, "documents"), default_path())
 
@@ -32,7 +47,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return phrase_index.report(marked)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op4_token_counts, op5_chat_formatting, op9_sentencepiece, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_quality_classifier, op4_token_counts, op5_chat_formatting, op6_minhash_near_dedup, op8_warc, op9_sentencepiece, op10_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": """
@@ -50,6 +65,4 @@ ORACLES: dict[str, str] = {
                CAST(sum(piece) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
-    "op2_secret_scans": "",
 }
-del ORACLES["op2_secret_scans"]
