@@ -2,9 +2,10 @@
 
 Documents with equal shingle sets form a class first, so copies cost no candidates. Each class has a signature of one
 permutation with optimal densification, whose bands put it into buckets. Every bucket proposes a star: all members
-against the one that meets most others. Links are confirmed on full shingle sets. Members of a bucket that are not yet
-in one component are then compared with further centres, ranks 1 to 8, to 32, to 128 and so on until all have been
-centres or one component is left, so that no link between members of a bucket is lost and no group is paired out.
+against the one that meets most others. Links are confirmed on full shingle sets. Members of a bucket that the stars
+left in several components get narrower buckets from their rarest shingles (an exact filter); in these, members are
+compared with further centres, ranks 1 to 8, to 32, to 128 and so on, until all have been centres or one component is
+left. So no link between members of a bucket is lost, and groups are not paired out.
 """
 
 from __future__ import annotations
@@ -148,23 +149,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     links = common.materialise(confirm(tried, docs, percent, id_col, text_col).distinct(), "links")
     labels = connected(links)
 
-    low, high = 0, FIRST_CENTRES
-    while True:
-        split = _unjoined(shared, labels, low)
-        if split is None:
-            break
-        order = Window.partitionBy("key").orderBy(F.desc("met"), "rep")
-        centres = split.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= high).filter(F.col("rank") > low)
-        centres = common.materialise(centres.select("key", F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("label").alias("_label")), "centres")
-        pairs = split.join(centres, "key").filter("label <> _label").filter(_close_in_size(percent)).select(*ids).distinct()
-        pairs = common.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            found = common.materialise(confirm(pairs, docs, percent, id_col, text_col).distinct(), "links")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                labels = connected(links)
-        low, high = high, high * MORE_CENTRES
+    split = _unjoined(shared, labels, 0)
+    if split is not None:
+        shared = prefix_buckets(split, docs, percent, id_col, text_col)
+        low, high = 0, FIRST_CENTRES
+        while (split := _unjoined(shared, labels, low)) is not None:
+            order = Window.partitionBy("key").orderBy(F.desc("met"), "rep")
+            centres = split.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= high).filter(F.col("rank") > low)
+            centres = common.materialise(centres.select("key", F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("label").alias("_label"), F.col("slack").alias("_slack")), "centres")
+            near = (F.col("label") != F.col("_label")) & _close_in_size(percent) & (F.least("slack", "_slack") * (100 + percent) >= (F.col("n") + F.col("_n")) * percent)
+            pairs = split.join(centres, "key").filter(near).select(*ids).distinct()
+            pairs = common.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            if not pairs.isEmpty():
+                tried = tried.unionByName(pairs)
+                found = common.materialise(confirm(pairs, docs, percent, id_col, text_col).distinct(), "links")
+                if not found.isEmpty():
+                    links = links.unionByName(found)
+                    labels = connected(links)
+            low, high = high, high * MORE_CENTRES
 
     named = classes.select(*print_of, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = common.materialise(named.select(*print_of, F.coalesce("label", "rep").alias("_component")), "classes")
@@ -173,6 +175,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
+def prefix_buckets(split: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Narrower buckets (key, rep, n, met, slack) for documents that share a band, but were not joined by the stars.
+
+    Two sets that are close enough share one of the first n - ceil(percent * n / 100) + 1 shingles of each, in any
+    fixed order. Rare shingles go first here, so that what many documents share makes no bucket unless it is nearly
+    all of a document. ``slack`` counts the shingles from this one on: the intersection of two sets is no larger than
+    the smaller slack at the first shingle that they share. No link is lost, and documents that only have a passage in
+    common meet no more.
+    """
+    reps = split.select("rep", "met").distinct()
+    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(reps, "rep").select("rep", "met", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                sets = list(shingle_sets(part.column(2).to_pylist()))
+                sizes = [len(s) for s in sets]
+                owner = pa.array(np.repeat(np.arange(len(sets)), sizes))
+                prints = np.array([s.sum() for s in sets], dtype=np.uint64).view(np.int64)
+                whole = np.concatenate([*sets, np.empty(0, dtype=np.uint64)]).view(np.int64)
+                columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(prints)]
+                yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in columns], pa.array(whole)], ["rep", "met", "n", "print", "key"])
+
+    kind = dict(split.dtypes)["rep"]
+    shingles = common.materialise(rows.mapInArrow(run, f"rep {kind}, met long, n long, print long, key long"), "shingles")
+    held = common.materialise(shingles.groupBy("key").agg(F.count("*").alias("held")), "held")
+    order = Window.partitionBy("rep", "print").orderBy("held", "key")
+    ranked = shingles.join(held, "key").withColumn("rank", F.row_number().over(order))
+    first = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    prefix = ranked.filter(F.col("rank") <= first).filter("held > 1").select("key", "rep", "n", "met", (F.col("n") - F.col("rank") + 1).alias("slack"))
+    return common.materialise(prefix, "prefixes")
+
+
 def _unjoined(shared: DataFrame, labels: DataFrame, rank: int) -> DataFrame | None:
     """Members of buckets that hold several components and more than ``rank`` members, with their labels."""
     labelled = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
