@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscope.llm import chat, near_duplicates, phrase_index, quality, secrets, token_counts, unigram, warc
+from sparkscope.llm import chat, metric_join, near_duplicates, phrase_index, quality, repeats, secrets, token_counts, unigram, warc
 from sparkscope.llm.common import fresh_path, table
 from sparkscope.llm.vocabulary import default_path
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.range_join(table(spark, sf_dir, "embeddings"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = fresh_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), target)
@@ -47,7 +55,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return phrase_index.report(marked)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_quality_classifier, op4_token_counts, op5_chat_formatting, op6_minhash_near_dedup, op8_warc, op9_sentencepiece, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup,
+        op2_secret_scans,
+        op3_quality_classifier,
+        op4_token_counts,
+        op5_chat_formatting,
+        op6_minhash_near_dedup,
+        op7_embedding_near_dedup,
+        op8_warc,
+        op9_sentencepiece,
+        op10_benchmark_decontamination,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": """
