@@ -1,6 +1,592 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries and their DuckDB oracles. Floats are rounded here, at the boundary, and nowhere else."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sparkscope.functions import paths as P
+from sparkscope.functions import text as T
+from sparkscope.operators import graph, heuristics, lexical, ranking, targets, upkeep, vectors
+from sparkscope.plans import relations as R
+from sparkscope.plans.relations import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TEXT = F.col("text")
+
+
+def query(oracle: str | None = None):
+    """Register a query, with the oracle's SQL if there is one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# Identifiers -----------------------------------------------------------------------------------------------------
+
+SPLIT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '([A-Z])([0-9])', '\\1 \\2', 'g')"
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(" + SPLIT.format(x="'Doc' || doc_id || 'HTTPServer_' || source || '-' || lang || 'ID' || substr(text, 1, 30)") + ", '[A-Za-z0-9]+'), ' ') AS parts FROM documents")
+def ident_split(spark, d):
+    name = F.concat(F.lit("Doc"), "doc_id", F.lit("HTTPServer_"), "source", F.lit("-"), "lang", F.lit("ID"), F.substring("text", 1, 30))
+    return R.table(spark, d, "documents").select("doc_id", F.array_join(T.subwords(name), " ").alias("parts"))
+
+
+@query(
+    "WITH x AS (SELECT doc_id, source || 'Name ' || lang || '_' || doc_id || ' plain ' || substr(text, 1, 20) AS t FROM documents), "
+    "r AS (SELECT doc_id, t, [regexp_extract_all(" + SPLIT.format(x="run") + ", '[A-Za-z0-9]+') FOR run IN regexp_extract_all(t, '[A-Za-z0-9_-]+')] AS parts FROM x), "
+    "f AS (SELECT doc_id, t, flatten([p FOR p IN parts IF len(p) > 1]) AS extra FROM r) "
+    "SELECT doc_id, CASE WHEN len(extra) > 0 THEN t || ' ' || array_to_string(extra, ' ') ELSE t END AS augmented FROM f"
+)
+def ident_augment(spark, d):
+    text = F.concat("source", F.lit("Name "), "lang", F.lit("_"), "doc_id", F.lit(" plain "), F.substring("text", 1, 20))
+    return R.table(spark, d, "documents").select("doc_id", T.augmented(text).alias("augmented"))
+
+
+@query("SELECT item_id, array_to_string([t || '*' FOR t IN regexp_extract_all(text, '[A-Za-z0-9]+')], ' OR ') AS compiled FROM benchmark")
+def query_compile(spark, d):
+    return R.table(spark, d, "benchmark").select("item_id", F.array_join(F.transform(T.query_terms(TEXT), lambda t: F.concat(t, F.lit("*"))), " OR ").alias("compiled"))
+
+
+# Full-text search ------------------------------------------------------------------------------------------------
+
+
+def _index(spark, d):
+    docs = R.table(spark, d, "documents").select("doc_id", "text")
+    return lexical.postings(docs, "doc_id", TEXT), lexical.lengths(docs, "doc_id", TEXT)
+
+
+@query(sql("posted", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posted GROUP BY term"))
+def fts_vocab_df(spark, d):
+    return lexical.vocabulary(_index(spark, d)[0])
+
+
+@query(sql("dl", "SELECT doc AS doc_id, dl FROM dl"))
+def fts_doc_len(spark, d):
+    return _index(spark, d)[1].withColumnRenamed("doc", "doc_id")
+
+
+BM25 = """
+WITH matched AS ({matched}),
+found AS (SELECT query_id, n, count(*) AS df FROM matched GROUP BY ALL),
+stats AS (SELECT count(*) AS docs, avg(dl) AS avgdl FROM dl),
+scored AS (SELECT m.query_id, m.doc, -sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+           FROM matched m JOIN found USING (query_id, n) JOIN dl USING (doc) CROSS JOIN stats GROUP BY ALL),
+ranked AS (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc) - 1 AS rank FROM scored)
+SELECT query_id, doc AS doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank < {k}
+"""
+EXACT = "SELECT query_id, n, doc, tf FROM asked JOIN posted ON term = q"
+PREFIX = "SELECT query_id, n, doc, sum(tf) AS tf FROM asked JOIN posted ON starts_with(term, q) GROUP BY ALL"
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    top = lexical.top(scored, k, [F.round("score", 9), F.col("doc")])
+    return top.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(sql("posted dl asked", BM25.format(matched=EXACT, k=10)))
+def bm25_topk(spark, d):
+    return _ranked(lexical.bm25(R.questions(spark, d), *_index(spark, d)), 10)
+
+
+@query(sql("posted dl asked", BM25.format(matched=PREFIX, k=10)))
+def bm25_prefix_topk(spark, d):
+    return _ranked(lexical.bm25(R.questions(spark, d), *_index(spark, d), prefix=True), 10)
+
+
+@query(sql("posted dl asked", BM25.format(matched=EXACT, k=30)))
+def bm25_multi_query(spark, d):
+    return _ranked(lexical.bm25(R.questions(spark, d), *_index(spark, d)), 30)
+
+
+@query()
+def bm25_porter_topk(spark, d):
+    posted, dl = _index(spark, d)
+    return _ranked(lexical.bm25(R.questions(spark, d), lexical.stemmed(posted), dl, prefix=True, stem=True), 10)
+
+
+@query()
+def fts_snippet(spark, d):
+    docs = R.table(spark, d, "documents").select("doc_id", "text")
+    return docs.select("doc_id", lexical.snippet(TEXT, F.slice(T.words(TEXT), 3, 2)).alias("snippet"))
+
+
+# Exact lookup ----------------------------------------------------------------------------------------------------
+
+FOLD = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SCORE = "CASE WHEN {v} = '' THEN 0 WHEN lower({v}) = lower(token) THEN 100 WHEN starts_with(lower({v}), lower(token)) THEN 60 WHEN contains(lower({v}), lower(token)) THEN 30 ELSE 0 END"
+TOKENS = "tokens AS (SELECT item_id AS query_id, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS repo, w[1] AS token FROM (SELECT item_id, " + R.W + " AS w FROM benchmark) WHERE len(w) > 0)"
+OWNER = "owner AS (SELECT s.*, f.path FROM symbols s JOIN files f USING (file_id))"
+ROW = "query_id, 'symbol' AS record_type, o.symbol_id AS target_id, path, symbol_ref AS symbol, signature, o.line_start, o.line_end"
+BRANCHES = {
+    "symbol": f"SELECT {ROW}, 'definition' AS why, {SCORE.format(v='name')} + 5 AS score, 0 AS k, 0 AS line, '' AS tie FROM owner o JOIN tokens USING (repo) WHERE contains(name, token) OR contains(qualified_name, token) OR contains(symbol_ref, token)",
+    "call": f"SELECT {ROW}, 'call site: ' || call_text AS why, {SCORE.format(v='function_name')} AS score, 1 AS k, c.line_start AS line, call_text AS tie FROM calls c JOIN owner o USING (symbol_id) JOIN tokens USING (repo) WHERE contains(call_text, token) OR contains(function_name, token)",
+    "literal": f"SELECT {ROW}, 'literal: ' || CASE WHEN length(value) > 60 THEN substr(value, 1, 60) || '…' ELSE value END AS why, {SCORE.format(v='value')} - 10 AS score, 2 AS k, l.line_start AS line, value AS tie FROM literals l JOIN owner o USING (symbol_id) JOIN tokens USING (repo) WHERE contains(value, token)",
+    "path": f"SELECT query_id, 'file' AS record_type, file_id AS target_id, path, NULL AS symbol, NULL AS signature, 1 AS line_start, least(line_count, 80) AS line_end, 'path' AS why, {SCORE.format(v='path')} AS score, 3 AS k, 0 AS line, '' AS tie FROM files JOIN tokens USING (repo) WHERE contains(" + FOLD.format(x="path") + ", token)",
+}
+
+
+def _find_sql(*kinds: str) -> str:
+    body = " UNION ALL ".join(BRANCHES[k] for k in kinds)
+    return sql(
+        "files symbols calls literals",
+        f"WITH {TOKENS}, {OWNER}, found AS ({body}), best AS (SELECT *, row_number() OVER (PARTITION BY query_id, record_type, target_id ORDER BY score DESC, k, line, tie) AS m FROM found), "
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k, path, target_id) - 1 AS rank FROM best WHERE m = 1) "
+        "SELECT query_id, record_type, target_id, path, symbol, signature, line_start, line_end, why, score, rank FROM ranked WHERE rank < 10",
+    )
+
+
+def _find(spark, d, *kinds: str) -> DataFrame:
+    asked = R.questions(spark, d, 1)
+    return ranking.find(asked, R.files(spark, d), R.symbols(spark, d), R.calls(spark, d), R.literals(spark, d), kinds or ("symbol", "call", "literal", "path"))
+
+
+@query(_find_sql("symbol"))
+def find_symbol(spark, d):
+    return _find(spark, d, "symbol")
+
+
+@query(_find_sql("call"))
+def find_call(spark, d):
+    return _find(spark, d, "call")
+
+
+@query(_find_sql("literal"))
+def find_literal(spark, d):
+    return _find(spark, d, "literal")
+
+
+@query(_find_sql("path"))
+def find_path(spark, d):
+    return _find(spark, d, "path")
+
+
+@query(_find_sql("symbol", "call", "literal", "path"))
+def find_all(spark, d):
+    return _find(spark, d)
+
+
+# Vectors ---------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, d):
+    return R.table(spark, d, "embeddings").select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("vector"))
+
+
+NEAREST = """
+WITH q AS (SELECT vec_id AS query_id, embedding AS u FROM embeddings WHERE vec_id {which}),
+scored AS (SELECT query_id, vec_id AS target_id, CAST(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(u AS DOUBLE[])) AS DOUBLE) AS c FROM embeddings, q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, target_id) - 1 AS rank FROM scored)
+SELECT query_id, target_id, round(c, 6) AS cosine, rank FROM ranked WHERE rank < 10
+"""
+
+
+def _nearest(spark, d, which) -> DataFrame:
+    v = _vectors(spark, d)
+    asked = v.filter(which).select(F.col("target_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return vectors.nearest(asked, v, 10).select("query_id", "target_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(NEAREST.format(which="= 7"))
+def vector_topk(spark, d):
+    return _nearest(spark, d, F.col("target_id") == 7)
+
+
+@query(NEAREST.format(which="% 50 = 0"))
+def vector_topk_batch(spark, d):
+    return _nearest(spark, d, F.col("target_id") % 50 == 0)
+
+
+def _members(spark, d):
+    """Groups of 25 vectors each, as if a question had brought them up."""
+    e = R.table(spark, d, "embeddings")
+    return e.select(F.floor(F.col("vec_id") / 25).cast("long").alias("query_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("position"), F.col("embedding").alias("vector"), (F.col("vec_id") % 11 == 0).alias("protected"))
+
+
+PAIRS = "pairs AS (SELECT a.vec_id // 25 AS query_id, a.vec_id AS a, b.vec_id AS b, CAST(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DOUBLE) AS c FROM embeddings a JOIN embeddings b ON a.vec_id // 25 = b.vec_id // 25 AND a.vec_id < b.vec_id)"
+
+
+@query(f"WITH {PAIRS} SELECT CAST(query_id AS BIGINT) AS query_id, a, b, round(c, 6) AS cosine FROM pairs WHERE c >= 0.2")
+def similar_pairs(spark, d):
+    return vectors.similar_pairs(_members(spark, d), 0.2).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs WHERE c >= 0.2 UNION SELECT b, a FROM pairs WHERE c >= 0.2), "
+    "reach AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, e.b FROM reach r JOIN e ON r.m = e.a), "
+    "lab AS (SELECT n, min(m) AS rep FROM reach GROUP BY n), big AS (SELECT rep FROM lab GROUP BY rep HAVING count(*) > 2) "
+    "SELECT CAST(n // 25 AS BIGINT) AS query_id, n AS id, rep AS representative FROM lab WHERE n <> rep AND n % 11 <> 0 AND rep IN (SELECT rep FROM big)"
+)
+def family_collapse(spark, d):
+    return vectors.families(_members(spark, d), 0.2, 2)
+
+
+@query("WITH c AS (SELECT lang AS repo, count(*) * 10 AS files FROM documents GROUP BY lang) SELECT repo, files, CASE WHEN files < 500 THEN 13000 WHEN files < 5000 THEN 20000 ELSE 24000 END AS budget, CASE WHEN files < 500 THEN 0.90 WHEN files < 5000 THEN 0.82 ELSE 0.78 END::DOUBLE AS floor, CASE WHEN files < 500 THEN 5 ELSE 3 END AS min_size FROM c")
+def tier_ladder(spark, d):
+    return R.files(spark, d).groupBy("repo").agg((F.count("*") * 10).alias("files")).withColumn("t", vectors.tier(F.col("files"))).select("repo", "files", "t.*")
+
+
+# Fusion ----------------------------------------------------------------------------------------------------------
+
+EVIDENCE = "len([t FOR t IN string_split_regex(translate(lower({q}), '_:', '  '), '\\s+') IF t <> '' AND contains(translate(lower(coalesce({s}, '') || ' ' || coalesce({p}, '') || ' ' || coalesce({w}, '')), '_', ' '), t)])"
+TEST = (
+    "(len([s FOR s IN string_split(lower({p}), '/')[1:-2] IF s IN ('test', 'tests', '__tests__', 'testing', 'spec', 'specs')]) > 0 "
+    "OR regexp_matches(string_split(lower({p}), '/')[-1], '^test_|^test\\.|_test\\.|\\.test\\.|\\.spec\\.|_test$') "
+    "OR len([c FOR c IN string_split(coalesce({s}, ''), '.') IF lower(c) IN ('test', 'tests', '__tests__', 'testing', 'spec', 'specs') OR regexp_matches(c, '^test[_A-Z]|^test$|Test$|Tests$|TestCase$|Spec$')]) > 0)"
+)
+
+
+def _candidates(spark, d) -> DataFrame:
+    asked = R.questions(spark, d)
+    lexical_top = lexical.top(lexical.bm25(asked, *_index(spark, d)), 30, [F.round("score", 9), F.col("doc")]).select("query_id", F.col("doc").alias("target_id"), "rank")
+    v = _vectors(spark, d)
+    own = v.join(asked, F.col("target_id") == F.col("query_id")).select("query_id", F.col("vector").alias("query_vector"))
+    semantic = vectors.nearest(own, v, 10).select("query_id", "target_id", "rank")
+    found = ranking.candidates(lexical_top, semantic, ["target_id"])
+    about = R.files(spark, d).select(F.col("file_id").alias("target_id"), "path").join(R.symbols(spark, d).select(F.col("symbol_id").alias("target_id"), F.col("symbol_ref").alias("symbol"), "name"), "target_id")
+    kind = F.element_at(F.array(*map(F.lit, ("symbol", "file", "module"))), (F.col("target_id") % 3 + 1).cast("int"))
+    joined = found.join(about, "target_id").join(asked.select("query_id", "repo", F.col("text").alias("query")), "query_id")
+    return joined.withColumns({"record_type": kind, "why": F.lit("lexical match")})
+
+
+CANDIDATES = (
+    "WITH matched AS (" + EXACT + "), found AS (SELECT query_id, n, count(*) AS df FROM matched GROUP BY ALL), stats AS (SELECT count(*) AS docs, avg(dl) AS avgdl FROM dl), "
+    "scored AS (SELECT m.query_id, m.doc, -sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM matched m JOIN found USING (query_id, n) JOIN dl USING (doc) CROSS JOIN stats GROUP BY ALL), "
+    "lex AS (SELECT * FROM (SELECT query_id, doc AS target_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc) - 1 AS lexical_rank FROM scored) WHERE lexical_rank < 30), "
+    "sem AS (SELECT * FROM (SELECT q.query_id, e.vec_id AS target_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(u.embedding AS DOUBLE[])), 9) DESC, e.vec_id) - 1 AS vector_rank "
+    "FROM questions q JOIN embeddings u ON u.vec_id = q.query_id CROSS JOIN embeddings e) WHERE vector_rank < 10), "
+    "merged AS (SELECT query_id, target_id, lexical_rank, vector_rank, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank NULLS LAST, vector_rank NULLS LAST, target_id) - 1 AS position FROM lex FULL JOIN sem USING (query_id, target_id)), "
+    "cand AS (SELECT m.*, f.path, s.symbol_ref AS symbol, s.name, q.repo, q.text AS query, ['symbol', 'file', 'module'][target_id % 3 + 1] AS record_type, 'lexical match' AS why FROM merged m JOIN files f ON f.file_id = target_id JOIN symbols s ON s.symbol_id = target_id JOIN questions q USING (query_id)), "
+    "ev AS (SELECT *, " + EVIDENCE.format(q="query", s="symbol", p="path", w="why") + " AS evidence, " + TEST.format(p="path", s="symbol") + " AS is_test FROM cand), "
+    "er AS (SELECT *, CASE WHEN evidence > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY evidence DESC, position) - 1 END AS evidence_rank FROM ev), "
+    "sc AS (SELECT *, coalesce(1.0::DOUBLE / (61 + lexical_rank), 0) + coalesce(1.0::DOUBLE / (61 + vector_rank), 0) + coalesce(1.0::DOUBLE / (61 + evidence_rank), 0) + CASE record_type WHEN 'symbol' THEN 0.5::DOUBLE / 61 WHEN 'file' THEN 0.25::DOUBLE / 61 ELSE 0 END + CASE WHEN is_test THEN -1.0::DOUBLE / 61 ELSE 0 END AS score FROM er), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, position) - 1 AS final_rank FROM sc) "
+)
+ALL = "files symbols posted dl asked"
+
+
+@query(sql("files symbols questions", "SELECT query_id, symbol_id, " + EVIDENCE.format(q="q.text", s="symbol_ref", p="path", w="signature") + " AS evidence FROM questions q JOIN symbols s USING (repo) JOIN files f USING (file_id)"))
+def evidence_score(spark, d):
+    s = R.symbols(spark, d).join(R.files(spark, d).select("file_id", "path"), "file_id")
+    asked = R.questions(spark, d).select("query_id", "repo", F.col("text").alias("query"))
+    return asked.join(s, "repo").select("query_id", "symbol_id", ranking.evidence(F.col("query"), F.col("symbol_ref"), F.col("path"), F.col("signature")).cast("long").alias("evidence"))
+
+
+@query(sql(ALL, CANDIDATES + "SELECT query_id, target_id, lexical_rank, vector_rank, evidence_rank, round(score, 9) AS score, final_rank FROM ranked"))
+def rrf_fuse(spark, d):
+    out = ranking.rerank(_candidates(spark, d))
+    return out.select("query_id", "target_id", *[F.col(c).cast("long").alias(c) for c in ("lexical_rank", "vector_rank", "evidence_rank")], F.round("score", 9).alias("score"), F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query(sql(ALL, CANDIDATES + "SELECT query_id, target_id, record_type, path, symbol, 'r_' || lpad(CAST(final_rank + 1 AS VARCHAR), 2, '0') AS result_id FROM ranked WHERE final_rank < 5"))
+def search_ranked(spark, d):
+    return targets.handles(ranking.rerank(_candidates(spark, d), 5)).select("query_id", "target_id", "record_type", "path", "symbol", "result_id")
+
+
+@query(
+    sql(
+        ALL,
+        CANDIDATES.rstrip() + ", seeds AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) - 1 AS seed_rank FROM ranked WHERE record_type = 'symbol' AND NOT is_test), "
+        "five AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM seeds WHERE seed_rank < 5) SELECT query_id, target_id, seed_rank FROM five WHERE score >= 0.5 * best",
+    )
+)
+def relevance_gate(spark, d):
+    return ranking.seeds(ranking.rerank(_candidates(spark, d))).select("query_id", "target_id", F.col("seed_rank").cast("long").alias("seed_rank"))
+
+
+@query(sql("files symbols", "SELECT file_id, " + TEST.format(p="replace(path, 'doc_1', 'test_1')", s="symbol_ref") + " AS is_test FROM files JOIN symbols USING (file_id)"))
+def is_test_target(spark, d):
+    s = R.files(spark, d).join(R.symbols(spark, d).select("file_id", "symbol_ref"), "file_id")
+    return s.select("file_id", T.is_test(F.replace("path", F.lit("doc_1"), F.lit("test_1")), F.col("symbol_ref")).alias("is_test"))
+
+
+# Call graph ------------------------------------------------------------------------------------------------------
+
+SEED = "seed AS (SELECT repo, symbol_id, name FROM symbols WHERE symbol_id % 50 = 0)"
+KEYS = "keys AS (SELECT DISTINCT symbol_id AS caller, '=' || function_name AS key FROM calls UNION SELECT DISTINCT symbol_id, '~' || split_part(call_text, '.', -1) FROM calls WHERE contains(call_text, '.'){more})"
+CALLERS = (
+    "met AS (SELECT DISTINCT s.repo, s.symbol_id, s.name, k.caller FROM seed s JOIN keys k ON k.key = '=' || s.name OR k.key = '~' || s.name WHERE k.caller <> s.symbol_id), "
+    "callers AS (SELECT m.*, row_number() OVER (PARTITION BY m.symbol_id ORDER BY c.ord, caller) - 1 AS n FROM met m JOIN symbols c ON c.symbol_id = m.caller AND c.repo = m.repo)"
+)
+
+
+def _seed(spark, d) -> DataFrame:
+    return R.symbols(spark, d).filter(F.col("symbol_id") % 50 == 0).select("repo", "symbol_id", "name")
+
+
+@query(sql("symbols calls", f"WITH {SEED}, {KEYS.format(more='')}, {CALLERS}, def AS (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY ord, symbol_id) - 1 AS n FROM symbols), "
+    "down AS (SELECT DISTINCT s.symbol_id AS seed_id, f.symbol_id AS other, f.n FROM seed s JOIN calls c USING (symbol_id) JOIN def f ON f.name = c.function_name AND f.repo = s.repo WHERE f.n < 2) "
+    "SELECT seed_id, 'callee' AS direction, other, n FROM down UNION ALL SELECT symbol_id, 'caller', caller, n FROM callers WHERE n < 6"))
+def neighbors(spark, d):
+    seed, calls, symbols = _seed(spark, d), R.calls(spark, d), R.symbols(spark, d)
+    down = graph.callees(seed, calls, symbols).select(F.col("symbol_id").alias("seed_id"), F.lit("callee").alias("direction"), F.col("callee").alias("other"), "n").distinct()
+    up = graph.callers(seed, calls, symbols, graph.CALLERS).select(F.col("symbol_id").alias("seed_id"), F.lit("caller").alias("direction"), F.col("caller").alias("other"), "n")
+    return down.unionByName(up).withColumn("n", F.col("n").cast("long"))
+
+
+@query(sql("files symbols calls", f"WITH {SEED}, {KEYS.format(more='')}, {CALLERS}, told AS (SELECT c.symbol_id, n, x.symbol_ref, " + TEST.format(p="f.path", s="x.symbol_ref") + " AS test FROM callers c JOIN symbols x ON x.symbol_id = c.caller JOIN files f ON f.file_id = x.file_id WHERE n < 8) "
+    "SELECT s.symbol_id, coalesce(string_agg(t.symbol_ref, ' ' ORDER BY n) FILTER (WHERE NOT test), '') AS callers, coalesce(string_agg(t.symbol_ref, ' ' ORDER BY n) FILTER (WHERE test), '') AS tests FROM seed s LEFT JOIN told t USING (symbol_id) GROUP BY s.symbol_id"))
+def blast_radius(spark, d):
+    out = graph.blast_radius(_seed(spark, d), R.calls(spark, d), R.symbols(spark, d), R.files(spark, d))
+    return out.select("symbol_id", F.array_join("callers", " ").alias("callers"), F.array_join("tests", " ").alias("tests"))
+
+
+@query(sql("symbols calls", f"WITH {SEED}, {KEYS.format(more=chr(32) + 'UNION SELECT DISTINCT symbol_id, ' + repr('=') + ' || call_text FROM calls')}, {CALLERS}, "
+    "up AS (SELECT c.symbol_id, string_agg(x.symbol_ref, ' ' ORDER BY n) AS callers FROM callers c JOIN symbols x ON x.symbol_id = c.caller WHERE n < 10 GROUP BY 1), "
+    "seen AS (SELECT symbol_id, call_text, min(line_start) AS line FROM calls GROUP BY ALL), cut AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY line, call_text) AS n FROM seen), "
+    "down AS (SELECT symbol_id, string_agg(call_text, ' ' ORDER BY n) AS callees FROM cut WHERE n <= 12 GROUP BY 1) "
+    "SELECT s.symbol_id, coalesce(callers, '') AS callers, coalesce(callees, '') AS callees FROM seed s LEFT JOIN up USING (symbol_id) LEFT JOIN down USING (symbol_id)"))
+def symbol_trail(spark, d):
+    calls = R.calls(spark, d)
+    out = graph.trail(_seed(spark, d), calls, R.symbols(spark, d), heuristics.flag_calls(calls))
+    return out.select("symbol_id", F.array_join("callers", " ").alias("callers"), F.array_join("callees", " ").alias("callees"))
+
+
+@query("WITH o AS (SELECT conv_id AS query_id, turn, length(text) AS size, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT query_id, turn, size, CAST(used AS BIGINT) AS used FROM o WHERE n = 1 OR (n <= 12 AND used <= 900)")
+def budget_spine(spark, d):
+    rows = R.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), "turn", F.length("text").cast("long").alias("size"))
+    return ranking.within_budget(rows, F.lit(900), position="turn").select("query_id", "turn", "size", "used")
+
+
+@query()
+def explore(spark, d):
+    """Ranked seeds, their spine within the budget, and who calls the seeds."""
+    calls, symbols = R.calls(spark, d), R.symbols(spark, d)
+    found = ranking.seeds(ranking.rerank(_candidates(spark, d)))
+    seed = found.select("query_id", "repo", F.col("target_id").alias("symbol_id"), "name", "seed_rank")
+    order = graph.spine(seed, calls, symbols).join(symbols.select("symbol_id", "symbol_ref", "signature", "primary_text"), "symbol_id")
+    cap = F.when(F.col("is_seed"), 1600).otherwise(600)
+    body = F.when(F.length("primary_text") > cap, F.concat(F.substr("primary_text", F.lit(1), cap), F.lit("\n… (truncated — open for full body)"))).otherwise(F.col("primary_text"))
+    sized = order.withColumn("size", F.length(body) + F.length("symbol_ref") + F.length("signature"))
+    return ranking.within_budget(sized, F.lit(vectors.TIERS[0][1])).select("query_id", "symbol_id", F.col("position").cast("long").alias("position"), "is_seed", F.col("size").cast("long").alias("size"))
+
+
+# Flags -----------------------------------------------------------------------------------------------------------
+
+
+def _verb_calls(spark, d) -> DataFrame:
+    """Calls with telling names: verbs and receivers picked by number from the engine's own lists."""
+    verbs = [w for words in heuristics.VERBS.values() for w in words] + list(heuristics.JOB_STRONG) + ["getItem", "open_file", "taskQueue", "x"]
+    owners = [w for words in heuristics.RECEIVERS.values() for w in words]
+    e = R.table(spark, d, "events")
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (by % len(words) + 1).cast("int"))
+    name, owner = pick(verbs, F.col("event_id")), pick(owners, F.col("event_id") * 7 + F.col("user_id"))
+    named = F.when(F.col("event_id") % 3 == 0, F.concat(name, F.lit("_all"))).otherwise(name)
+    return e.select(F.col("user_id").alias("symbol_id"), F.concat(owner, F.lit("."), named).alias("call_text"), owner.alias("receiver"), named.alias("function_name"), F.col("event_id").alias("line_start"), F.col("event_id").alias("line_end"))
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_VERB_NAMES = [w for words in heuristics.VERBS.values() for w in words] + list(heuristics.JOB_STRONG) + ["getItem", "open_file", "taskQueue", "x"]
+_OWNER_NAMES = [w for words in heuristics.RECEIVERS.values() for w in words]
+VERB_CALLS = (
+    f"picked AS (SELECT user_id AS symbol_id, event_id AS line, {_list(_VERB_NAMES)}[event_id % {len(_VERB_NAMES)} + 1] || CASE WHEN event_id % 3 = 0 THEN '_all' ELSE '' END AS fn, {_list(_OWNER_NAMES)}[(event_id * 7 + user_id) % {len(_OWNER_NAMES)} + 1] AS owner FROM events), "
+    "toks AS (SELECT *, [lower(x) FOR x IN regexp_extract_all(" + SPLIT.format(x="fn") + ", '[A-Za-z0-9]+')] AS v FROM picked), "
+    "flagged AS (SELECT symbol_id, line, owner || '.' || fn AS call_text, unnest(list_distinct(list_filter(["
+    + ", ".join([f"CASE WHEN list_has_any(v, {_list(words)}) THEN '{flag}' END" for flag, words in heuristics.VERBS.items()]
+        + [f"CASE WHEN list_has_any(v, {_list(heuristics.JOB_STRONG)}) OR (list_has_any(v, {_list(heuristics.JOB_WORKERS)}) AND list_has_any(v, {_list(heuristics.JOB_DEFERS)})) THEN 'background_job' END"]
+        + [f"CASE WHEN owner IN ({', '.join(repr(w) for w in heuristics.RECEIVERS[kind])}) AND list_has_any(v, {_list(words)}) THEN '{flag}' END" for kind, words, flag in heuristics.GATED])
+    + "], x -> x IS NOT NULL))) AS flag FROM toks)"
+)
+
+
+@query(f"WITH {VERB_CALLS} SELECT symbol_id, flag, call_text AS evidence_value, min(line) AS line_start FROM flagged GROUP BY ALL")
+def call_flags(spark, d):
+    return heuristics.flag_calls(_verb_calls(spark, d)).select("symbol_id", "flag", "evidence_value", "line_start")
+
+
+@query(f"WITH {VERB_CALLS} SELECT DISTINCT c.c_custkey AS symbol_id, 'confirmation_gate' AS flag FROM customer c WHERE (contains(lower(c_mktsegment), 'mach') OR contains(lower(c_mktsegment), 'yes')) AND c_custkey IN (SELECT symbol_id FROM flagged WHERE flag IN ('destructive_clear', 'destructive_delete'))")
+def confirmation_gate(spark, d):
+    seg = F.lower("c_mktsegment")
+    s = R.table(spark, d, "customer").select(F.col("c_custkey").alias("symbol_id"), F.when(seg.contains("mach"), "def f(confirm)").otherwise(seg).alias("signature"), F.lit("").alias("primary_text"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
+    return heuristics.confirmation_gates(s, heuristics.flag_calls(_verb_calls(spark, d))).select("symbol_id", "flag")
+
+
+# Upkeep ----------------------------------------------------------------------------------------------------------
+
+
+@query(sql("files", "SELECT repo, regexp_extract(path, '^(.*)/[^/]*$', 1) AS path_prefix, replace(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', '.') AS name, count(DISTINCT file_id) AS files FROM files GROUP BY ALL"))
+def module_rollup(spark, d):
+    return upkeep.modules(R.files(spark, d)).select("repo", "path_prefix", "name", "files")
+
+
+@query(sql("files", "WITH f AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS p FROM files), o AS (SELECT repo, p, list_sort(list(DISTINCT file_id)) AS ids FROM f WHERE file_id % 97 <> 0 AND NOT (p = 'src/src3' AND repo = 'en') GROUP BY ALL), n AS (SELECT repo, p, list_sort(list(DISTINCT file_id)) AS ids FROM f WHERE file_id % 89 <> 0 AND NOT (p = 'src/src4' AND repo = 'fr') GROUP BY ALL) "
+    "SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.p, n.p) AS path_prefix, CASE WHEN o.p IS NULL THEN 'new' WHEN n.p IS NULL THEN 'gone' ELSE 'dirty' END AS state FROM o FULL JOIN n ON o.repo = n.repo AND o.p = n.p WHERE o.p IS NULL OR n.p IS NULL OR o.ids <> n.ids"))
+def module_dirty(spark, d):
+    f = R.files(spark, d).withColumn("p", T.directory(F.col("path")))
+    before = f.filter((F.col("file_id") % 97 != 0) & ~((F.col("p") == "src/src3") & (F.col("repo") == "en")))
+    after = f.filter((F.col("file_id") % 89 != 0) & ~((F.col("p") == "src/src4") & (F.col("repo") == "fr")))
+    return upkeep.dirty_modules(upkeep.modules(before), upkeep.modules(after))
+
+
+JOBS = "jobs AS (SELECT 'file' AS target_type, user_id AS target_id, 'type' || (user_id % 3) AS job_type, 'm' || (user_id % 2) AS model, CASE event_type WHEN 'view' THEN 'done' WHEN 'click' THEN 'done' WHEN 'purchase' THEN 'running' WHEN 'signup' THEN 'pending' ELSE 'error' END AS status, sha256(props) AS input_hash, event_id FROM events)"
+
+
+def _jobs(spark, d) -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind.isin("view", "click"), "done").when(kind == "purchase", "running").when(kind == "signup", "pending").otherwise("error")
+    return R.table(spark, d, "events").select(F.lit("file").alias("target_type"), F.col("user_id").alias("target_id"), F.concat(F.lit("type"), F.col("user_id") % 3).alias("job_type"), F.concat(F.lit("m"), F.col("user_id") % 2).alias("model"), status.alias("status"), F.sha2("props", 256).alias("input_hash"), "event_id")
+
+
+@query(f"WITH {JOBS} SELECT model, job_type, status, count(*) AS count FROM jobs GROUP BY ALL")
+def queue_status(spark, d):
+    return upkeep.queue_status(_jobs(spark, d))
+
+
+@query(f"WITH {JOBS} SELECT job_type, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS error, count(*) AS total, count(*) - count(*) FILTER (status = 'done') AS remaining, round(count(*) FILTER (status = 'done') / count(*) * 100, 1) AS percent_done FROM jobs GROUP BY job_type")
+def queue_summary(spark, d):
+    return upkeep.queue_summary(_jobs(spark, d))
+
+
+@query(f"WITH {JOBS} SELECT DISTINCT target_type, target_id, job_type, model, input_hash FROM jobs WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM jobs k WHERE k.event_id % 2 = 1 AND k.target_id = jobs.target_id AND k.job_type = jobs.job_type AND k.model = jobs.model AND k.input_hash = jobs.input_hash)")
+def enqueue_idempotent(spark, d):
+    j = _jobs(spark, d).drop("status")
+    return upkeep.enqueue(j.filter("event_id % 2 = 0").drop("event_id"), j.filter("event_id % 2 = 1"))
+
+
+BEFORE = "before AS (SELECT source || '/' || doc_id AS path, sha256(text) AS sha256, doc_id AS mtime_ns FROM documents WHERE doc_id % 13 <> 0)"
+AFTER = "after AS (SELECT source || '/' || doc_id AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS sha256, CASE WHEN doc_id % 7 = 0 THEN doc_id + 1 ELSE doc_id END AS mtime_ns FROM documents WHERE doc_id % 11 <> 0)"
+
+
+def _before(spark, d) -> DataFrame:
+    return R.table(spark, d, "documents").filter("doc_id % 13 <> 0").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("mtime_ns"))
+
+
+def _after(spark, d) -> DataFrame:
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(TEXT)
+    return R.table(spark, d, "documents").filter("doc_id % 11 <> 0").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.sha2(text, 256).alias("sha256"), F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("mtime_ns"))
+
+
+@query(f"WITH {BEFORE}, {AFTER} SELECT coalesce(b.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'deleted' WHEN b.path IS NULL THEN 'added' WHEN a.sha256 = b.sha256 AND a.mtime_ns = b.mtime_ns THEN 'unchanged' ELSE 'changed' END AS change FROM before b FULL JOIN after a ON a.path = b.path")
+def change_detect(spark, d):
+    return upkeep.changes(_before(spark, d), _after(spark, d), ["path"])
+
+
+@query(f"WITH {BEFORE}, {AFTER} SELECT path FROM before WHERE path NOT IN (SELECT path FROM after)")
+def delete_missing(spark, d):
+    b = _before(spark, d)
+    return b.join(upkeep.without(b, _after(spark, d), ["path"]), "path", "left_semi").select("path")
+
+
+@query(f"WITH {BEFORE}, {AFTER} SELECT b.path FROM before b JOIN after a USING (path) WHERE a.sha256 <> b.sha256")
+def stale_paths(spark, d):
+    return upkeep.stale(_before(spark, d), _after(spark, d), ["path"])
+
+
+@query("WITH log AS (SELECT user_id % 40 AS slug, event_type AS root, event_id AS ord FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY ord DESC) AS n FROM log) SELECT slug, root, ord FROM r WHERE n = 1")
+def latest_wins_upsert(spark, d):
+    log = R.table(spark, d, "events").select((F.col("user_id") % 40).alias("slug"), F.col("event_type").alias("root"), F.col("event_id").alias("ord"))
+    return upkeep.latest(log, ["slug"])
+
+
+RULES = [("src", "dir", "exclude"), ("src/src1", "dir", "include"), ("tests", "dir", "exclude"), ("src/src2/", "dir", "exclude"), ("tests/src0/doc_0.txt", "file", "include"), ("src/src1/doc_1.txt", "file", "exclude"), ("src/src1", "dir", "exclude")]
+_RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', '{a}', {i})" for i, (p, k, a) in enumerate(RULES)) + ") t(rule_path, rule_kind, rule_action, ord))"
+_RULE_MET = _RULES_SQL + (
+    ", met AS (SELECT f.file_id, f.path, rtrim(rule_path, '/') AS rule_path, rule_kind, rule_action, ord, CASE WHEN rule_kind = 'file' AND path = rule_path THEN CASE rule_action WHEN 'include' THEN 4 ELSE 3 END WHEN rule_kind = 'dir' AND starts_with(path, rtrim(rule_path, '/') || '/') THEN CASE rule_action WHEN 'include' THEN 2 ELSE 1 END END AS pr FROM files f, rules), "
+    "best AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pr DESC, length(rule_path) DESC, ord DESC) AS n FROM met WHERE pr IS NOT NULL)"
+)
+
+
+def _ruled(spark, d) -> DataFrame:
+    f = R.files(spark, d)
+    rules = spark.createDataFrame([(p, k, a, i) for i, (p, k, a) in enumerate(RULES)], "path string, path_kind string, action string, ord long")
+    every = f.select("repo").distinct().join(F.broadcast(rules))  # seven rules
+    return upkeep.matching_rules(f.select("repo", "path", "file_id", "text"), every)
+
+
+@query(sql("files", "WITH " + _RULE_MET + " SELECT f.file_id, b.rule_action, b.rule_kind, b.rule_path FROM files f LEFT JOIN best b ON b.file_id = f.file_id AND n = 1"))
+def rule_priority(spark, d):
+    return _ruled(spark, d).select("file_id", "rule_action", "rule_kind", "rule_path")
+
+
+@query(sql("files", "WITH " + _RULE_MET + " SELECT f.file_id, CASE WHEN b.rule_action = 'include' THEN 'include' WHEN f.file_id % 17 = 0 THEN 'exclude' WHEN b.rule_action = 'exclude' THEN 'exclude' ELSE 'include' END AS decision, "
+    "CASE WHEN b.rule_action = 'include' THEN 'manual_' || b.rule_kind || '_include' WHEN f.file_id % 17 = 0 THEN 'gitignored' WHEN b.rule_action = 'exclude' THEN 'manual_' || b.rule_kind || '_exclude' ELSE 'known_docs' END AS reason, 'docs' AS kind FROM files f LEFT JOIN best b ON b.file_id = f.file_id AND n = 1"))
+def classify_path(spark, d):
+    raw = F.encode("text", "UTF-8")
+    rows = _ruled(spark, d).withColumns({"ignored": F.col("file_id") % 17 == 0, "kind": P.kind_of(F.col("path")), "auto": P.decision(F.col("path"), F.octet_length("text"), F.substring(raw, 1, P.SAMPLE_BYTES))})
+    return upkeep.decide(rows).select("file_id", "decision", "reason", "kind")
+
+
+_SUFFIXES = sorted({*P.LANGUAGES, *P.CONFIG, *P.DOCS, ".zip", ".png", ".woff", ".pt", ".db", ".bak", ".pyc", ".log", ".map", ".xyz"})
+_NAMED = f"'dir' || (doc_id % 5) || '/' || CASE WHEN doc_id % 19 = 0 THEN 'build/' ELSE '' END || CASE WHEN doc_id % 23 = 0 THEN 'Makefile' WHEN doc_id % 29 = 0 THEN 'README' ELSE 'f' || doc_id || CASE WHEN doc_id % 31 = 0 THEN '.min' ELSE '' END || {_list(_SUFFIXES)}[doc_id % {len(_SUFFIXES)} + 1] END"
+
+
+def _named(spark, d) -> DataFrame:
+    i = F.col("doc_id")
+    ext = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (i % len(_SUFFIXES) + 1).cast("int"))
+    name = F.when(i % 23 == 0, "Makefile").when(i % 29 == 0, "README").otherwise(F.concat(F.lit("f"), i, F.when(i % 31 == 0, ".min").otherwise(""), ext))
+    path = F.concat(F.lit("dir"), i % 5, F.lit("/"), F.when(i % 19 == 0, "build/").otherwise(""), name)
+    return R.table(spark, d, "documents").select("doc_id", path.alias("path"), "text")
+
+
+_EXT = "regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]+)$', 1)"
+
+
+@query(f"WITH f AS (SELECT doc_id, {_NAMED} AS path FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN {_EXT} = '{e}' THEN '{x}'" for e, x in P.LANGUAGES.items()) + " WHEN path LIKE '%/Makefile' THEN 'make' END AS language FROM f")
+def detect_language(spark, d):
+    return _named(spark, d).select("doc_id", P.language_of(F.col("path"), TEXT).alias("language"))
+
+
+@query(f"WITH f AS (SELECT doc_id, {_NAMED} AS path FROM documents), g AS (SELECT *, {_EXT} AS e FROM f) SELECT doc_id, CASE WHEN e = '.log' THEN 'log' WHEN e = '.zip' THEN 'archive' WHEN e = '.png' THEN 'media' WHEN e = '.woff' THEN 'font' WHEN e = '.pt' THEN 'model' WHEN e = '.db' THEN 'database' WHEN e = '.bak' THEN 'dump' WHEN e = '.pyc' THEN 'cache' WHEN e = '.map' OR contains(path, '.min.') OR contains(path, '/build/') THEN 'generated' "
+    + f"WHEN e IN ({', '.join(repr(x) for x in P.SOURCE)}) THEN 'source' WHEN e IN ({', '.join(repr(x) for x in P.CONFIG)}) OR path LIKE '%/Makefile' OR path LIKE '%/README' THEN 'config' WHEN e IN ({', '.join(repr(x) for x in P.DOCS)}) THEN 'docs' ELSE 'unknown' END AS kind FROM g")
+def path_kind(spark, d):
+    return _named(spark, d).select("doc_id", P.kind_of(F.col("path")).alias("kind"))
+
+
+# Targets ---------------------------------------------------------------------------------------------------------
+
+
+def _asks(spark, d) -> DataFrame:
+    """One target of each sort in turn: full names, paths, folders, bare names, parts of names, nonsense."""
+    s = R.symbols(spark, d).join(R.files(spark, d).select("file_id", "path"), "file_id").filter("symbol_id % 20 = 0")
+    k = F.floor(F.col("symbol_id") / 20) % 6
+    target = F.when(k == 0, F.col("symbol_ref")).when(k == 1, F.col("path")).when(k == 2, F.concat(T.directory(F.col("path")), F.lit("/"))).when(k == 3, F.col("name")).when(k == 4, F.substring("symbol_ref", 4, 60)).otherwise(F.concat(F.lit("zz?"), "symbol_id"))
+    return s.select(F.col("symbol_id").alias("ask_id"), "repo", target.alias("target"))
+
+
+ASKS = "asks AS (SELECT symbol_id AS ask_id, repo, CASE (symbol_id // 20) % 6 WHEN 0 THEN symbol_ref WHEN 1 THEN path WHEN 2 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' WHEN 3 THEN name WHEN 4 THEN substr(symbol_ref, 4, 60) ELSE 'zz?' || symbol_id END AS target FROM symbols JOIN files USING (file_id, repo) WHERE symbol_id % 20 = 0)"
+RESOLVE = (
+    f"WITH {ASKS}, owner AS (SELECT s.*, f.path FROM symbols s JOIN files f USING (file_id)), "
+    "mods AS (SELECT repo, regexp_extract(path, '^(.*)/[^/]*$', 1) AS prefix, min(file_id) AS module_id FROM files GROUP BY ALL), "
+    "every AS (SELECT ask_id, 2 AS step, 'symbol' AS type, symbol_id AS target_id, path, symbol_ref, line_start, line_end, row_number() OVER (PARTITION BY ask_id ORDER BY ord) AS n FROM asks a JOIN owner o ON o.repo = a.repo AND o.symbol_ref = target "
+    "UNION ALL SELECT ask_id, 3, 'file', file_id, path, NULL, 1, least(line_count, 80), 1 FROM asks a JOIN files f ON f.repo = a.repo AND f.path = target "
+    "UNION ALL SELECT ask_id, 4, 'module', module_id, prefix, NULL, 1, 1, 1 FROM asks a JOIN mods m ON m.repo = a.repo AND m.prefix = rtrim(target, '/') "
+    "UNION ALL SELECT ask_id, 5, 'symbol', symbol_id, path, symbol_ref, line_start, line_end, row_number() OVER (PARTITION BY ask_id ORDER BY path, line_start, symbol_id) FROM asks a JOIN owner o ON o.repo = a.repo AND o.name = target "
+    "UNION ALL SELECT * FROM (SELECT ask_id, 6 AS step, 'symbol' AS type, symbol_id, path, symbol_ref, line_start, line_end, row_number() OVER (PARTITION BY ask_id ORDER BY length(symbol_ref), symbol_ref, symbol_id) AS n FROM asks a JOIN owner o ON o.repo = a.repo WHERE contains(symbol_ref, target) OR contains(qualified_name, target)) WHERE n <= 6), "
+    "first AS (SELECT *, min(step) OVER (PARTITION BY ask_id) AS f FROM every), kept AS (SELECT *, count(*) OVER (PARTITION BY ask_id) AS many FROM first WHERE step = f AND (step >= 5 OR n = 1)) "
+)
+
+
+def _resolved(spark, d) -> DataFrame:
+    files = R.files(spark, d)
+    modules = files.groupBy("repo", T.directory(F.col("path")).alias("path_prefix")).agg(F.min("file_id").alias("module_id"))
+    return targets.resolve(_asks(spark, d), files, R.symbols(spark, d), modules)
+
+
+@query(sql("files symbols", RESOLVE + "SELECT a.ask_id, CASE WHEN k.step IS NULL THEN 'not_found' WHEN many > 1 AND step >= 5 THEN 'ambiguous' ELSE 'ok' END AS status, step, n, type, target_id, path, symbol_ref, line_start, line_end FROM asks a LEFT JOIN kept k USING (ask_id)"))
+def resolve_target(spark, d):
+    return _resolved(spark, d)
+
+
+@query("WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, 2 + doc_id % 3 AS line_start, array_to_string(l[greatest(1, doc_id % 3):6 + doc_id % 3], '|') AS shown FROM f")
+def open_slice(spark, d):
+    docs = R.table(spark, d, "documents").select(F.lit("r").alias("repo"), "doc_id", F.col("doc_id").cast("string").alias("path"), T.lines(TEXT).alias("lines"))
+    start = (F.col("doc_id") % 3 + 2).alias("line_start")
+    found = docs.select("repo", "doc_id", "path", F.lit("symbol").alias("type"), start, (F.col("doc_id") % 3 + 4).alias("line_end"))
+    return targets.open_lines(found, docs).select("doc_id", "line_start", F.array_join("lines", "|").alias("shown"))
+
+
+@query(sql("files symbols", "WITH i AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM files WHERE starts_with(path, 'src/src0/')) SELECT i.repo, path, line_count, coalesce(name, '') AS symbols FROM i LEFT JOIN symbols s USING (file_id) WHERE n <= 80"))
+def open_dir(spark, d):
+    return targets.list_directory(R.files(spark, d), R.symbols(spark, d), F.lit("src/src0"))
