@@ -93,17 +93,20 @@ def plan_shards(pages: DataFrame, shard_bytes: int, least: int) -> tuple[int, in
     return low, width, out
 
 
-def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``pages`` with ``refers_to``: of equal payloads of ``least`` bytes or more, the largest page_id; null there.
+def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
+    """(page_id, _key, refers_to) of the pages that revisit another: of equal payloads of ``least`` bytes or more, all
+    but that with the largest page_id.
 
-    The groups are found by SHA-1 and length, pre-aggregated before they are shuffled.
+    Groups are found by SHA-1, pre-aggregated before they are shuffled; payloads do not move.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("_key"))
-    groups = keyed.groupBy("_key").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
-    joined = keyed.join(groups, "_key", "left")
-    revisit = (F.octet_length("html") >= least) & (F.col("_last") != F.col("page_id"))
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("_last")).alias("refers_to"))
+    keyed = pages.select("page_id", payload_key().alias("_key")).filter(common.utf8_length(F.col("html")) >= least)
+    groups = keyed.groupBy("_key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    groups = common.materialise(groups, "payloads")
+    return common.materialise(keyed.join(groups, "_key").filter("page_id <> refers_to").distinct(), "revisits")
+
+
+def payload_key():
+    return F.unhex(F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
 
 
 def write(pages: DataFrame, target: str, file_bytes: int = 256_000_000, shard_bytes: int = 256_000_000, min_shards: int = 48, min_revisit_bytes: int = 0, level: int = 6) -> DataFrame:
@@ -118,10 +121,14 @@ def write(pages: DataFrame, target: str, file_bytes: int = 256_000_000, shard_by
     common.ship(spark)
     low, width, shards = plan_shards(pages, shard_bytes, min_shards)
     table = F.array(*[F.lit(x) for x in shards])
-    rows = with_revisits(pages, min_revisit_bytes)
     at = F.coalesce(F.floor((F.col("page_id") - low) / width).cast("int"), F.lit(0))
-    rows = rows.withColumn("shard", F.element_at(table, at + 1).cast("long"))
-    rows = rows.repartition(max(shards) + 1, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    shard = F.element_at(table, at + 1).cast("long").alias("shard")
+    n = max(shards) + 1
+    # Both sides are dealt out by shard, so the join moves each payload once only.
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), shard, payload_key().alias("_key")).repartition(n, "shard")
+    known = revisits(pages, min_revisit_bytes).select("page_id", "_key", "refers_to", shard).repartition(n, "shard")
+    rows = rows.join(known, ["shard", "page_id", "_key"], "left").select("page_id", "url", "html", "refers_to", "shard")
+    rows = rows.sortWithinPartitions("shard", "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(target)
