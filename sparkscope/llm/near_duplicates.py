@@ -92,9 +92,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, bands array<bigint>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids) whose full shingle sets have 100 * |intersection| >= percent * |union|."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: ids of ``texts``) whose full shingle sets have 100 * |intersection| >= percent * |union|."""
     rows = pairs.select("a", "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,28 +129,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     Null and empty texts have no shingles and no links. Rows that share an id are rows of one document, which links by
     any of their texts; a null id links with nothing and is not kept. Repeated rows stay, other columns are not read.
     """
+    print_of = ["f1", "f2", "n"]
     sketch = common.materialise(sketches(docs, id_col, text_col), "sketches")
+    prints = common.materialise(sketch.select("id", *print_of), "prints")
     some = sketch.filter("n > 0 AND id IS NOT NULL")
-    print_of = ["f1", "f2", "n"]
-    classes = common.materialise(some.groupBy(*print_of).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-
-    buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = common.materialise(buckets.join(common.materialise(sizes, "sizes"), "key"), "buckets")
-    met = shared.groupBy("rep").agg(F.sum("size").alias("met"))
-    shared = common.materialise(shared.join(common.materialise(met, "met"), "rep").select("key", "rep", "n", "met"), "ranked")
+    signed = common.materialise(some.groupBy(*print_of).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "signed")
+    common.discard(sketch)
+    classes = common.materialise(signed.select(*print_of, "rep"), "classes")
+
+    buckets = signed.select("rep", "n", F.explode("bands").alias("key"))
+    sizes = common.materialise(buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    met_in = common.materialise(buckets.join(sizes, "key"), "buckets")
+    common.discard(signed)
+    common.discard(sizes)
+    met = common.materialise(met_in.groupBy("rep").agg(F.sum("size").alias("met")), "met")
+    shared = common.materialise(met_in.join(met, "rep").select("key", "rep", "n", "met"), "ranked")
+    common.discard(met_in)
+    # Only texts that share a bucket are compared; they are taken out of the corpus once.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = common.materialise(texts.join(met.select(F.col("rep").alias("id")), "id", "left_semi"), "texts")
 
     best = shared.groupBy("key").agg(F.max(F.struct("met", F.negative("rep").alias("minus"), "rep", "n")).alias("c"))
     best = common.materialise(best.select("key", F.col("c.rep").alias("_rep"), F.col("c.n").alias("_n")), "centres")
     stars = shared.join(best, "key").filter(F.col("rep") != F.col("_rep")).filter(_close_in_size(percent))
     ids = [F.greatest("rep", "_rep").alias("a"), F.least("rep", "_rep").alias("b")]
     tried = common.materialise(stars.select(*ids).distinct(), "pairs")
-    links = common.materialise(confirm(tried, docs, percent, id_col, text_col).distinct(), "links")
+    links = common.materialise(confirm(tried, texts, percent).distinct(), "links")
     labels = connected(links)
 
     split = _unjoined(shared, labels, 0)
     if split is not None:
-        shared = prefix_buckets(split, docs, percent, id_col, text_col)
+        shared = prefix_buckets(split, texts, percent)
         low, high = 0, FIRST_CENTRES
         while (split := _unjoined(shared, labels, low)) is not None:
             order = Window.partitionBy("key").orderBy(F.desc("met"), "rep")
@@ -162,7 +170,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             pairs = common.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             if not pairs.isEmpty():
                 tried = tried.unionByName(pairs)
-                found = common.materialise(confirm(pairs, docs, percent, id_col, text_col).distinct(), "links")
+                found = common.materialise(confirm(pairs, texts, percent).distinct(), "links")
                 if not found.isEmpty():
                     links = links.unionByName(found)
                     labels = connected(links)
@@ -170,12 +178,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     named = classes.select(*print_of, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = common.materialise(named.select(*print_of, F.coalesce("label", "rep").alias("_component")), "classes")
-    out = sketch.select("id", *print_of).join(named, print_of, "left")
+    out = prints.join(named, print_of, "left")
     component = F.coalesce("_component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def prefix_buckets(split: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+def prefix_buckets(split: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Narrower buckets (key, rep, n, met, slack) for documents that share a band, but were not joined by the stars.
 
     Two sets that are close enough share one of the first n - ceil(percent * n / 100) + 1 shingles of each, in any
@@ -185,7 +193,7 @@ def prefix_buckets(split: DataFrame, docs: DataFrame, percent: int, id_col: str,
     common meet no more.
     """
     reps = split.select("rep", "met").distinct()
-    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(reps, "rep").select("rep", "met", "text")
+    rows = texts.withColumnRenamed("id", "rep").join(reps, "rep").select("rep", "met", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +214,10 @@ def prefix_buckets(split: DataFrame, docs: DataFrame, percent: int, id_col: str,
     ranked = shingles.join(held, "key").withColumn("rank", F.row_number().over(order))
     first = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     prefix = ranked.filter(F.col("rank") <= first).filter("held > 1").select("key", "rep", "n", "met", (F.col("n") - F.col("rank") + 1).alias("slack"))
-    return common.materialise(prefix, "prefixes")
+    prefix = common.materialise(prefix, "prefixes")
+    common.discard(shingles)
+    common.discard(held)
+    return prefix
 
 
 def _unjoined(shared: DataFrame, labels: DataFrame, rank: int) -> DataFrame | None:
