@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.functions.stemmer import plain, porter
 from sparkscope.functions.text import query_terms, words
+from sparkscope.session import ship
 
 K1, B = 1.2, 0.75
 #: Inverse frequencies of terms in half of all documents or more are raised to this.
@@ -47,6 +48,7 @@ def stems(vocab: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.assign(stem=[porter(plain(t)) for t in batch["term"]])
 
+    ship(vocab.sparkSession)
     return vocab.select("term").mapInPandas(run, "term string, stem string")
 
 
@@ -93,12 +95,20 @@ def top(scored: DataFrame, k: int, by: list[Column], key: str = "query_id") -> D
     return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 
 
-def snippet(text: Column, terms: Column, width: int = 12) -> Column:
-    """The window of ``width`` words with most hits, hits in brackets. An approximation of an engine's snippets."""
-    cut = F.split(F.coalesce(text, F.lit("")), r"\s+")
-    hit = lambda w: F.exists(terms, lambda t: F.lower(w).startswith(F.lower(t)))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(cut) - width + 1, F.lit(1)))
-    scored = F.transform(starts, lambda i: F.struct(F.size(F.filter(F.slice(cut, i, width), hit)).alias("hits"), (-i).alias("minus")))
-    best = -F.array_max(scored)["minus"]
-    shown = F.transform(F.slice(cut, best, F.lit(width)), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    return F.concat(F.when(best > 1, "...").otherwise(""), F.array_join(shown, " "), F.when(best + width - 1 < F.size(cut), "...").otherwise(""))
+def snippets(rows: DataFrame, doc: str, text: Column, terms: Column, width: int = 12) -> DataFrame:
+    """(doc, snippet): of each row's text the first window of ``width`` words with most hits, hits in brackets.
+
+    A hit is a word that starts with one of ``terms``. An approximation of an engine's snippets, meant for the few
+    rows that are shown; repeated ids are one text.
+    """
+    cut = rows.select(F.col(doc).alias("doc"), terms.alias("_terms"), F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\s+")).alias("at", "word"))
+    cut = cut.withColumn("hit", F.exists("_terms", lambda t: F.lower("word").startswith(F.lower(t)))).drop("_terms")
+    order = Window.partitionBy("doc").orderBy("at")
+    counted = cut.withColumn("hits", F.sum(F.col("hit").cast("int")).over(order.rowsBetween(0, width - 1)))
+    last = F.max("at").over(Window.partitionBy("doc"))
+    full = counted.withColumns({"_last": last}).withColumn("_start", F.min(F.when((F.col("at") == 0) | (F.col("at") <= F.col("_last") - width + 1), F.struct((-F.col("hits")).alias("minus"), "at"))).over(Window.partitionBy("doc"))["at"])
+    shown = full.filter((F.col("at") >= F.col("_start")) & (F.col("at") < F.col("_start") + width))
+    word = F.when(F.col("hit"), F.concat(F.lit("["), "word", F.lit("]"))).otherwise(F.col("word"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", word.alias("w")))), lambda x: x["w"]), " ")
+    grouped = shown.groupBy("doc", "_start", "_last").agg(joined.alias("s"))
+    return grouped.select("doc", F.concat(F.when(F.col("_start") > 0, "...").otherwise(""), "s", F.when(F.col("_start") + width <= F.col("_last"), "...").otherwise("")).alias("snippet"))

@@ -92,7 +92,7 @@ def find(questions: DataFrame, files: DataFrame, symbols: DataFrame, calls: Data
             out = out | F.contains(fold(F.coalesce(F.col(c), F.lit(""))), token)
         return out
 
-    owner = symbols.join(files.select("file_id", "path", "repo"), "file_id")
+    owner = symbols.join(files.select("file_id", "path"), "file_id")
     base = owner.select("repo", "symbol_id", "path", F.col("symbol_ref").alias("symbol"), "name", "qualified_name", "signature", "line_start", "line_end")
     # The questions are compared with every row; they are what is broadcast, if Spark knows them to be small.
     branches = []

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.operators import lexical
+from sparkscope.session import ship
 
 #: (files below, character budget, cosine floor, family size that stays open)
 TIERS = ((500, 13000, 0.90, 5), (5000, 20000, 0.82, 3), (None, 24000, 0.78, 3))
@@ -39,7 +40,7 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """
     asked = questions.withColumn("_qn", norm(F.col("query_vector")))
     kept = vectors.withColumn("_n", norm(F.col("vector")))
-    pairs = kept.join(F.broadcast(asked)) if _small(questions) else kept.crossJoin(asked)
+    pairs = kept.join(F.broadcast(asked) if _small(questions) else asked)
     size = F.col("_n") * F.col("_qn")
     scored = pairs.select("query_id", "target_id", F.when(size == 0, 0.0).otherwise(dot(F.col("vector"), F.col("query_vector")) / size).alias("cosine"))
     return lexical.top(scored, k, [F.desc(F.round("cosine", 9)), F.asc("target_id")])
@@ -47,7 +48,7 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
 
 def _small(df: DataFrame, most: int = 50_000_000) -> bool:
     """Whether Spark's estimate of a relation is under the bound for a broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= most
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
 
 
 def similar_pairs(members: DataFrame, floor: Column | float, group: str = "query_id") -> DataFrame:
@@ -90,6 +91,7 @@ def families(members: DataFrame, floor: float, min_size: int, group: str = "quer
         out = [(pdf[group].iloc[i], pdf["id"].iloc[i], pdf["id"].iloc[label[i]]) for i in range(len(pdf)) if label[i] != i and counts[label[i]] > min_size and not pdf["protected"].iloc[i]]
         return pd.DataFrame(out, columns=[group, "id", "representative"])
 
+    ship(members.sparkSession)
     return members.select(group, "id", "position", "vector", "protected").groupBy(group).applyInPandas(collapse, f"{group} {group_kind}, id {id_kind}, representative {id_kind}")
 
 
@@ -146,6 +148,7 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
                             errors[i] = str(error)
                 yield pd.DataFrame({id_col: part[id_col].values, "vector": vectors, "error": errors})
 
+    ship(texts.sparkSession)
     return texts.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, vector array<float>, error string")
 
 

@@ -15,7 +15,6 @@ from sparkscope.plans.relations import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-TEXT = F.col("text")
 
 
 def query(oracle: str | None = None):
@@ -54,7 +53,7 @@ def ident_augment(spark, d):
 
 @query("SELECT item_id, array_to_string([t || '*' FOR t IN regexp_extract_all(text, '[A-Za-z0-9]+')], ' OR ') AS compiled FROM benchmark")
 def query_compile(spark, d):
-    return R.table(spark, d, "benchmark").select("item_id", F.array_join(F.transform(T.query_terms(TEXT), lambda t: F.concat(t, F.lit("*"))), " OR ").alias("compiled"))
+    return R.table(spark, d, "benchmark").select("item_id", F.array_join(F.transform(T.query_terms(F.col("text")), lambda t: F.concat(t, F.lit("*"))), " OR ").alias("compiled"))
 
 
 # Full-text search ------------------------------------------------------------------------------------------------
@@ -62,7 +61,7 @@ def query_compile(spark, d):
 
 def _index(spark, d):
     docs = R.table(spark, d, "documents").select("doc_id", "text")
-    return lexical.postings(docs, "doc_id", TEXT), lexical.lengths(docs, "doc_id", TEXT)
+    return lexical.postings(docs, "doc_id", F.col("text")), lexical.lengths(docs, "doc_id", F.col("text"))
 
 
 @query(sql("posted", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posted GROUP BY term"))
@@ -114,18 +113,28 @@ def bm25_porter_topk(spark, d):
     return _ranked(lexical.bm25(R.questions(spark, d), lexical.stemmed(posted), dl, prefix=True, stem=True), 10)
 
 
-@query()
+SNIPPET = """
+WITH p AS (SELECT doc_id, string_split_regex(text, '\\s+') AS l, w[3:4] AS terms FROM dw),
+c AS (SELECT doc_id, i - 1 AS pos, l[i] AS word, len(l) - 1 AS last, len([t FOR t IN terms IF starts_with(lower(l[i]), t)]) > 0 AS hit FROM p, unnest(range(1, len(l) + 1)) r(i)),
+h AS (SELECT *, sum(CAST(hit AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS hits FROM c),
+s AS (SELECT doc_id, pos AS start, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, pos) AS n FROM h WHERE pos = 0 OR pos <= last - 11)
+SELECT h.doc_id, CASE WHEN start > 0 THEN '...' ELSE '' END || string_agg(CASE WHEN hit THEN '[' || word || ']' ELSE word END, ' ' ORDER BY pos) || CASE WHEN start + 12 <= last THEN '...' ELSE '' END AS snippet
+FROM h JOIN s ON s.doc_id = h.doc_id AND n = 1 AND pos BETWEEN start AND start + 11 GROUP BY h.doc_id, start, last
+"""
+
+
+@query(sql("dw", SNIPPET))
 def fts_snippet(spark, d):
     docs = R.table(spark, d, "documents").select("doc_id", "text")
-    return docs.select("doc_id", lexical.snippet(TEXT, F.slice(T.words(TEXT), 3, 2)).alias("snippet"))
+    return lexical.snippets(docs, "doc_id", F.col("text"), F.slice(T.words(F.col("text")), 3, 2)).withColumnRenamed("doc", "doc_id")
 
 
 # Exact lookup ----------------------------------------------------------------------------------------------------
 
 FOLD = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SCORE = "CASE WHEN {v} = '' THEN 0 WHEN lower({v}) = lower(token) THEN 100 WHEN starts_with(lower({v}), lower(token)) THEN 60 WHEN contains(lower({v}), lower(token)) THEN 30 ELSE 0 END"
-TOKENS = "tokens AS (SELECT item_id AS query_id, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS repo, w[1] AS token FROM (SELECT item_id, " + R.W + " AS w FROM benchmark) WHERE len(w) > 0)"
-OWNER = "owner AS (SELECT s.*, f.path FROM symbols s JOIN files f USING (file_id))"
+TOKENS = "tokens AS MATERIALIZED (SELECT item_id AS query_id, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS repo, w[1] AS token FROM (SELECT item_id, " + R.W + " AS w FROM benchmark) WHERE len(w) > 0)"
+OWNER = "owner AS MATERIALIZED (SELECT s.*, f.path FROM symbols s JOIN files f USING (file_id))"
 ROW = "query_id, 'symbol' AS record_type, o.symbol_id AS target_id, path, symbol_ref AS symbol, signature, o.line_start, o.line_end"
 BRANCHES = {
     "symbol": f"SELECT {ROW}, 'definition' AS why, {SCORE.format(v='name')} + 5 AS score, 0 AS k, 0 AS line, '' AS tie FROM owner o JOIN tokens USING (repo) WHERE contains(name, token) OR contains(qualified_name, token) OR contains(symbol_ref, token)",
@@ -136,10 +145,11 @@ BRANCHES = {
 
 
 def _find_sql(*kinds: str) -> str:
-    body = " UNION ALL ".join(BRANCHES[k] for k in kinds)
+    parts = ", ".join(f"b{i} AS MATERIALIZED ({BRANCHES[k]})" for i, k in enumerate(kinds))
+    body = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(len(kinds)))
     return sql(
         "files symbols calls literals",
-        f"WITH {TOKENS}, {OWNER}, found AS ({body}), best AS (SELECT *, row_number() OVER (PARTITION BY query_id, record_type, target_id ORDER BY score DESC, k, line, tie) AS m FROM found), "
+        f"WITH {TOKENS}, {OWNER}, {parts}, found AS ({body}), best AS (SELECT *, row_number() OVER (PARTITION BY query_id, record_type, target_id ORDER BY score DESC, k, line, tie) AS m FROM found), "
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k, path, target_id) - 1 AS rank FROM best WHERE m = 1) "
         "SELECT query_id, record_type, target_id, path, symbol, signature, line_start, line_end, why, score, rank FROM ranked WHERE rank < 10",
     )
@@ -397,7 +407,7 @@ VERB_CALLS = (
     + ", ".join([f"CASE WHEN list_has_any(v, {_list(words)}) THEN '{flag}' END" for flag, words in heuristics.VERBS.items()]
         + [f"CASE WHEN list_has_any(v, {_list(heuristics.JOB_STRONG)}) OR (list_has_any(v, {_list(heuristics.JOB_WORKERS)}) AND list_has_any(v, {_list(heuristics.JOB_DEFERS)})) THEN 'background_job' END"]
         + [f"CASE WHEN owner IN ({', '.join(repr(w) for w in heuristics.RECEIVERS[kind])}) AND list_has_any(v, {_list(words)}) THEN '{flag}' END" for kind, words, flag in heuristics.GATED])
-    + "], x -> x IS NOT NULL))) AS flag FROM toks)"
+    + "], lambda x: x IS NOT NULL))) AS flag FROM toks)"
 )
 
 
@@ -464,7 +474,7 @@ def _before(spark, d) -> DataFrame:
 
 
 def _after(spark, d) -> DataFrame:
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(TEXT)
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return R.table(spark, d, "documents").filter("doc_id % 11 <> 0").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.sha2(text, 256).alias("sha256"), F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("mtime_ns"))
 
 
@@ -535,7 +545,7 @@ _EXT = "regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]+)$', 1)"
 
 @query(f"WITH f AS (SELECT doc_id, {_NAMED} AS path FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN {_EXT} = '{e}' THEN '{x}'" for e, x in P.LANGUAGES.items()) + " WHEN path LIKE '%/Makefile' THEN 'make' END AS language FROM f")
 def detect_language(spark, d):
-    return _named(spark, d).select("doc_id", P.language_of(F.col("path"), TEXT).alias("language"))
+    return _named(spark, d).select("doc_id", P.language_of(F.col("path"), F.col("text")).alias("language"))
 
 
 @query(f"WITH f AS (SELECT doc_id, {_NAMED} AS path FROM documents), g AS (SELECT *, {_EXT} AS e FROM f) SELECT doc_id, CASE WHEN e = '.log' THEN 'log' WHEN e = '.zip' THEN 'archive' WHEN e = '.png' THEN 'media' WHEN e = '.woff' THEN 'font' WHEN e = '.pt' THEN 'model' WHEN e = '.db' THEN 'database' WHEN e = '.bak' THEN 'dump' WHEN e = '.pyc' THEN 'cache' WHEN e = '.map' OR contains(path, '.min.') OR contains(path, '/build/') THEN 'generated' "
@@ -581,7 +591,7 @@ def resolve_target(spark, d):
 
 @query("WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, 2 + doc_id % 3 AS line_start, array_to_string(l[greatest(1, doc_id % 3):6 + doc_id % 3], '|') AS shown FROM f")
 def open_slice(spark, d):
-    docs = R.table(spark, d, "documents").select(F.lit("r").alias("repo"), "doc_id", F.col("doc_id").cast("string").alias("path"), T.lines(TEXT).alias("lines"))
+    docs = R.table(spark, d, "documents").select(F.lit("r").alias("repo"), "doc_id", F.col("doc_id").cast("string").alias("path"), T.lines(F.col("text")).alias("lines"))
     start = (F.col("doc_id") % 3 + 2).alias("line_start")
     found = docs.select("repo", "doc_id", "path", F.lit("symbol").alias("type"), start, (F.col("doc_id") % 3 + 4).alias("line_end"))
     return targets.open_lines(found, docs).select("doc_id", "line_start", F.array_join("lines", "|").alias("shown"))

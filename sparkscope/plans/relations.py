@@ -73,7 +73,7 @@ def sql(needs: str, body: str) -> str:
         for x in [*NEEDS.get(n, []), n]:
             if x not in names:
                 names.append(x)
-    ctes = [f"{n} AS ({CTES[n]})" for n in names]
+    ctes = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in names]
     text = body.strip()
     recursive = text.startswith("RECURSIVE ")
     text = text.removeprefix("RECURSIVE ")
