@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkscope import session
+
 #: Shuffle files of an intermediate job go as soon as its result is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -36,6 +37,10 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sparkscope/{what}-{uuid.uuid4().hex}"
 
 
+#: A batch of texts is in memory several times over: in the JVM, in Arrow, and as Python strings.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 @contextmanager
 def eager_cleanup(spark: SparkSession) -> Iterator[None]:
     """Within it, every finished query drops its shuffle files; its result must have been written."""
@@ -68,24 +73,11 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors (once an application)."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp()), "sparkscope_code.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+    """Make this package importable on the executors, and bound the batches that workers get."""
+    for key, most in BATCH.items():
+        spark.conf.set(key, most)
+    session.ship(spark)
 
 
 def utf8_length(text):
@@ -93,7 +85,7 @@ def utf8_length(text):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def slices(values: list, limit: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def slices(values: list, limit: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch of texts that hold about ``limit`` characters at most (one text at least)."""
     start = size = 0
     for i, v in enumerate(values):

@@ -24,7 +24,7 @@ from sparkscope.llm.suffix_sort import Extensions, SuffixSort
 U = np.uint64
 GRAM = 64
 #: Bytes that are hashed at once; longer texts are cut, with an overlap.
-PIECE = 1_000_000
+PIECE = 500_000
 #: An anchor with more different blocks is not sorted in one task: its strings are counted by hash instead.
 GROUP_BLOCKS = 20_000
 

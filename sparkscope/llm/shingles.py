@@ -14,7 +14,7 @@ INVERSE = U(pow(int(BASE), -1, 1 << 64))
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are hashed at once; a longer text is cut at white space.
-CHUNK = 2_000_000
+CHUNK = 500_000
 WIDTH = 5
 _COEFFICIENTS = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkscope.llm import common
-from sparkscope.llm.vocabulary import SPACE, Vocabulary, WordUnits, load
+from sparkscope.llm.vocabulary import WordUnits, load
 
 #: Units whose counts a Python worker keeps.
 CACHE_UNITS = 400_000
@@ -66,7 +66,7 @@ class _Counts(dict):
         self.score = score
 
     def __missing__(self, key: str) -> int:
-        found = self[key] = merge_count(SPACE + key, self.score)
+        found = self[key] = merge_count(WordUnits.unit(key), self.score)
         return found
 
 
@@ -104,10 +104,3 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), common.utf8_length(docs[text_col]).alias("n_bytes"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
-
-
-def vocabulary_scores(model_path: str) -> dict[str, float]:
-    return load(model_path).normal()
-
-
-__all__ = ["Vocabulary", "count_text", "merge_count", "token_counts", "vocabulary_scores"]

@@ -7,6 +7,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from sparkscope.llm import common
 from sparkscope.llm.vocabulary import BYTE, SPACE, Vocabulary, WordUnits, load
 
 #: Units whose pieces a Python worker keeps.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
 #: A character without a piece scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 _caches: dict = {}
@@ -162,7 +163,7 @@ class _Units(dict):
         self.codec = codec
 
     def __missing__(self, key: str) -> bytes:
-        found = self[key] = array("i", self.codec.best(SPACE + key)).tobytes()
+        found = self[key] = array("i", self.codec.best(WordUnits.unit(key))).tobytes()
         return found
 
 
@@ -190,8 +191,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", output_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, units = _worker(model_path, shared)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 ids, ends = array("i"), [0]
                 for t in part.column(at):
                     ids.extend(codec.encode(t.as_py(), units))
@@ -226,7 +227,7 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "token_ids", outpu
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of encoding and decoding each text in one pass.
 
-    Per row: ``id_col``, n_tokens, n_fallback (byte pieces), ids_sha256 (of the ids, comma-joined), decoded_sha256
+    Per row: ``id_col``, n_tokens, n_fallback (byte pieces), ids_sha256 (of the ids, 4 little-endian bytes each), decoded_sha256
     (of the decoded text's UTF-8) and restored (the decoded text is the text). Null counts as empty.
     """
     spark = docs.sparkSession
@@ -235,17 +236,17 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, units = _worker(model_path, shared)
-        low, high = min(codec.byte_ids), max(codec.byte_ids)
+        is_byte = np.array(codec.is_byte)
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for t in batch.column(1):
                 text = t.as_py() or ""
-                ids = codec.encode(text, units).tolist()
+                ids = codec.encode(text, units)
                 decoded = codec.decode(ids)
                 row = (
                     len(ids),
-                    sum(codec.is_byte[i] for i in ids if low <= i <= high),
-                    hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest(),
+                    int(is_byte[np.frombuffer(ids, dtype=np.int32)].sum()) if ids else 0,
+                    hashlib.sha256(ids).hexdigest(),
                     hashlib.sha256(decoded.encode()).hexdigest(),
                     decoded == text,
                 )

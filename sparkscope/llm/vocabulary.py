@@ -92,6 +92,8 @@ def parse(data: bytes) -> Vocabulary:
         raise ValueError("user-defined and unused pieces are not supported")
     if any(SPACE in p[1:] and p.strip(SPACE) for p in out.normal()):
         raise ValueError("pieces that join words are not supported")
+    if any("\n" in p for p in out.normal()):
+        raise ValueError("pieces with line breaks are not supported")
     return out
 
 
@@ -110,10 +112,11 @@ def default_path() -> str:
 
 
 class WordUnits:
-    """Cuts texts into units between which no piece reaches: a run of space markers with the word after it.
+    """Cuts texts into units between which no piece reaches: a run of space markers with the word after it, and what
+    starts with a line break.
 
-    ``cut`` returns keys; a key is the unit without its first space marker, so that ``str.split`` gives the keys of
-    ordinary text. Texts with other runs of spaces are cut by the slower general path.
+    ``cut`` returns keys: a unit's key is the unit without its first space marker, or, if it starts with a line break,
+    the unit itself. So ``str.split`` gives the keys of ordinary text; texts with other runs of spaces take longer.
     """
 
     @staticmethod
@@ -122,16 +125,25 @@ class WordUnits:
             return []
         if SPACE in text:
             text = text.replace(SPACE, " ")
-        keys = text.split(" ")
-        if "" in keys:
-            out, pending = [], 0
-            for key in keys:
-                if key:
-                    out.append(SPACE * pending + key)
-                    pending = 0
-                else:
-                    pending += 1
-            if pending:  # markers at the end; the first of them is the one that every key implies
-                out.append(SPACE * (pending - 1))
-            return out
-        return keys
+        keys = text.replace("\n", " \n").split(" ")
+        if "" not in keys:
+            return keys
+        out, pending = [], 0
+        for key in keys:
+            if not key:
+                pending += 1
+            elif key[0] == "\n":
+                if pending:  # markers of their own; the first of them is the one that a key implies
+                    out.append(SPACE * (pending - 1))
+                out.append(key)
+                pending = 0
+            else:
+                out.append(SPACE * pending + key)
+                pending = 0
+        if pending:
+            out.append(SPACE * (pending - 1))
+        return out
+
+    @staticmethod
+    def unit(key: str) -> str:
+        return key if key[:1] == "\n" else SPACE + key
