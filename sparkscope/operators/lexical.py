@@ -101,7 +101,9 @@ def snippets(rows: DataFrame, doc: str, text: Column, terms: Column, width: int
     A hit is a word that starts with one of ``terms``. An approximation of an engine's snippets, meant for the few
     rows that are shown; repeated ids are one text.
     """
-    cut = rows.select(F.col(doc).alias("doc"), terms.alias("_terms"), F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\s+")).alias("at", "word"))
+    # The terms are worked out below the explode, once for each row.
+    cut = rows.select(F.col(doc).alias("doc"), terms.alias("_terms"), F.split(F.coalesce(text, F.lit("")), r"\s+").alias("_words"))
+    cut = cut.select("doc", "_terms", F.posexplode("_words").alias("at", "word"))
     cut = cut.withColumn("hit", F.exists("_terms", lambda t: F.lower("word").startswith(F.lower(t)))).drop("_terms")
     order = Window.partitionBy("doc").orderBy("at")
     counted = cut.withColumn("hits", F.sum(F.col("hit").cast("int")).over(order.rowsBetween(0, width - 1)))

@@ -12,6 +12,7 @@ from sparkscope.functions import text as T
 from sparkscope.operators import graph, heuristics, lexical, ranking, targets, upkeep, vectors
 from sparkscope.plans import relations as R
 from sparkscope.plans.relations import sql
+from sparkscope.sources import extract, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,7 +116,8 @@ def bm25_porter_topk(spark, d):
 
 SNIPPET = """
 WITH p AS (SELECT doc_id, string_split_regex(text, '\\s+') AS l, w[3:4] AS terms FROM dw),
-c AS (SELECT doc_id, i - 1 AS pos, l[i] AS word, len(l) - 1 AS last, len([t FOR t IN terms IF starts_with(lower(l[i]), t)]) > 0 AS hit FROM p, unnest(range(1, len(l) + 1)) r(i)),
+e AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS pos, len(l) - 1 AS last, terms FROM p),
+c AS (SELECT doc_id, pos, word, last, len([t FOR t IN terms IF starts_with(lower(word), t)]) > 0 AS hit FROM e),
 h AS (SELECT *, sum(CAST(hit AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS hits FROM c),
 s AS (SELECT doc_id, pos AS start, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, pos) AS n FROM h WHERE pos = 0 OR pos <= last - 11)
 SELECT h.doc_id, CASE WHEN start > 0 THEN '...' ELSE '' END || string_agg(CASE WHEN hit THEN '[' || word || ']' ELSE word END, ' ' ORDER BY pos) || CASE WHEN start + 12 <= last THEN '...' ELSE '' END AS snippet
@@ -144,12 +146,12 @@ BRANCHES = {
 }
 
 
-def _find_sql(*kinds: str) -> str:
+def _find_sql(*kinds: str, tokens: str = TOKENS) -> str:
     parts = ", ".join(f"b{i} AS MATERIALIZED ({BRANCHES[k]})" for i, k in enumerate(kinds))
     body = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(len(kinds)))
     return sql(
         "files symbols calls literals",
-        f"WITH {TOKENS}, {OWNER}, {parts}, found AS ({body}), best AS (SELECT *, row_number() OVER (PARTITION BY query_id, record_type, target_id ORDER BY score DESC, k, line, tie) AS m FROM found), "
+        f"WITH {tokens}, {OWNER}, {parts}, found AS ({body}), best AS (SELECT *, row_number() OVER (PARTITION BY query_id, record_type, target_id ORDER BY score DESC, k, line, tie) AS m FROM found), "
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k, path, target_id) - 1 AS rank FROM best WHERE m = 1) "
         "SELECT query_id, record_type, target_id, path, symbol, signature, line_start, line_end, why, score, rank FROM ranked WHERE rank < 10",
     )
@@ -175,9 +177,46 @@ def find_literal(spark, d):
     return _find(spark, d, "literal")
 
 
-@query(_find_sql("path"))
+PATH_TOKENS = "tokens AS MATERIALIZED (SELECT item_id AS query_id, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS repo, ['src1/doc_', 'tests/s', 'src/src0/doc_0.txt', '.txt'][item_id % 3 + 1] AS token FROM benchmark)"
+
+
+@query(_find_sql("path", tokens=PATH_TOKENS))
 def find_path(spark, d):
-    return _find(spark, d, "path")
+    token = F.element_at(F.array(*map(F.lit, ("SRC1/Doc_", "tests/S", "src/src0/doc_0.txt", ".TXT"))), (F.col("query_id") % 3 + 1).cast("int"))
+    asked = R.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("item_id") % 4 + 1).cast("int")).alias("repo"))
+    return ranking.find(asked.withColumn("text", token), R.files(spark, d), R.symbols(spark, d), R.calls(spark, d), R.literals(spark, d), ("path",))
+
+
+@query("WITH t AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages), q AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<script\\b.*?</script\\s*>', '<script', 'g'), '(?is)<style\\b.*?</style\\s*>', '<style', 'g') AS h FROM t) SELECT page_id, 'html_tag' AS fact_type, tag AS value, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(h, '<([A-Za-z][A-Za-z0-9_-]*)', 1)) AS tag FROM q) GROUP BY ALL")
+def html_facts(spark, d):
+    pages = R.table(spark, d, "pages").select(F.lit("r").alias("repo"), F.col("page_id").alias("file_id"), F.lit("p.html").alias("path"), F.lit("html").alias("language"), F.col("html").alias("text"))
+    facts = extract.extract_files(pages).select("file_id", F.explode("facts").alias("f")).select(F.col("file_id").alias("page_id"), "f.*")
+    return facts.filter("fact_type = 'html_tag'").groupBy("page_id", "fact_type", "value").agg(F.count("*").alias("n"))
+
+
+@query(sql("files", "SELECT file_id, count(*) AS strings FROM (SELECT file_id, unnest(regexp_extract_all(text, '[''\"]([^''\"\n]{2,300})[''\"]')) AS s FROM files) GROUP BY file_id"))
+def regex_facts(spark, d):
+    files = R.files(spark, d).withColumn("language", F.lit(None).cast("string"))
+    facts = extract.extract_files(files).select("file_id", F.explode("facts").alias("f"))
+    return facts.filter("f.fact_type = 'string_literal'").groupBy("file_id").agg(F.count("*").alias("strings"))
+
+
+IGNORE = [("", "src1/"), ("", "!doc_1.txt"), ("", "tests/**/doc_*4.txt"), ("src/src2", "doc_?.txt"), ("", "/src/src3")]
+
+
+@query(sql("files", "SELECT file_id, CASE WHEN path = 'src/src1/doc_1.txt' THEN FALSE ELSE contains(path, '/src1/') OR regexp_matches(path, '^tests/(.*/)?doc_[^/]*4\\.txt$') OR regexp_matches(path, '^src/src2/(.*/)?doc_[^/]\\.txt$') OR starts_with(path, 'src/src3/') END AS ignored FROM files"))
+def gitignore_match(spark, d):
+    return tree.match_rules(spark, R.files(spark, d).select("file_id", "path"), tree.IgnoreRules(IGNORE)).select("file_id", "ignored")
+
+
+@query()
+def extract_python(spark, d):
+    """Small modules written around the documents' first words."""
+    name = F.coalesce(F.regexp_extract(F.lower(F.col("text")), "([a-z]+)", 1), F.lit("x"))
+    code = F.concat(F.lit("def f_"), name, F.lit("(a):\n    return store.delete_"), name, F.lit("(a)\n"))
+    files = R.table(spark, d, "documents").select(F.col("lang").alias("repo"), F.col("doc_id").alias("file_id"), F.concat("source", F.lit("/m.py")).alias("path"), F.lit("python").alias("language"), code.alias("text"))
+    found = extract.extract_files(files).select("file_id", F.explode("symbols").alias("s"))
+    return found.select("file_id", "s.symbol_ref", "s.signature", F.col("s.calls")[0]["call_text"].alias("call_text"))
 
 
 @query(_find_sql("symbol", "call", "literal", "path"))

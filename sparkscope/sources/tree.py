@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkscope.functions.paths import IGNORED, MAX_BYTES, SAMPLE_BYTES
 from sparkscope.session import ship
@@ -120,3 +121,15 @@ def read_files(spark: SparkSession, root: str, repo: str, paths: list[str], max_
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
     listed = listed.repartition(max(1, min(len(paths) // 64, spark.sparkContext.defaultParallelism * 4)))
     return listed.mapInPandas(read, "path string, size long, mtime_ns long, sample binary, content binary").select(F.lit(repo).alias("repo"), "*")
+
+
+def match_rules(spark: SparkSession, paths: DataFrame, rules: IgnoreRules, path_col: str = "path") -> DataFrame:
+    """``paths`` with ``ignored``. The rules of a tree are few; the fold over them runs on the executors."""
+    ship(spark)
+    kept = paths.drop("ignored")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(ignored=[bool(p) and rules.ignores(p) for p in frame[path_col]])
+
+    return kept.mapInPandas(run, T.StructType([*kept.schema.fields, T.StructField("ignored", T.BooleanType())]))
