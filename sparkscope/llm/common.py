@@ -34,7 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/sparkscope/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/sparkscope/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables and archives that this application has written to the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkscope/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: A batch of texts is in memory several times over: in the JVM, in Arrow, and as Python strings.

@@ -87,4 +87,17 @@ ORACLES: dict[str, str] = {
                CAST(sum(piece) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
+    "op7_embedding_near_dedup": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), near AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reach AS (
+            SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b
+        ), links AS (SELECT a, count(*) AS n FROM near GROUP BY a), low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT e.vec_id, coalesce(l.n, 0) AS n_links, least(e.vec_id, coalesce(w.b, e.vec_id)) AS component_id, e.vec_id <= coalesce(w.b, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN links l ON l.a = e.vec_id LEFT JOIN low w ON w.a = e.vec_id
+    """,
 }
