@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 next one's docs. All but the last return the columns of ``documents``.
 
 1. quality: documents that the quality classifier rejects (toxic or of low quality) go.
-2. near_duplicates: one document of each group of near-duplicates stays, the one with the smallest doc_id.
+2. near_duplicates: one document of each group of near-duplicates stays, the one with the smallest doc_id; texts link
+   at a similarity of 0.80 (op6: 0.85).
 3. decontamination: documents that hold a window of a benchmark item go.
 4. secrets: each secret is masked in the text, and n_chars is counted anew where that changed it.
 5. tokens: the text's piece ids (token_ids) are added, with n_tokens and the text that decoding them gives (decoded).
@@ -19,6 +20,8 @@ from sparkscope.llm import common, near_duplicates, phrase_index, quality, secre
 from sparkscope.llm.vocabulary import default_path
 
 ORACLE_SQL = None
+#: Similarity, in percent, from which the stage links texts.
+NEAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates.near_duplicates(docs)
+    found = near_duplicates.near_duplicates(docs, percent=NEAR)
     gone = common.materialise(found.filter("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

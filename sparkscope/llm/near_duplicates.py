@@ -10,6 +10,7 @@ left. So no link between members of a bucket is lost, and groups are not paired
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +23,28 @@ from sparkscope.llm.components import connected
 from sparkscope.llm.shingles import mix, shingle_sets
 
 U = np.uint64
-#: At a similarity of 0.85 two documents share no band with a probability of (1 - 0.85**7)**48, about 1e-8.
-BANDS, ROWS = 48, 7
+#: Two documents at the similarity asked for share no band with a probability of MISSED at most, where a band's hashes
+#: count as independent: (1 - 0.85**7)**48 or (1 - 0.80**5)**47. Rows are as many as MOST_BANDS bands allow, and 7 at most.
+MISSED, MOST_BANDS, MOST_ROWS = 1e-8, 48, 7
 FIRST_CENTRES, MORE_CENTRES = 8, 4
 
 
+def bands_and_rows(percent: int) -> tuple[int, int]:
+    def bands(rows: int) -> int:
+        shared = (percent / 100) ** rows
+        return math.ceil(math.log(MISSED) / math.log1p(-shared)) if shared < 1 else 1
+
+    rows = max([r for r in range(1, MOST_ROWS + 1) if bands(r) <= MOST_BANDS], default=1)
+    return bands(rows), rows
+
+
 class Signer:
     """Signatures of one permutation: the hash range is cut into equal bins, a bin's value is its smallest hash.
 
     An empty bin takes the value of a full one, found by its own sequence of hashed probes (optimal densification).
     """
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS):
+    def __init__(self, bands: int, rows: int):
         self.bands, self.rows, self.bins = bands, rows, bands * rows
         self.edges = np.array([-(-(i << 64) // self.bins) for i in range(self.bins)], dtype=np.uint64)
         self.factors = mix(np.arange(1, rows + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -67,12 +78,12 @@ class Signer:
         return mix((rows * self.factors).sum(axis=1) ^ self.salt)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, f1, f2, bands): set size, 128-bit fingerprint of the set, band keys. Empty sets have no bands."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer()
+        signer = Signer(*bands_and_rows(percent))
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
@@ -130,7 +141,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     any of their texts; a null id links with nothing and is not kept. Repeated rows stay, other columns are not read.
     """
     print_of = ["f1", "f2", "n"]
-    sketch = common.materialise(sketches(docs, id_col, text_col), "sketches")
+    sketch = common.materialise(sketches(docs, percent, id_col, text_col), "sketches")
     prints = common.materialise(sketch.select("id", *print_of), "prints")
     some = sketch.filter("n > 0 AND id IS NOT NULL")
     signed = common.materialise(some.groupBy(*print_of).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "signed")

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkscope.llm import registry, secrets
+from sparkscope.llm import near_duplicates, registry, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +25,23 @@ def test_pipeline_against_its_operators(spark):
         if r.doc_id in out:
             text = secrets.masked(r.text, scanner.scan(r.text)[1], "[SECRET]") if r.text else r.text
             assert out[r.doc_id].text == text and out[r.doc_id].decoded == text and out[r.doc_id].n_chars == len(text)
+
+
+def test_near_duplicates_stage_links_at_80(spark):
+    texts = []
+    for g in range(40):  # 56 windows of five words, and a copy with up to 19 more
+        base = [f"g{g}w{i}" for i in range(60)]
+        texts += [base, base + [f"more{i}" for i in range(g % 20)]]
+    docs = spark.createDataFrame([(i, " ".join(t), 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    gone = {i for i in range(1, len(texts), 2) if 100 * len(sets[i] & sets[i - 1]) >= 80 * len(sets[i] | sets[i - 1])}
+    assert any(100 * len(sets[i] & sets[i - 1]) < 85 * len(sets[i] | sets[i - 1]) for i in gone) and len(gone) < 40
+    out = {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, docs, SF).collect()}
+    assert out == set(range(len(texts))) - gone
+
+
+def test_bands_follow_percent():
+    assert near_duplicates.bands_and_rows(85) == (48, 7)
+    for percent in range(5, 101, 5):
+        bands, rows = near_duplicates.bands_and_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-8
