@@ -157,6 +157,14 @@ def test_quality_edges(spark):
     assert quality.classify(docs.drop("_evidence").limit(0), none).count() == 0
 
 
+def test_top_share_counts_all_words():
+    line = [f"w{i}" for i in range(10)]
+    for words in (line * 2000, line * 50 + ["w3"] * 4500, [*(["a", "b"] * 3000), *["c"] * 700], line * 3):
+        top = max(words.count(w) for w in set(words)) / len(words)
+        want = sum(top >= e for e in (0.05, 0.1, 0.15, 0.25, 0.5))
+        assert [f for f in quality.features(" ".join(words)) if f.startswith("\x00top:")] == [f"\x00top:{want}"]
+
+
 def test_shrinkage(spark):
     model = quality.Model({h: quality.Head(0.0, {}) for h in quality.HEADS}, {h: 0.1 for h in quality.HEADS})
     rows = [("big", "big/a", [9.0, -9.0])] * 500 + [("new", "new/a", [9.0, -9.0])] + [("ok", "ok/a", [-9.0, -9.0])] * 499
