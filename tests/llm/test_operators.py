@@ -137,6 +137,26 @@ def test_redaction_and_allowed(spark):
     assert out == {0: "go [SECRET] on", 1: "id 123e4567-e89b-12d3-a456-426614174000 ok", 2: None, 3: "[SECRET],", 4: "[SECRET]"}
 
 
+def test_random_keys_are_masked_whole():
+    scanner = secrets.Scanner(secrets.Rules())
+    random_of = random.Random(11)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"base62": upper + upper.lower() + digits, "base64": upper + upper.lower() + digits + "+/", "base32": upper + "234567", "hex": "0123456789ABCDEF", "letters": upper + upper.lower()}
+    for name, letters in alphabets.items():
+        for size in (20, 24, 32, 40, 200):
+            keys = ["".join(random_of.choices(letters, k=size)) for _ in range(1000)]
+            keys = [k for k in keys if not (k.isalpha() and k.isupper())]  # one class only, which the allow-list holds
+            missed = sum(secrets.masked(f"go {k} on", scanner.scan(f"go {k} on")[1], "*") != "go * on" for k in keys)
+            assert missed <= (40 if name == "letters" else 20), (name, size, missed)  # what looks like names
+
+
+def test_names_are_no_keys():
+    scanner = secrets.Scanner(secrets.Rules())
+    names = ["src/main/java/org/example/FooBar2", "internationalization_of_names", "XMLHttpRequestFactoryBuilder", "parseHTTPResponseBodyAsJSON", "2024-01-31/report-final_v2", "MAX_CONNECTIONS_PER_HOST_16", "a-long-slug-of-an-article-2023-07", "====================", "getThePathOfTheQuickBrownFox", "x" * 5000, "==a/b/c/d/e/f/g/h/i/j/k/l/m"]
+    assert [n for n in names if scanner.scan(n)[1]] == []
+    assert scanner.scan("x" * 3000 + "B1-" * 1000 + "xK9mQ2vL8pR4tB7nW3yZ")[1]  # and in linear time
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
