@@ -165,7 +165,9 @@ class Engine:
         scored = scored.withColumnRenamed("doc", "target_id").join(about, "target_id").join(asked, "query_id").filter("repo = _repo")
         by_words = lexical.top(scored, 30, [F.round("score", 9), F.col("record_type"), F.col("path"), F.col("target_id")]).select("query_id", "target_id", "rank")
         vectors_of = vectors.embed(questions.select(F.col("query_id").alias("target_id"), "text"), self.embedder).select(F.col("target_id").alias("query_id"), F.col("vector").alias("query_vector"))
-        by_meaning = vectors.nearest(vectors_of.filter("query_vector IS NOT NULL"), self.table("vectors").select("target_id", "vector"), 10).select("query_id", "target_id", "rank")
+        vectors_of = vectors_of.filter("query_vector IS NOT NULL").join(questions.select("query_id", "repo"), "query_id")
+        stored = self.table("vectors").join(self.table("symbols").select(F.col("symbol_id").alias("target_id"), "repo"), "target_id").select("target_id", "repo", "vector")
+        by_meaning = vectors.nearest(vectors_of, stored, 10, within="repo").select("query_id", "target_id", "rank")
         found = ranking.candidates(by_words, by_meaning, ["target_id"]).join(about, "target_id").join(asked, "query_id").filter("repo = _repo").drop("_repo")
         why = heuristics.reasons(self.table("heuristic_flags"), self.table("symbol_calls")).withColumnRenamed("symbol_id", "target_id")
         found = found.join(why, "target_id", "left").withColumn("why", F.coalesce("why", F.when(F.col("lexical_rank").isNull(), "semantic alias").otherwise("lexical match")))
@@ -189,12 +191,11 @@ class Engine:
         cap = F.when(F.col("is_seed"), 1600).otherwise(600)
         cut = F.when(F.length(body) > cap, F.concat(F.substr(body, F.lit(1), cap), F.lit("\n… (truncated — open for full body)"))).otherwise(body)
         sized = full.withColumn("body", cut).withColumn("size", F.length("body") + F.length("symbol_ref") + F.length("signature"))
-        members = order.join(self.table("vectors").select(F.col("target_id").alias("symbol_id"), "vector"), "symbol_id").select("query_id", F.col("symbol_id").alias("id"), "position", "vector", F.col("is_seed").alias("protected"))
-        tier = sizes.first()
-        folded = vectors.families(members, tier["tier"]["floor"], tier["tier"]["min_size"]).withColumnRenamed("id", "symbol_id") if tier else None
-        if folded is not None:
-            sized = sized.join(folded, ["query_id", "symbol_id"], "left")
-            sized = sized.withColumn("body", F.when(F.col("representative").isNull(), F.col("body"))).withColumn("size", F.coalesce(F.length("body"), F.lit(0)) + F.length("symbol_ref") + F.length("signature"))
+        members = order.join(self.table("vectors").select(F.col("target_id").alias("symbol_id"), "vector"), "symbol_id").join(questions.select("query_id", "repo"), "query_id").join(sizes, "repo")
+        members = members.select("query_id", F.col("symbol_id").alias("id"), "position", "vector", F.col("is_seed").alias("protected"), "tier")
+        folded = vectors.families(members, F.col("tier.floor"), F.col("tier.min_size")).withColumnRenamed("id", "symbol_id")
+        sized = sized.join(folded, ["query_id", "symbol_id"], "left")
+        sized = sized.withColumn("body", F.when(F.col("representative").isNull(), F.col("body"))).withColumn("size", F.coalesce(F.length("body"), F.lit(0)) + F.length("symbol_ref") + F.length("signature"))
         blocks = ranking.within_budget(sized, F.col("tier.budget")).select("query_id", "position", "path", "symbol_ref", "signature", "line_start", "line_end", "is_seed", "body")
         return blocks, graph.blast_radius(seeds, calls, symbols, files)
 

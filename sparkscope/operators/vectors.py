@@ -32,15 +32,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
-def nearest(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def nearest(questions: DataFrame, vectors: DataFrame, k: int = 10, within: str | None = None) -> DataFrame:
     """(query_id, target_id, cosine, rank): exact top-k of (query_id, query_vector) among (target_id, vector).
 
+    ``within`` names a column of both sides; a question then meets only the vectors that share its value.
+
     The questions are a bounded batch: each vector is scored against all of them where it lies, and only k rows for
     each question and partition are shuffled.
     """
     asked = questions.withColumn("_qn", norm(F.col("query_vector")))
     kept = vectors.withColumn("_n", norm(F.col("vector")))
-    pairs = kept.join(F.broadcast(asked) if _small(questions) else asked)
+    pairs = kept.join(F.broadcast(asked) if _small(questions) else asked, within)
     size = F.col("_n") * F.col("_qn")
     scored = pairs.select("query_id", "target_id", F.when(size == 0, 0.0).otherwise(dot(F.col("vector"), F.col("query_vector")) / size).alias("cosine"))
     return lexical.top(scored, k, [F.desc(F.round("cosine", 9)), F.asc("target_id")])
@@ -62,11 +64,12 @@ def similar_pairs(members: DataFrame, floor: Column | float, group: str = "query
     return pairs.select(group, "a", "b", cosine(F.col("_u"), F.col("_v")).alias("cosine")).filter(F.col("cosine") >= floor)
 
 
-def families(members: DataFrame, floor: float, min_size: int, group: str = "query_id") -> DataFrame:
+def families(members: DataFrame, floor: Column | float, min_size: Column | int, group: str = "query_id") -> DataFrame:
     """(group, id, representative) of members that collapse into the first member of their family.
 
     members: (group, id, position, vector, protected). A family is a connected component of pairs with cosine >= floor
-    and collapses if it has more than ``min_size`` members; protected members never do.
+    and collapses if it has more than ``min_size`` members; protected members never do. ``floor`` and ``min_size`` may be
+    columns of members, with one value in each group.
     """
     id_kind = dict(members.dtypes)["id"]
     group_kind = dict(members.dtypes)[group]
@@ -80,7 +83,7 @@ def families(members: DataFrame, floor: float, min_size: int, group: str = "quer
             x = np.array(pdf["vector"].tolist(), dtype=np.float64)
             size = np.sqrt((x * x).sum(axis=1, keepdims=True))
             x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-            near = x @ x.T >= floor - 1e-12
+            near = x @ x.T >= pdf["_floor"].iloc[0] - 1e-12
             np.fill_diagonal(near, True)
             while True:
                 new = np.where(near, label[None, :], len(pdf)).min(axis=1)
@@ -88,11 +91,12 @@ def families(members: DataFrame, floor: float, min_size: int, group: str = "quer
                     break
                 label = new
         counts = np.bincount(label, minlength=len(pdf) or 1)
-        out = [(pdf[group].iloc[i], pdf["id"].iloc[i], pdf["id"].iloc[label[i]]) for i in range(len(pdf)) if label[i] != i and counts[label[i]] > min_size and not pdf["protected"].iloc[i]]
+        out = [(pdf[group].iloc[i], pdf["id"].iloc[i], pdf["id"].iloc[label[i]]) for i in range(len(pdf)) if label[i] != i and counts[label[i]] > pdf["_least"].iloc[0] and not pdf["protected"].iloc[i]]
         return pd.DataFrame(out, columns=[group, "id", "representative"])
 
     ship(members.sparkSession)
-    return members.select(group, "id", "position", "vector", "protected").groupBy(group).applyInPandas(collapse, f"{group} {group_kind}, id {id_kind}, representative {id_kind}")
+    bounds = [(b if isinstance(b, Column) else F.lit(b)).alias(n) for b, n in ((floor, "_floor"), (min_size, "_least"))]
+    return members.select(group, "id", "position", "vector", "protected", *bounds).groupBy(group).applyInPandas(collapse, f"{group} {group_kind}, id {id_kind}, representative {id_kind}")
 
 
 def tier(files: Column) -> Column:

@@ -154,3 +154,26 @@ def test_small_rules(spark):
     members = spark.createDataFrame([(0, i, i, x, i == 1) for i, x in enumerate(v)], "query_id int, id int, position int, vector array<double>, protected boolean")
     assert [tuple(r) for r in vectors.families(members, 0.9, 2).collect()] == [(0, 2, 0)]
     assert graph.CALLERS == 6
+
+
+def test_questions_stay_in_their_repository(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    body = "def {0}(x):\n    return purge_all_rows(x)\n"
+    # "large" holds 12 symbols nearer to the question than the one of "small", whose words are near, but not the question's.
+    for repo, files in {"large": {f"m{i}.py": body.format("purge_rows") for i in range(12)}, "small": {"s.py": "def unrelated(x):\n    return x\n\n\ndef rowPurger(rows):\n    return rows\n"}}.items():
+        os.makedirs(tmp_path / repo)
+        for path, text in files.items():
+            (tmp_path / repo / path).write_text(text)
+        e.register(str(tmp_path / repo), repo)
+        assert e.refresh(repo)["ok"]
+    asked = spark.createDataFrame([(0, "small", "purge rows"), (1, "large", "purge rows")], "query_id long, repo string, text string")
+    ranked = e.ranked(asked).collect()
+    assert {r["symbol"] for r in ranked if r["query_id"] == 0 and r["vector_rank"] is not None} >= {"s.rowPurger", "s.unrelated"}
+    assert sum(r["query_id"] == 1 and r["vector_rank"] is not None for r in ranked) == 10
+
+
+def test_families_by_each_groups_floor(spark):
+    rows = [(q, i, i, [1.0, 0.1 * i], False, floor, least) for q, floor, least in ((0, 0.9, 2), (1, 0.9, 9), (2, 0.99999, 2)) for i in range(4)]
+    members = spark.createDataFrame(rows, "query_id long, id long, position long, vector array<double>, protected boolean, floor double, least int")
+    out = vectors.families(members, F.col("floor"), F.col("least")).collect()
+    assert sorted((r["query_id"], r["id"], r["representative"]) for r in out) == [(0, 1, 0), (0, 2, 0), (0, 3, 0)]
