@@ -211,9 +211,10 @@ def gitignore_match(spark, d):
 
 @query()
 def extract_python(spark, d):
-    """Small modules written around the documents' first words."""
-    name = F.coalesce(F.regexp_extract(F.lower(F.col("text")), "([a-z]+)", 1), F.lit("x"))
-    code = F.concat(F.lit("def f_"), name, F.lit("(a):\n    return store.delete_"), name, F.lit("(a)\n"))
+    """Modules written around the documents' words: a function for each different one, or one for x if there is none."""
+    names = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit("([a-z]+)"), F.lit(1)))
+    names = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("x")))
+    code = F.array_join(F.transform(names, lambda n: F.concat(F.lit("def f_"), n, F.lit("(a):\n    return store.delete_"), n, F.lit("(a)\n"))), "")
     files = R.table(spark, d, "documents").select(F.col("lang").alias("repo"), F.col("doc_id").alias("file_id"), F.concat("source", F.lit("/m.py")).alias("path"), F.lit("python").alias("language"), code.alias("text"))
     found = extract.extract_files(files).select("file_id", F.explode("symbols").alias("s"))
     return found.select("file_id", "s.symbol_ref", "s.signature", F.col("s.calls")[0]["call_text"].alias("call_text"))

@@ -12,6 +12,7 @@ from sparkscope.engine import Engine, normal_path
 from sparkscope.functions import paths, stemmer
 from sparkscope.functions import text as T
 from sparkscope.operators import graph, ranking, upkeep, vectors
+from sparkscope.plans import catalogue
 from sparkscope.sources import extract, tree
 
 FILES = {
@@ -177,3 +178,14 @@ def test_families_by_each_groups_floor(spark):
     members = spark.createDataFrame(rows, "query_id long, id long, position long, vector array<double>, protected boolean, floor double, least int")
     out = vectors.families(members, F.col("floor"), F.col("least")).collect()
     assert sorted((r["query_id"], r["id"], r["representative"]) for r in out) == [(0, 1, 0), (0, 2, 0), (0, 3, 0)]
+
+
+def test_extract_python_takes_all_words(spark, tmp_path):
+    import re
+
+    texts = {0: "One two, two THREE", 1: "12 ?", 2: None, 3: " ".join("w" + "abcdefghij"[i // 100] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10] for i in range(1000))}
+    docs = spark.createDataFrame([(i, t, "src", "en") for i, t in texts.items()], "doc_id long, text string, source string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["file_id"], r["signature"], r["call_text"]) for r in catalogue.QUERIES["extract_python"](spark, str(tmp_path)).collect()]
+    want = [(i, f"def f_{w}(a)", f"store.delete_{w}") for i, t in texts.items() for w in set(re.findall("[a-z]+", (t or "").lower())) or {"x"}]
+    assert sorted(got) == sorted(want)
