@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or our own where that is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a folder of our own; on a cluster that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         try:
@@ -30,7 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception as error:  # the setting is unknown to this version or has no value
             if "spark.checkpoint.dir" not in str(error):
                 raise
-    return (found or f"file://{tempfile.gettempdir()}/sparkscope-shared").rstrip("/")
+    if not found:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/sparkscope-shared"
+    return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -47,6 +58,37 @@ def release(spark: SparkSession) -> None:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after a task, and their allocators keep what it freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for ``mapInArrow``, which gives its memory back at the end of a task."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has, for columns of our own beside the caller's."""
+    taken = [c.lower() for c in df.columns]
+    prefix = "_own_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 @contextmanager
 def eager_cleanup(spark: SparkSession) -> Iterator[None]:
     """Within it, every finished query drops its shuffle files; its result must have been written."""

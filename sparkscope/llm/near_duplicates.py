@@ -1,6 +1,7 @@
 """Near-duplicate documents by one-permutation MinHash, banded buckets and star-shaped candidate edges.
 
-Documents with equal shingle sets form a class first, so copies cost no candidates. Each class has a signature of one
+Documents with equal shingle sets (of one size and one 128-bit fingerprint) form a class first, so copies cost no
+candidates. Each class has a signature of one
 permutation with optimal densification, whose bands put it into buckets. Every bucket proposes a star: all members
 against the one that meets most others. Links are confirmed on full shingle sets. Members of a bucket that the stars
 left in several components get narrower buckets from their rarest shingles (an exact filter); in these, members are
@@ -27,6 +28,8 @@ U = np.uint64
 #: count as independent: (1 - 0.85**7)**48 or (1 - 0.80**5)**47. Rows are as many as MOST_BANDS bands allow, and 7 at most.
 MISSED, MOST_BANDS, MOST_ROWS = 1e-8, 48, 7
 FIRST_CENTRES, MORE_CENTRES = 8, 4
+#: Members that are compared with a centre in one group; a centre with more is sent to several groups.
+GROUP_MEMBERS = 500
 
 
 def bands_and_rows(percent: int) -> tuple[int, int]:
@@ -100,34 +103,48 @@ def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, bands array<bigint>")
+    return rows.mapInArrow(common.lean(run), f"id {kind}, n long, f1 long, f2 long, bands array<bigint>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids of ``texts``) whose full shingle sets have 100 * |intersection| >= percent * |union|."""
-    rows = pairs.select("a", "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    """(a, b) for those of ``pairs`` (member, hub: ids of ``texts``) whose full shingle sets have
+    100 * |intersection| >= percent * |union|.
+
+    A hub's text goes once to each group of about GROUP_MEMBERS of its members, ahead of theirs, so a task holds the
+    set of one hub and a batch of members.
+    """
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("groups"))
+    dealt = pairs.join(common.materialise(sizes, "hubs"), "hub")
+    dealt = common.materialise(dealt.select("hub", F.pmod(F.xxhash64("member"), F.col("groups")).alias("part"), "member"), "dealt")
+    of = texts.withColumnRenamed("id", "member")
+    members = dealt.join(of, "member").select("hub", "part", F.lit(1).alias("side"), "member", "text")
+    hubs = dealt.select("hub", "part", F.col("hub").alias("member")).distinct().join(of, "member").select("hub", "part", F.lit(0).alias("side"), "member", "text")
+    rows = hubs.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        at: tuple | None = None
+        of_hub: list[np.ndarray] = []
         for batch in batches:
-            good = []
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts = [*part.column(2).to_pylist(), *part.column(3).to_pylist()]
-                new = [t for t in dict.fromkeys(texts) if t not in known]
-                known |= dict(zip(new, shingle_sets(new)))
-                n = part.num_rows
-                for i in range(n):
-                    x, y = known[texts[i]], known[texts[n + i]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-                if len(known) > 2000:
-                    known.clear()
-            kept = batch.filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
-
-    kinds = dict(pairs.dtypes)
-    return rows.mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}")
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                hub, group, side, member = [part.column(i).to_pylist() for i in range(4)]
+                good = []
+                for i, s in enumerate(shingle_sets(part.column(4).to_pylist())):
+                    if not side[i]:
+                        # Rows that share an id are one document; the texts of a hub are looked at one by one.
+                        of_hub = [*of_hub, s] if at == (hub[i], group[i]) else [s]
+                        at = hub[i], group[i]
+                        continue
+                    for x in of_hub if at == (hub[i], group[i]) else ():
+                        both = len(np.intersect1d(x, s, assume_unique=True))
+                        if both and 100 * both >= percent * (len(x) + len(s) - both):
+                            good.append(i)
+                            break
+                linked = [sorted((member[i], hub[i])) for i in good]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], part.column(0).type) for k in (1, 0)], ["a", "b"])
+
+    kind = dict(pairs.dtypes)["hub"]
+    return rows.mapInArrow(common.lean(run), f"a {kind}, b {kind}")
 
 
 def _close_in_size(percent: int):
@@ -163,8 +180,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     best = shared.groupBy("key").agg(F.max(F.struct("met", F.negative("rep").alias("minus"), "rep", "n")).alias("c"))
     best = common.materialise(best.select("key", F.col("c.rep").alias("_rep"), F.col("c.n").alias("_n")), "centres")
     stars = shared.join(best, "key").filter(F.col("rep") != F.col("_rep")).filter(_close_in_size(percent))
-    ids = [F.greatest("rep", "_rep").alias("a"), F.least("rep", "_rep").alias("b")]
-    tried = common.materialise(stars.select(*ids).distinct(), "pairs")
+    tried = common.materialise(stars.select(F.col("rep").alias("member"), F.col("_rep").alias("hub")).distinct(), "pairs")
     links = common.materialise(confirm(tried, texts, percent).distinct(), "links")
     labels = connected(links)
 
@@ -175,10 +191,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         while (split := _unjoined(shared, labels, low)) is not None:
             order = Window.partitionBy("key").orderBy(F.desc("met"), "rep")
             centres = split.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= high).filter(F.col("rank") > low)
-            centres = common.materialise(centres.select("key", F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("label").alias("_label"), F.col("slack").alias("_slack")), "centres")
+            centres = common.materialise(centres.select("key", F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("met").alias("_met"), F.col("label").alias("_label"), F.col("slack").alias("_slack")), "centres")
             near = (F.col("label") != F.col("_label")) & _close_in_size(percent) & (F.least("slack", "_slack") * (100 + percent) >= (F.col("n") + F.col("_n")) * percent)
-            pairs = split.join(centres, "key").filter(near).select(*ids).distinct()
-            pairs = common.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            # Of two documents the hub is always the one that meets more others, so that a pair has one form.
+            first = F.struct(-F.col("met"), "rep") < F.struct(-F.col("_met"), "_rep")
+            pair = [F.when(first, F.col("_rep")).otherwise(F.col("rep")).alias("member"), F.when(first, F.col("rep")).otherwise(F.col("_rep")).alias("hub")]
+            pairs = split.join(centres, "key").filter(near).select(*pair).distinct()
+            pairs = common.materialise(pairs.join(tried, ["member", "hub"], "left_anti"), "pairs")
             if not pairs.isEmpty():
                 tried = tried.unionByName(pairs)
                 found = common.materialise(confirm(pairs, texts, percent).distinct(), "links")
@@ -219,7 +238,7 @@ def prefix_buckets(split: DataFrame, texts: DataFrame, percent: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in columns], pa.array(whole)], ["rep", "met", "n", "print", "key"])
 
     kind = dict(split.dtypes)["rep"]
-    shingles = common.materialise(rows.mapInArrow(run, f"rep {kind}, met long, n long, print long, key long"), "shingles")
+    shingles = common.materialise(rows.mapInArrow(common.lean(run), f"rep {kind}, met long, n long, print long, key long"), "shingles")
     held = common.materialise(shingles.groupBy("key").agg(F.count("*").alias("held")), "held")
     order = Window.partitionBy("rep", "print").orderBy("held", "key")
     ranked = shingles.join(held, "key").withColumn("rank", F.row_number().over(order))

@@ -157,7 +157,7 @@ def scan(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.lean(run), f"id {kind}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def masked(text: str, spans: Sequence[tuple[int, int, int]], mask: str) -> str:
@@ -187,4 +187,4 @@ def redact(docs: DataFrame, rules: Rules = Rules(), mask: str = "[SECRET]", text
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from sparkscope.llm import common
 from sparkscope.llm.vocabulary import WordUnits, load
 
-#: Units whose counts a Python worker keeps.
-CACHE_UNITS = 400_000
+#: Bytes that the counts of units kept by a Python worker take, about.
+CACHE_BYTES = 48_000_000
 _caches: dict = {}
 
 
@@ -63,19 +63,24 @@ class _Counts(dict):
 
     def __init__(self, score: dict[str, float]):
         super().__init__()
-        self.score = score
+        self.score, self.held = score, 0
 
     def __missing__(self, key: str) -> int:
         found = self[key] = merge_count(WordUnits.unit(key), self.score)
+        self.held += 160 + 4 * len(key)
         return found
 
+    def bound(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+
 
 def count_text(text: str | None, counts: _Counts) -> int:
     if not text:
         return 0
     found = sum(map(counts.__getitem__, WordUnits.cut(text)))
-    if len(counts) > CACHE_UNITS:
-        counts.clear()
+    counts.bound()
     return found
 
 
@@ -103,4 +108,4 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), common.utf8_length(docs[text_col]).alias("n_bytes"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.lean(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

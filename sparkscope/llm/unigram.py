@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from sparkscope.llm import common
 from sparkscope.llm.vocabulary import BYTE, SPACE, Vocabulary, WordUnits, load
 
-#: Units whose pieces a Python worker keeps.
-CACHE_UNITS = 200_000
+#: Bytes that the pieces of units kept by a Python worker take, about.
+CACHE_BYTES = 24_000_000
 #: A character without a piece scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 _caches: dict = {}
@@ -145,8 +145,7 @@ class Codec:
         out = array("i")
         if text:
             out.frombytes(b"".join(map(units.__getitem__, WordUnits.cut(text))))
-            if len(units) > CACHE_UNITS:
-                units.clear()
+            units.bound()
         return out
 
     def decode(self, ids) -> str:
@@ -160,12 +159,18 @@ class _Units(dict):
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.held = codec, 0
 
     def __missing__(self, key: str) -> bytes:
         found = self[key] = array("i", self.codec.best(WordUnits.unit(key))).tobytes()
+        self.held += 200 + 4 * len(key) + len(found)
         return found
 
+    def bound(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+
 
 def _worker(model_path: str, shared) -> tuple[Codec, _Units]:
     found = _caches.get(model_path)
@@ -175,17 +180,20 @@ def _worker(model_path: str, shared) -> tuple[Codec, _Units]:
     return found
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", output_col: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", output_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with ``output_col``, the text's piece ids as array<int>.
 
+    With ``decoded_col``, also what decoding the ids gives, in the same pass ("" for a null text).
+
     Null and empty texts give an empty array. A column that is already called ``output_col`` is replaced; all others
     keep their names and values, whatever they are called. No shuffle; texts of any length are encoded whole.
     """
     spark = docs.sparkSession
     common.ship(spark)
     shared = spark.sparkContext.broadcast(Codec(load(model_path)))
-    kept = docs.drop(output_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField(output_col, T.ArrayType(T.IntegerType()))])
+    kept = docs.drop(output_col, *([decoded_col] if decoded_col else []))
+    added = [T.StructField(output_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
+    schema = T.StructType([*kept.schema.fields, *added])
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +201,18 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", output_col:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                ids, ends = array("i"), [0]
+                ids, ends, texts = array("i"), [0], []
                 for t in part.column(at):
-                    ids.extend(codec.encode(t.as_py(), units))
+                    own = codec.encode(t.as_py(), units)
+                    ids.extend(own)
                     ends.append(len(ids))
+                    if decoded_col:
+                        texts.append(codec.decode(own))
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(ids), pa.int32()) if ids else pa.array([], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, output_col])
+                more = [pa.array(texts, pa.string())] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([*part.columns, column, *more], [f.name for f in schema])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(common.lean(run), schema)
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "token_ids", output_col: str = "decoded") -> DataFrame:
@@ -221,14 +233,15 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "token_ids", outpu
             texts = [None if not x.is_valid else codec.decode(x.values.to_pylist()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, output_col])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(output_col, T.StringType())]))
+    return kept.mapInArrow(common.lean(run), T.StructType([*kept.schema.fields, T.StructField(output_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of encoding and decoding each text in one pass.
 
     Per row: ``id_col``, n_tokens, n_fallback (byte pieces), ids_sha256 (of the ids, 4 little-endian bytes each), decoded_sha256
-    (of the decoded text's UTF-8) and restored (the decoded text is the text). Null counts as empty.
+    (of the decoded text's UTF-8) and restored (the decoded text is the text). Null counts as empty. Repeated rows stay,
+    an empty table gives no rows, other columns are not read.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -257,4 +270,4 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, n_fallback long, ids_sha256 string, decoded_sha256 string, restored boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.lean(run), f"id {kind}, n_tokens long, n_fallback long, ids_sha256 string, decoded_sha256 string, restored boolean").withColumnRenamed("id", id_col)
