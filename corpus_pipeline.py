@@ -47,7 +47,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = unigram.decode(unigram.encode(docs, default_path()), default_path())
+    coded = unigram.encode(docs, default_path(), decoded_col="decoded")
     return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
