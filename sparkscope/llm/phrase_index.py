@@ -1,109 +1,211 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: each task stores the postings (term, positions) of the documents it holds, for
-the terms that occur in benchmark items, and answers every window there. A window is looked up from its rarest term
-in that shard: the list of that term, less the term's offset, holds the possible starts; each further list, shifted
-by its own offset, keeps those that it contains. No postings cross the network and no group can be hot.
+The index is a stored table, partitioned by document: a row is a shard, the posting lists (positions of every word) of
+some documents. The benchmark's windows are then answered from the stored lists, in blocks of bounded size. Its terms
+are counted over the whole index first; a window is looked up from its rarest term: the list of that term, less the
+term's offset in the window, holds the possible starts, and each further list, shifted by its own offset, keeps those
+that it contains. No list crosses the network and no term is a shuffle key, so none can be hot; memory depends on the
+sizes of a shard and of a block only.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkscope.llm import common
 
-#: Bytes of benchmark text that are sent to the executors at once; a larger benchmark takes several passes.
+#: Bytes of benchmark text that are sent to the executors at once; a larger benchmark takes several passes over the index.
 BLOCK_BYTES = 16_000_000
+#: Characters of the documents of a shard, about (one document at least).
+SHARD_CHARS = 3_000_000
+#: Possible places that are looked at together.
+PLACES = 500_000
+#: Words on either side of a window's rarest term in which proximity matches have the window's other terms.
+REACH = 20
 #: ASCII letters to lower case, other ASCII but digits to a space; bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-
-HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
+LAST = np.int64(np.iinfo(np.int64).max)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
-class Phrases:
-    """The windows of a block of items: ``terms`` numbers their words; equal windows are kept once."""
+def posting_lists(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(first position and number of words of each text, terms, length of each term's list, the lists one after another).
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
-        self.terms: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
+    Positions run on over texts, with a gap between two.
+    """
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    flat, starts, counts = array("i"), [], []
+    for text in texts:
+        words = words_of(text)
+        starts.append(len(flat))
+        counts.append(len(words))
+        flat.extend(map(number.__getitem__, words))
+        flat.append(-1)
+    numbers = np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, dtype=np.int32)
+    at = np.flatnonzero(numbers >= 0)
+    key = np.sort((numbers[at].astype(np.int64) << 32) | at)
+    lengths = np.bincount(numbers[at], minlength=len(number)).astype(np.int32)
+    return np.array(starts, dtype=np.int32), np.array(counts, dtype=np.int32), list(number), lengths, (key & 0xFFFFFFFF).astype(np.int32)
+
+
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the index of ``docs``: a row a shard, with its documents (ids, prints, counts of words, first positions) and
+    its lists (terms joined by spaces, lengths and positions as 4 little-endian bytes each).
+
+    ``print`` is a hash of the text: with the id it names a row, and rows that agree in both have the same words.
+    """
+    spark = docs.sparkSession
+    common.ship(spark)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    ids = rows.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, pa.Array]] = []
+        texts: list[str | None] = []
+        size = 0
+
+        def shard() -> pa.RecordBatch:
+            starts, counts, terms, lengths, positions = posting_lists(texts)
+            own = [pa.concat_arrays([x[i] for x in held]) for i in (0, 1)]
+            ends = pa.array([0, len(texts)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (*own, pa.array(counts), pa.array(starts))]
+            data = [pa.array([x], pa.binary()) for x in (b" ".join(terms), lengths.astype("<i4").tobytes(), positions.astype("<i4").tobytes())]
+            return pa.RecordBatch.from_arrays([*lists, *data], ["ids", "prints", "counts", "starts", "terms", "lengths", "positions"])
+
+        for batch in batches:
+            found = batch.column(2).to_pylist()
+            for a, b in common.slices([t or "" for t in found], SHARD_CHARS):
+                more = sum(len(t or "") for t in found[a:b])
+                if texts and size + more > SHARD_CHARS:
+                    yield shard()
+                    held, texts, size = [], [], 0
+                own = pa.array(range(a, b))  # taken, not sliced: a slice would keep the batch's texts in memory
+                held.append((batch.column(0).take(own), batch.column(1).take(own)))
+                texts += found[a:b]
+                size += more
+        if texts:
+            yield shard()
+
+    kind = ids.simpleString()
+    index = rows.mapInArrow(common.lean(run), f"ids array<{kind}>, prints array<bigint>, counts array<int>, starts array<int>, terms binary, lengths binary, positions binary")
+    return common.materialise(index, "postings")
+
+
+@dataclass
+class Windows:
+    """The windows of a block of items, equal ones once. ``terms`` numbers their words; ``matrix`` has a row of terms for
+    each window, filled up with its first; ``order`` the offsets in it from the rarest term on."""
+
+    terms: dict[bytes, int] = field(default_factory=dict)
+    items: list[list[str]] = field(default_factory=list)
+    sizes: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
+    matrix: np.ndarray = field(default_factory=lambda: np.empty((0, 0), dtype=np.int64))
+    order: np.ndarray = field(default_factory=lambda: np.empty((0, 0), dtype=np.int64))
+
+    @classmethod
+    def of(cls, items: list[tuple[str, str | None]], width: int) -> Windows:
+        out = cls()
+        owners: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
+            ids = [out.terms.setdefault(w, len(out.terms)) for w in words_of(text)]
             if ids:
                 for i in range(max(1, len(ids) - width + 1)):
-                    windows.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.windows = list(windows)
-        self.items = [sorted(x) for x in windows.values()]
-        widest = max(map(len, self.windows), default=0)
-        #: One row for each window, filled up with its first term.
-        self.matrix = np.array([list(w) + [w[0]] * (widest - len(w)) for w in self.windows], dtype=np.int64).reshape(len(self.windows), widest)
-
-
-class Shard:
-    """Positional postings of some documents. Positions run on over documents, with a gap between two."""
-
-    def __init__(self, texts: list[str | None], terms: dict[bytes, int]):
-        get, absent = terms.get, [-1]
-        ids: list[int] = []
-        self.starts = np.empty(len(texts) + 1, dtype=np.int64)
-        self.counts = np.empty(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            found = [get(w, -1) for w in words_of(text)]
-            self.starts[k], self.counts[k] = len(ids), len(found)
-            ids += found
-            ids += absent
-        self.starts[-1] = len(ids)
-        numbers = np.array(ids, dtype=np.int32)
-        at = np.flatnonzero(numbers >= 0)
-        numbers = numbers[at]
-        self.positions = at[np.argsort(numbers, kind="stable")]
-        self.lengths = np.bincount(numbers, minlength=len(terms))
-        self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.bounds[term] : self.bounds[term + 1]]
-
-    @staticmethod
-    def _held(wanted: np.ndarray, postings: np.ndarray) -> np.ndarray:
-        i = np.searchsorted(postings, wanted)
-        i[i == len(postings)] = 0
-        return postings[i] == wanted
-
-    def phrase(self, window: tuple[int, ...]) -> np.ndarray:
-        """Positions at which the window's words follow one another, by intersection from the rarest term."""
-        order = sorted(range(len(window)), key=lambda o: self.lengths[window[o]])
-        starts = self.postings(window[order[0]]) - order[0]
-        for o in order[1:]:
-            if not len(starts):
-                break
-            starts = starts[self._held(starts + o, self.postings(window[o]))]
-        return starts
-
-    def near(self, window: tuple[int, ...], reach: int) -> np.ndarray:
-        """Positions of the window's rarest term that have all its other terms within ``reach`` words, in the same document."""
-        order = sorted(set(window), key=lambda t: self.lengths[t])
-        at = self.postings(order[0])
-        doc = np.searchsorted(self.starts, at, side="right") - 1
-        first, last = np.maximum(at - reach, self.starts[doc]), np.minimum(at + reach, self.starts[doc] + self.counts[doc] - 1)
-        keep = np.ones(len(at), dtype=bool)
-        for t in order[1:]:
-            postings = self.postings(t)
-            keep &= np.searchsorted(postings, first) < np.searchsorted(postings, last, side="right")
-        return at[keep]
-
-    def possible(self, phrases: Phrases) -> np.ndarray:
-        """Windows all of whose terms occur here."""
-        return np.flatnonzero((self.lengths[phrases.matrix] > 0).all(axis=1)) if len(phrases.windows) else np.empty(0, dtype=np.int64)
+                    owners.setdefault(tuple(ids[i : i + width]), set()).add(item)
+        out.items = [sorted(x) for x in owners.values()]
+        out.sizes = np.array([len(w) for w in owners], dtype=np.int64)
+        widest = int(out.sizes.max(initial=0))
+        out.matrix = np.array([[*w, *[w[0]] * (widest - len(w))] for w in owners], dtype=np.int64).reshape(len(owners), widest)
+        return out
+
+    def rank(self, frequency: dict[int, int]) -> None:
+        """Set ``order`` from the terms' occurrences in the index; of equally rare terms the first in byte order counts."""
+        by = sorted(self.terms, key=lambda t: (frequency.get(self.terms[t], 0), t))
+        place = np.empty(len(by), dtype=np.int64)
+        place[[self.terms[t] for t in by]] = np.arange(len(by))
+        if len(self.matrix):
+            order = np.argsort(place[self.matrix], axis=1, kind="stable")
+            self.order = np.where(order < self.sizes[:, None], order, 0)  # what fills a row up is its first term
+
+
+class Lists:
+    """The posting lists of one shard for the terms of some windows, as sorted keys: term number, then position."""
+
+    def __init__(self, windows: Windows, starts: np.ndarray, counts: np.ndarray, terms: bytes, lengths: np.ndarray, positions: np.ndarray):
+        self.windows, self.starts, self.counts = windows, starts.astype(np.int64), counts.astype(np.int64)
+        get = windows.terms.get
+        number = np.array([get(t, -1) for t in terms.split()], dtype=np.int64)
+        held = np.flatnonzero(number >= 0)
+        by = held[np.argsort(number[held])]
+        first = np.cumsum(lengths, dtype=np.int64) - lengths
+        sizes = lengths[by].astype(np.int64)
+        taken = np.repeat(first[by] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        keys = (np.repeat(number[by], sizes) << 32) + positions[taken]
+        self.keys = np.append(keys, LAST)
+        self.bounds = np.searchsorted(keys, np.arange(len(windows.terms) + 1, dtype=np.int64) << 32)
+
+    def places(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, rank of each offset, position of the window's rarest term) for all windows whose terms occur here,
+        about PLACES at a time."""
+        w = self.windows
+        if not len(w.matrix):
+            return
+        sizes = np.diff(self.bounds)
+        possible = np.flatnonzero((sizes[w.matrix] > 0).all(axis=1))
+        rarest = w.matrix[possible, w.order[possible, 0]]
+        many = sizes[rarest]
+        group = np.cumsum(many) // PLACES
+        for g in np.unique(group):
+            own = group == g
+            n = many[own]
+            at = np.repeat(self.bounds[rarest[own]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield np.repeat(possible[own], n), np.repeat(w.order[possible[own]], n, axis=0), self.keys[at] & 0xFFFFFFFF
+
+    def phrases(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, start) where a window's words follow one another: offset-adjusted lists, intersected rarest first."""
+        for window, order, position in self.places():
+            start = position - order[:, 0]
+            for k in range(1, order.shape[1]):
+                key = (self.windows.matrix[window, order[:, k]] << 32) + start + order[:, k]
+                good = self.keys[np.searchsorted(self.keys, key)] == key
+                window, order, start = window[good], order[good], start[good]
+            yield window, start
+
+    def near(self, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, position of its rarest term) where all its other terms lie within ``reach`` words, in one document."""
+        for window, order, position in self.places():
+            doc = self.document(position)
+            low = np.maximum(position - reach, self.starts[doc])
+            high = np.minimum(position + reach, self.starts[doc] + self.counts[doc] - 1)
+            for k in range(1, order.shape[1]):
+                term = self.windows.matrix[window, order[:, k]] << 32
+                good = self.keys[np.searchsorted(self.keys, term + low)] <= term + high
+                window, order, position, low, high = window[good], order[good], position[good], low[good], high[good]
+            yield window, position
+
+    def document(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, position, side="right") - 1
+
+
+def _lists(batch: pa.RecordBatch, windows: Windows) -> Iterator[tuple[Lists, pa.Array, pa.Array]]:
+    """The shards of a batch of the index, with their documents' ids and prints."""
+    for i in range(batch.num_rows):
+        ids, prints, counts, starts = [batch.column(c)[i].values for c in range(4)]
+        terms, lengths, positions = [batch.column(c)[i].as_py() for c in (4, 5, 6)]
+        numbers = [np.frombuffer(x, dtype="<i4") for x in (lengths, positions)]
+        yield Lists(windows, starts.to_numpy(), counts.to_numpy(), terms, *numbers), ids, prints
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -112,84 +214,141 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
     total = items.agg(F.sum(F.octet_length("text") + 200)).first()[0] or 0
     n = -(-total // limit) or 1
     for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         yield [(r["item"] or "", r["text"]) for r in block.collect()]
 
 
-def _mark(shard: Shard, phrases: Phrases, n: int) -> tuple[list[np.ndarray | None], list[set[str]]]:
-    """For each of n documents its hit words (or None) and the items that have windows in it."""
-    delta = np.zeros(int(shard.starts[-1]) + 1, dtype=np.int32)
-    items: list[set[str]] = [set() for _ in range(n)]
-    for w in shard.possible(phrases):
-        window = phrases.windows[w]
-        starts = shard.phrase(window)
-        if len(starts):
-            delta[starts] += 1  # starts of one window differ
-            delta[starts + len(window)] -= 1
-            for d in np.unique(np.searchsorted(shard.starts, starts, side="right") - 1):
-                items[d].update(phrases.items[w])
-    hit = np.cumsum(delta) > 0
-    return [hit[shard.starts[d] : shard.starts[d] + shard.counts[d]] if items[d] else None for d in range(n)], items
+def frequencies(index: DataFrame, terms: dict[bytes, int]) -> dict[int, int]:
+    """Occurrences in the whole index of each of ``terms``, by number: as many rows as terms, which a block bounds."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), dtype=np.int64)
+        get = shared.value.get
+        for batch in batches:
+            for joined, lengths in zip(batch.column(0), batch.column(1)):
+                number = np.array([get(t, -1) for t in joined.as_py().split()], dtype=np.int64)
+                own = np.flatnonzero(number >= 0)
+                total[number[own]] += np.frombuffer(lengths.as_py(), dtype="<i4")[own]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows and columns of ``docs`` with a struct ``_hits``: n_words, n_hit, hit (bitmap of hit words) and items.
+    counted = index.select("terms", "lengths").mapInArrow(common.lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = {r["term"]: r["n"] for r in counted.collect()}
+    shared.destroy()
+    return found
 
-    Words: runs of non-ASCII characters, ASCII letters (lower-cased) and digits. A window is ``width`` consecutive
-    words of an item; an item with fewer words is one window, one without words (null, empty) none. A document word
-    inside any occurrence of a window is hit; windows do not cross documents. Repeated rows, items and ids stay rows
-    of their own; equal windows of several items count for each. A null item id counts as an empty one. Empty tables
-    give no rows or no hits. The benchmark is read in blocks of bounded size, each one pass over the documents; the
-    marks of the passes are united.
-    """
-    spark = docs.sparkSession
-    common.ship(spark)
-    out = docs.drop("_hits")
-    schema = T.StructType([*out.schema.fields, T.StructField("_hits", HITS)])
-    at = out.columns.index(text_col)
-    arrow = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
-    first = True
+
+def _search(index: DataFrame, benchmark: DataFrame, answer, schema: str, width: int, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
+    """What ``answer(lists, ids, prints)`` gives for each shard and block of the benchmark; each block is written."""
+    spark, out = index.sparkSession, None
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(Phrases(items, width))
+        windows = Windows.of(items, width)
+        windows.rank(frequencies(index, windows.terms) if windows.terms else {})
+        shared = spark.sparkContext.broadcast(windows)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(at).to_pylist()
-                marks: list[dict] = []
-                for a, b in common.slices([t or "" for t in texts]):
-                    shard = Shard(texts[a:b], phrases.terms)
-                    hits, found = _mark(shard, phrases, b - a)
-                    for n, hit, names in zip(shard.counts.tolist(), hits, found):
-                        marks.append({"n_words": n, "n_hit": 0 if hit is None else int(hit.sum()), "hit": None if hit is None else np.packbits(hit).tobytes(), "items": sorted(names)})
-                columns, names = list(batch.columns), list(batch.schema.names)
-                if not first:
-                    marks = [_united(x, y) for x, y in zip(columns.pop().to_pylist(), marks)]
-                    names.pop()
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(marks, arrow)], [*names, "_hits"])
-
-        out = out.mapInArrow(run, schema)
-        first = False
+                for shard in _lists(batch, shared.value):
+                    yield from answer(*shard)
+
+        found = common.materialise(index.mapInArrow(common.lean(run), schema), "hits")
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def _united(x: dict, y: dict) -> dict:
-    if x["hit"] is None or y["hit"] is None:
-        return y | {k: (x if y["hit"] is None else y)[k] for k in ("hit", "n_hit")} | {"items": sorted({*x["items"], *y["items"]})}
-    both = np.frombuffer(x["hit"], np.uint8) | np.frombuffer(y["hit"], np.uint8)
-    return {"n_words": x["n_words"], "n_hit": int(np.unpackbits(both).sum()), "hit": both.tobytes(), "items": sorted({*x["items"], *y["items"]})}
+def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of ranges, which are sorted by start; ranges that only touch stay apart at a gap between documents."""
+    reach = np.maximum.accumulate(stop)
+    first = np.append(True, start[1:] > reach[:-1]) if len(start) else np.empty(0, dtype=bool)
+    at = np.flatnonzero(first)
+    return start[at], reach[np.append(at[1:], len(start)) - 1] if len(at) else reach
 
 
-def report(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The digest of ``decontaminate``: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = F.col("_hits")
-    return marked.select(
+def hits(index: DataFrame, benchmark: DataFrame, width: int = 10, reach: int = REACH, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, print, spans, items, near_items) of the documents of ``index`` with any match.
+
+    spans are runs of hit words (start, stop), items those with a window in the document, near_items those with a window
+    whose terms all lie within ``reach`` words of an occurrence of its rarest term.
+    """
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+
+    def answer(lists: Lists, ids: pa.Array, prints: pa.Array) -> Iterator[pa.RecordBatch]:
+        sizes, names = lists.windows.sizes, lists.windows.items
+        of: dict[int, tuple[set[str], set[str]]] = {}
+        starts, stops = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for k, matches in enumerate((lists.phrases(), lists.near(reach))):
+            for window, position in matches:
+                pairs = np.unique((lists.document(position) << 32) | window)
+                for d, w in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
+                    of.setdefault(d, (set(), set()))[k].update(names[w])
+                if not k:
+                    starts.append(position)
+                    stops.append(position + sizes[window])
+        if not of:
+            return
+        start, stop = np.concatenate(starts), np.concatenate(stops)
+        by = np.argsort(start)
+        start, stop = _merged(start[by], stop[by])
+        doc = lists.document(start)
+        rows = sorted(of)
+        spans = [[{"start": int(a), "stop": int(b)} for a, b in zip(start[i:j] - lists.starts[d], stop[i:j] - lists.starts[d])] for d, i, j in zip(rows, np.searchsorted(doc, rows), np.searchsorted(doc, rows, side="right"))]
+        texts = pa.list_(pa.string())
+        columns = [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), *[pa.array([sorted(of[d][k]) for d in rows], texts) for k in (0, 1)]]
+        taken = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([ids.take(taken), prints.take(taken), *columns], ["id", "print", "spans", "items", "near_items"])
+
+    schema = f"id {kind}, print long, spans array<struct<start:bigint,stop:bigint>>, items array<string>, near_items array<string>"
+    found = _search(index, benchmark, answer, schema, width, item_col, item_text_col, block_bytes)
+    united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "items", "near_items")]
+    return common.materialise(found.groupBy("id", "print").agg(*united), "hits")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each of ``docs``: id, n_words, n_hit (hit words), spans (of hit words), items, near_items, contaminated.
+
+    Words: runs of non-ASCII characters, ASCII letters (lower-cased) and digits. A window is ``width`` consecutive
+    words of an item; an item with fewer words is one window, one without words (null, empty) none. A document word
+    inside any occurrence of a window is hit; windows do not cross documents. Repeated rows, items and ids stay rows
+    of their own; equal windows of several items count for each. A null item id counts as an empty one. Empty tables
+    give no rows or no hits. Other columns are not read, whatever they are called.
+    """
+    index = build(docs, id_col, text_col)
+    found = hits(index, benchmark, width, reach, item_col, item_text_col, block_bytes)
+    each = index.select(F.explode(F.arrays_zip("ids", "prints", "counts")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.prints").alias("print"), F.col("d.counts").cast("long").alias("n_words"))
+    met = found.select(F.col("id").alias("_id"), F.col("print").alias("_print"), "spans", "items", "near_items")
+    joined = each.join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), "left")
+    none = F.array().cast("array<string>")
+    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last"))
+
+    def add(s, x):
+        return F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], s["last"]))).alias("n"), F.greatest(s["last"], x["stop"]).alias("last"))
+
+    n_hit = F.coalesce(F.aggregate(F.array_sort("spans"), state, add)["n"], F.lit(0))
+    out = joined.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.array_sort("spans").alias("spans"), *[F.array_sort(F.coalesce(c, none)).alias(c) for c in ("items", "near_items")])
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, all columns, without those that hold a window of the benchmark (see ``decontaminate``)."""
+    found = hits(build(docs, id_col, text_col), benchmark, **options)
+    p = common.free_prefix(docs)
+    gone = found.filter(F.size("items") > 0).select(F.col("id").alias(f"{p}id"), F.col("print").alias(f"{p}print"))
+    met = F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}of") == F.col(f"{p}print"))
+    return docs.withColumn(f"{p}of", F.xxhash64(text_col)).join(gone, met, "left_anti").select(*docs.columns)
+
+
+def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The digest of ``decontaminate``: id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items."""
+    return found.select(
         id_col,
-        hits["n_words"].alias("n_words"),
-        hits["n_hit"].alias("n_hit"),
-        F.size(hits["items"]).cast("long").alias("n_items"),
-        F.sha2(F.array_join(hits["items"], ",").cast("binary"), 256).alias("items_sha256"),
-        (hits["n_hit"] > 0).alias("contaminated"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -199,33 +358,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach: int |
     kind is "phrase" for exact windows. With ``reach``, also "near": places of a window's rarest term that have its
     other terms within ``reach`` words on either side, in any order.
     """
-    spark = docs.sparkSession
-    common.ship(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = None
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(Phrases(items, width))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in common.slices([t or "" for t in texts]):
-                    shard = Shard(texts[a:b], phrases.terms)
-                    for w in shard.possible(phrases):
-                        kinds = [("phrase", shard.phrase(phrases.windows[w]))]
-                        if reach is not None:
-                            kinds.append(("near", shard.near(phrases.windows[w], reach)))
-                        for name, found in kinds:
-                            if len(found):
-                                doc = np.searchsorted(shard.starts, found, side="right") - 1
-                                for item in phrases.items[w]:
-                                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array([item] * len(found)), pa.array(found - shard.starts[doc]), pa.array([name] * len(found))], ["id", "item", "start", "kind"])
-
-        found = rows.mapInArrow(run, f"id {kind}, item string, start long, kind string")
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("id", id_col)
+    index = build(docs, id_col, text_col)
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+
+    def answer(lists: Lists, ids: pa.Array, prints: pa.Array) -> Iterator[pa.RecordBatch]:
+        names = lists.windows.items
+        for name, found in (("phrase", lists.phrases()), ("near", lists.near(reach) if reach is not None else ())):
+            for window, position in found:
+                doc = lists.document(position)
+                many = [len(names[w]) for w in window.tolist()]
+                own = np.repeat(np.arange(len(window)), many)
+                item = [i for w in window.tolist() for i in names[w]]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[own])), pa.array(item, pa.string()), pa.array((position - lists.starts[doc])[own]), pa.array([name] * len(item), pa.string())], ["id", "item", "start", "kind"])
+
+    found = _search(index, benchmark, answer, f"id {kind}, item string, start long, kind string", width, item_col, item_text_col, block_bytes)
+    return found.withColumnRenamed("id", id_col)
 
 
 def digest(items: list[str]) -> str:

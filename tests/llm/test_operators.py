@@ -294,7 +294,7 @@ def test_chat_folds_events(spark):
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 
-def near_by_force(texts, percent=85):
+def classes_by_force(texts, percent=85):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
@@ -321,7 +321,7 @@ def test_near_duplicates(spark):
     for _ in range(40):  # a passage in common
         texts.append(prose(RNG.randint(3, 25)) + " " + other)
     got = {r.doc_id: r for r in near_duplicates.near_duplicates(frame(spark, texts)).collect()}
-    want = near_by_force(texts)
+    want = classes_by_force(texts)
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == want
     assert all(got[i].kept == (want[i][1] == i) for i in got)
     assert near_duplicates.near_duplicates(frame(spark, [])).count() == 0
@@ -392,6 +392,13 @@ def test_warc(spark, tmp_path):
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
+def near_by_force(window, words, often):
+    """Whether all terms of a window lie within 20 words of one of its rarest term in the text."""
+    rarest = min(set(window), key=lambda t: (often[t], t.encode()))
+    places = [k for k, x in enumerate(words) if x == rarest]
+    return any(set(window) <= set(words[max(0, k - 20) : k + 21]) for k in places)
+
+
 def test_decontamination(spark):
     items = [(i, prose(RNG.choice([2, 9, 10, 14, 30]))) for i in range(12)] + [(20, None), (21, "..."), (5, prose(12))]
     texts = list(EDGES)
@@ -406,9 +413,11 @@ def test_decontamination(spark):
         w = pattern.findall(low(t or ""))
         for k in range(max(1, len(w) - 9) if w else 0):
             windows[tuple(w[k : k + 10])].add(str(i))
-    docs = frame(spark, texts)
+    docs = frame(spark, texts).withColumn("_hits", F.lit(1)).withColumn("_own_id", F.lit(2)).withColumn("_id", F.lit(3))
+    often = collections.Counter(x for t in texts for x in pattern.findall(low(t or "")))
     for block in (16_000_000, 600):
         got = {r.doc_id: r for r in phrase_index.report(phrase_index.decontaminate(docs, bench, block_bytes=block)).collect()}
+        left = {r.doc_id for r in phrase_index.clean(docs, bench, block_bytes=block).collect()}
         for d, t in enumerate(texts):
             w, hit, found = pattern.findall(low(t or "")), set(), set()
             for size in {len(x) for x in windows}:
@@ -417,7 +426,18 @@ def test_decontamination(spark):
                         hit |= set(range(k, k + size))
                         found |= x
             assert (got[d].n_words, got[d].n_hit, got[d].n_items, got[d].items_sha256, got[d].contaminated) == (len(w), len(hit), len(found), phrase_index.digest(list(found)), bool(hit))
-    kinds = {r.kind for r in phrase_index.matches(docs, bench, reach=12).select("kind").distinct().collect()}
-    assert kinds == {"phrase", "near"}
+            assert got[d].n_near_items == len({x for v, own in windows.items() if near_by_force(v, w, often) for x in own}), (d, t)
+            assert (d in left) == (not hit)
+    found = collections.defaultdict(set)
+    for r in phrase_index.matches(docs, bench, reach=12).collect():
+        found[r.kind].add((r.doc_id, r.item, r.start))
+    want = set()
+    for d, t in enumerate(texts):
+        w = pattern.findall(low(t or ""))
+        for x, own in windows.items():
+            want |= {(d, i, k) for k in range(len(w) - len(x) + 1) if tuple(w[k : k + len(x)]) == x for i in own}
+    assert found["phrase"] == want and found["near"]
+    twice = docs.unionAll(docs)
+    assert [tuple(r) for r in phrase_index.report(phrase_index.decontaminate(twice, bench)).orderBy("doc_id").collect()] == [tuple(got[d // 2]) for d in range(2 * len(texts))]
     assert phrase_index.report(phrase_index.decontaminate(docs, bench.limit(0))).filter("contaminated").count() == 0
     assert phrase_index.decontaminate(docs.limit(0), bench).count() == 0
