@@ -36,8 +36,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = phrase_index.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    return marked.filter("_hits.n_hit = 0").select(*docs.columns)
+    return phrase_index.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
