@@ -4,7 +4,8 @@ Each string of ``length`` bytes has an anchor: of the GRAM-byte strings inside i
 depends on the string's content alone. So equal strings have equal anchors at equal places, and only suffixes at equal
 anchors need sorting. Consecutive strings of a document with the same anchor form a block. Where all blocks of an
 anchor are equal, all their strings repeat. Else the different blocks of the anchor (one copy of each) are compared by
-two suffix sorts, of what follows the anchor and, backward, of what precedes it.
+two suffix sorts, of what follows the anchor and, backward, of what precedes it. An anchor of very many different
+blocks is split by more of their content until each part is small.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ U = np.uint64
 GRAM = 64
 #: Bytes that are hashed at once; longer texts are cut, with an overlap.
 PIECE = 500_000
-#: An anchor with more different blocks is not sorted in one task: its strings are counted by hash instead.
-GROUP_BLOCKS = 20_000
+#: Blocks that are sorted as one group; the group of an anchor with more different blocks is split by content first.
+GROUP_BLOCKS = 4_000
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -143,6 +144,67 @@ def _flat(column) -> pa.Array:
     return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
+def halves(block: bytes, place: int, low: int, high: int, length: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """A block's strings that start ``low`` to ``high`` bytes before the anchor, in two ranges: (low, high, place, core,
+    bytes) of each that it has strings of.
+
+    The core is what all strings of the range cover, from ``low`` bytes before the anchor on. Equal strings of a range
+    have equal cores.
+    """
+    before, many = (place >> 8) & 255, (place & 255) + 1
+    middle = (low + high) // 2
+    for x, y in ((low, middle), (middle + 1, high)):
+        last, first = max(x, before - many + 1), min(y, before)
+        if last <= first:
+            part = block[before - first : before - last + length]
+            core = block[before - x : before - y + length]
+            yield x, y, (place >> 16 << 16) | (first << 8) | (first - last), core, part
+
+
+def split_groups(rest: DataFrame, length: int, group_blocks: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(groups for sorting, spans already found) of ``rest``: groups (h) of over ``group_blocks`` different blocks.
+
+    A group is split by the content of cores, range by range, until its parts are small. Parts of blocks that are
+    equal byte by byte become one on the way, by a grouping that is partial before the shuffle; so what very many
+    documents share ends as one row. Ranges of one string end the splitting: then all blocks of a group are equal.
+    """
+    ready, spans = [], []
+    kinds = dict(rest.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, out = [], []
+            for i, (h, place, low, high, block) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("h", "place", "low", "high", "block")])):
+                for x, y, own, core, part in halves(block, place, low, high, length):
+                    name = hashlib.blake2b(core, digest_size=8, key=b"%d %d %d" % (h, x, y)).digest()
+                    owner.append(i)
+                    out.append((int.from_bytes(name, "big", signed=True), own, x, y, part))
+            taken = [batch.column(c).take(pa.array(owner, pa.int64())) for c in ("id", "print", "n")]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if out else [pa.array([], k) for k in (*[pa.int64()] * 4, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*taken, *columns], ["id", "print", "n", "h", "place", "low", "high", "block"])
+
+    while not rest.isEmpty():
+        schema = f"id {kinds['id']}, print long, n long, h long, place long, low long, high long, block binary"
+        parts = common.materialise(rest.select("id", "print", "n", "h", "place", "low", "high", "block").mapInArrow(common.lean(run), schema), "parts")
+        classes = parts.groupBy("h", "low", "high", "block").agg(F.count("*").alias("c"), F.min(F.struct("id", "print", "place", "n")).alias("r"))
+        classes = common.materialise(classes, "classes")
+        again = classes.filter("c > 1").select("h", "block")
+        spans.append(parts.filter("n = 1").join(again, ["h", "block"]).select("id", "print", *_span(length)))
+        one = classes.select("h", "low", "high", "block", "r.id", "r.print", "r.place", F.when(F.col("c") > 1, F.lit(2)).otherwise(F.col("r.n")).cast("long").alias("n"))
+        sizes = one.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("least = 1 AND kinds > 1").drop("least")
+        one = common.materialise(one.join(common.materialise(sizes, "groups"), "h"), "contexts")
+        large = (F.col("kinds") > group_blocks) & (F.col("low") < F.col("high"))
+        ready.append(one.filter(~large).select("id", "print", "h", "n", "place", "block"))
+        rest = one.filter(large)
+    return ready, spans
+
+
+def _span(length: int) -> list:
+    """The bytes that a block's strings cover."""
+    first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255))
+    return [first.alias("start"), (first + F.col("place").bitwiseAND(F.lit(255)) + length).alias("stop")]
+
+
 def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """(id, print, start, stop): byte ranges covered by strings of ``length`` bytes that start elsewhere too.
 
@@ -154,7 +216,7 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     if not GRAM < length <= GRAM + 255:
         raise ValueError(f"length must be over {GRAM} and at most {GRAM + 255}")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("print"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +226,7 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
                     own = pa.array(number)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(h), pa.array(whole), pa.array(place)], ["id", "print", "h", "whole", "place"])
 
-    blocks = common.materialise(rows.filter(F.octet_length("text") >= length).mapInArrow(anchors, f"id {kind}, print int, h long, whole long, place long"), "blocks")
+    blocks = common.materialise(rows.filter(F.octet_length("text") >= length).mapInArrow(common.lean(anchors), f"id {kind}, print long, h long, whole long, place long"), "blocks")
     # Anchors that occur twice or more; "one": all their blocks are equal.
     known = blocks.groupBy("h").agg(F.count("*").alias("n"), F.min("whole").alias("x"), F.max("whole").alias("y")).filter("n > 1")
     known = common.materialise(known.select("h", (F.col("x") == F.col("y")).alias("one")), "anchors")
@@ -176,8 +238,7 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     kinds = common.materialise(kinds.select("h", "whole", "n", "c.*"), "kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("least = 1")
     groups = common.materialise(groups, "groups")
-    first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255))
-    span = [first.alias("start"), (first + F.col("place").bitwiseAND(F.lit(255)) + length).alias("stop")]
+    span = _span(length)
     parts = [shared.filter("one").select("id", "print", *span)]
     many = kinds.filter("n > 1").select("h", "whole")
     parts.append(mixed.join(many, ["h", "whole"]).select("id", "print", *span))
@@ -200,9 +261,9 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
                 taken = [part.column(i).take(pa.array(owner)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*taken, *columns], ["id", "print", "h", "n", "place", "kinds", "block"])
 
-    contexts = texts.select("id", "print", "text", "asked").mapInArrow(cut, f"id {kind}, print int, h long, n long, place long, kinds long, block binary")
+    contexts = texts.select("id", "print", "text", "asked").mapInArrow(common.lean(cut), f"id {kind}, print long, h long, n long, place long, kinds long, block binary")
     # Rows that agree in id and print give the same blocks; one of each is enough.
-    contexts = common.materialise(contexts, "contexts")
+    contexts = common.materialise(contexts.dropDuplicates(["h", "id", "print", "place"]), "contexts")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole groups are sorted together; a group that goes on in the next batch waits for it."""
@@ -218,27 +279,13 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
         if held is not None and held.num_rows:
             yield _spans(held.combine_chunks(), length)
 
-    spans = f"id {kind}, print int, start long, stop long"
-    small = contexts.filter(F.col("kinds") <= group_blocks).dropDuplicates(["h", "id", "print", "place"]).select("id", "print", "h", "n", "place", "block")
-    parts.append(small.repartition("h").sortWithinPartitions("h").mapInArrow(sort, spans))
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
-            for i, (h, n, place, block) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("h", "n", "place", "block")])):
-                start = (place >> 16) - ((place >> 8) & 255)
-                for k in range((place & 255) + 1):
-                    d = hashlib.blake2b(block[k : k + length], digest_size=16, key=((place >> 8 & 255) - k).to_bytes(8, "big", signed=True)).digest()
-                    for column, x in zip(columns, (i, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), start + k, h, n)):
-                        column.append(x)
-            owner = pa.array(columns[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), batch.column("print").take(owner), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["id", "print", "k1", "k2", "start", "h", "n"])
-
-    hot = contexts.filter(F.col("kinds") > group_blocks)
-    if not hot.isEmpty():
-        keyed = common.materialise(hot.dropDuplicates(["h", "id", "print", "place"]).mapInArrow(strings, f"id {kind}, print int, k1 long, k2 long, start long, h long, n long"), "strings")
-        again = common.materialise(keyed.groupBy("h", "k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "again")
-        parts.append(keyed.filter("n = 1").join(again, ["h", "k1", "k2"]).select("id", "print", "start", (F.col("start") + length).alias("stop")))
+    spans = f"id {kind}, print long, start long, stop long"
+    large = F.col("kinds") > group_blocks
+    ready, found = split_groups(contexts.filter(large).withColumns({"low": F.lit(0).cast("long"), "high": F.lit(length - GRAM).cast("long")}), length, group_blocks)
+    every = contexts.filter(~large).select("id", "print", "h", "n", "place", "block")
+    for r in ready:
+        every = every.unionByName(r)
+    parts += [every.repartition("h").sortWithinPartitions("h").mapInArrow(common.lean(sort), spans), *found]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -255,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     ranges = repeats(docs, length, id_col, text_col, group_blocks)
     packed = F.collect_list((F.shiftleft(F.col("start"), 16) + (F.col("stop") - F.col("start"))))
     ranges = ranges.distinct().groupBy("id", "print").agg(packed.alias("ranges")).withColumnsRenamed({"id": "_id", "print": "_print"})
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("print"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     joined = rows.join(ranges, F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), "left").select("id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    result = joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    result = joined.mapInArrow(common.lean(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary")
     return result.withColumnRenamed("id", id_col)
 
 

@@ -55,7 +55,7 @@ def removed_by_force(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group_blocks", [20_000, 1])
+@pytest.mark.parametrize("group_blocks", [20_000, 5, 1])
 def test_repeats(spark, group_blocks):
     passages = [prose(60) for _ in range(3)]
     base = prose(200).split(" ")
