@@ -25,8 +25,8 @@ from sparkscope.llm import common
 
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark takes several passes over the index.
 BLOCK_BYTES = 16_000_000
-#: Characters of the documents of a shard, about (one document at least).
-SHARD_CHARS = 3_000_000
+#: Characters of the documents of a shard, about (one document at least): its row stays under half a MB.
+SHARD_CHARS = 400_000
 #: Possible places that are looked at together.
 PLACES = 500_000
 #: Words on either side of a window's rarest term in which proximity matches have the window's other terms.
