@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
         if counts:
             yield _packed(counts)
 
-    counted = rows.select("text", *HEADS).mapInArrow(count, "feature string, toxic int, low_quality int, n long")
+    counted = rows.select("text", *HEADS).mapInArrow(common.lean(count), "feature string, toxic int, low_quality int, n long")
     sums = counted.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col(h) == 1, F.col("n")).otherwise(0)).alias(h) for h in HEADS])
     sums = common.materialise(sums.filter("n >= 5"), "quality-features")
     total = sums.filter("feature = ''").first()
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     # sample_rows rows at most (ids that documents repeat aside, which count once), 2 * n_features numbers each.
-    seen = rows.mapInArrow(indices, f"doc_id {kind}, toxic int, low_quality int, found array<smallint>").orderBy(F.xxhash64("doc_id"), "doc_id", "found").limit(sample_rows).collect()
+    seen = rows.mapInArrow(common.lean(indices), f"doc_id {kind}, toxic int, low_quality int, found array<smallint>").orderBy(F.xxhash64("doc_id"), "doc_id", "found").limit(sample_rows).collect()
     x = np.zeros((len(seen), len(chosen)), dtype=np.float32)
     for i, r in enumerate(seen):
         x[i, r["found"]] = 1.0
@@ -166,8 +166,11 @@ def _packed(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["feature", *HEADS, "n"])
 
 
-def with_evidence(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``_evidence``, an array of log likelihood ratios in the order of ``HEADS``."""
+def with_evidence(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, own: str = "_") -> DataFrame:
+    """``docs`` with ``_evidence``, an array of log likelihood ratios in the order of ``HEADS``.
+
+    ``own`` is the prefix of columns of our own, here and below.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -178,9 +181,9 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str = "text", keep_te
         for batch in batches:
             found = [shared.value.evidence(features(t.as_py())) for t in batch.column(at)]
             columns = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if keep_text or n != text_col]
-            yield pa.RecordBatch.from_arrays([*[c for _, c in columns], pa.array(found, pa.list_(pa.float64()))], [*[n for n, _ in columns], "_evidence"])
+            yield pa.RecordBatch.from_arrays([*[c for _, c in columns], pa.array(found, pa.list_(pa.float64()))], [*[n for n, _ in columns], f"{own}evidence"])
 
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("_evidence", T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(common.lean(run), T.StructType([*fields, T.StructField(f"{own}evidence", T.ArrayType(T.DoubleType()))]))
 
 
 def _logit(p: Column) -> Column:
@@ -191,15 +194,15 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def site_rates(scored: DataFrame, model: Model, strength: float = 50.0) -> DataFrame:
+def site_rates(scored: DataFrame, model: Model, strength: float = 50.0, own: str = "_") -> DataFrame:
     """(_host, _path, _rates, _host_docs, _path_docs): posterior rates by head, for each path.
 
     A rate is (bad + strength * parent's rate) / (documents + strength), where a document's share of bad is its own
     posterior under the global prior. Sums are partial before the shuffle, so a hot host costs a row a task.
     """
     prior = [math.log(p / (1 - p)) for p in (min(max(model.priors[h], 1e-4), 1 - 1e-4) for h in HEADS)]
-    bad = [_sigmoid(F.col("_evidence")[i] + prior[i]) for i in range(len(HEADS))]
-    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("_path_docs"), *[F.sum(b).alias(f"_bad{i}") for i, b in enumerate(bad)])
+    bad = [_sigmoid(F.col(f"{own}evidence")[i] + prior[i]) for i in range(len(HEADS))]
+    paths = scored.groupBy(F.col(f"{own}host").alias("_host"), F.col(f"{own}path").alias("_path")).agg(F.count("*").alias("_path_docs"), *[F.sum(b).alias(f"_bad{i}") for i, b in enumerate(bad)])
     paths = common.materialise(paths, "quality-paths")
     names = [f"_bad{i}" for i in range(len(HEADS))]
     hosts = paths.groupBy("_host").agg(F.sum("_path_docs").alias("_host_docs"), *[F.sum(n).alias(f"_host{n}") for n in names])
@@ -216,19 +219,22 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
     toxic and low_quality are posterior probabilities; kept means that neither reaches ``threshold``. host and path
     are expressions over ``docs``, by default the source, and the source with the language. Null and empty texts
-    have the evidence of an empty text; null hosts are one site. Repeated rows are scored alike.
+    have the evidence of an empty text; null hosts are one site. Repeated rows are scored alike; an empty table gives
+    none. A column that is already called ``_quality`` is replaced; all others keep their values, whatever their names.
     """
     model = model or fit(docs, labels, id_col=id_col, text_col=text_col)
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", "source", "lang") if path is None else path
-    sited = docs.withColumns({"_host": host, "_path": path})
-    rates = site_rates(with_evidence(sited.select("_host", "_path", text_col), model, text_col, keep_text=False), model, strength)
-    scored = with_evidence(sited, model, text_col, keep_text)
+    own = common.free_prefix(docs)
+    sited = docs.withColumns({f"{own}host": host, f"{own}path": path})
+    rates = site_rates(with_evidence(sited.select(f"{own}host", f"{own}path", text_col), model, text_col, keep_text=False, own=own), model, strength, own)
+    scored = with_evidence(sited, model, text_col, keep_text, own)
     # The table of paths is a written one: Spark broadcasts it only if its size is under the session's bound.
-    rates = rates.withColumnsRenamed({"_host": "_rh", "_path": "_rp"})
-    joined = scored.join(rates, F.col("_host").eqNullSafe(F.col("_rh")) & F.col("_path").eqNullSafe(F.col("_rp")), "left")
-    odds = [_sigmoid(F.col("_evidence")[i] + _logit(F.col("_rates")[i])) for i in range(len(HEADS))]
+    rates = rates.select(F.struct("*").alias(f"{own}site"))
+    mine = {n: F.col(f"{own}site.{n}") for n in ("_host", "_path", "_rates", "_host_docs", "_path_docs")}
+    joined = scored.join(rates, F.col(f"{own}host").eqNullSafe(mine["_host"]) & F.col(f"{own}path").eqNullSafe(mine["_path"]), "left")
+    odds = [_sigmoid(F.col(f"{own}evidence")[i] + _logit(mine["_rates"][i])) for i in range(len(HEADS))]
     kept = (odds[0] < threshold) & (odds[1] < threshold)
-    quality = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_host_docs").alias("host_docs"), F.col("_path_docs").alias("path_docs"), odds[0].alias("toxic"), odds[1].alias("low_quality"), kept.alias("kept"))
-    columns = [c for c in docs.columns if keep_text or c != text_col]
+    quality = F.struct(F.col(f"{own}host").alias("host"), F.col(f"{own}path").alias("path"), mine["_host_docs"].alias("host_docs"), mine["_path_docs"].alias("path_docs"), odds[0].alias("toxic"), odds[1].alias("low_quality"), kept.alias("kept"))
+    columns = [c for c in docs.columns if c != "_quality" and (keep_text or c != text_col)]
     return joined.select(*columns, quality.alias("_quality"))

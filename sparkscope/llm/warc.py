@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer and its reader.
 
-Shards are ranges of the record id whose bounds follow from the data alone. Each task sorts its shards, rolls files by
+Shards are ranges of the record id of about equal bytes, whose bounds follow from the data alone. Each task sorts its shards, rolls files by
 compressed size, writes them under temporary names and renames them; names and bytes depend on the input only, so a
 repeated task renames the same file again. A manifest, written last, names the files that count.
 """
@@ -14,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -22,11 +23,14 @@ from pyspark.sql import functions as F
 
 from sparkscope.llm import common
 
-#: Slices of the id range that are weighed to find shard bounds. This many sums reach the driver at most.
-BINS = 4096
+#: Shards have a share of 1 / MOST_SHARDS of all bytes at least. Bits of ids by which they are weighed first, and further
+#: bits of what is heavy: 4096 sums reach the driver at first, and 16 for each heavy bin, which are fewer than shards.
+MOST_SHARDS, FIRST_BITS, MORE_BITS = 4096, 12, 4
 MANIFEST = "name string, shard long, records long, bytes long, sha256 string"
 #: Records carry one fixed date, so that the same input gives the same bytes.
 DATE = "1970-01-01T00:00:00Z"
+#: What a record takes besides its payload, about.
+HEAD_BYTES = 500
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -39,16 +43,26 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record_id(page: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(f'{page}\n{url}\n{digest}'.encode()).digest()[:16], version=5)}>"
+
+
+def info(name: str) -> bytes:
+    """The warcinfo record at the head of a file."""
+    body = b"software: sparkscope\r\nformat: WARC File Format 1.1\r\n"
+    heads = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, name, digest_of(body))}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"WARC-Block-Digest: sha1:{digest_of(body)}", f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(heads).encode() + body + b"\r\n\r\n"
+
+
+def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """One WARC 1.1 record. A revisit carries no payload; its digest and length are those of the full payload."""
     digest = digest_of(payload)
     kind = "response" if refers_to is None else "revisit"
     body = payload if refers_to is None else b""
-    key = hashlib.sha1(f"{page}\n{url}\n{digest}".encode()).digest()[:16]
     heads = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.UUID(bytes=key, version=5)}>",
+        f"WARC-Record-ID: {record_id(page, url, digest)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_header(url or '')}",
         "Content-Type: text/html; charset=utf-8",
@@ -58,7 +72,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
         f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        heads += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
+        heads += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"WARC-Refers-To-Target-URI: {_header(refers_url or '')}", f"X-Refers-To-Page-Id: {refers_to}"]
     heads += [f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(heads).encode() + body + b"\r\n\r\n"
 
@@ -73,36 +87,52 @@ def _member(data: bytes, level: int) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def plan_shards(pages: DataFrame, shard_bytes: int, least: int) -> tuple[int, int, list[int]]:
-    """(lowest id, width of a bin, shard of each bin): consecutive bins with about equal bytes."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> list[int]:
+    """The lowest page_id of every shard but the first, so that shards are ranges of ids with about equal bytes.
+
+    ``sizes``: (page_id, bytes). Ids are weighed by their leading bits; what is heavier than a shard is weighed again by
+    more bits, down to single ids. The bounds follow from the data alone, wherever the ids lie in the range of a long.
+    """
+    spark = sizes.sparkSession
+    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
     if low is None:
-        return 0, 1, [0]
-    width = (high - low) // BINS + 1
-    bins = pages.groupBy(F.floor((F.col("page_id") - low) / width).cast("long").alias("bin")).agg(F.sum(common.utf8_length(F.col("html")) + 500).alias("bytes"))
-    weight = [0] * BINS
-    for r in bins.filter("bin IS NOT NULL").collect():
-        weight[r["bin"]] = r["bytes"]
-    goal = max(1, min(shard_bytes, -(-sum(weight) // least)))
-    out, shard, filled = [], 0, 0
-    for w in weight:
-        if filled and filled + w / 2 > goal:
-            shard, filled = shard + 1, 0
-        out.append(shard)
-        filled += w
-    return low, width, out
-
-
-def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, _key, refers_to) of the pages that revisit another: of equal payloads of ``least`` bytes or more, all
-    but that with the largest page_id.
-
-    Groups are found by SHA-1, pre-aggregated before they are shuffled; payloads do not move.
+        return []
+    goal = max(1, min(shard_bytes, -(-total // least)), -(-total // MOST_SHARDS))
+    shift = max(0, ((low + 2**63) ^ (high + 2**63)).bit_length() - FIRST_BITS)
+    known = sizes.filter("page_id IS NOT NULL")
+
+    def weigh(rows: DataFrame) -> dict[int, int]:
+        return {r["bin"] << shift: r["bytes"] for r in rows.groupBy(F.shiftright("page_id", shift).alias("bin")).agg(F.sum("bytes").alias("bytes")).collect()}
+
+    weight = weigh(known)
+    # No more bins than shards are over a shard's bytes, and each comes apart into 2 ** MORE_BITS.
+    while shift and (heavy := [k for k, w in weight.items() if w > goal]):
+        of = spark.createDataFrame([(k >> shift,) for k in heavy], "_bin long")
+        rows = known.join(F.broadcast(of), F.shiftright("page_id", shift) == F.col("_bin"), "left_semi")
+        weight = {k: w for k, w in weight.items() if w <= goal}
+        shift = max(0, shift - MORE_BITS)
+        weight |= weigh(rows)
+    out, filled = [], 0
+    for k in sorted(weight):
+        if filled and filled + weight[k] / 2 > goal:
+            out.append(k)
+            filled = 0
+        filled += weight[k]
+    return out
+
+
+def revisits(keyed: DataFrame, least: int = 0) -> DataFrame:
+    """(page_id, _key, refers_to, refers_url) of the pages that revisit another: of equal payloads of ``least`` bytes or
+    more, all but that with the largest page_id.
+
+    ``keyed``: (page_id, url, _key, bytes). Groups are found by SHA-1, pre-aggregated before they are shuffled; payloads do
+    not move.
     """
-    keyed = pages.select("page_id", payload_key().alias("_key")).filter(common.utf8_length(F.col("html")) >= least)
-    groups = keyed.groupBy("_key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    groups = common.materialise(groups, "payloads")
-    return common.materialise(keyed.join(groups, "_key").filter("page_id <> refers_to").distinct(), "revisits")
+    wanted = keyed.filter(F.col("bytes") >= least)
+    groups = wanted.groupBy("_key").agg(F.max(F.struct("page_id", "url")).alias("r"), F.count("*").alias("_n")).filter("_n > 1")
+    groups = common.materialise(groups.select("_key", F.col("r.page_id").alias("refers_to"), F.col("r.url").alias("refers_url")), "payloads")
+    found = wanted.select("page_id", "_key").join(groups, "_key").filter("page_id <> refers_to")
+    return common.materialise(found.select("page_id", "_key", "refers_to", "refers_url").distinct(), "revisits")
 
 
 def payload_key():
@@ -119,15 +149,20 @@ def write(pages: DataFrame, target: str, file_bytes: int = 256_000_000, shard_by
     """
     spark = pages.sparkSession
     common.ship(spark)
-    low, width, shards = plan_shards(pages, shard_bytes, min_shards)
-    table = F.array(*[F.lit(x) for x in shards])
-    at = F.coalesce(F.floor((F.col("page_id") - low) / width).cast("int"), F.lit(0))
-    shard = F.element_at(table, at + 1).cast("long").alias("shard")
-    n = max(shards) + 1
+    keyed = pages.select("page_id", "url", payload_key().alias("_key"), (common.utf8_length(F.col("html")) + HEAD_BYTES).alias("bytes"))
+    keyed = common.materialise(keyed, "payload-keys")
+    bounds = np.array(shard_bounds(keyed, shard_bytes, min_shards), dtype=np.int64)
+    n = len(bounds) + 1
+
+    @F.pandas_udf("long")
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"))
+
+    shard = number(F.coalesce(F.col("page_id"), F.lit(-(2**63)).cast("long"))).alias("shard")
     # Both sides are dealt out by shard, so the join moves each payload once only.
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), shard, payload_key().alias("_key")).repartition(n, "shard")
-    known = revisits(pages, min_revisit_bytes).select("page_id", "_key", "refers_to", shard).repartition(n, "shard")
-    rows = rows.join(known, ["shard", "page_id", "_key"], "left").select("page_id", "url", "html", "refers_to", "shard")
+    known = revisits(keyed, min_revisit_bytes + HEAD_BYTES).select("page_id", "_key", "refers_to", "refers_url", shard).repartition(n, "shard")
+    rows = rows.join(known, ["shard", "page_id", "_key"], "left").select("page_id", "url", "html", "refers_to", "refers_url", "shard")
     rows = rows.sortWithinPartitions("shard", "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +179,16 @@ def write(pages: DataFrame, target: str, file_bytes: int = 256_000_000, shard_by
             name = f"shard-{shard:06d}-{part:05d}.warc.gz"
             temporary = f"{root}/_temporary/{uuid.uuid4().hex}-{name}"
             state.update(name=name, shard=shard, part=part, records=0, bytes=0, sha=hashlib.sha256(), temporary=temporary, out=system.open_output_stream(temporary, compression=None))
+            put(_member(info(name), level))
+
+        def put(data: bytes) -> None:
+            state["out"].write(data)
+            state["sha"].update(data)
+            state["bytes"] += len(data)
 
         done = []
         for batch in batches:
-            for page, url, html, refers, shard in zip(*[c.to_pylist() for c in batch.columns]):
+            for page, url, html, refers, refers_url, shard in zip(*[c.to_pylist() for c in batch.columns]):
                 if not state or state["shard"] != shard:
                     if state:
                         done.append(close())
@@ -155,17 +196,14 @@ def write(pages: DataFrame, target: str, file_bytes: int = 256_000_000, shard_by
                 elif state["bytes"] >= file_bytes:
                     done.append(close())
                     start(shard, state["part"] + 1)
-                data = _member(record(page, url, html.encode(), refers), level)
-                state["out"].write(data)
-                state["sha"].update(data)
-                state["bytes"] += len(data)
+                put(_member(record(page, url, html.encode(), refers, refers_url), level))
                 state["records"] += 1
         if state:
             done.append(close())
         if done:
             yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["name", "shard", "records", "bytes", "sha256"]))
 
-    manifest = rows.mapInArrow(run, MANIFEST)
+    manifest = rows.mapInArrow(common.lean(run), MANIFEST)
     with common.eager_cleanup(spark):
         manifest.write.parquet(f"{target}/_manifest")
     clean(spark, f"{target}/_temporary")
@@ -225,6 +263,8 @@ def read(spark: SparkSession, target: str) -> DataFrame:
                 for head, body in _records(system.open_input_stream(path, compression=None)):
                     if head["WARC-Block-Digest"] != f"sha1:{digest_of(body)}":
                         raise ValueError(f"a record of {name} differs from its digest")
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     page, refers = head["X-Page-Id"], head.get("X-Refers-To-Page-Id")
                     rows.append([int(page) if page else None, head["WARC-Target-URI"], head["WARC-Type"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(refers) if refers else None, body])
                     held += len(body)
@@ -234,4 +274,4 @@ def read(spark: SparkSession, target: str) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(common.lean(run), schema)

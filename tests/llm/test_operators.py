@@ -173,8 +173,36 @@ def test_quality_on_held_out_rows(spark):
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None, None, 5), (1, None, None, None, 5), (2, "", "s", "en", 6), (None, "x", "s", None, 7)], "doc_id long, text string, source string, lang string, _evidence int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.classify(docs.drop("_evidence"), none).count() == 4
-    assert quality.classify(docs.drop("_evidence").limit(0), none).count() == 0
+    names = ("_rates", "_host", "_path", "_host_docs", "_own_host", "_own_site", "feature", "_quality")
+    clashing = docs.withColumns({n: F.lit(f"mine {n}") for n in names})
+    out = quality.classify(clashing, none)
+    assert out.columns == clashing.columns and out.count() == 4
+    assert all(r[n] == f"mine {n}" for r in out.collect() for n in names[:-1]) and {r._evidence for r in out.collect()} == {5, 6, 7}
+    assert len({r._quality for r in out.filter("doc_id = 1").collect()}) == 1
+    assert quality.classify(clashing.limit(0), none).count() == 0
+
+
+def test_quality_by_force(spark):
+    """Posteriors from the evidence of each document, by plain sums over paths, hosts and everything."""
+    rows = [(i, prose(30) + (" vile rotten" if i % 3 == 0 else ""), f"s{i % 7 if i % 11 else None}", ("en", "fr")[i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r._quality for r in quality.classify(docs, labels, model=model).collect()}
+    evidence = {i: model.evidence(quality.features(t)) for i, t, _, _ in rows}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for k, head in enumerate(quality.HEADS):
+        p = min(max(model.priors[head], 1e-4), 1 - 1e-4)
+        share = {i: sigmoid(evidence[i][k] + np.log(p / (1 - p))) for i in evidence}
+        overall = (sum(share.values()) + 1) / (len(rows) + 2)
+        for i, _, source, lang in rows:
+            mates = [j for j, _, s, _ in rows if s == source]
+            near = [j for j, _, s, g in rows if s == source and g == lang]
+            of_host = (sum(share[j] for j in mates) + 50 * overall) / (len(mates) + 50)
+            of_path = (sum(share[j] for j in near) + 50 * of_host) / (len(near) + 50)
+            assert abs(got[i][head] - sigmoid(evidence[i][k] + np.log(of_path / (1 - of_path)))) < 1e-9
+            assert (got[i].host_docs, got[i].path_docs) == (len(mates), len(near))
+    assert all(g.kept == (g.toxic < 0.5 and g.low_quality < 0.5) for g in got.values()) and len({g.kept for g in got.values()}) == 2
 
 
 def test_top_share_counts_all_words():
@@ -386,9 +414,25 @@ def test_warc(spark, tmp_path):
         revisit = r.page_id is not None and last[h] != r.page_id
         assert (r.record_type, r.refers_to) == (("revisit", last[h]) if revisit else ("response", None))
         assert bytes(r.payload) == (b"" if revisit else h.encode())
+    import gzip
+
+    texts = b"".join(gzip.decompress((tmp_path / "a" / m.name).read_bytes()) for m in a).decode()
+    ids = re.findall(r"WARC-Type: response\r\nWARC-Record-ID: (\S+)", texts)
+    assert texts.count("WARC-Type: warcinfo") == len(a) and set(re.findall(r"WARC-Refers-To: (\S+)", texts)) <= set(ids)
     assert warc.write(pages.limit(0), f"file://{tmp_path}/c").count() == 0 and warc.read(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_warc_shards_by_bytes_wherever_ids_lie(spark, tmp_path):
+    ids = [-(2**63), 2**63 - 1, *range(2000), *range(10**12, 10**12 + 2000)]
+    pages = spark.createDataFrame([(i, "u", "equal" if i % 3 else f"p{i}") for i in ids] + [(7, "u", "equal")] * 3, "page_id long, url string, html string")
+    manifest = warc.write(pages, f"file://{tmp_path}/d", min_shards=20).collect()
+    assert len(manifest) >= 15 and max(m.records for m in manifest) < 600
+    got = warc.read(spark, f"file://{tmp_path}/d").collect()
+    assert sorted(r.page_id for r in got) == sorted([*ids, 7, 7, 7])
+    last = max(i for i in ids if i % 3)
+    assert all((r.record_type == "revisit") == (r.page_id % 3 != 0 and r.page_id != last) for r in got)
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
