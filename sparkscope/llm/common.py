@@ -90,14 +90,21 @@ def free_prefix(df: DataFrame) -> str:
 
 
 @contextmanager
-def eager_cleanup(spark: SparkSession) -> Iterator[None]:
-    """Within it, every finished query drops its shuffle files; its result must have been written."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within it, the session has these settings: for queries that are run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def eager_cleanup(spark: SparkSession):
+    """Within it, every finished query drops its shuffle files; its result must have been written."""
+    return settings(spark, {CLEANUP: "true"})
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

@@ -25,8 +25,10 @@ from sparkscope.llm import common
 
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark takes several passes over the index.
 BLOCK_BYTES = 16_000_000
-#: Characters of the documents of a shard, about (one document at least): its row stays under half a MB.
-SHARD_CHARS = 400_000
+#: Characters of the documents of a shard, about (one document at least). Rows stay small, and few are read at once: the
+#: JVM's heap grows with values that are large beside its regions.
+SHARD_CHARS = 100_000
+READER = {"spark.sql.parquet.columnarReaderBatchSize": "32"}
 #: Possible places that are looked at together.
 PLACES = 500_000
 #: Words on either side of a window's rarest term in which proximity matches have the window's other terms.
@@ -234,7 +236,8 @@ def frequencies(index: DataFrame, terms: dict[bytes, int]) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
     counted = index.select("terms", "lengths").mapInArrow(common.lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r["term"]: r["n"] for r in counted.collect()}
+    with common.settings(index.sparkSession, READER):
+        found = {r["term"]: r["n"] for r in counted.collect()}
     shared.destroy()
     return found
 
@@ -252,7 +255,8 @@ def _search(index: DataFrame, benchmark: DataFrame, answer, schema: str, width:
                 for shard in _lists(batch, shared.value):
                     yield from answer(*shard)
 
-        found = common.materialise(index.mapInArrow(common.lean(run), schema), "hits")
+        with common.settings(spark, READER):
+            found = common.materialise(index.mapInArrow(common.lean(run), schema), "hits")
         shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
