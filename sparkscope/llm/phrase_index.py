@@ -320,7 +320,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach:
     """
     index = build(docs, id_col, text_col)
     found = hits(index, benchmark, width, reach, item_col, item_text_col, block_bytes)
-    each = index.select(F.explode(F.arrays_zip("ids", "prints", "counts")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.prints").alias("print"), F.col("d.counts").cast("long").alias("n_words"))
+    each = common.materialise(index.select(F.explode(F.arrays_zip("ids", "prints", "counts")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.prints").alias("print"), F.col("d.counts").cast("long").alias("n_words")), "words")
+    common.discard(index)
     met = found.select(F.col("id").alias("_id"), F.col("print").alias("_print"), "spans", "items", "near_items")
     joined = each.join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), "left")
     none = F.array().cast("array<string>")
@@ -336,7 +337,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs``, all columns, without those that hold a window of the benchmark (see ``decontaminate``)."""
-    found = hits(build(docs, id_col, text_col), benchmark, **options)
+    index = build(docs, id_col, text_col)
+    found = hits(index, benchmark, **options)
+    common.discard(index)
     p = common.free_prefix(docs)
     gone = found.filter(F.size("items") > 0).select(F.col("id").alias(f"{p}id"), F.col("print").alias(f"{p}print"))
     met = F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}of") == F.col(f"{p}print"))
@@ -376,6 +379,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach: int |
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[own])), pa.array(item, pa.string()), pa.array((position - lists.starts[doc])[own]), pa.array([name] * len(item), pa.string())], ["id", "item", "start", "kind"])
 
     found = _search(index, benchmark, answer, f"id {kind}, item string, start long, kind string", width, item_col, item_text_col, block_bytes)
+    common.discard(index)
     return found.withColumnRenamed("id", id_col)
 
 
