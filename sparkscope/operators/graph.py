@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions.text import fold, is_test, last_segment
+from sparkscope.operators.sizes import broadcast_if_small
 
 CALLEES, CALLERS, BLAST, TRAIL_CALLERS, TRAIL_CALLEES, TRAIL_FLAGS = 2, 6, 8, 10, 12, 6
 
@@ -26,7 +27,8 @@ def callers(targets: DataFrame, calls: DataFrame, symbols: DataFrame, most: int,
     """(*targets, caller, n): distinct symbols that call each target (repo, symbol_id, name), the first ``most`` by position."""
     named = targets.withColumn("key", F.explode(F.array(F.concat(F.lit("="), F.col("name")), F.concat(F.lit("~"), fold(F.col("name"))))))
     place = symbols.select(F.col("symbol_id").alias("caller"), F.col("repo").alias("_repo"), F.col("ord").alias("_ord"))
-    met = named.join(call_keys(calls, whole_text), "key").drop("key").filter(F.col("caller") != F.col("symbol_id")).distinct()
+    # Keys that no target has go before anything is shuffled, where the targets are few.
+    met = call_keys(calls, whole_text).join(broadcast_if_small(named), "key").drop("key").select(*targets.columns, "caller").filter(F.col("caller") != F.col("symbol_id")).distinct()
     met = met.join(place, "caller").filter(F.col("repo") == F.col("_repo")).drop("_repo")
     order = Window.partitionBy(*[c for c in targets.columns]).orderBy("_ord", "caller")
     return met.withColumn("n", F.row_number().over(order) - 1).filter(F.col("n") < most).drop("_ord")
@@ -34,7 +36,8 @@ def callers(targets: DataFrame, calls: DataFrame, symbols: DataFrame, most: int,
 
 def callees(targets: DataFrame, calls: DataFrame, symbols: DataFrame, most: int = CALLEES) -> DataFrame:
     """(*targets, function_name, callee, n): up to ``most`` definitions of each name that a target calls."""
-    called = calls.filter(F.col("function_name").isNotNull()).select("symbol_id", "function_name").distinct()
+    seeds = broadcast_if_small(targets.select("symbol_id").distinct())
+    called = calls.filter(F.col("function_name").isNotNull()).select("symbol_id", "function_name").join(seeds, "symbol_id", "left_semi").distinct()
     defined = symbols.select(F.col("symbol_id").alias("callee"), F.col("repo").alias("_repo"), F.col("name").alias("function_name"), "ord")
     order = Window.partitionBy("_repo", "function_name").orderBy("ord", "callee")
     defined = defined.withColumn("n", F.row_number().over(order) - 1).filter(F.col("n") < most)
@@ -77,11 +80,12 @@ def blast_radius(targets: DataFrame, calls: DataFrame, symbols: DataFrame, files
 def trail(targets: DataFrame, calls: DataFrame, symbols: DataFrame, flags: DataFrame) -> DataFrame:
     """(*targets, callers, callees, flags): names around a symbol, at most 10, 12 and 6 of them."""
     refs = symbols.select(F.col("symbol_id").alias("caller"), "symbol_ref")
+    wanted = broadcast_if_small(targets.select("symbol_id").distinct())
     up = callers(targets, calls, symbols, TRAIL_CALLERS, whole_text=True).join(refs, "caller")
     up = up.groupBy("symbol_id").agg(F.sort_array(F.collect_list(F.struct("n", "symbol_ref"))).alias("u"))
 
     def firsts(table: DataFrame, column: str, most: int, name: str) -> DataFrame:
-        seen = table.filter(F.col(column).isNotNull()).groupBy("symbol_id", column).agg(F.min("line_start").alias("line"))
+        seen = table.filter(F.col(column).isNotNull()).join(wanted, "symbol_id", "left_semi").groupBy("symbol_id", column).agg(F.min("line_start").alias("line"))
         order = Window.partitionBy("symbol_id").orderBy("line", column)
         cut = seen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
         return cut.groupBy("symbol_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", column))), lambda x: x[column]).alias(name))

@@ -7,9 +7,10 @@ vocabulary, which is small beside the postings, and only what they match is join
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions.stemmer import plain, porter
@@ -19,6 +20,33 @@ from sparkscope.session import ship
 K1, B = 1.2, 0.75
 #: Inverse frequencies of terms in half of all documents or more are raised to this.
 LEAST_IDF = 1e-6
+#: Folders of a stored index, by a hash of the term: a question reads those of its terms only.
+PARTS = 32
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings (doc, term, tf, part), lengths (doc, dl), vocabulary (term, df, cf)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    vocabulary: DataFrame
+
+
+def part_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+def write_index(posted: DataFrame, dl: DataFrame, path: str) -> None:
+    """Store an index under ``path``: postings in folders by a hash of the term, sorted by term, so that few row groups
+    hold a term."""
+    posted.withColumn("part", part_of(F.col("term"))).repartition("part", F.pmod(F.xxhash64("doc"), F.lit(4))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
+    dl.write.parquet(f"{path}/lengths")
+    vocabulary(posted.sparkSession.read.parquet(f"{path}/postings")).write.parquet(f"{path}/vocabulary")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "vocabulary")])
 
 
 def tokens(docs: DataFrame, doc: str, text: Column, by: Column | None = None) -> DataFrame:
@@ -61,26 +89,31 @@ def stemmed(posted: DataFrame) -> DataFrame:
 def expand(questions: DataFrame, vocab: DataFrame, prefix: bool = True, stem: bool = False) -> DataFrame:
     """(query_id, q, n, term): the vocabulary terms that each question's terms stand for. Repeated terms count once each.
 
-    Prefixes meet the vocabulary by their first two characters, so this stays an equi-join.
+    Terms are cut to the lengths that occur in the questions, so prefixes meet the vocabulary by equality.
     """
     asked = questions.select("query_id", F.posexplode(F.transform(query_terms(F.col("text")), F.lower)).alias("n", "q"))
     if stem:
         asked = asked.join(stems(asked.select(F.col("q").alias("term")).distinct()).withColumnRenamed("term", "q"), "q").select("query_id", "n", F.col("stem").alias("q"))
     if not prefix:
         return asked.join(vocab.select(F.col("term").alias("q")), "q").select("query_id", "q", "n", F.col("q").alias("term"))
-    keyed = vocab.select("term", F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), F.substring("term", 1, 2)))).alias("_head"))
-    head = F.substring("q", 1, 2)
-    return asked.withColumn("_head", head).join(keyed, "_head").filter(F.col("term").startswith(F.col("q"))).select("query_id", "q", "n", "term")
+    sizes = asked.agg(F.collect_set(F.length("q")).alias("_sizes"))  # one row: the lengths of the questions' words
+    cut = F.transform(F.filter("_sizes", lambda n: n <= F.length("term")), lambda n: F.substr("term", F.lit(1), n))
+    keyed = vocab.select("term").join(F.broadcast(sizes)).select("term", F.explode(cut).alias("q"))
+    return asked.join(keyed, "q").select("query_id", "q", "n", "term")
 
 
-def bm25(questions: DataFrame, posted: DataFrame, dl: DataFrame, prefix: bool = False, stem: bool = False) -> DataFrame:
+def bm25(questions: DataFrame, posted: DataFrame, dl: DataFrame, prefix: bool = False, stem: bool = False, vocab: DataFrame | None = None) -> DataFrame:
     """(query_id, doc, score); lower is better, rows with a match only.
 
     score = -sum over terms of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), with
     idf = ln((N - n + 0.5) / (n + 0.5)); a prefix's tf counts all tokens that start so, its n the documents with any.
+    Of stored postings only the folders of the wanted terms are read.
     """
-    wanted = expand(questions, posted.select("term").distinct(), prefix, stem)
-    matched = wanted.join(posted, "term").groupBy("query_id", "n", "doc").agg(F.sum("tf").alias("tf"))
+    wanted = expand(questions, posted.select("term").distinct() if vocab is None else vocab, prefix, stem)
+    keys = ["term"]
+    if "part" in posted.columns:
+        wanted, keys = wanted.withColumn("part", part_of(F.col("term"))), ["part", "term"]
+    matched = wanted.join(posted, keys).groupBy("query_id", "n", "doc").agg(F.sum("tf").alias("tf"))
     found = matched.groupBy("query_id", "n").agg(F.count("*").alias("df"))
     stats = dl.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
     scored = matched.join(found, ["query_id", "n"]).join(dl, "doc").join(F.broadcast(stats))  # one row

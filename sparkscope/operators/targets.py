@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkscope.functions.text import fold
+from sparkscope.operators.ranking import holding
 
 FUZZY = 6
 COLUMNS = ("type", "target_id", "path", "symbol_ref", "line_start", "line_end")
@@ -45,8 +45,12 @@ def resolve(asked: DataFrame, files: DataFrame, symbols: DataFrame, modules: Dat
     steps.append(step(3, met(as_files, target), F.col("path")).filter("n = 1"))
     steps.append(step(4, met(as_modules, F.rtrim(target, F.lit("/"))), F.col("path")).filter("n = 1"))
     steps.append(step(5, met(named.withColumn("_key", F.col("name")), target), F.col("path"), F.col("line_start")))
-    part = fold(target)
-    close = asked.join(named, "repo").filter((target != "") & (F.contains(fold(F.col("symbol_ref")), part) | F.contains(fold(F.col("qualified_name")), part)))
+    # Only what no earlier step has resolved is looked for in parts of names.
+    met_before = steps[0].select("ask_id")
+    for s in steps[1:]:
+        met_before = met_before.unionByName(s.select("ask_id"))
+    rest = asked.filter(target != "").join(met_before.distinct(), "ask_id", "left_anti").select("ask_id", "repo", target.alias("token"))
+    close = holding(named, ["symbol_ref", "qualified_name"], rest, ["repo"])
     steps.append(step(6, close, F.length("symbol_ref"), F.col("symbol_ref")).filter(F.col("n") <= FUZZY))
     every = steps[0]
     for s in steps[1:]:

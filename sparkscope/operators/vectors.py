@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.operators import lexical
+from sparkscope.operators.sizes import broadcast_if_small
 from sparkscope.session import ship
 
 #: (files below, character budget, cosine floor, family size that stays open)
@@ -42,17 +43,13 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int = 10, within: str |
     """
     asked = questions.withColumn("_qn", norm(F.col("query_vector")))
     kept = vectors.withColumn("_n", norm(F.col("vector")))
-    pairs = kept.join(F.broadcast(asked) if _small(questions) else asked, within)
+    # A batch of questions over the bound is compared in a join as well, whose sides Spark deals out.
+    pairs = kept.join(broadcast_if_small(asked), within)
     size = F.col("_n") * F.col("_qn")
     scored = pairs.select("query_id", "target_id", F.when(size == 0, 0.0).otherwise(dot(F.col("vector"), F.col("query_vector")) / size).alias("cosine"))
     return lexical.top(scored, k, [F.desc(F.round("cosine", 9)), F.asc("target_id")])
 
 
-def _small(df: DataFrame, most: int = 50_000_000) -> bool:
-    """Whether Spark's estimate of a relation is under the bound for a broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
-
-
 def similar_pairs(members: DataFrame, floor: Column | float, group: str = "query_id") -> DataFrame:
     """(group, a, b, cosine) of members (group, id, position, vector) of the same group with cosine >= floor; a before b.
 

@@ -11,6 +11,7 @@ from sparkscope.functions import paths as P
 from sparkscope.functions import text as T
 from sparkscope.operators import graph, heuristics, lexical, ranking, targets, upkeep, vectors
 from sparkscope.plans import relations as R
+from sparkscope.plans import stored
 from sparkscope.plans.relations import sql
 from sparkscope.sources import extract, tree
 
@@ -35,20 +36,20 @@ def query(oracle: str | None = None):
 SPLIT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '([A-Z])([0-9])', '\\1 \\2', 'g')"
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(" + SPLIT.format(x="'Doc' || doc_id || 'HTTPServer_' || source || '-' || lang || 'ID' || substr(text, 1, 30)") + ", '[A-Za-z0-9]+'), ' ') AS parts FROM documents")
+@query("SELECT doc_id, array_to_string(regexp_extract_all(" + SPLIT.format(x="'Doc' || doc_id || 'HTTPServer_' || source || '-' || lang || 'ID' || coalesce(text, '')") + ", '[A-Za-z0-9]+'), ' ') AS parts FROM documents")
 def ident_split(spark, d):
-    name = F.concat(F.lit("Doc"), "doc_id", F.lit("HTTPServer_"), "source", F.lit("-"), "lang", F.lit("ID"), F.substring("text", 1, 30))
+    name = F.concat(F.lit("Doc"), "doc_id", F.lit("HTTPServer_"), "source", F.lit("-"), "lang", F.lit("ID"), F.coalesce("text", F.lit("")))
     return R.table(spark, d, "documents").select("doc_id", F.array_join(T.subwords(name), " ").alias("parts"))
 
 
 @query(
-    "WITH x AS (SELECT doc_id, source || 'Name ' || lang || '_' || doc_id || ' plain ' || substr(text, 1, 20) AS t FROM documents), "
+    "WITH x AS (SELECT doc_id, source || 'Name ' || lang || '_' || doc_id || ' plain ' || coalesce(text, '') AS t FROM documents), "
     "r AS (SELECT doc_id, t, [regexp_extract_all(" + SPLIT.format(x="run") + ", '[A-Za-z0-9]+') FOR run IN regexp_extract_all(t, '[A-Za-z0-9_-]+')] AS parts FROM x), "
     "f AS (SELECT doc_id, t, flatten([p FOR p IN parts IF len(p) > 1]) AS extra FROM r) "
     "SELECT doc_id, CASE WHEN len(extra) > 0 THEN t || ' ' || array_to_string(extra, ' ') ELSE t END AS augmented FROM f"
 )
 def ident_augment(spark, d):
-    text = F.concat("source", F.lit("Name "), "lang", F.lit("_"), "doc_id", F.lit(" plain "), F.substring("text", 1, 20))
+    text = F.concat("source", F.lit("Name "), "lang", F.lit("_"), "doc_id", F.lit(" plain "), F.coalesce("text", F.lit("")))
     return R.table(spark, d, "documents").select("doc_id", T.augmented(text).alias("augmented"))
 
 
@@ -60,19 +61,19 @@ def query_compile(spark, d):
 # Full-text search ------------------------------------------------------------------------------------------------
 
 
-def _index(spark, d):
-    docs = R.table(spark, d, "documents").select("doc_id", "text")
-    return lexical.postings(docs, "doc_id", F.col("text")), lexical.lengths(docs, "doc_id", F.col("text"))
+def _bm25(spark, d, questions: DataFrame, prefix: bool = False, stem: bool = False) -> DataFrame:
+    index = stored.index(spark, d, stem)
+    return lexical.bm25(questions, index.postings, index.lengths, prefix, stem, index.vocabulary)
 
 
 @query(sql("posted", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posted GROUP BY term"))
 def fts_vocab_df(spark, d):
-    return lexical.vocabulary(_index(spark, d)[0])
+    return stored.index(spark, d).vocabulary
 
 
 @query(sql("dl", "SELECT doc AS doc_id, dl FROM dl"))
 def fts_doc_len(spark, d):
-    return _index(spark, d)[1].withColumnRenamed("doc", "doc_id")
+    return stored.index(spark, d).lengths.withColumnRenamed("doc", "doc_id")
 
 
 BM25 = """
@@ -95,23 +96,23 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 @query(sql("posted dl asked", BM25.format(matched=EXACT, k=10)))
 def bm25_topk(spark, d):
-    return _ranked(lexical.bm25(R.questions(spark, d), *_index(spark, d)), 10)
+    return _ranked(_bm25(spark, d, R.questions(spark, d)), 10)
 
 
 @query(sql("posted dl asked", BM25.format(matched=PREFIX, k=10)))
 def bm25_prefix_topk(spark, d):
-    return _ranked(lexical.bm25(R.questions(spark, d), *_index(spark, d), prefix=True), 10)
+    return _ranked(_bm25(spark, d, R.questions(spark, d), prefix=True), 10)
 
 
-@query(sql("posted dl asked", BM25.format(matched=EXACT, k=30)))
+@query(sql("posted dl chunks", "WITH asked AS (SELECT query_id, unnest(string_split(text, ' ')) AS q, generate_subscripts(string_split(text, ' '), 1) AS n FROM chunks), " + BM25.format(matched=EXACT, k=3).strip().removeprefix("WITH ")))
 def bm25_multi_query(spark, d):
-    return _ranked(lexical.bm25(R.questions(spark, d), *_index(spark, d)), 30)
+    """The whole benchmark in one batch, six words a question."""
+    return _ranked(_bm25(spark, d, R.chunks(spark, d)), 3)
 
 
 @query()
 def bm25_porter_topk(spark, d):
-    posted, dl = _index(spark, d)
-    return _ranked(lexical.bm25(R.questions(spark, d), lexical.stemmed(posted), dl, prefix=True, stem=True), 10)
+    return _ranked(_bm25(spark, d, R.questions(spark, d), prefix=True, stem=True), 10)
 
 
 SNIPPET = """
@@ -297,7 +298,7 @@ TEST = (
 
 def _candidates(spark, d) -> DataFrame:
     asked = R.questions(spark, d)
-    lexical_top = lexical.top(lexical.bm25(asked, *_index(spark, d)), 30, [F.round("score", 9), F.col("doc")]).select("query_id", F.col("doc").alias("target_id"), "rank")
+    lexical_top = lexical.top(_bm25(spark, d, asked), 30, [F.round("score", 9), F.col("doc")]).select("query_id", F.col("doc").alias("target_id"), "rank")
     v = _vectors(spark, d)
     own = v.join(asked, F.col("target_id") == F.col("query_id")).select("query_id", F.col("vector").alias("query_vector"))
     semantic = vectors.nearest(own, v, 10).select("query_id", "target_id", "rank")

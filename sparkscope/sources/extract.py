@@ -9,6 +9,7 @@ definitions around them.
 from __future__ import annotations
 
 import ast
+import bisect
 import io
 import re
 import tokenize
@@ -46,9 +47,13 @@ class Extracted:
     errors: int = 0
 
 
+QUOTED = re.compile(r"\s*(?:(?P<mark>['\"`])(?P<inside>.*)(?P=mark)|(?P<bare>.*?))\s*", re.DOTALL)
+
+
 def unquoted(value: str) -> str:
-    value = value.strip()
-    return value[1:-1] if len(value) > 1 and value[0] in "'\"`" and value[-1] == value[0] else value
+    """What a pair of equal quotation marks encloses; else the value without outer white space."""
+    m = QUOTED.fullmatch(value)
+    return m["bare"] if m["inside"] is None else m["inside"]
 
 
 def module_ref(path: str, python: bool = False) -> str:
@@ -66,17 +71,23 @@ def _finish(symbol: Symbol, path: str, lines: list[str]) -> Symbol:
     return symbol
 
 
+#: What any text yields, line by line: a pattern for each type of fact, whose group is the fact.
+PLAIN = tuple(
+    (kind, re.compile(pattern, re.MULTILINE))
+    for kind, pattern in (
+        ("heading", r"^[^\S\n]*(# [^\n]*\S)"),
+        ("comment", r"^[^\S\n]*(#(?! [^\n]*\S)[^\n]*)"),
+        ("string_literal", r"['\"]([^'\"\n]{2,300})['\"]"),
+        ("config_key", r"^[^\S\n]*([A-Za-z0-9_.-]+):"),
+    )
+)
+
+
 def plain_facts(text: str) -> list[tuple]:
-    """Headings, comments, quoted strings and keys, line by line: what any text yields."""
-    out = []
-    for n, line in enumerate(text.splitlines(), 1):
-        s = line.strip()
-        if s[:1] == "#":
-            out.append(("heading" if s[:2] == "# " else "comment", s[:STRING], n, n))
-        out += [("string_literal", m, n, n) for m in re.findall(r"['\"]([^'\"]{2,300})['\"]", line)]
-        if m := re.match(r"([A-Za-z0-9_.-]+):", s):
-            out.append(("config_key", m[1], n, n))
-    return out
+    """(type, value, line, line) of every match of ``PLAIN``, in the order of lines."""
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    found = sorted((m.start(1), kind, m[1].rstrip()[:STRING]) for kind, pattern in PLAIN for m in pattern.finditer(text))
+    return [(kind, value, n, n) for at, kind, value in found for n in [bisect.bisect_left(breaks, at) + 1]]
 
 
 # Python --------------------------------------------------------------------------------------------------------------
@@ -225,8 +236,6 @@ def scan(text: str, path: str, language: str) -> Extracted:
     starts = [0, *[m.end() for m in re.finditer("\n", text)]]
 
     def line_of(at: int) -> int:
-        import bisect
-
         return bisect.bisect_right(starts, at)
 
     code = text
