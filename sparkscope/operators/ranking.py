@@ -82,9 +82,12 @@ GRAM = 3
 
 def _grams(text: Column) -> Column:
     """All different substrings of one to GRAM characters."""
-    none = F.array().cast("array<string>")
-    of = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i, n=n: F.substr(text, i, F.lit(n)))).otherwise(none) for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(*of))
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
 
 
 def holding(rows: DataFrame, columns: list[str], asked: DataFrame, on: list[str]) -> DataFrame:

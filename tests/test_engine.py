@@ -157,6 +157,27 @@ def test_small_rules(spark):
     assert graph.CALLERS == 6
 
 
+def test_names_that_hold_a_token(spark, monkeypatch):
+    names = spark.createDataFrame([(i, f"A{i}b_Name{i}", f"q.{i}") for i in range(40)], "id long, x string, y string")
+    asked = spark.createDataFrame([("NAME1",), ("b",), ("q.",), ("5",), ("zz",)], "token string")
+    got = []
+    for few in (True, False):
+        monkeypatch.setattr(ranking, "small", lambda df, few=few: few)
+        got.append(sorted((r["id"], r["token"]) for r in ranking.holding(names, ["x", "y"], asked, []).collect()))
+    want = sorted((i, t) for i in range(40) for t in ("NAME1", "b", "q.", "5", "zz") if t.lower() in f"a{i}b_name{i}" or t.lower() in f"q.{i}")
+    assert got == [want, want]
+
+
+def test_unknown_kinds_find_nothing(engine):
+    assert engine.find(ask(engine, "helper"), ("nonsense",)).count() == 0
+
+
+def test_plain_facts():
+    text = "# Title 'ab'\n  #\n#note\n\n key.x: \"some value\"\nno key\n#  \n"
+    assert extract.plain_facts(text) == [("heading", "# Title 'ab'", 1, 1), ("string_literal", "ab", 1, 1), ("comment", "#", 2, 2), ("comment", "#note", 3, 3), ("config_key", "key.x", 5, 5), ("string_literal", "some value", 5, 5), ("comment", "#", 7, 7)]
+    assert [extract.unquoted(x) for x in (" 'a' ", '"b', "`c`", "''", "'", "d e ")] == ["a", '"b', "c", "", "'", "d e"]
+
+
 def test_questions_stay_in_their_repository(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     body = "def {0}(x):\n    return purge_all_rows(x)\n"
