@@ -1,7 +1,8 @@
 """The engine: repositories are indexed into snapshots of Parquet tables, and questions are answered from them.
 
 A refresh reads changed files only, writes a new snapshot and then switches the pointer, so that no plan reads what it
-overwrites and an interrupted refresh leaves the old snapshot in place.
+overwrites and an interrupted refresh leaves the old snapshot in place. The snapshot before the current one is kept for
+plans that still read it; older ones are deleted.
 """
 
 from __future__ import annotations
@@ -10,38 +11,37 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions import paths as P
 from sparkscope.functions import text as T
-from sparkscope.operators import graph, heuristics, lexical, ranking, targets, upkeep, vectors
-from sparkscope.sources import extract, tree
+from sparkscope.operators import graph, heuristics, jobs, lexical, ranking, targets, upkeep, vectors
+from sparkscope.settings import Settings
+from sparkscope.sources import extract, files as stored, tree
 
-TABLES = ("files", "symbols", "symbol_calls", "symbol_literals", "file_facts", "heuristic_flags", "modules", "path_audit", "vectors")
+TABLES = ("files", "symbols", "symbol_calls", "symbol_literals", "file_facts", "heuristic_flags", "modules", "path_audit", "vectors", "jobs", "model_outputs", "fts_docs")
 RULES = "repo string, path string, path_kind string, action string, reason string, ord long"
-EMBED_MODEL = "hashing-256"
+HANDLE = "result_id string, repo string, type string, target_id long, path string, symbol_ref string, line_start int, line_end int"
+NO_FILES = "repo string, path string, file_id long, sha256 string, mtime_ns long"
+FLAGS_SHOWN, LISTED = 4, 80
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: str, embedder=None):
-        self.spark, self.store = spark, store
+    def __init__(self, spark: SparkSession, store: str, embedder=None, settings: Settings | None = None):
+        self.spark, self.store, self.settings = spark, store, settings or Settings()
         self.embedder = embedder or vectors.hashing_embedder()
-        os.makedirs(store, exist_ok=True)
+        stored.make_folder(spark, store)
 
     # State -----------------------------------------------------------------------------------------------------------
 
     def _json(self, name: str, value=None):
-        path = os.path.join(self.store, name)
         if value is not None:
-            with open(path + ".new", "w") as f:
-                json.dump(value, f, indent=2, sort_keys=True)
-            os.replace(path + ".new", path)
-        if not os.path.exists(path):
-            return {}
-        with open(path) as f:
-            return json.load(f)
+            stored.write_text(self.spark, f"{self.store}/{name}", json.dumps(value, indent=2, sort_keys=True))
+            return value
+        return json.loads(stored.read_text(self.spark, f"{self.store}/{name}") or "{}")
 
     def repos(self) -> dict:
         return self._json("repos.json")
@@ -55,30 +55,79 @@ class Engine:
         self._json("repos.json", repos)
         return {"ok": True, "repo": slug, **repos[slug]}
 
+    def _current(self) -> str | None:
+        return self._json("current.json").get("snapshot")
+
     def table(self, name: str) -> DataFrame | None:
-        current = self._json("current.json").get("snapshot")
+        current = self._current()
         return self.spark.read.parquet(f"{self.store}/{current}/{name}") if current else None
 
+    def index(self) -> lexical.Index:
+        return lexical.read_index(self.spark, f"{self.store}/{self._current()}/fulltext")
+
     def rules(self) -> DataFrame:
         rows = [(r["repo"], r["path"], r["path_kind"], r["action"], r.get("reason"), i) for i, r in enumerate(self._json("rules.json").get("rules", []))]
         return self.spark.createDataFrame(rows, RULES)
 
     def rule(self, repo: str, path: str, path_kind: str, action: str, reason: str | None = None, remove: bool = False) -> dict:
-        """Add (or renew) or remove a manual rule, and index what it touches."""
+        """Add (or renew) or remove a manual rule, and look again at the paths that it covers."""
         path = normal_path(path)
         key = {"repo": repo, "path": path, "path_kind": path_kind, "action": action}
-        rules = [r for r in self._json("rules.json").get("rules", []) if {k: r[k] for k in key} != key]
+        old = self._json("rules.json").get("rules", [])
+        rules = [r for r in old if {k: r[k] for k in key} != key]
         self._json("rules.json", {"rules": rules if remove else [*rules, {**key, "reason": reason}]})
-        return self.refresh(repo)
+        done = self.refresh(repo, within=path)
+        return {**done, **key, "removed": len(rules) < len(old) if remove else False}
+
+    def vacuum(self) -> dict:
+        """Delete what no snapshot needs: all but the current one and the one before, and work in progress."""
+        current = self._json("current.json")
+        gone = [n for n in stored.names(self.spark, self.store) if n.startswith(("s-", "_work-")) and n not in current.values()]
+        for n in gone:
+            stored.delete(self.spark, f"{self.store}/{n}")
+        return {"ok": True, "deleted": len(gone)}
+
+    def reset(self) -> dict:
+        """Forget everything: repositories, rules, handles and snapshots."""
+        for n in stored.names(self.spark, self.store):
+            stored.delete(self.spark, f"{self.store}/{n}")
+        return {"ok": True}
+
+    def delete_repo(self, slug: str) -> dict:
+        """Remove a repository with all that hangs on it."""
+        if self._current():
+            base, snapshot = self._new_snapshot()
+            for name in TABLES:
+                self.table(name).filter(F.col("repo") != slug).write.parquet(f"{base}/{name}")
+            self._write_index(base, self.index().postings.join(self.table("fts_docs").filter(F.col("repo") != slug).select(F.col("target_id").alias("doc")), "doc", "left_semi").drop("part"))
+            self._switch(snapshot)
+        for name, drop in (("repos.json", lambda x: {k: v for k, v in x.items() if k != slug}), ("handles.json", lambda x: {k: v for k, v in x.items() if k != slug}), ("rules.json", lambda x: {"rules": [r for r in x.get("rules", []) if r["repo"] != slug]})):
+            self._json(name, drop(self._json(name)))
+        return {"ok": True, "deleted": slug}
+
+    def _new_snapshot(self) -> tuple[str, str]:
+        snapshot = f"s-{uuid.uuid4().hex}"
+        return f"{self.store}/{snapshot}", snapshot
+
+    def _switch(self, snapshot: str) -> None:
+        self._json("current.json", {"snapshot": snapshot, "before": self._current()})
+        self.vacuum()
+
+    def _write_index(self, base: str, posted: DataFrame) -> None:
+        docs = self.spark.read.parquet(f"{base}/fts_docs")
+        lexical.write_index(posted, docs.select(F.col("target_id").alias("doc"), "dl"), f"{base}/fulltext")
 
     # Indexing --------------------------------------------------------------------------------------------------------
 
-    def classified(self, slug: str) -> DataFrame:
-        """(repo, path, decision, reason, kind, size, mtime_ns, content, language) of every file in the tree."""
+    def classified(self, slug: str, within: str = "") -> DataFrame:
+        """(repo, path, decision, reason, kind, size, mtime_ns, content, language) of every file in the tree, or in a part of it."""
         root = self.repos()[slug]["root"]
         listed = tree.list_files(root)
-        left_out = self.spark.createDataFrame([(p,) for p in sorted(tree.ignored(root, listed))], "path string").withColumn("ignored", F.lit(True))
+        ignored = sorted(tree.ignored(root, listed)) if self.settings.respect_gitignore else []
+        left_out = self.spark.createDataFrame([(p,) for p in ignored], "path string").withColumn("ignored", F.lit(True))
         read = tree.read_files(self.spark, root, slug, listed)
+        if within:
+            read = read.filter(covered(F.col("path"), within))
         kind = P.kind_of(F.col("path"))
         auto = P.decision(F.col("path"), F.col("size"), F.col("sample"))
         ruled = upkeep.matching_rules(read, self.rules()).join(left_out, "path", "left")
@@ -86,48 +135,88 @@ class Engine:
         language = P.language_of(F.col("path"), F.make_valid_utf8(F.col("sample").cast("string")))
         return upkeep.decide(ruled).withColumn("language", language)
 
-    def refresh(self, slug: str, full: bool = False) -> dict:
-        """Bring a repository's index up to date; ``full`` reads every file anew."""
+    def refresh(self, slug: str, full: bool = False, within: str = "", enrich: bool = False) -> dict:
+        """Bring a repository's index up to date; ``full`` reads every file anew, ``within`` looks at one path or folder only."""
         if slug not in self.repos():
             return {"ok": False, "error": "repo_not_registered", "message": f"No repo registered as {slug}."}
-        seen = self.classified(slug).withColumn("sha256", F.sha2("content", 256))
-        snapshot = f"s-{uuid.uuid4().hex}"
-        base = f"{self.store}/{snapshot}"
-        seen.write.parquet(f"{base}/_seen")
+        base, snapshot = self._new_snapshot()
+        self.classified(slug, within).withColumn("sha256", F.sha2("content", 256)).write.parquet(f"{base}/_seen")
         seen = self.spark.read.parquet(f"{base}/_seen")
         wanted = seen.filter((F.col("decision") == "include") & F.col("content").isNotNull())
-        old = {name: self.table(name) for name in TABLES}
-        if old["files"] is None:
-            old = {}
-        mine = old["files"].filter(F.col("repo") == slug) if old else self.spark.createDataFrame([], "repo string, path string, file_id long, sha256 string, mtime_ns long")
-        changes = upkeep.changes(mine, wanted, ["repo", "path"])
-        changes.write.parquet(f"{base}/_changes")
+        old = {name: self.table(name) for name in TABLES} if self._current() else {}
+        mine = old["files"].filter(F.col("repo") == slug).filter(covered(F.col("path"), within)) if old else self.spark.createDataFrame([], NO_FILES)
+        upkeep.changes(mine, wanted, ["repo", "path"]).write.parquet(f"{base}/_changes")
         changes = self.spark.read.parquet(f"{base}/_changes")
-        fresh = wanted if full else wanted.join(changes.filter(F.col("change").isin("added", "changed")), ["repo", "path"], "left_semi")
-        tables = self._tables(fresh)
-        gone = mine.join(changes.filter(F.col("change") != "unchanged"), ["repo", "path"], "left_semi") if not full else mine
+        touched = changes if full else changes.filter(F.col("change") != "unchanged")
+        fresh = wanted.join(touched, ["repo", "path"], "left_semi")
+        work = f"{self.store}/_work-{uuid.uuid4().hex}"
+        tables = self._tables(fresh, work)
+        gone = mine.join(touched, ["repo", "path"], "left_semi").select("file_id")
         if old:
-            kept = upkeep.cascade({n: old[n] for n in TABLES if n not in ("modules", "path_audit")}, gone.select("file_id"))
+            kept = upkeep.cascade({n: old[n] for n in tables if n in old}, gone)
             tables = {n: t.unionByName(kept[n].select(t.columns)) for n, t in tables.items()}
         audit = seen.select("repo", "path", "decision", "reason", "kind", "size")
-        tables["path_audit"] = audit if not old else audit.unionByName(old["path_audit"].filter(F.col("repo") != slug))
+        tables["path_audit"] = audit if not old else audit.unionByName(old["path_audit"].filter((F.col("repo") != slug) | ~covered(F.col("path"), within)))
         for name, t in tables.items():
             t.write.parquet(f"{base}/{name}")
-        modules = upkeep.modules(self.spark.read.parquet(f"{base}/files")).withColumn("module_id", F.xxhash64("repo", "path_prefix"))
+        new = lambda name: self.spark.read.parquet(f"{base}/{name}")
+        modules = upkeep.modules(new("files")).withColumn("module_id", F.xxhash64("repo", "path_prefix"))
         modules.write.parquet(f"{base}/modules")
         dirty = upkeep.dirty_modules(old["modules"], modules).count() if old else modules.count()
-        previous = self._json("current.json")
-        self._json("current.json", {"snapshot": snapshot, "before": previous.get("snapshot")})
+
+        # Targets that have changed: files, their symbols before and now, and the modules that they are in.
+        ids = touched.select("repo", "path", F.xxhash64("repo", "path").alias("target_id"))
+        of = lambda symbols: symbols.join(ids.select(F.col("target_id").alias("file_id")), "file_id", "left_semi").select(F.lit("symbol").alias("target_type"), F.col("symbol_id").alias("target_id"))
+        changed = ids.select(F.lit("file").alias("target_type"), "target_id").unionByName(of(new("symbols")))
+        changed = changed.unionByName(ids.select(F.lit("module").alias("target_type"), F.xxhash64("repo", T.directory(F.col("path"))).alias("target_id")))
+        changed = changed.unionByName(of(old["symbols"])) if old else changed
+        changed.distinct().write.parquet(f"{base}/_changed")
+        changed = new("_changed")
+        keys = ["target_type", "target_id"]
+        texts = jobs.texts(new("files"), new("symbols"), new("file_facts"), new("modules")).join(changed, keys, "left_semi")
+        embedded = vectors.embed(texts.select(F.concat_ws(":", *keys, "repo").alias("target"), "text"), self.embedder, self.settings.embed_batch, id_col="target")
+        of_key = F.split("target", ":", 3)
+        embedded.select(of_key[0].alias("target_type"), of_key[1].cast("long").alias("target_id"), of_key[2].alias("repo"), "vector", "error").write.parquet(f"{work}-vectors")
+        embedded = self.spark.read.parquet(f"{work}-vectors")
+        model = self.settings.embed_model
+        rows = embedded.filter("vector IS NOT NULL").select("repo", *keys, "vector", F.lit(model).alias("model"))
+        queued = jobs.fan_out(texts, model, enrich, self.settings.summary_model)
+        # Embeddings are made at once; jobs say how that went.
+        failed = embedded.select(*keys, F.lit("embedding").alias("job_type"), F.lit(True).alias("_ran"), F.col("error").alias("_error"))
+        status = F.when(F.col("_ran") & F.col("_error").isNull(), "done").when(F.col("_ran"), "error").otherwise(F.col("status"))
+        queued = queued.join(failed, [*keys, "job_type"], "left").withColumns({"status": status, "error": F.coalesce("_error", "error"), "attempts": F.when(F.col("_ran"), 1).otherwise(0)}).select(*[c.split()[0] for c in jobs.JOB.split(", ")])
+        outputs = self.spark.createDataFrame([], jobs.OUTPUT)
+        if old:
+            rows = rows.unionByName(upkeep.without(old["vectors"], changed, keys).select(rows.columns))
+            queued = queued.unionByName(upkeep.without(old["jobs"], changed, keys).select(queued.columns))
+            outputs = upkeep.without(old["model_outputs"], changed, keys)
+        rows.write.parquet(f"{base}/vectors")
+        queued.write.parquet(f"{base}/jobs")
+        outputs.write.parquet(f"{base}/model_outputs")
+
+        documents = self.documents(new).join(changed.select(F.col("target_type").alias("record_type"), "target_id"), ["record_type", "target_id"], "left_semi")
+        documents = documents.withColumn("dl", F.size(T.words(F.col("text"))).cast("long"))
+        ours = changed.select(F.col("target_type").alias("record_type"), "target_id")
+        documents.write.parquet(f"{work}-docs")
+        documents = self.spark.read.parquet(f"{work}-docs")
+        posted = lexical.stemmed(lexical.postings(documents, "target_id", F.col("text")))
+        if old:
+            posted = posted.unionByName(self.index().postings.drop("part").join(changed.select(F.col("target_id").alias("doc")), "doc", "left_anti").select(posted.columns))
+            documents = documents.unionByName(upkeep.without(old["fts_docs"], ours, ["record_type", "target_id"]).select(documents.columns))
+        documents.write.parquet(f"{base}/fts_docs")
+        self._write_index(base, posted)
         counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+        for n in ("_seen", "_changes", "_changed"):
+            stored.delete(self.spark, f"{base}/{n}")
+        self._switch(snapshot)
         return {"ok": True, "repo": slug, **{k: counts.get(k, 0) for k in ("added", "changed", "deleted", "unchanged")}, "modules_changed": dirty}
 
-    def _tables(self, fresh: DataFrame) -> dict[str, DataFrame]:
+    def _tables(self, fresh: DataFrame, work: str) -> dict[str, DataFrame]:
         text = F.make_valid_utf8(F.col("content").cast("string"))
         lines = T.lines(text)
         files = fresh.select("repo", F.xxhash64("repo", "path").alias("file_id"), "path", "language", F.col("size").alias("size_bytes"), "sha256", "mtime_ns", text.alias("text"), lines.alias("lines"), F.size(lines).alias("line_count"))
-        found = extract.extract_files(files)
-        found.write.parquet(path := f"{self.store}/_work-{uuid.uuid4().hex}")
-        found = self.spark.read.parquet(path)
+        extract.extract_files(files).write.parquet(work)
+        found = self.spark.read.parquet(work)
         one = found.select("repo", "file_id", "path", F.posexplode("symbols").alias("at", "s")).select("repo", "file_id", "at", "path", "s.*")
         one = one.dropDuplicates(["file_id", "qualified_name", "line_start"])
         one = one.withColumn("symbol_id", F.xxhash64("repo", "path", "qualified_name", "line_start")).withColumn("ord", F.struct("path", "at"))
@@ -135,18 +224,48 @@ class Engine:
         calls = one.select("repo", "symbol_id", F.explode("calls").alias("c")).select("repo", "symbol_id", "c.*")
         literals = one.select("repo", "symbol_id", F.explode("literals").alias("c")).select("repo", "symbol_id", "c.*")
         facts = found.select("repo", "file_id", F.explode("facts").alias("f")).select("repo", "file_id", "f.*")
-        embedded = vectors.embed(symbols.select(F.col("symbol_id").alias("target_id"), F.col("primary_text").alias("text")), self.embedder)
-        embedded = embedded.filter("vector IS NOT NULL").select(F.lit("symbol").alias("target_type"), "target_id", "vector", F.lit(EMBED_MODEL).alias("model"))
-        return {"files": files.drop("text"), "symbols": symbols, "symbol_calls": calls, "symbol_literals": literals, "file_facts": facts, "heuristic_flags": heuristics.all_flags(symbols, calls), "vectors": embedded}
+        flags = heuristics.all_flags(symbols, calls).join(symbols.select("repo", "symbol_id"), "symbol_id")
+        return {"files": files.drop("text"), "symbols": symbols, "symbol_calls": calls, "symbol_literals": literals, "file_facts": facts, "heuristic_flags": flags}
+
+    def enrich(self, generate: Callable[[str, str], object], limit: int = 100_000) -> dict:
+        """Run pending enrichment jobs through ``generate(prompt, model)`` and make accepted answers searchable."""
+        of = lambda n: self.table(n)
+        every = of("jobs")
+        todo = jobs.runnable(every, True, limit)
+        outlines = jobs.texts(of("files"), of("symbols"), of("file_facts"), of("modules"), jobs.FACTS_OUTLINED, refs=False).filter("target_type <> 'symbol'")
+        asks = F.concat("text", F.lit("\n\nReturn JSON with short summary, behavior_aliases, likely_queries only."))
+        prompts = outlines.select("target_type", "target_id", asks.alias("prompt"))
+        of_symbols = jobs.symbol_prompts(of("symbols"), of("files"), of("symbol_calls"), of("symbol_literals"), of("heuristic_flags"))
+        prompts = prompts.unionByName(of_symbols.select(F.lit("symbol").alias("target_type"), "target_id", "prompt"))
+        work = f"{self.store}/_work-{uuid.uuid4().hex}"
+        jobs.enrich(todo.join(prompts, ["target_type", "target_id"]), generate).write.parquet(work)
+        ran = self.spark.read.parquet(work)
+        base, snapshot = self._new_snapshot()
+        names = [c.split()[0] for c in jobs.JOB.split(", ")]
+        keys = ["target_type", "target_id", "job_type", "model", "input_hash"]
+        upkeep.upsert(every, ran.select(names), keys).write.parquet(f"{base}/jobs")
+        fresh = jobs.outputs(ran)
+        upkeep.upsert(of("model_outputs"), fresh, ["target_type", "target_id", "output_type"]).write.parquet(f"{base}/model_outputs")
+        for n in TABLES:
+            if n not in ("jobs", "model_outputs", "fts_docs"):
+                self.table(n).write.parquet(f"{base}/{n}")
+        new = lambda n: self.spark.read.parquet(f"{base}/{n}")
+        self.documents(new).withColumn("dl", F.size(T.words(F.col("text"))).cast("long")).write.parquet(f"{base}/fts_docs")
+        self._write_index(base, lexical.stemmed(lexical.postings(new("fts_docs"), "target_id", F.col("text"))))
+        done = {r["status"]: r["count"] for r in ran.groupBy("status").count().collect()}
+        self._switch(snapshot)
+        return {"ok": not done.get("error"), "processed": done.get("done", 0), "errors": done.get("error", 0), "interrupted": bool(done.get("pending")), "may_embed": jobs.may_embed(self.table("jobs"))}
 
     # Questions -------------------------------------------------------------------------------------------------------
 
-    def documents(self) -> DataFrame:
+    def documents(self, table: Callable[[str], DataFrame]) -> DataFrame:
         """(record_type, target_id, repo, path, symbol, text): what full-text search covers. Each side is aggregated first."""
-        files, symbols, modules = self.table("files"), self.table("symbols"), self.table("modules")
+        files, symbols, modules = table("files"), table("symbols"), table("modules")
         listed = lambda value, *order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, value.alias("v")))), lambda x: x["v"]), " ")
-        facts = self.table("file_facts").groupBy("file_id").agg(listed(F.concat_ws(":", "fact_type", "value"), "line_start", "fact_type").alias("facts"))
-        flags = self.table("heuristic_flags").groupBy("symbol_id").agg(listed(F.concat_ws(":", "flag", "evidence_value"), "line_start", "flag").alias("flags"))
+        facts = table("file_facts").groupBy("file_id").agg(listed(F.concat_ws(":", "fact_type", "value"), "line_start", "fact_type").alias("facts"))
+        flags = table("heuristic_flags").groupBy("symbol_id").agg(listed(F.concat_ws(":", "flag", "evidence_value"), "line_start", "flag").alias("flags"))
+        said = table("model_outputs").filter("accepted").groupBy("target_type", "target_id").agg(listed(F.col("json_text"), "output_type").alias("said"))
+        said = said.select(F.col("target_type").alias("record_type"), "target_id", "said")
         blank = F.lit("")
         of_files = files.join(facts, "file_id", "left").select(F.lit("file").alias("record_type"), F.col("file_id").alias("target_id"), "repo", "path", blank.alias("symbol"), F.concat_ws(" ", "path", T.module_of(F.col("path")), T.augmented(F.concat_ws(" ", "path", "language", "facts"))).alias("text"))
         of_symbols = symbols.join(files.select("file_id", "path"), "file_id").join(flags, "symbol_id", "left").select(F.lit("symbol").alias("record_type"), F.col("symbol_id").alias("target_id"), "repo", "path", F.col("symbol_ref").alias("symbol"), F.concat_ws(" ", "path", "symbol_ref", T.augmented(F.concat_ws(" ", "primary_text", "symbol_ref")), "flags").alias("text"))
@@ -154,33 +273,54 @@ class Engine:
         names = symbols.groupBy("file_id").agg(listed(F.col("name"), "line_start").alias("names"))
         of_modules = inside.join(names, "file_id", "left").groupBy("module_id", "repo", "name", "path_prefix").agg(listed(F.concat_ws(" ", "path", "names"), "path").alias("body"))
         of_modules = of_modules.select(F.lit("module").alias("record_type"), F.col("module_id").alias("target_id"), "repo", F.col("path_prefix").alias("path"), blank.alias("symbol"), F.concat_ws(" ", "name", "path_prefix", T.augmented(F.col("body"))).alias("text"))
-        return of_files.unionByName(of_symbols).unionByName(of_modules)
+        every = of_files.unionByName(of_symbols).unionByName(of_modules).join(said, ["record_type", "target_id"], "left")
+        return every.withColumn("text", F.concat_ws(" ", "text", "said")).drop("said")
 
     def ranked(self, questions: DataFrame) -> DataFrame:
         """All fused candidates of (query_id, repo, text)."""
-        docs = self.documents()
-        scored = lexical.bm25(questions, lexical.stemmed(lexical.postings(docs, "target_id", F.col("text"))), lexical.lengths(docs, "target_id", F.col("text")), prefix=True, stem=True)
+        index, docs = self.index(), self.table("fts_docs")
+        scored = lexical.bm25(questions, index.postings, index.lengths, prefix=True, stem=True, vocab=index.vocabulary)
         about = docs.select("record_type", "target_id", F.col("repo").alias("_repo"), "path", "symbol")
         asked = questions.select("query_id", "repo", F.col("text").alias("query"))
         scored = scored.withColumnRenamed("doc", "target_id").join(about, "target_id").join(asked, "query_id").filter("repo = _repo")
         by_words = lexical.top(scored, 30, [F.round("score", 9), F.col("record_type"), F.col("path"), F.col("target_id")]).select("query_id", "target_id", "rank")
         vectors_of = vectors.embed(questions.select(F.col("query_id").alias("target_id"), "text"), self.embedder).select(F.col("target_id").alias("query_id"), F.col("vector").alias("query_vector"))
         vectors_of = vectors_of.filter("query_vector IS NOT NULL").join(questions.select("query_id", "repo"), "query_id")
-        stored = self.table("vectors").join(self.table("symbols").select(F.col("symbol_id").alias("target_id"), "repo"), "target_id").select("target_id", "repo", "vector")
-        by_meaning = vectors.nearest(vectors_of, stored, 10, within="repo").select("query_id", "target_id", "rank")
+        by_meaning = vectors.nearest(vectors_of, self.table("vectors").select("target_id", "repo", "vector"), 10, within="repo").select("query_id", "target_id", "rank")
         found = ranking.candidates(by_words, by_meaning, ["target_id"]).join(about, "target_id").join(asked, "query_id").filter("repo = _repo").drop("_repo")
         why = heuristics.reasons(self.table("heuristic_flags"), self.table("symbol_calls")).withColumnRenamed("symbol_id", "target_id")
-        found = found.join(why, "target_id", "left").withColumn("why", F.coalesce("why", F.when(F.col("lexical_rank").isNull(), "semantic alias").otherwise("lexical match")))
-        return ranking.rerank(found)
+        # What has neither flags nor calls shows where its text has the question's words.
+        shown = found.select("target_id", "query_id", "query").join(docs.select("target_id", "text"), "target_id").withColumn("at", F.struct("query_id", "target_id"))
+        snippet = lexical.snippets(shown, "at", F.col("text"), T.query_terms(F.col("query"))).select("doc.*", "snippet")
+        found = found.join(why, "target_id", "left").join(snippet, ["query_id", "target_id"], "left")
+        reason = F.coalesce("why", F.when(F.col("lexical_rank").isNull(), "semantic alias match; inspect before trusting").otherwise(F.coalesce("snippet", F.lit("lexical match"))))
+        return ranking.rerank(found.withColumn("why", reason).drop("snippet"))
+
+    def lines(self) -> DataFrame:
+        """(target_id, line_start, line_end) of every target: a symbol's own, a file's first 80, a module's first."""
+        of_symbols = self.table("symbols").select(F.col("symbol_id").alias("target_id"), "line_start", "line_end")
+        of_files = self.table("files").select(F.col("file_id").alias("target_id"), F.lit(1).alias("line_start"), F.least("line_count", F.lit(LISTED)).alias("line_end"))
+        return of_symbols.unionByName(of_files).unionByName(self.table("modules").select(F.col("module_id").alias("target_id"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end")))
+
+    def search(self, questions: DataFrame, limit: int | None = None) -> DataFrame:
+        first = self.ranked(questions).filter(F.col("final_rank") < (limit or self.settings.result_limit))
+        return targets.handles(first.join(self.lines(), "target_id", "left"))
 
-    def search(self, questions: DataFrame, limit: int = 5) -> DataFrame:
-        return targets.handles(self.ranked(questions).filter(F.col("final_rank") < limit))
+    def remember(self, repo: str, rows: list[dict]) -> None:
+        """Keep the handles of what was shown last (rows in order); ``open`` resolves them."""
+        kept = [{"result_id": f"r_{i:02d}", "repo": repo, "type": r.get("record_type") or "symbol", **{c: r.get(c) for c in ("target_id", "path", "line_start", "line_end")}, "symbol_ref": r.get("symbol") or r.get("symbol_ref")} for i, r in enumerate(rows, 1)]
+        self._json("handles.json", {**self._json("handles.json"), repo: kept})
 
     def find(self, questions: DataFrame, kinds: tuple[str, ...] = ("symbol", "call", "literal", "path"), limit: int = 10) -> DataFrame:
         return ranking.find(questions, self.table("files"), self.table("symbols"), self.table("symbol_calls"), self.table("symbol_literals"), kinds, limit)
 
-    def explore(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(blocks, blast radius): the seeds of each question and their neighbours, rendered within the budget."""
+    def explore(self, questions: DataFrame, check_stale: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(blocks, blast radius): the seeds of each question and their neighbours, rendered within the budget.
+
+        Blocks come by file, files in the order of their first block (file_position, position). A block of a family's
+        further member has no body but collapsed_to, its representative. With ``check_stale`` files are looked at where
+        they lie, and those that have changed show no bodies. ``truncated`` tells that the question had more symbols.
+        """
         symbols, calls, files = self.table("symbols"), self.table("symbol_calls"), self.table("files")
         seeds = ranking.seeds(self.ranked(questions)).join(symbols.select(F.col("symbol_id").alias("target_id"), "name"), "target_id")
         seeds = seeds.select("query_id", "repo", F.col("target_id").alias("symbol_id"), "name", "seed_rank")
@@ -188,23 +328,46 @@ class Engine:
         sizes = files.groupBy("repo").agg(F.count("*").alias("_files")).withColumn("tier", vectors.tier(F.col("_files"))).select("repo", "tier")
         body = F.array_join(F.slice("lines", F.col("line_start"), F.greatest(F.lit(0), F.col("line_end") - F.col("line_start") + 1)), "\n")
         full = order.join(symbols.select("symbol_id", "repo", "file_id", "symbol_ref", "signature", "line_start", "line_end"), "symbol_id").join(files.select("file_id", "path", "lines"), "file_id").join(sizes, "repo")
-        cap = F.when(F.col("is_seed"), 1600).otherwise(600)
-        cut = F.when(F.length(body) > cap, F.concat(F.substr(body, F.lit(1), cap), F.lit("\n… (truncated — open for full body)"))).otherwise(body)
-        sized = full.withColumn("body", cut).withColumn("size", F.length("body") + F.length("symbol_ref") + F.length("signature"))
-        members = order.join(self.table("vectors").select(F.col("target_id").alias("symbol_id"), "vector"), "symbol_id").join(questions.select("query_id", "repo"), "query_id").join(sizes, "repo")
+        members = order.join(self.table("vectors").filter("target_type = 'symbol'").select(F.col("target_id").alias("symbol_id"), "vector"), "symbol_id").join(questions.select("query_id", "repo"), "query_id").join(sizes, "repo")
         members = members.select("query_id", F.col("symbol_id").alias("id"), "position", "vector", F.col("is_seed").alias("protected"), "tier")
         folded = vectors.families(members, F.col("tier.floor"), F.col("tier.min_size")).withColumnRenamed("id", "symbol_id")
-        sized = sized.join(folded, ["query_id", "symbol_id"], "left")
-        sized = sized.withColumn("body", F.when(F.col("representative").isNull(), F.col("body"))).withColumn("size", F.coalesce(F.length("body"), F.lit(0)) + F.length("symbol_ref") + F.length("signature"))
-        blocks = ranking.within_budget(sized, F.col("tier.budget")).select("query_id", "position", "path", "symbol_ref", "signature", "line_start", "line_end", "is_seed", "body")
-        return blocks, graph.blast_radius(seeds, calls, symbols, files)
+        names = symbols.select(F.col("symbol_id").alias("representative"), F.col("symbol_ref").alias("collapsed_to"))
+        full = full.join(folded.join(names, "representative", "left"), ["query_id", "symbol_id"], "left").join(self._flags_shown(), "symbol_id", "left")
+        if check_stale:
+            changed = [self.stale(r["repo"]) for r in questions.select("repo").distinct().collect() if r["repo"] in self.repos()]
+            now = changed[0]
+            for c in changed[1:]:
+                now = now.unionByName(c)
+            full = full.join(now.select("repo", "path").distinct().withColumn("stale", F.lit(True)), ["repo", "path"], "left")
+        else:
+            full = full.withColumn("stale", F.lit(None).cast("boolean"))
+        hidden = F.col("collapsed_to").isNotNull() | F.coalesce("stale", F.lit(False))
+        sized = full.withColumn("body", F.when(~hidden, ranking.shown_body(body, F.col("is_seed")))).withColumn("size", F.coalesce(F.length("body"), F.lit(0)) + F.length("symbol_ref") + F.length("signature"))
+        sized = sized.withColumn("_all", F.count("*").over(Window.partitionBy("query_id")))
+        blocks = ranking.within_budget(sized, F.col("tier.budget"))
+        blocks = blocks.withColumns({"file_position": F.min("position").over(Window.partitionBy("query_id", "path")), "truncated": F.count("*").over(Window.partitionBy("query_id")) < F.col("_all"), "stale": F.coalesce("stale", F.lit(False))})
+        columns = ("query_id", "file_position", "position", "path", F.col("symbol_id").alias("target_id"), "symbol_ref", "signature", "line_start", "line_end", "flags", "is_seed", "stale", "collapsed_to", "body", "truncated")
+        return blocks.select(*columns), graph.blast_radius(seeds, calls, symbols, files)
+
+    def _flags_shown(self) -> DataFrame:
+        """(symbol_id, flags): the first different flags of each symbol."""
+        seen = self.table("heuristic_flags").groupBy("symbol_id", "flag").agg(F.min("line_start").alias("line"))
+        cut = seen.withColumn("_n", F.row_number().over(Window.partitionBy("symbol_id").orderBy("line", "flag"))).filter(F.col("_n") <= FLAGS_SHOWN)
+        return cut.groupBy("symbol_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "flag"))), lambda x: x["flag"]), ", ").alias("flags"))
 
     def open(self, asked: DataFrame) -> DataFrame:
-        """Resolve (ask_id, repo, target) and show the lines of files and symbols."""
-        found = targets.resolve(asked, self.table("files"), self.table("symbols"), self.table("modules"))
+        """Resolve (ask_id, repo, target): lines of files and symbols (first_line, lines), listings of modules
+        (one line a file), and who calls a symbol and what it calls (callers, callees, flags)."""
+        files, symbols = self.table("files"), self.table("symbols")
+        handles = [tuple(r[c.split()[0]] for c in HANDLE.split(", ")) for rows in self._json("handles.json").values() for r in rows]
+        cached = self.spark.createDataFrame(handles, HANDLE) if handles else None
+        found = targets.resolve(asked, files, symbols, self.table("modules"), cached)
         ready = found.filter("status = 'ok'").join(asked.select("ask_id", "repo"), "ask_id")
-        shown = targets.open_lines(ready, self.table("files")).select("ask_id", "first_line", "lines")
-        return found.join(shown, "ask_id", "left")
+        shown = targets.open_lines(ready.filter("type <> 'module'"), files).select("ask_id", "first_line", "lines")
+        listing = targets.list_modules(ready.filter("type = 'module'"), files, symbols, LISTED).select("ask_id", F.lit(1).alias("first_line"), "lines")
+        around = ready.filter("type = 'symbol'").join(symbols.select(F.col("symbol_id").alias("target_id"), "name"), "target_id").select("repo", F.col("target_id").alias("symbol_id"), "name").distinct()
+        trail = graph.trail(around, self.table("symbol_calls"), symbols, self.table("heuristic_flags")).select(F.col("symbol_id").alias("target_id"), "callers", "callees", "flags")
+        return found.join(shown.unionByName(listing), "ask_id", "left").join(trail, "target_id", "left")
 
     def stale(self, slug: str) -> DataFrame:
         """Indexed files whose content on disk is another now."""
@@ -213,10 +376,21 @@ class Engine:
         now = tree.read_files(self.spark, root, slug, tree.list_files(root)).withColumn("sha256", F.sha2("content", 256))
         return upkeep.stale(files, now, ["repo", "path"])
 
+    def queue(self) -> dict:
+        """The work queue by model, type and status, and how far each type is."""
+        every = self.table("jobs")
+        order = lambda df, *by: [r.asDict() for r in df.orderBy(*by).collect()]
+        return {"ok": True, "jobs": order(upkeep.queue_status(every), "model", "job_type", "status"), "summary": order(upkeep.queue_summary(every), "job_type")} if every is not None else {"ok": True, "jobs": [], "summary": []}
+
     def status(self) -> dict:
         files = self.table("files")
         counts = {r["repo"]: r["count"] for r in files.groupBy("repo").count().collect()} if files is not None else {}
-        return {"ok": True, "repos": {s: {**r, "files": counts.get(s, 0)} for s, r in self.repos().items()}}
+        return {"ok": True, "store": self.store, "repos": {s: {**r, "files": counts.get(s, 0)} for s, r in self.repos().items()}}
+
+
+def covered(path: Column, within: str) -> Column:
+    """Whether a path is ``within`` or lies in it; everything lies in the root."""
+    return (path == within) | upkeep.under(path, F.lit(within))
 
 
 def normal_path(path: str) -> str:

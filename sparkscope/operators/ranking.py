@@ -12,6 +12,15 @@ RRF_K = 60
 TYPE_PRIOR = {"symbol": 0.5, "file": 0.25}
 TEST_PENALTY = 1.0
 SEED_RATIO, SEEDS, MAX_SYMBOLS = 0.5, 5, 12
+# Characters of a body that are shown, and what marks one that was cut.
+SEED_CHARS, NEIGHBOR_CHARS = 1600, 600
+TRUNCATED = "\n… (truncated — open for full body)"
+
+
+def shown_body(body: Column, is_seed: Column) -> Column:
+    """A symbol's body as explore shows it."""
+    most = F.when(is_seed, SEED_CHARS).otherwise(NEIGHBOR_CHARS)
+    return F.when(F.length(body) > most, F.concat(F.substr(body, F.lit(1), most), F.lit(TRUNCATED))).otherwise(body)
 
 
 def candidates(lexical: DataFrame, semantic: DataFrame, on: list[str]) -> DataFrame:

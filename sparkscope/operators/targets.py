@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkscope.functions.text import directory
 from sparkscope.operators.ranking import holding
+from sparkscope.operators.upkeep import ancestors
 
 FUZZY = 6
 COLUMNS = ("type", "target_id", "path", "symbol_ref", "line_start", "line_end")
@@ -40,7 +42,7 @@ def resolve(asked: DataFrame, files: DataFrame, symbols: DataFrame, modules: Dat
     target = F.col("target")
     steps = []
     if cached is not None:
-        steps.append(step(1, asked.select("ask_id", F.col("target").alias("result_id")).join(cached, "result_id"), F.col("path")))
+        steps.append(step(1, asked.select("ask_id", "repo", F.col("target").alias("result_id")).join(cached, ["repo", "result_id"]), F.col("path")))
     steps.append(step(2, met(named.withColumn("_key", F.col("symbol_ref")), target), F.col("ord")).filter("n = 1"))
     steps.append(step(3, met(as_files, target), F.col("path")).filter("n = 1"))
     steps.append(step(4, met(as_modules, F.rtrim(target, F.lit("/"))), F.col("path")).filter("n = 1"))
@@ -72,6 +74,17 @@ def open_lines(found: DataFrame, files: DataFrame, around: int = 2) -> DataFrame
     return joined.withColumns({"first_line": first, "lines": F.slice(F.col("_lines"), first, F.greatest(F.lit(0), F.col("line_end") + pad - first + 1))}).drop("_lines")
 
 
+def list_modules(found: DataFrame, files: DataFrame, symbols: DataFrame, most: int = 80) -> DataFrame:
+    """(ask_id, lines) of modules (ask_id, repo, path): the first files by path below each, one line with its symbols a file."""
+    folders = F.array_union(F.array(F.lit("")), ancestors(directory(F.col("path"))))
+    inside = files.select("repo", "file_id", F.col("path").alias("_file"), F.explode(folders).alias("path"))
+    met = found.select("ask_id", "repo", "path").join(inside, ["repo", "path"])
+    met = met.withColumn("_n", F.row_number().over(Window.partitionBy("ask_id").orderBy("_file"))).filter(F.col("_n") <= most)
+    names = symbols.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "symbol_ref"))), lambda x: x["symbol_ref"]), ", ").alias("_names"))
+    line = F.concat(F.col("_file"), F.lit(": "), F.coalesce("_names", F.lit("")))
+    return met.join(names, "file_id", "left").groupBy("ask_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+
+
 def list_directory(files: DataFrame, symbols: DataFrame, prefix: Column, most: int = 80) -> DataFrame:
     """(repo, path, line_count, symbols) of files in a directory, the first 80 by path in each repository; symbols by position."""
     inside = files.filter((prefix == "") | F.col("path").startswith(F.concat(prefix, F.lit("/"))))

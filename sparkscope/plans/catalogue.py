@@ -408,15 +408,31 @@ def budget_spine(spark, d):
     return ranking.within_budget(rows, F.lit(900), position="turn").select("query_id", "turn", "size", "used")
 
 
-@query()
+@query(
+    sql(
+        ALL + " calls",
+        CANDIDATES.rstrip() + ", first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) - 1 AS seed_rank FROM ranked WHERE record_type = 'symbol' AND NOT is_test), "
+        "five AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM first WHERE seed_rank < 5), "
+        "seed AS (SELECT query_id, repo, target_id AS symbol_id, name, seed_rank FROM five WHERE score >= 0.5 * best), "
+        "def AS (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY ord, symbol_id) - 1 AS n FROM symbols), "
+        "down AS (SELECT s.query_id, d.symbol_id AS found, seed_rank, 1 AS step, c.function_name AS via, d.n FROM seed s JOIN calls c USING (symbol_id) JOIN def d ON d.name = c.function_name AND d.repo = s.repo WHERE d.n < 2), "
+        + KEYS.format(more="") + ", met AS (SELECT DISTINCT s.query_id, s.repo, s.symbol_id, seed_rank, k.caller FROM seed s JOIN (SELECT caller, substr(key, 2) AS name FROM keys) k ON k.name = s.name WHERE k.caller <> s.symbol_id), "
+        "up AS (SELECT m.query_id, caller AS found, seed_rank, 2 AS step, '' AS via, row_number() OVER (PARTITION BY m.query_id, m.symbol_id ORDER BY c.ord, caller) - 1 AS n FROM met m JOIN symbols c ON c.symbol_id = m.caller AND c.repo = m.repo), "
+        "every AS (SELECT query_id, symbol_id AS found, seed_rank, 0 AS step, '' AS via, 0 AS n, 0 AS late FROM seed UNION ALL SELECT *, 1 FROM down UNION ALL SELECT *, 1 FROM up WHERE n < 6), "
+        "one AS (SELECT *, row_number() OVER (PARTITION BY query_id, found ORDER BY late, seed_rank, step, via, n) AS k FROM every), "
+        "spine AS (SELECT query_id, found AS symbol_id, late = 0 AS is_seed, row_number() OVER (PARTITION BY query_id ORDER BY late, seed_rank, step, via, n, found) - 1 AS position FROM one WHERE k = 1), "
+        "sized AS (SELECT p.*, least(length(primary_text), CASE WHEN is_seed THEN 1600 ELSE 600 END) + CASE WHEN length(primary_text) > CASE WHEN is_seed THEN 1600 ELSE 600 END THEN " + str(len(ranking.TRUNCATED)) + " ELSE 0 END + length(symbol_ref) + length(signature) AS size FROM spine p JOIN symbols USING (symbol_id)), "
+        "run AS (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY position) AS used FROM sized) "
+        "SELECT query_id, symbol_id, position, is_seed, size FROM run WHERE position = 0 OR (position < 12 AND used <= 13000)",
+    )
+)
 def explore(spark, d):
     """Ranked seeds, their spine within the budget, and who calls the seeds."""
     calls, symbols = R.calls(spark, d), R.symbols(spark, d)
     found = ranking.seeds(ranking.rerank(_candidates(spark, d)))
     seed = found.select("query_id", "repo", F.col("target_id").alias("symbol_id"), "name", "seed_rank")
     order = graph.spine(seed, calls, symbols).join(symbols.select("symbol_id", "symbol_ref", "signature", "primary_text"), "symbol_id")
-    cap = F.when(F.col("is_seed"), 1600).otherwise(600)
-    body = F.when(F.length("primary_text") > cap, F.concat(F.substr("primary_text", F.lit(1), cap), F.lit("\n… (truncated — open for full body)"))).otherwise(F.col("primary_text"))
+    body = ranking.shown_body(F.col("primary_text"), F.col("is_seed"))
     sized = order.withColumn("size", F.length(body) + F.length("symbol_ref") + F.length("signature"))
     return ranking.within_budget(sized, F.lit(vectors.TIERS[0][1])).select("query_id", "symbol_id", F.col("position").cast("long").alias("position"), "is_seed", F.col("size").cast("long").alias("size"))
 

@@ -70,6 +70,89 @@ def test_find_search_open_explore(engine):
     assert called["callers"] == ["pkg.login.loginAdmin"] and called["tests"] == ["tests.test_store.test_delete"]
 
 
+def test_lines_handles_and_folders(engine, capsys):
+    from sparkscope import cli
+
+    first = engine.search(ask(engine, "admin logins")).orderBy("final_rank").collect()
+    assert (first[0]["line_start"], first[0]["line_end"]) == (4, 6)
+    engine.remember("demo", [r.asDict() for r in first])
+    rows = [(0, "demo", "r_01"), (1, "demo", "pkg"), (2, "other", "r_01")]
+    got = {r["ask_id"]: r for r in engine.open(engine.spark.createDataFrame(rows, "ask_id long, repo string, target string")).collect()}
+    assert got[0]["step"] == 1 and got[0]["symbol_ref"] == "pkg.login.loginAdmin" and "helper" in got[0]["callees"] and got[2]["status"] == "not_found"
+    assert got[1]["lines"][0] == "pkg/__init__.py: " and got[1]["lines"][1] == "pkg/login.py: pkg.login.loginAdmin" and len(got[1]["lines"]) == 3
+    assert cli.smoke()["ok"]
+
+
+def test_explore_says_what_is_stale_or_cut(engine):
+    text = (engine.root / "pkg/store.py").read_text()
+    (engine.root / "pkg/store.py").write_text(text + "# more\n")
+    try:
+        blocks = engine.explore(ask(engine, "delete rows"), check_stale=True)[0].collect()
+    finally:
+        (engine.root / "pkg/store.py").write_text(text)
+    assert all((b["body"] is None) == (b["path"] == "pkg/store.py") == b["stale"] for b in blocks) and any(b["stale"] for b in blocks)
+    assert any(b["flags"] and "destructive_delete" in b["flags"] for b in blocks)
+
+
+def test_jobs(engine):
+    kinds = {(r["target_type"], r["job_type"], r["status"]) for r in engine.table("jobs").collect()}
+    assert kinds == {(t, "embedding", "done") for t in ("symbol", "file", "module")}
+    assert {r["target_type"] for r in engine.table("vectors").collect()} == {"symbol", "file", "module"}
+    engine.refresh("demo", full=True, enrich=True)
+
+    def generate(prompt, model):
+        if "path_prefix: tests" in prompt:
+            raise ValueError("too long")
+        return {"summary": "zebra crossing", "exact_terms": ["x"]} if prompt.startswith("path: ") else {"exact_terms": ["x"]}
+
+    done = engine.enrich(generate)
+    assert done["errors"] == 1 and not done["interrupted"] and done["may_embed"]
+    assert engine.search(ask(engine, "zebra")).count() > 0
+    outputs = engine.table("model_outputs").collect()
+    assert {r["rejected_reason"] for r in outputs} == {None, "no_accepted_fields"} and not any("exact_terms" in r["json_text"] for r in outputs if r["accepted"])
+    status = {r["status"]: r["count"] for r in engine.queue()["jobs"] if r["job_type"] == "module_enrichment"}
+    assert status["error"] == 1
+
+    def away(prompt, model):
+        raise OSError("Connection refused")
+
+    assert engine.enrich(away)["interrupted"]
+    engine.refresh("demo", full=True)
+
+
+def test_postings_follow_a_refresh(engine):
+    (engine.root / "pkg/extra.py").write_text("def quokka():\n    return helper(1)\n")
+    engine.refresh("demo")
+    assert engine.search(ask(engine, "quokka")).orderBy("final_rank").first()["symbol"] == "pkg.extra.quokka"
+    os.remove(engine.root / "pkg/extra.py")
+    engine.refresh("demo")
+    state = lambda: [sorted(map(str, t.collect())) for t in (engine.index().postings.select("doc", "term", "tf"), engine.table("fts_docs").select("target_id", "text", "dl"))]
+    before = state()
+    assert "quokka" not in str(before)
+    engine.refresh("demo", full=True)
+    assert state() == before
+
+
+def test_delete_and_reset(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    for repo in ("a", "b"):
+        os.makedirs(tmp_path / repo)
+        (tmp_path / repo / "m.py").write_text(f"def only_{repo}():\n    pass\n")
+        e.register(str(tmp_path / repo), repo)
+        e.refresh(repo)
+    e.delete_repo("a")
+    assert {r["repo"] for n in ("files", "symbols", "jobs", "fts_docs", "vectors") for r in e.table(n).collect()} == {"b"} and list(e.repos()) == ["b"]
+    assert not e.index().postings.filter("term = 'a'").count() and e.vacuum()["ok"]
+    assert e.reset()["ok"] and e.repos() == {} and e.table("files") is None
+
+
+def test_settings():
+    from sparkscope.settings import Settings
+
+    got = Settings.from_env({"SPARKSCOPE_RESULT_LIMIT": "7", "SPARKSCOPE_EMBED_BATCH": "x", "SPARKSCOPE_RESPECT_GITIGNORE": "no"})
+    assert (got.result_limit, got.embed_batch, got.respect_gitignore) == (7, 32, False)
+
+
 def test_flags(engine):
     flags = {(r["name"], r["flag"]) for r in engine.table("heuristic_flags").join(engine.table("symbols"), "symbol_id").collect()}
     assert {("delete_rows", "destructive_delete"), ("delete_rows", "confirmation_gate"), ("helper", "filesystem_access")} <= flags
