@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscope.llm import chat, metric_join, near_duplicates, phrase_index, quality, repeats, secrets, token_counts, unigram, warc
+from sparkscope.llm import chat, metric_join, near_duplicates, oracles, phrase_index, quality, repeats, secrets, token_counts, unigram, warc
 from sparkscope.llm.common import fresh_path, table
 from sparkscope.llm.vocabulary import default_path
 
@@ -70,7 +70,7 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = oracles.ORACLES | {
     "op5_chat_formatting": """
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
