@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscope.llm import chat, metric_join, near_duplicates, oracles, phrase_index, quality, repeats, secrets, token_counts, unigram, warc
+from sparkscope.llm import chat, metric_join, near_duplicates, oracles, packing, phrase_index, quality, repeats, secrets, token_counts, unigram, warc
 from sparkscope.llm.common import fresh_path, table
-from sparkscope.llm.vocabulary import default_path
+from sparkscope.llm.vocabulary import default_path, public_path
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return phrase_index.report(phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = fresh_path(spark, "packed")
+    packing.pack(table(spark, sf_dir, "documents"), target, public_path("byte_bpe_50k.json"))
+    return packing.digests(packing.read(spark, target)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +73,7 @@ QUERIES = {
         op8_warc,
         op9_sentencepiece,
         op10_benchmark_decontamination,
+        op11_packing,
     )
 }
 

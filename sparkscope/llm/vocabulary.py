@@ -105,10 +105,14 @@ def load(path: str) -> Vocabulary:
     return parse(data)
 
 
-def default_path() -> str:
+def public_path(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
+
+
+def default_path() -> str:
+    return public_path("piece_bpe_32k.model")
 
 
 class WordUnits:
