@@ -4,6 +4,52 @@ from __future__ import annotations
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _merkle() -> str:
+    """Trees of three by recursion over levels: of each source, then over the sources' roots; proofs folded by a list."""
+
+    def leaf(text: str) -> str:
+        fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+    def up(rows: str) -> str:
+        return f"""{rows}
+            UNION ALL
+            SELECT g, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3) FROM {{name}} WHERE n > 1 GROUP BY g, lvl, i // 3"""
+
+    def beside(name: str, at: str, on: str, first: int) -> str:
+        own = f"{at} // CAST(pow(3, u.lvl) AS BIGINT)"
+        return f"""SELECT rid, u.lvl + {first} AS lvl, coalesce(string_agg(h, '' ORDER BY u.i) FILTER (WHERE u.i < {own}), '') AS before,
+                   coalesce(string_agg(h, '' ORDER BY u.i) FILTER (WHERE u.i > {own}), '') AS after
+            FROM leaves l JOIN {name} u ON {on} AND u.n > 1 AND u.i // 3 = {at} // CAST(pow(3, u.lvl + 1) AS BIGINT) GROUP BY rid, u.lvl"""
+
+    return f"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+        ), hashed AS (
+            SELECT doc_id, source, {leaf("text")} AS leaf, {leaf("replace(text, chr(10), '')")} AS other,
+                   xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda a: CAST(ord(a) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS sum
+            FROM documents, crc
+        ), leaves AS (
+            SELECT *, CASE WHEN sum % 2 = 0 THEN other ELSE leaf END AS changed, row_number() OVER () AS rid,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM hashed
+        ), up AS (
+            {up("SELECT g, 0 AS lvl, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves").format(name="up")}
+        ), subroots AS (SELECT g AS i, h AS subroot, count(*) OVER () AS n FROM up WHERE n = 1), top AS (
+            {up("SELECT 0 AS g, 0 AS lvl, i, subroot AS h, n FROM subroots").format(name="top")}
+        ), steps AS (
+            {beside("up", "l.i", "u.g = l.g", 0)}
+            UNION ALL {beside("top", "l.g", "u.g = 0", 100)}
+        ), proofs AS (
+            SELECT rid, string_agg(before || after, '' ORDER BY lvl) AS proof, list(before || '|' || after ORDER BY lvl) AS path FROM steps GROUP BY rid
+        ), folded AS (
+            SELECT l.*, coalesce(proof, '') AS proof, list_reduce(coalesce(path, []), lambda h, p: sha256(split_part(p, '|', 1) || h || split_part(p, '|', 2)), changed) AS folded_root
+            FROM leaves l LEFT JOIN proofs USING (rid)
+        )
+        SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = h AS verified
+        FROM folded f JOIN subroots s ON s.i = f.g, (SELECT h FROM top WHERE n = 1)
+    """
+
+
 ORACLES: dict[str, str] = {
     # Bytes are pairs of hex digits; blocks keep the strings short from which windows are cut.
     "op1_suffix_array_dedup": """
@@ -98,4 +144,36 @@ ORACLES: dict[str, str] = {
                coalesce(hit.n, 0) > 0 AS contaminated, coalesce(near.n, 0) AS n_near_items
         FROM texts t LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
+    "op12_merkle_manifest": _merkle(),
+    "op13_filter_audit": """
+        WITH letters(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+        ), steps AS (
+            SELECT o, s, sum(bit) FILTER (WHERE strpos(o, l) = s) AS bit, coalesce(sum(bit) FILTER (WHERE strpos(o, l) < s), 0) AS before
+            FROM orders, range(1, 6) r(s), letters GROUP BY o, s
+        ), said AS (
+            SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+        ), texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), failing AS (
+            SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM texts
+        ), cells AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM failing LEFT JOIN said USING (doc_id) GROUP BY part, mask
+        ), counted AS (
+            SELECT part, o, s, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN g ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN x ELSE 0 END) AS toxic_lost
+            FROM (SELECT o, s, CAST(bit AS BIGINT) AS bit, CAST(before AS BIGINT) AS before FROM steps), (SELECT part, CAST(mask AS BIGINT) AS mask, n, g, x FROM cells) GROUP BY part, o, s, bit
+        )
+        SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM counted
+    """,
 }

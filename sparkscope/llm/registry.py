@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkscope.llm import chat, metric_join, near_duplicates, oracles, packing, phrase_index, quality, repeats, secrets, token_counts, unigram, warc
+from sparkscope.llm import chat, filter_audit, merkle, metric_join, near_duplicates, oracles, packing, phrase_index, quality, repeats, secrets, token_counts, unigram, warc
 from sparkscope.llm.common import fresh_path, table
 from sparkscope.llm.vocabulary import default_path, public_path
 
@@ -60,6 +61,21 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.read(spark, target)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars")
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    changed = F.when(tampered, merkle.leaf(*fields, F.replace("text", F.lit("\n"), F.lit("")))).otherwise(F.lit(None))
+    leaves = docs.select("doc_id", "source", merkle.leaf(*fields, "text").alias("leaf"), changed.alias("changed"))
+    found = merkle.proofs(leaves).withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    proof = F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +90,8 @@ QUERIES = {
         op9_sentencepiece,
         op10_benchmark_decontamination,
         op11_packing,
+        op12_merkle_manifest,
+        op13_filter_audit,
     )
 }
 
