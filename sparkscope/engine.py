@@ -1,8 +1,8 @@
-"""The engine: repositories are indexed into snapshots of Parquet tables, and questions are answered from them.
+"""The engine: repositories are indexed into tables of segments, and questions are answered from them.
 
-A refresh reads changed files only, writes a new snapshot and then switches the pointer, so that no plan reads what it
-overwrites and an interrupted refresh leaves the old snapshot in place. The snapshot before the current one is kept for
-plans that still read it; older ones are deleted.
+A refresh compares the tree with the index and writes segments for what has changed only: rows of changed files and of
+the modules that they are in, and tombstones for the rows before. It is seen once its manifest is switched, so no plan
+reads what it overwrites and an interrupted refresh leaves the index as it was.
 """
 
 from __future__ import annotations
@@ -21,11 +21,19 @@ from sparkscope.functions import text as T
 from sparkscope.operators import graph, heuristics, jobs, lexical, ranking, targets, upkeep, vectors
 from sparkscope.settings import Settings
 from sparkscope.sources import extract, files as stored, tree
-
-TABLES = ("files", "symbols", "symbol_calls", "symbol_literals", "file_facts", "heuristic_flags", "modules", "path_audit", "vectors", "jobs", "model_outputs", "fts_docs")
+from sparkscope.sources.segments import Change, Kept, Store
+
+_OF_FILE, _OF_SYMBOL = Kept("file", ("file_id",)), Kept("file", ("file_id",), hidden=("file_id",))
+_TARGET = ("target_type", "target_id")
+TABLES = {
+    "files": _OF_FILE, "symbols": _OF_FILE, "file_facts": _OF_FILE, "symbol_calls": _OF_SYMBOL, "symbol_literals": _OF_SYMBOL, "heuristic_flags": _OF_SYMBOL,
+    "modules": Kept("module", ("module_id",)), "path_audit": Kept("path", ("path",)),
+    "vectors": Kept("vector", _TARGET), "jobs": Kept("job", _TARGET), "model_outputs": Kept("output", _TARGET),
+    "fts_docs": Kept("text", ("target_id",)), "postings": Kept("text", ("target_id",), folders=("part",), order=("term",)), "vocabulary": Kept(),
+}
 RULES = "repo string, path string, path_kind string, action string, reason string, ord long"
 HANDLE = "result_id string, repo string, type string, target_id long, path string, symbol_ref string, line_start int, line_end int"
-NO_FILES = "repo string, path string, file_id long, sha256 string, mtime_ns long"
+KNOWN = "path string, decision string, reason string, kind string, size long, file_id long, sha256 string, mtime_ns long"
 FLAGS_SHOWN, LISTED = 4, 80
 
 
@@ -33,7 +41,7 @@ class Engine:
     def __init__(self, spark: SparkSession, store: str, embedder=None, settings: Settings | None = None):
         self.spark, self.store, self.settings = spark, store, settings or Settings()
         self.embedder = embedder or vectors.hashing_embedder()
-        stored.make_folder(spark, store)
+        self.tables = Store(spark, store, TABLES)
 
     # State -----------------------------------------------------------------------------------------------------------
 
@@ -55,15 +63,12 @@ class Engine:
         self._json("repos.json", repos)
         return {"ok": True, "repo": slug, **repos[slug]}
 
-    def _current(self) -> str | None:
-        return self._json("current.json").get("snapshot")
-
-    def table(self, name: str) -> DataFrame | None:
-        current = self._current()
-        return self.spark.read.parquet(f"{self.store}/{current}/{name}") if current else None
+    def table(self, name: str, repos: list[str] | None = None) -> DataFrame | None:
+        """A table of all repositories or of some; None before anything was indexed."""
+        return self.tables.table(name, repos)
 
     def index(self) -> lexical.Index:
-        return lexical.read_index(self.spark, f"{self.store}/{self._current()}/fulltext")
+        return lexical.Index(self.table("postings").withColumnRenamed("target_id", "doc"), self.table("fts_docs").select(F.col("target_id").alias("doc"), "dl"), self.table("vocabulary").drop("repo").distinct())
 
     def rules(self) -> DataFrame:
         rows = [(r["repo"], r["path"], r["path_kind"], r["action"], r.get("reason"), i) for i, r in enumerate(self._json("rules.json").get("rules", []))]
@@ -80,151 +85,159 @@ class Engine:
         return {**done, **key, "removed": len(rules) < len(old) if remove else False}
 
     def vacuum(self) -> dict:
-        """Delete what no snapshot needs: all but the current one and the one before, and work in progress."""
-        current = self._json("current.json")
-        gone = [n for n in stored.names(self.spark, self.store) if n.startswith(("s-", "_work-")) and n not in current.values()]
-        for n in gone:
-            stored.delete(self.spark, f"{self.store}/{n}")
-        return {"ok": True, "deleted": len(gone)}
+        """Merge every table into one segment a repository, and delete what no reader needs and work in progress."""
+        gone = 0
+        for repo in self.tables.repos():
+            self.tables.begin(repo).compact()
+            gone += self.tables.vacuum(repo)
+        for n in stored.names(self.spark, self.store):
+            if n.startswith("_work-"):
+                stored.delete(self.spark, f"{self.store}/{n}")
+        return {"ok": True, "deleted": gone}
 
     def reset(self) -> dict:
-        """Forget everything: repositories, rules, handles and snapshots."""
+        """Forget everything: repositories, rules, handles and tables."""
         for n in stored.names(self.spark, self.store):
             stored.delete(self.spark, f"{self.store}/{n}")
         return {"ok": True}
 
     def delete_repo(self, slug: str) -> dict:
         """Remove a repository with all that hangs on it."""
-        if self._current():
-            base, snapshot = self._new_snapshot()
-            for name in TABLES:
-                self.table(name).filter(F.col("repo") != slug).write.parquet(f"{base}/{name}")
-            self._write_index(base, self.index().postings.join(self.table("fts_docs").filter(F.col("repo") != slug).select(F.col("target_id").alias("doc")), "doc", "left_semi").drop("part"))
-            self._switch(snapshot)
+        self.tables.drop(slug)
         for name, drop in (("repos.json", lambda x: {k: v for k, v in x.items() if k != slug}), ("handles.json", lambda x: {k: v for k, v in x.items() if k != slug}), ("rules.json", lambda x: {"rules": [r for r in x.get("rules", []) if r["repo"] != slug]})):
             self._json(name, drop(self._json(name)))
         return {"ok": True, "deleted": slug}
 
-    def _new_snapshot(self) -> tuple[str, str]:
-        snapshot = f"s-{uuid.uuid4().hex}"
-        return f"{self.store}/{snapshot}", snapshot
-
-    def _switch(self, snapshot: str) -> None:
-        self._json("current.json", {"snapshot": snapshot, "before": self._current()})
-        self.vacuum()
-
-    def _write_index(self, base: str, posted: DataFrame) -> None:
-        docs = self.spark.read.parquet(f"{base}/fts_docs")
-        lexical.write_index(posted, docs.select(F.col("target_id").alias("doc"), "dl"), f"{base}/fulltext")
+    def _written(self, rows: DataFrame, work: str) -> DataFrame:
+        """``rows`` as a table of work in progress."""
+        path = f"{work}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     # Indexing --------------------------------------------------------------------------------------------------------
 
     def classified(self, slug: str, within: str = "") -> DataFrame:
-        """(repo, path, decision, reason, kind, size, mtime_ns, content, language) of every file in the tree, or in a part of it."""
-        root = self.repos()[slug]["root"]
+        """(repo, path, decision, reason, kind, size, mtime_ns, sha256, language) of every file in the tree, or in a part of it."""
+        root, most = self.repos()[slug]["root"], self.settings.max_file_bytes
         listed = tree.list_files(root)
         ignored = sorted(tree.ignored(root, listed)) if self.settings.respect_gitignore else []
         left_out = self.spark.createDataFrame([(p,) for p in ignored], "path string").withColumn("ignored", F.lit(True))
-        read = tree.read_files(self.spark, root, slug, listed)
-        if within:
-            read = read.filter(covered(F.col("path"), within))
+        read = tree.read_files(self.spark, root, slug, [p for p in listed if not within or p == within or p.startswith(f"{within}/")], most, content=False)
         kind = P.kind_of(F.col("path"))
-        auto = P.decision(F.col("path"), F.col("size"), F.col("sample"))
+        auto = P.decision(F.col("path"), F.col("size"), F.col("sample"), most)
         ruled = upkeep.matching_rules(read, self.rules()).join(left_out, "path", "left")
         ruled = ruled.withColumns({"ignored": F.coalesce("ignored", F.lit(False)), "kind": kind, "auto": auto})
         language = P.language_of(F.col("path"), F.make_valid_utf8(F.col("sample").cast("string")))
         return upkeep.decide(ruled).withColumn("language", language)
 
+    def _differences(self, slug: str, within: str, full: bool) -> DataFrame:
+        """(path, change, and both states) of the paths that differ from the index, all known ones if ``full``.
+
+        change: added, changed or deleted for files of the index (unchanged if only ``full`` brings them up), null for
+        paths of which the decision alone differs.
+        """
+        audit = self.table("path_audit", [slug])
+        if audit is None:
+            old = self.spark.createDataFrame([], KNOWN)
+        else:
+            old = audit.join(self.table("files", [slug]).select("path", "file_id", "sha256", "mtime_ns"), "path", "left").filter(covered(F.col("path"), within)).select(*[c.split()[0] for c in KNOWN.split(", ")])
+        old = old.select("path", *[F.col(c).alias(f"old_{c}") for c in old.columns if c != "path"], F.lit(True).alias("_old"))
+        seen = self.classified(slug, within).select("path", "decision", "reason", "kind", "size", "mtime_ns", "sha256", "language", F.lit(True).alias("_new"))
+        both = seen.join(old, "path", "full_outer")
+        wanted, had = (F.col("decision") == "include") & F.col("sha256").isNotNull(), F.col("old_file_id").isNotNull()
+        wanted = F.coalesce(wanted, F.lit(False))
+        same = (F.col("sha256") == F.col("old_sha256")) & (F.col("mtime_ns") == F.col("old_mtime_ns"))
+        change = F.when(wanted & ~had, "added").when(~wanted & had, "deleted").when(wanted & ~same, "changed").when(wanted, "unchanged")
+        of = lambda prefix: F.struct(*[F.col(f"{prefix}{c}") for c in ("decision", "reason", "kind", "size")])
+        moved = ~(of("").eqNullSafe(of("old_"))) | F.col("_new").isNull() | F.col("_old").isNull()
+        both = both.withColumns({"change": change, "audit": moved})
+        return both if full else both.filter((F.col("change") != "unchanged") | F.col("audit"))
+
     def refresh(self, slug: str, full: bool = False, within: str = "", enrich: bool = False) -> dict:
         """Bring a repository's index up to date; ``full`` reads every file anew, ``within`` looks at one path or folder only."""
         if slug not in self.repos():
             return {"ok": False, "error": "repo_not_registered", "message": f"No repo registered as {slug}."}
-        base, snapshot = self._new_snapshot()
-        self.classified(slug, within).withColumn("sha256", F.sha2("content", 256)).write.parquet(f"{base}/_seen")
-        seen = self.spark.read.parquet(f"{base}/_seen")
-        wanted = seen.filter((F.col("decision") == "include") & F.col("content").isNotNull())
-        old = {name: self.table(name) for name in TABLES} if self._current() else {}
-        mine = old["files"].filter(F.col("repo") == slug).filter(covered(F.col("path"), within)) if old else self.spark.createDataFrame([], NO_FILES)
-        upkeep.changes(mine, wanted, ["repo", "path"]).write.parquet(f"{base}/_changes")
-        changes = self.spark.read.parquet(f"{base}/_changes")
-        touched = changes if full else changes.filter(F.col("change") != "unchanged")
-        fresh = wanted.join(touched, ["repo", "path"], "left_semi")
-        work = f"{self.store}/_work-{uuid.uuid4().hex}"
-        tables = self._tables(fresh, work)
-        gone = mine.join(touched, ["repo", "path"], "left_semi").select("file_id")
-        if old:
-            kept = upkeep.cascade({n: old[n] for n in tables if n in old}, gone)
-            tables = {n: t.unionByName(kept[n].select(t.columns)) for n, t in tables.items()}
-        audit = seen.select("repo", "path", "decision", "reason", "kind", "size")
-        tables["path_audit"] = audit if not old else audit.unionByName(old["path_audit"].filter((F.col("repo") != slug) | ~covered(F.col("path"), within)))
-        for name, t in tables.items():
-            t.write.parquet(f"{base}/{name}")
-        new = lambda name: self.spark.read.parquet(f"{base}/{name}")
-        modules = upkeep.modules(new("files")).withColumn("module_id", F.xxhash64("repo", "path_prefix"))
-        modules.write.parquet(f"{base}/modules")
-        dirty = upkeep.dirty_modules(old["modules"], modules).count() if old else modules.count()
+        work, spark = f"{self.store}/_work-{uuid.uuid4().hex}", self.spark
+        before = lambda name: self.table(name, [slug])
+        delta = self._written(self._differences(slug, within, full), work)
+        known = before("files")
+        mine = known.filter(covered(F.col("path"), within)).count() if known is not None else 0
+        if known is not None and delta.isEmpty():
+            stored.delete(spark, work)
+            return {"ok": True, "repo": slug, "added": 0, "changed": 0, "deleted": 0, "unchanged": mine, "modules_changed": 0}
+        touched = delta.filter(F.col("change").isNotNull() if full else F.col("change").isin("added", "changed", "deleted"))
+        counts = {r["change"]: r["count"] for r in delta.filter("change IS NOT NULL").groupBy("change").count().collect()}
+        counts["unchanged"] = mine - counts.get("changed", 0) - counts.get("deleted", 0)
+        ids = self._written(touched.select("path", F.xxhash64(F.lit(slug), "path").alias("file_id"), T.directory(F.col("path")).alias("folder")), work)
+        folders = ids.select("folder").distinct()
+        old_symbols = known is not None and before("symbols").join(ids.select("file_id"), "file_id", "left_semi").select("symbol_id")
+        old_modules = before("modules").join(folders, F.col("path_prefix") == F.col("folder"), "left_semi") if known is not None else None
+        old_modules = self._written(old_modules, work) if old_modules is not None else None
+        gone_symbols = self._written(old_symbols, work) if known is not None else spark.createDataFrame([], "symbol_id long")
+
+        change = self.tables.begin(slug)
+        now = change.table
+        audit = delta.filter("audit AND _new").select("path", "decision", "reason", "kind", "size")
+        reading = touched.filter("change <> 'deleted'").select("path", "language")
+        content = tree.read_files(spark, self.repos()[slug]["root"], slug, reading.select("path"), self.settings.max_file_bytes).filter("content IS NOT NULL").join(reading, "path")
+        modules_of = folders.select(F.xxhash64(F.lit(slug), "folder").alias("module_id"))
+        change.kill(path=delta.filter("audit").select("path"), file=ids, module=modules_of)
+        change.add(path_audit=audit, **self._tables(content, work))
+
+        # What stands for a file or a module needs the files of its folder, and no others.
+        near = now("files").withColumn("folder", T.directory(F.col("path"))).join(folders, "folder", "left_semi").drop("folder")
+        inside = near.select("file_id")
+        modules = self._written(upkeep.modules(near).withColumn("module_id", F.xxhash64("repo", "path_prefix")), work)
+        dirty = upkeep.dirty_modules(old_modules, modules).count() if old_modules is not None else modules.count()
+        scope = {"files": near, "modules": modules, **{n: now(n).join(inside, "file_id", "left_semi") for n in ("symbols", "file_facts")}}
 
         # Targets that have changed: files, their symbols before and now, and the modules that they are in.
-        ids = touched.select("repo", "path", F.xxhash64("repo", "path").alias("target_id"))
-        of = lambda symbols: symbols.join(ids.select(F.col("target_id").alias("file_id")), "file_id", "left_semi").select(F.lit("symbol").alias("target_type"), F.col("symbol_id").alias("target_id"))
-        changed = ids.select(F.lit("file").alias("target_type"), "target_id").unionByName(of(new("symbols")))
-        changed = changed.unionByName(ids.select(F.lit("module").alias("target_type"), F.xxhash64("repo", T.directory(F.col("path"))).alias("target_id")))
-        changed = changed.unionByName(of(old["symbols"])) if old else changed
-        changed.distinct().write.parquet(f"{base}/_changed")
-        changed = new("_changed")
-        keys = ["target_type", "target_id"]
-        texts = jobs.texts(new("files"), new("symbols"), new("file_facts"), new("modules")).join(changed, keys, "left_semi")
-        embedded = vectors.embed(texts.select(F.concat_ws(":", *keys, "repo").alias("target"), "text"), self.embedder, self.settings.embed_batch, id_col="target")
-        of_key = F.split("target", ":", 3)
-        embedded.select(of_key[0].alias("target_type"), of_key[1].cast("long").alias("target_id"), of_key[2].alias("repo"), "vector", "error").write.parquet(f"{work}-vectors")
-        embedded = self.spark.read.parquet(f"{work}-vectors")
+        target = lambda kind, rows, of: rows.select(F.lit(kind).alias("target_type"), of.alias("target_id"))
+        fresh_symbols = scope["symbols"].join(ids.select("file_id"), "file_id", "left_semi").select("symbol_id")
+        changed = target("file", ids, F.col("file_id")).unionByName(target("module", folders, F.xxhash64(F.lit(slug), "folder")))
+        changed = changed.unionByName(target("symbol", fresh_symbols.unionByName(gone_symbols), F.col("symbol_id")))
+        changed = self._written(changed.distinct(), work)
+        keys = list(_TARGET)
+        change.kill(**dict.fromkeys(("vector", "job", "output", "text"), changed))
+        texts = self._written(jobs.texts(scope["files"], scope["symbols"], scope["file_facts"], modules).join(changed, keys, "left_semi"), work)
+        embedded = vectors.embed(texts.select(F.concat_ws(":", *keys).alias("target"), "text"), self.embedder, self.settings.embed_batch, id_col="target")
+        of_key = F.split("target", ":", 2)
+        embedded = self._written(embedded.select(of_key[0].alias("target_type"), of_key[1].cast("long").alias("target_id"), "vector", "error"), work)
         model = self.settings.embed_model
-        rows = embedded.filter("vector IS NOT NULL").select("repo", *keys, "vector", F.lit(model).alias("model"))
+        found = embedded.filter("vector IS NOT NULL").select(*keys, "vector", F.lit(model).alias("model"))
         queued = jobs.fan_out(texts, model, enrich, self.settings.summary_model)
         # Embeddings are made at once; jobs say how that went.
         failed = embedded.select(*keys, F.lit("embedding").alias("job_type"), F.lit(True).alias("_ran"), F.col("error").alias("_error"))
         status = F.when(F.col("_ran") & F.col("_error").isNull(), "done").when(F.col("_ran"), "error").otherwise(F.col("status"))
         queued = queued.join(failed, [*keys, "job_type"], "left").withColumns({"status": status, "error": F.coalesce("_error", "error"), "attempts": F.when(F.col("_ran"), 1).otherwise(0)}).select(*[c.split()[0] for c in jobs.JOB.split(", ")])
-        outputs = self.spark.createDataFrame([], jobs.OUTPUT)
-        if old:
-            rows = rows.unionByName(upkeep.without(old["vectors"], changed, keys).select(rows.columns))
-            queued = queued.unionByName(upkeep.without(old["jobs"], changed, keys).select(queued.columns))
-            outputs = upkeep.without(old["model_outputs"], changed, keys)
-        rows.write.parquet(f"{base}/vectors")
-        queued.write.parquet(f"{base}/jobs")
-        outputs.write.parquet(f"{base}/model_outputs")
-
-        documents = self.documents(new).join(changed.select(F.col("target_type").alias("record_type"), "target_id"), ["record_type", "target_id"], "left_semi")
-        documents = documents.withColumn("dl", F.size(T.words(F.col("text"))).cast("long"))
-        ours = changed.select(F.col("target_type").alias("record_type"), "target_id")
-        documents.write.parquet(f"{work}-docs")
-        documents = self.spark.read.parquet(f"{work}-docs")
-        posted = lexical.stemmed(lexical.postings(documents, "target_id", F.col("text")))
-        if old:
-            posted = posted.unionByName(self.index().postings.drop("part").join(changed.select(F.col("target_id").alias("doc")), "doc", "left_anti").select(posted.columns))
-            documents = documents.unionByName(upkeep.without(old["fts_docs"], ours, ["record_type", "target_id"]).select(documents.columns))
-        documents.write.parquet(f"{base}/fts_docs")
-        self._write_index(base, posted)
-        counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
-        for n in ("_seen", "_changes", "_changed"):
-            stored.delete(self.spark, f"{base}/{n}")
-        self._switch(snapshot)
+        change.add(modules=modules, vectors=found, jobs=queued, model_outputs=spark.createDataFrame([], jobs.OUTPUT))
+        near_symbols = scope["symbols"].select("symbol_id")
+        scope |= {"heuristic_flags": now("heuristic_flags").join(near_symbols, "symbol_id", "left_semi"), "model_outputs": now("model_outputs")}
+        self._add_texts(change, self.documents(scope.__getitem__).join(changed.withColumnRenamed("target_type", "record_type"), ["record_type", "target_id"], "left_semi"), work)
+        change.commit()
+        stored.delete(spark, work)
         return {"ok": True, "repo": slug, **{k: counts.get(k, 0) for k in ("added", "changed", "deleted", "unchanged")}, "modules_changed": dirty}
 
+    def _add_texts(self, change: Change, documents: DataFrame, work: str) -> None:
+        """Documents of full-text search, their postings, and the terms of these."""
+        documents = self._written(documents.withColumn("dl", F.size(T.words(F.col("text"))).cast("long")), work)
+        posted = self._written(lexical.stemmed(lexical.postings(documents, "target_id", F.col("text"))), work)
+        by_part = posted.withColumnRenamed("doc", "target_id").withColumn("part", lexical.part_of(F.col("term")))
+        change.add(fts_docs=documents, postings=by_part, vocabulary=posted.select("term").distinct())
+
     def _tables(self, fresh: DataFrame, work: str) -> dict[str, DataFrame]:
         text = F.make_valid_utf8(F.col("content").cast("string"))
         lines = T.lines(text)
         files = fresh.select("repo", F.xxhash64("repo", "path").alias("file_id"), "path", "language", F.col("size").alias("size_bytes"), "sha256", "mtime_ns", text.alias("text"), lines.alias("lines"), F.size(lines).alias("line_count"))
-        extract.extract_files(files).write.parquet(work)
-        found = self.spark.read.parquet(work)
+        found = self._written(extract.extract_files(files), work)
         one = found.select("repo", "file_id", "path", F.posexplode("symbols").alias("at", "s")).select("repo", "file_id", "at", "path", "s.*")
         one = one.dropDuplicates(["file_id", "qualified_name", "line_start"])
         one = one.withColumn("symbol_id", F.xxhash64("repo", "path", "qualified_name", "line_start")).withColumn("ord", F.struct("path", "at"))
         symbols = one.select("repo", "symbol_id", "file_id", "name", "qualified_name", "symbol_ref", "symbol_type", "signature", "decorators", "docstring", "line_start", "line_end", "primary_text", "ord")
-        calls = one.select("repo", "symbol_id", F.explode("calls").alias("c")).select("repo", "symbol_id", "c.*")
-        literals = one.select("repo", "symbol_id", F.explode("literals").alias("c")).select("repo", "symbol_id", "c.*")
+        calls = one.select("repo", "file_id", "symbol_id", F.explode("calls").alias("c")).select("repo", "file_id", "symbol_id", "c.*")
+        literals = one.select("repo", "file_id", "symbol_id", F.explode("literals").alias("c")).select("repo", "file_id", "symbol_id", "c.*")
         facts = found.select("repo", "file_id", F.explode("facts").alias("f")).select("repo", "file_id", "f.*")
-        flags = heuristics.all_flags(symbols, calls).join(symbols.select("repo", "symbol_id"), "symbol_id")
+        flags = heuristics.all_flags(symbols.drop("file_id"), calls.drop("file_id")).join(symbols.select("repo", "file_id", "symbol_id"), "symbol_id")
         return {"files": files.drop("text"), "symbols": symbols, "symbol_calls": calls, "symbol_literals": literals, "file_facts": facts, "heuristic_flags": flags}
 
     def enrich(self, generate: Callable[[str, str], object], limit: int = 100_000) -> dict:
@@ -238,22 +251,23 @@ class Engine:
         of_symbols = jobs.symbol_prompts(of("symbols"), of("files"), of("symbol_calls"), of("symbol_literals"), of("heuristic_flags"))
         prompts = prompts.unionByName(of_symbols.select(F.lit("symbol").alias("target_type"), "target_id", "prompt"))
         work = f"{self.store}/_work-{uuid.uuid4().hex}"
-        jobs.enrich(todo.join(prompts, ["target_type", "target_id"]), generate).write.parquet(work)
-        ran = self.spark.read.parquet(work)
-        base, snapshot = self._new_snapshot()
+        ran = self._written(jobs.enrich(todo.join(prompts, list(_TARGET)), generate), work)
         names = [c.split()[0] for c in jobs.JOB.split(", ")]
-        keys = ["target_type", "target_id", "job_type", "model", "input_hash"]
-        upkeep.upsert(every, ran.select(names), keys).write.parquet(f"{base}/jobs")
-        fresh = jobs.outputs(ran)
-        upkeep.upsert(of("model_outputs"), fresh, ["target_type", "target_id", "output_type"]).write.parquet(f"{base}/model_outputs")
-        for n in TABLES:
-            if n not in ("jobs", "model_outputs", "fts_docs"):
-                self.table(n).write.parquet(f"{base}/{n}")
-        new = lambda n: self.spark.read.parquet(f"{base}/{n}")
-        self.documents(new).withColumn("dl", F.size(T.words(F.col("text"))).cast("long")).write.parquet(f"{base}/fts_docs")
-        self._write_index(base, lexical.stemmed(lexical.postings(new("fts_docs"), "target_id", F.col("text"))))
+        keys = list(_TARGET)
+        for slug in sorted(r["repo"] for r in ran.select("repo").distinct().collect()):
+            mine = ran.filter(F.col("repo") == slug)
+            targets_ = self._written(mine.select(*keys).distinct(), work)
+            kept = lambda name: self.table(name, [slug]).join(targets_, keys, "left_semi")  # noqa: B023, E731
+            every_job = self._written(upkeep.upsert(kept("jobs"), mine.select(names), [*keys, "job_type", "model", "input_hash"]), work)
+            outputs = self._written(upkeep.upsert(kept("model_outputs"), jobs.outputs(mine), [*keys, "output_type"]), work)
+            change = self.tables.begin(slug)
+            change.kill(**dict.fromkeys(("job", "output", "text"), targets_))
+            change.add(jobs=every_job, model_outputs=outputs)
+            about = self.documents(change.table).join(targets_.withColumnRenamed("target_type", "record_type"), ["record_type", "target_id"], "left_semi")
+            self._add_texts(change, about, work)
+            change.commit()
         done = {r["status"]: r["count"] for r in ran.groupBy("status").count().collect()}
-        self._switch(snapshot)
+        stored.delete(self.spark, work)
         return {"ok": not done.get("error"), "processed": done.get("done", 0), "errors": done.get("error", 0), "interrupted": bool(done.get("pending")), "may_embed": jobs.may_embed(self.table("jobs"))}
 
     # Questions -------------------------------------------------------------------------------------------------------
@@ -373,7 +387,7 @@ class Engine:
         """Indexed files whose content on disk is another now."""
         files = self.table("files").filter(F.col("repo") == slug)
         root = self.repos()[slug]["root"]
-        now = tree.read_files(self.spark, root, slug, tree.list_files(root)).withColumn("sha256", F.sha2("content", 256))
+        now = tree.read_files(self.spark, root, slug, tree.list_files(root), self.settings.max_file_bytes, content=False)
         return upkeep.stale(files, now, ["repo", "path"])
 
     def queue(self) -> dict:

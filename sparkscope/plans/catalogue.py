@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,9 @@ from sparkscope.operators import graph, heuristics, lexical, ranking, targets, u
 from sparkscope.plans import relations as R
 from sparkscope.plans import stored
 from sparkscope.plans.relations import sql
+from sparkscope.session import shared_dir
 from sparkscope.sources import extract, tree
+from sparkscope.sources.segments import Kept, Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -551,6 +554,25 @@ def stale_paths(spark, d):
     return upkeep.stale(_before(spark, d), _after(spark, d), ["path"])
 
 
+@query(
+    "WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN '' ELSE ' draft' END AS text FROM documents WHERE doc_id % 7 <> 0), "
+    f"posted AS (SELECT doc_id, unnest({R.W}) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM posted GROUP BY term"
+)
+def segmented_refresh(spark, d):
+    """The vocabulary of documents in a segmented index after three changes: most of them as drafts; a third anew;
+    the rest added, and some deleted. The SQL builds it at once."""
+    docs, n = R.table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id")
+    store = Store(spark, f"{shared_dir(spark)}/sparkscope/{spark.sparkContext.applicationId}/segments-{uuid.uuid4().hex}", {"postings": Kept("doc", ("doc_id",), folders=("part",), order=("term",))})
+    draft = docs.withColumn("text", F.concat_ws(" ", "text", F.lit("draft")))
+    for rows, gone in ((draft.filter(n % 5 != 0), None), (docs.filter(n % 3 == 0), n % 3 == 0), (docs.filter((n % 5 == 0) & (n % 7 != 0)), (n % 5 == 0) | (n % 7 == 0))):
+        change = store.begin("documents")
+        if gone is not None:
+            change.kill(doc=docs.filter(gone))
+        change.add(postings=lexical.postings(rows, "doc_id", F.col("text")).withColumnRenamed("doc", "doc_id").withColumn("part", lexical.part_of(F.col("term"))))
+        change.commit()
+    return lexical.vocabulary(store.table("postings"))
+
+
 @query("WITH log AS (SELECT user_id % 40 AS slug, event_type AS root, event_id AS ord FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY ord DESC) AS n FROM log) SELECT slug, root, ord FROM r WHERE n = 1")
 def latest_wins_upsert(spark, d):
     log = R.table(spark, d, "events").select((F.col("user_id") % 40).alias("slug"), F.col("event_type").alias("root"), F.col("event_id").alias("ord"))

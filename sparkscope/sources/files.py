@@ -49,3 +49,9 @@ def delete(spark: SparkSession, path: str) -> None:
 def make_folder(spark: SparkSession, path: str) -> None:
     system, p = _system(spark, path)
     system.mkdirs(p)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a folder."""
+    system, p = _system(spark, path)
+    return system.getContentSummary(p).getLength()

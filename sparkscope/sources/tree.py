@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import subprocess
@@ -97,10 +98,11 @@ def ignored(root: str, paths: list[str]) -> set[str]:
     return {p for p in paths if rules.ignores(p)} if rules else set()
 
 
-def read_files(spark: SparkSession, root: str, repo: str, paths: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(repo, path, size, mtime_ns, sample, content) read on the executors, for which ``root`` must be a shared folder.
+def read_files(spark: SparkSession, root: str, repo: str, paths: list[str] | DataFrame, max_bytes: int = MAX_BYTES, content: bool = True) -> DataFrame:
+    """(repo, path, size, mtime_ns, sample, sha256, content) read on the executors, for which ``root`` must be a shared folder.
 
-    content is null above ``max_bytes``; all three are null for a file that is gone or can't be read.
+    sha256 and content are null above ``max_bytes``; all are null for a file that is gone or can't be read. Without
+    ``content`` files are read for their sha256 and it stays null.
     """
     ship(spark)
 
@@ -113,14 +115,18 @@ def read_files(spark: SparkSession, root: str, repo: str, paths: list[str], max_
                     stat = os.stat(full)
                     with open(full, "rb") as f:
                         data = f.read(max_bytes + 1)
-                    out.append((path, stat.st_size, stat.st_mtime_ns, data[:SAMPLE_BYTES], data if len(data) <= max_bytes else None))
+                    whole = len(data) <= max_bytes
+                    out.append((path, stat.st_size, stat.st_mtime_ns, data[:SAMPLE_BYTES], hashlib.sha256(data).hexdigest() if whole else None, data if whole and content else None))
                 except OSError:
-                    out.append((path, None, None, None, None))
-            yield pd.DataFrame(out, columns=["path", "size", "mtime_ns", "sample", "content"]).astype({"size": "Int64", "mtime_ns": "Int64"})
-
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    listed = listed.repartition(max(1, min(len(paths) // 64, spark.sparkContext.defaultParallelism * 4)))
-    return listed.mapInPandas(read, "path string, size long, mtime_ns long, sample binary, content binary").select(F.lit(repo).alias("repo"), "*")
+                    out.append((path, *[None] * 5))
+            yield pd.DataFrame(out, columns=["path", "size", "mtime_ns", "sample", "sha256", "content"]).astype({"size": "Int64", "mtime_ns": "Int64"})
+
+    if isinstance(paths, DataFrame):
+        listed = paths.select("path")
+    else:
+        listed = spark.createDataFrame([(p,) for p in paths], "path string")
+        listed = listed.repartition(max(1, min(len(paths) // 64, spark.sparkContext.defaultParallelism * 4)))
+    return listed.mapInPandas(read, "path string, size long, mtime_ns long, sample binary, sha256 string, content binary").select(F.lit(repo).alias("repo"), "*")
 
 
 def match_rules(spark: SparkSession, paths: DataFrame, rules: IgnoreRules, path_col: str = "path") -> DataFrame:
