@@ -14,6 +14,7 @@ import re
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +90,8 @@ class Store:
         rows = self._read(name, T.StructType.fromJson(schema), [(r, s[0]) for r, m in manifests.items() for s in m["tables"].get(name, []) if only is None or s[0] in only])
         dead = self._dead(how.space, manifests) if how.space else None
         if dead is not None:
-            rows = rows.join(dead, ["repo", *how.key], "left").filter(F.col("_dead").isNull() | (F.col("seq") >= F.col("_dead"))).drop("_dead")
+            same = [rows[c] == dead[c] for c in ("repo", *how.key)]
+            rows = rows.join(dead, reduce(lambda a, b: a & b, same) & (rows["seq"] < dead["dead"]), "left_anti")
         if not how.space:
             rows = rows.drop("seq").distinct()
         shown = [f["name"] for f in schema["fields"] if all_columns or f["name"] not in how.hidden]
@@ -102,13 +104,12 @@ class Store:
         return self.spark.read.schema(full).option("basePath", f"{self.root}/{name}").parquet(*[self.path(name, r, s) for r, s in chosen])
 
     def _dead(self, space: str, manifests: dict[str, dict]) -> DataFrame | None:
-        """(repo, *key, _dead): the youngest tombstone of each key. It hides rows of older segments."""
+        """(repo, *key, dead): tombstones. Each hides rows of its key in segments older than ``dead``."""
         chosen = [(r, s[0]) for r, m in manifests.items() for s in m["dead"].get(space, [])]
         schema = next((m["schemas"][f"_dead/{space}"] for m in manifests.values() if f"_dead/{space}" in m["schemas"]), None)
         if not chosen or schema is None:
             return None
-        rows = self._read(f"_dead/{space}", T.StructType.fromJson(schema), chosen)
-        return rows.groupBy("repo", *self.spaces[space]).agg(F.max("dead").alias("_dead"))
+        return self._read(f"_dead/{space}", T.StructType.fromJson(schema), chosen).drop("seq")
 
     def begin(self, repo: str) -> Change:
         return Change(self, repo)
@@ -219,5 +220,5 @@ class Change:
             oldest = min((s[0] for n, k in self.store.kept.items() if k.space == space for s in self.manifest["tables"].get(n, [])), default=None)
             segments[:] = [s for s in segments if oldest is not None and s[0] > oldest]
             if len(segments) > MOST_DEAD:
-                rows = self.store._dead(space, {self.repo: self.manifest})
-                segments[:] = [self._write(f"_dead/{space}", rows.withColumnRenamed("_dead", "dead").drop("repo"), self._number(), Kept())]
+                rows = self.store._dead(space, {self.repo: self.manifest}).groupBy(*self.store.spaces[space]).agg(F.max("dead").alias("dead"))
+                segments[:] = [self._write(f"_dead/{space}", rows, self._number(), Kept())]
