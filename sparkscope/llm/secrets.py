@@ -107,16 +107,24 @@ class Scanner:
         return found
 
     def entropy(self, text: str, base: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates with a high-entropy window that no base span holds; allowed candidates are none."""
-        found = []
+        """Candidates with a high-entropy window that no base span holds; allowed candidates are none.
+
+        ``base`` is in order, so one sweep tells how far the spans reach that begin no later than a candidate.
+        """
+        found, at, reach = [], 0, 0
         for m in CANDIDATE.finditer(text):
+            while at < len(base) and base[at][0] <= m.start():
+                reach = max(reach, base[at][1])
+                at += 1
+            if m.end() <= reach:
+                continue
             word = m.group()
             if self.allowed and self.allowed.fullmatch(word):
                 continue
             bits = next((b for _, pattern, b in self.classes if pattern.fullmatch(word)), None)
             if bits is None:
                 continue
-            if entropy_runs(word, self.rules.window, bits) and not any(x <= m.start() and m.end() <= y for x, y, _ in base):
+            if entropy_runs(word, self.rules.window, bits):
                 found.append((m.start(), m.end(), 3))
         return found
 

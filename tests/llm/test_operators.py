@@ -8,6 +8,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -118,6 +119,27 @@ def test_secrets(spark):
         assert set(filter(None, joined.split(","))) <= set(got[i].spans.split(","))
 
 
+def test_secrets_of_one_long_text_take_linear_time():
+    scanner, took = secrets.Scanner(secrets.Rules()), []
+    key = "Zk9x2QpL7vR4tB8nW3mY"
+    for n in (4_000, 16_000, 64_000):
+        text = "\n".join(f"token={'0f' * 16} {key} x" for _ in range(n))
+        start = time.perf_counter()
+        base, spans = scanner.scan(text)
+        took.append(time.perf_counter() - start)
+        assert len(base) == 2 * n and len(spans) == 3 * n
+    assert took[2] < 12 * took[1] + 1, took
+    nested = "password=" + key + "/" + key
+    assert scanner.scan(nested)[1] == scanner.scan(nested)[0], "a candidate within a base span is none"
+
+
+def test_secrets_edges(spark):
+    docs = frame(spark, ["token=abcdef1", "token=abcdef1", None])
+    twice = secrets.scan(docs.unionByName(docs)).collect()
+    assert len(twice) == 6 and sorted(r.n_assign for r in twice) == [0, 0, 1, 1, 1, 1]
+    assert secrets.scan(docs.filter("doc_id > 9")).count() == 0 and secrets.redact(docs.filter("doc_id > 9")).count() == 0
+
+
 def test_entropy_runs_match_plain_windows():
     from math import log2
 

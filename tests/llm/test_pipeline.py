@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sparkscope.llm import near_duplicates, registry, secrets
 
@@ -7,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_queries_are_registered():
-    assert [sum(q.startswith(f"op{n}_") for q in registry.QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in registry.QUERIES) for n in range(1, 14)] == [1] * 13
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
 
@@ -45,3 +47,23 @@ def test_bands_follow_percent():
     for percent in range(5, 101, 5):
         bands, rows = near_duplicates.bands_and_rows(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= 1e-8
+
+
+def test_stages_with_odd_rows_and_names(spark):
+    good = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    rows = [(9001, None, "en", "s", 0), (9002, "", None, None, None), (None, "only one text without an id", "en", "s", 5), (9003, "token=abcdef123456 and more", "en", "s", 3)]
+    odd = good.unionByName(spark.createDataFrame(rows, good.schema))
+    odd = odd.unionByName(odd.filter("doc_id = 9003"))
+    extra = {"_before": F.lit("mine"), "_QUALITY": F.lit("also mine"), "id": F.lit("x"), "print": F.lit(1), "component_id": F.lit(7), "_own_before": F.lit(None).cast("string")}
+    odd = odd.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        added = {"token_ids", "n_tokens", "decoded"} if name == "tokens" else set()
+        assert set(out.columns) == set(odd.columns) | added, name
+        got = out.collect()
+        assert got and {(r._before, r._QUALITY, r.id, r.print, r.component_id, r._own_before) for r in got} == {("mine", "also mine", "x", 1, 7, None)}, name
+        if name in ("secrets", "tokens"):
+            assert len(got) == odd.count()
+        if name == "secrets":
+            assert [(r.text, r.n_chars) for r in got if r.doc_id == 9003] == [("[SECRET] and more", 17)] * 2
+        assert stage(spark, odd.filter("doc_id = -5"), SF).count() == 0, name
