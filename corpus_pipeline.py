@@ -8,7 +8,12 @@ next one's docs. All but the last return the columns of ``documents``.
    at a similarity of 0.80 (op6: 0.85).
 3. decontamination: documents that hold a window of a benchmark item go.
 4. secrets: each secret is masked in the text, and n_chars is counted anew where that changed it.
-5. tokens: the text's piece ids (token_ids) are added, with n_tokens and the text that decoding them gives (decoded).
+5. tokens: the text's piece ids (token_ids) are added, with n_tokens and the text that decoding them gives (decoded);
+   columns of the input that have one of these three names are replaced.
+
+All stages but the last keep every column's values, whatever the columns are called, but for text and n_chars where a
+secret was masked. Null texts count as empty and stay null. Of repeated rows, rows of one doc_id are one document to the
+second stage: they stay or go together. Null ids are documents of their own there. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ NEAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.classify(docs, common.table(spark, sf_dir, "labels"))
-    return scored.filter("_quality.kept").select(*docs.columns)
+    p = common.free_prefix(docs)
+    aside = {c: f"{p}{i}" for i, c in enumerate(docs.columns) if c.lower() == "_quality"}
+    scored = quality.classify(docs.withColumnsRenamed(aside), common.table(spark, sf_dir, "labels"))
+    return scored.filter("_quality.kept").drop("_quality").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +47,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redact(docs.withColumn("_before", F.length("text")))
-    n_chars = F.when(F.length("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    before = f"{common.free_prefix(docs)}before"
+    clean = secrets.redact(docs.withColumn(before, F.length("text")))
+    n_chars = F.when(F.length("text") != F.col(before), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
