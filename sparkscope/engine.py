@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.functions import paths as P
 from sparkscope.functions import text as T
-from sparkscope.operators import graph, heuristics, jobs, lexical, ranking, targets, upkeep, vectors
+from sparkscope.operators import graph, grams, heuristics, jobs, lexical, ranking, targets, upkeep, vectors
 from sparkscope.settings import Settings
 from sparkscope.sources import extract, files as stored, tree
 from sparkscope.sources.segments import Change, Kept, Store
@@ -30,6 +30,7 @@ TABLES = {
     "modules": Kept("module", ("module_id",)), "path_audit": Kept("path", ("path",)),
     "vectors": Kept("vector", _TARGET), "jobs": Kept("job", _TARGET), "model_outputs": Kept("output", _TARGET),
     "fts_docs": Kept("text", ("target_id",)), "postings": Kept("text", ("target_id",), folders=("part",), order=("term",)), "vocabulary": Kept(),
+    "names": Kept(), "name_lists": Kept(folders=("part",), order=("gram",)), "name_counts": Kept(),
 }
 RULES = "repo string, path string, path_kind string, action string, reason string, ord long"
 HANDLE = "result_id string, repo string, type string, target_id long, path string, symbol_ref string, line_start int, line_end int"
@@ -70,6 +71,10 @@ class Engine:
     def index(self) -> lexical.Index:
         return lexical.Index(self.table("postings").withColumnRenamed("target_id", "doc"), self.table("fts_docs").select(F.col("target_id").alias("doc"), "dl"), self.table("vocabulary").drop("repo").distinct())
 
+    def names(self) -> grams.Names:
+        """The index of names; it also holds some that no row has any more."""
+        return grams.Names(*[self.table(n).drop("repo") for n in ("names", "name_lists", "name_counts")])
+
     def rules(self) -> DataFrame:
         rows = [(r["repo"], r["path"], r["path_kind"], r["action"], r.get("reason"), i) for i, r in enumerate(self._json("rules.json").get("rules", []))]
         return self.spark.createDataFrame(rows, RULES)
@@ -182,7 +187,10 @@ class Engine:
         content = tree.read_files(spark, self.repos()[slug]["root"], slug, reading.select("path"), self.settings.max_file_bytes).filter("content IS NOT NULL").join(reading, "path")
         modules_of = folders.select(F.xxhash64(F.lit(slug), "folder").alias("module_id"))
         change.kill(path=delta.filter("audit").select("path"), file=ids, module=modules_of)
-        change.add(path_audit=audit, **self._tables(content, work))
+        fresh = self._tables(content, work)
+        names = self._written(ranking.all_names(*[fresh[n] for n in ("files", "symbols", "symbol_calls", "symbol_literals")]), work)
+        lists = self._written(grams.lists(names), work)
+        change.add(path_audit=audit, **fresh, names=names, name_lists=lists, name_counts=grams.counts(lists))
 
         # What stands for a file or a module needs the files of its folder, and no others.
         near = now("files").withColumn("folder", T.directory(F.col("path"))).join(folders, "folder", "left_semi").drop("folder")
@@ -326,7 +334,7 @@ class Engine:
         self._json("handles.json", {**self._json("handles.json"), repo: kept})
 
     def find(self, questions: DataFrame, kinds: tuple[str, ...] = ("symbol", "call", "literal", "path"), limit: int = 10) -> DataFrame:
-        return ranking.find(questions, self.table("files"), self.table("symbols"), self.table("symbol_calls"), self.table("symbol_literals"), kinds, limit)
+        return ranking.find(questions, self.table("files"), self.table("symbols"), self.table("symbol_calls"), self.table("symbol_literals"), kinds, limit, self.names())
 
     def explore(self, questions: DataFrame, check_stale: bool = False) -> tuple[DataFrame, DataFrame]:
         """(blocks, blast radius): the seeds of each question and their neighbours, rendered within the budget.
@@ -337,8 +345,9 @@ class Engine:
         """
         symbols, calls, files = self.table("symbols"), self.table("symbol_calls"), self.table("files")
         seeds = ranking.seeds(self.ranked(questions)).join(symbols.select(F.col("symbol_id").alias("target_id"), "name"), "target_id")
-        seeds = seeds.select("query_id", "repo", F.col("target_id").alias("symbol_id"), "name", "seed_rank")
-        order = graph.spine(seeds, calls, symbols)
+        work = f"{self.store}/_work-{uuid.uuid4().hex}"
+        seeds = self._written(seeds.select("query_id", "repo", F.col("target_id").alias("symbol_id"), "name", "seed_rank"), work)
+        order = self._written(graph.spine(seeds, calls, symbols), work)
         sizes = files.groupBy("repo").agg(F.count("*").alias("_files")).withColumn("tier", vectors.tier(F.col("_files"))).select("repo", "tier")
         body = F.array_join(F.slice("lines", F.col("line_start"), F.greatest(F.lit(0), F.col("line_end") - F.col("line_start") + 1)), "\n")
         full = order.join(symbols.select("symbol_id", "repo", "file_id", "symbol_ref", "signature", "line_start", "line_end"), "symbol_id").join(files.select("file_id", "path", "lines"), "file_id").join(sizes, "repo")
@@ -375,7 +384,7 @@ class Engine:
         files, symbols = self.table("files"), self.table("symbols")
         handles = [tuple(r[c.split()[0]] for c in HANDLE.split(", ")) for rows in self._json("handles.json").values() for r in rows]
         cached = self.spark.createDataFrame(handles, HANDLE) if handles else None
-        found = targets.resolve(asked, files, symbols, self.table("modules"), cached)
+        found = targets.resolve(asked, files, symbols, self.table("modules"), cached, self.names())
         ready = found.filter("status = 'ok'").join(asked.select("ask_id", "repo"), "ask_id")
         shown = targets.open_lines(ready.filter("type <> 'module'"), files).select("ask_id", "first_line", "lines")
         listing = targets.list_modules(ready.filter("type = 'module'"), files, symbols, LISTED).select("ask_id", F.lit(1).alias("first_line"), "lines")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions.text import evidence_terms, fold, is_test, match_score, shortened
-from sparkscope.operators.sizes import small
+from sparkscope.operators import grams
 
 RRF_K = 60
 TYPE_PRIOR = {"symbol": 0.5, "file": 0.25}
@@ -86,67 +86,50 @@ def within_budget(ordered: DataFrame, budget: Column, most: int = MAX_SYMBOLS, s
     return numbered.filter(fits).withColumnRenamed("_used", "used").drop("_n")
 
 
-GRAM = 3
+#: Columns that are searched for names.
+SYMBOL_NAMES, CALL_NAMES, LITERAL_NAMES, PATH_NAMES = ("name", "qualified_name", "symbol_ref"), ("call_text", "function_name"), ("value",), ("path",)
 
 
-def _grams(text: Column) -> Column:
-    """All different substrings of one to GRAM characters."""
+def all_names(files: DataFrame, symbols: DataFrame, calls: DataFrame, literals: DataFrame) -> DataFrame:
+    """(name_id, name) of all that ``find`` and ``resolve`` search."""
+    return grams.different((files, PATH_NAMES), (symbols, SYMBOL_NAMES), (calls, CALL_NAMES), (literals, LITERAL_NAMES))
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
-
-
-def holding(rows: DataFrame, columns: list[str], asked: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` joined with those of ``asked`` (token, *on) whose token one of ``columns`` contains, without regard to ASCII case.
-
-    Few questions are broadcast and compared where the rows lie. Many meet the rows by equality of a token's first three
-    characters with some three characters of a name.
-    """
-    folded = [fold(F.coalesce(F.col(c), F.lit(""))) for c in columns]
-    token, met = fold(F.col("token")), F.lit(False)
-    for f in folded:
-        met = met | F.contains(f, token)
-    if small(asked):
-        return rows.join(F.broadcast(asked), on).filter(met) if on else rows.join(F.broadcast(asked), met)
-    keyed = rows.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(f) for f in folded])))))
-    return keyed.join(asked.withColumn("_gram", F.substr(token, F.lit(1), F.lit(GRAM))), ["_gram", *on]).filter(met).drop("_gram")
-
-
-def find(questions: DataFrame, files: DataFrame, symbols: DataFrame, calls: DataFrame, literals: DataFrame, kinds: tuple[str, ...] = ("symbol", "call", "literal", "path"), limit: int = 10) -> DataFrame:
+def find(questions: DataFrame, files: DataFrame, symbols: DataFrame, calls: DataFrame, literals: DataFrame, kinds: tuple[str, ...] = ("symbol", "call", "literal", "path"), limit: int = 10, names: grams.Names | None = None) -> DataFrame:
     """Exact lookup of each question's token in names, calls, literals and paths: the best reason for each target.
 
     Matching ignores ASCII case and takes the token literally. Scores: 100 same, 60 prefix, 30 part; 5 more for a
     definition, 10 less for a literal. Of equal scores of a target, the earlier kind wins, then the earlier line.
-    Unknown kinds find nothing. Of calls and literals the different names are matched once, then joined with their rows.
+    Unknown kinds find nothing. Different names are matched once, through the index ``names`` of all that is searched,
+    then joined with their rows. Without an index one is made of the tables.
     """
     asked = questions.select("query_id", "repo", F.trim("text").alias("token")).filter("token <> ''")
-    tokens = asked.select("token").distinct()
+    searched = {"symbol": (symbols, SYMBOL_NAMES), "call": (calls, CALL_NAMES), "literal": (literals, LITERAL_NAMES), "path": (files, PATH_NAMES)}
+    if names is None:
+        names = grams.index(grams.different(*[searched[k] for k in searched if k in kinds or (k == "path" and not set(kinds) & set(searched))]))
+    found_names = grams.lookup(asked.select("token"), names)
 
     def sites(table: DataFrame, columns: list[str]) -> DataFrame:
         """Rows of a table of symbol_id whose names hold a token, with their symbol and the questions of its repository."""
         plain = table.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
-        names = holding(plain.select(*columns).distinct(), columns, tokens, [])
-        return plain.join(names, columns).join(base, "symbol_id").join(asked, ["repo", "token"])
+        return grams.holding(plain, columns, found_names).join(base, "symbol_id").join(asked, ["repo", "token"])
 
     owner = symbols.join(files.select("file_id", "path"), "file_id")
     base = owner.select("repo", "symbol_id", "path", F.col("symbol_ref").alias("symbol"), "name", "qualified_name", "signature", "line_start", "line_end")
     branches = []
     target = [F.col("query_id"), F.lit("symbol").alias("record_type"), F.col("symbol_id").alias("target_id"), F.col("path"), F.col("symbol"), F.col("signature"), F.col("line_start"), F.col("line_end")]
     if "symbol" in kinds:
-        hits = holding(base, ["name", "qualified_name", "symbol"], asked, ["repo"])
+        hits = grams.holding(base, ["name", "qualified_name", "symbol"], found_names).join(asked, ["repo", "token"])
         branches.append(hits.select(*target, F.lit("definition").alias("why"), (match_score(F.col("token"), F.col("name")) + 5).alias("score"), F.lit(0).alias("kind_order"), F.lit(0).alias("line"), F.lit("").alias("tie")))
     if "call" in kinds:
-        hits = sites(calls.select("symbol_id", "call_text", "function_name", F.col("line_start").alias("line")), ["call_text", "function_name"])
+        hits = sites(calls.select("symbol_id", "call_text", "function_name", F.col("line_start").alias("line")), list(CALL_NAMES))
         score = match_score(F.col("token"), F.coalesce(F.when(F.col("function_name") != "", F.col("function_name")), F.col("call_text")))
         branches.append(hits.select(*target, F.concat(F.lit("call site: "), F.col("call_text")).alias("why"), score.alias("score"), F.lit(1).alias("kind_order"), "line", F.col("call_text").alias("tie")))
     if "literal" in kinds:
-        hits = sites(literals.select("symbol_id", "value", F.col("line_start").alias("line")), ["value"])
+        hits = sites(literals.select("symbol_id", "value", F.col("line_start").alias("line")), list(LITERAL_NAMES))
         branches.append(hits.select(*target, F.concat(F.lit("literal: "), shortened(F.col("value"))).alias("why"), (match_score(F.col("token"), F.col("value")) - 10).alias("score"), F.lit(2).alias("kind_order"), "line", F.col("value").alias("tie")))
     if "path" in kinds or not branches:
-        hits = holding(files.select("repo", "file_id", "path", "line_count"), ["path"], asked, ["repo"]).filter(F.lit("path" in kinds))
+        hits = grams.holding(files.select("repo", "file_id", "path", "line_count"), list(PATH_NAMES), found_names).join(asked, ["repo", "token"]).filter(F.lit("path" in kinds))
         none = F.lit(None).cast("string")
         branches.append(hits.select("query_id", F.lit("file").alias("record_type"), F.col("file_id").alias("target_id"), "path", none.alias("symbol"), none.alias("signature"), F.lit(1).alias("line_start"), F.least(F.col("line_count"), F.lit(80)).alias("line_end"), F.lit("path").alias("why"), match_score(F.col("token"), F.col("path")).alias("score"), F.lit(3).alias("kind_order"), F.lit(0).alias("line"), F.lit("").alias("tie")))
     found = branches[0]

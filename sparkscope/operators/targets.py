@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions.text import directory
-from sparkscope.operators.ranking import holding
+from sparkscope.operators import grams
 from sparkscope.operators.upkeep import ancestors
 
 FUZZY = 6
@@ -19,12 +19,13 @@ def handles(ranked: DataFrame, order: str = "final_rank", keys: tuple[str, ...]
     return ranked.withColumn("result_id", F.format_string("r_%02d", n))
 
 
-def resolve(asked: DataFrame, files: DataFrame, symbols: DataFrame, modules: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+def resolve(asked: DataFrame, files: DataFrame, symbols: DataFrame, modules: DataFrame, cached: DataFrame | None = None, names: grams.Names | None = None) -> DataFrame:
     """(ask_id, status, step, n, type, target_id, path, symbol_ref, line_start, line_end) for each (ask_id, repo, target).
 
     Steps, of which the first with a match counts: a result handle, an exact symbol name in full, a path, a module, a
     bare name, a part of a full name (at most 6, shortest first). One match is "ok"; several bare names or parts are
-    "ambiguous", one row each; none is "not_found".
+    "ambiguous", one row each; none is "not_found". Parts of names are found through the index ``names``, or one made of
+    the symbols.
     """
     named = symbols.join(files.select("file_id", "path"), "file_id").select("repo", F.lit("symbol").alias("type"), F.col("symbol_id").alias("target_id"), "path", "symbol_ref", "line_start", "line_end", "name", "qualified_name", "ord")
     none = F.lit(None).cast("string")
@@ -52,7 +53,9 @@ def resolve(asked: DataFrame, files: DataFrame, symbols: DataFrame, modules: Dat
     for s in steps[1:]:
         met_before = met_before.unionByName(s.select("ask_id"))
     rest = asked.filter(target != "").join(met_before.distinct(), "ask_id", "left_anti").select("ask_id", "repo", target.alias("token"))
-    close = holding(named, ["symbol_ref", "qualified_name"], rest, ["repo"])
+    parts = ["symbol_ref", "qualified_name"]
+    hits = grams.lookup(rest.select("token"), names or grams.index(grams.different((symbols, parts))))
+    close = grams.holding(named, parts, hits).join(rest, ["repo", "token"]).dropDuplicates(["ask_id", "target_id"])
     steps.append(step(6, close, F.length("symbol_ref"), F.col("symbol_ref")).filter(F.col("n") <= FUZZY))
     every = steps[0]
     for s in steps[1:]:

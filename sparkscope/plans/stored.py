@@ -1,4 +1,4 @@
-"""Stored full-text indexes of the driver's tables: built once an application, and again when a table's files change."""
+"""Stored full-text and name indexes of the driver's tables: built once an application, and again when a table's files change."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sparkscope.operators import lexical
+from sparkscope.operators import grams, lexical, ranking
+from sparkscope.plans import relations as R
 from sparkscope.session import shared_dir
 
 _built: dict[tuple[str, str], str] = {}
@@ -36,3 +37,13 @@ def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> lexical.Index
             lexical.write_index(lexical.postings(docs, "doc_id", F.col("text")), lexical.lengths(docs, "doc_id", F.col("text")), path)
         _built[key] = path
     return lexical.read_index(spark, _built[key])
+
+
+def names(spark: SparkSession, sf_dir: str) -> grams.Names:
+    """The index of all names of the relations."""
+    key = (spark.sparkContext.applicationId, f"{stamp(spark, f'{sf_dir}/documents.parquet')}-names")
+    if key not in _built:
+        path = f"{shared_dir(spark)}/sparkscope/{key[0]}/{key[1]}-{uuid.uuid4().hex}"
+        grams.write(ranking.all_names(*[of(spark, sf_dir) for of in (R.files, R.symbols, R.calls, R.literals)]), path)
+        _built[key] = path
+    return grams.read(spark, _built[key])

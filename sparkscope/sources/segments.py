@@ -33,7 +33,7 @@ AT_ONCE = 6
 @dataclass(frozen=True)
 class Kept:
     """How a table is kept: its tombstones' name and key columns (rows with a null in them are never hidden; no name: rows
-    are a set that only grows), columns for the store alone, and folders and order within a segment."""
+    are never hidden, and equal ones become one when segments are merged), columns for the store alone, and folders and order within a segment."""
 
     space: str | None = None
     key: tuple[str, ...] = ()
@@ -92,8 +92,6 @@ class Store:
         if dead is not None:
             same = [rows[c] == dead[c] for c in ("repo", *how.key)]
             rows = rows.join(dead, reduce(lambda a, b: a & b, same) & (rows["seq"] < dead["dead"]), "left_anti")
-        if not how.space:
-            rows = rows.drop("seq").distinct()
         shown = [f["name"] for f in schema["fields"] if all_columns or f["name"] not in how.hidden]
         return rows.select("repo", *shown)
 
@@ -211,6 +209,8 @@ class Change:
             return
         segments = self.manifest["tables"][name]
         rows = self.store.merged(name, {self.repo: self.manifest}, {s[0] for s in segments[-count:]}, all_columns=True)
+        if not self.store.kept[name].space:
+            rows = rows.distinct()
         merged = self._write(name, rows, self._number(), self.store.kept[name])
         self.manifest["tables"][name] = segments[:-count] + ([merged] if merged else [])
 

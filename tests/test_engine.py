@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkscope.engine import Engine, normal_path
 from sparkscope.functions import paths, stemmer
 from sparkscope.functions import text as T
-from sparkscope.operators import graph, ranking, upkeep, vectors
+from sparkscope.operators import graph, grams, ranking, upkeep, vectors
 from sparkscope.plans import catalogue
 from sparkscope.sources import extract, tree
 
@@ -240,15 +240,31 @@ def test_small_rules(spark):
     assert graph.CALLERS == 6
 
 
-def test_names_that_hold_a_token(spark, monkeypatch):
-    names = spark.createDataFrame([(i, f"A{i}b_Name{i}", f"q.{i}") for i in range(40)], "id long, x string, y string")
-    asked = spark.createDataFrame([("NAME1",), ("b",), ("q.",), ("5",), ("zz",)], "token string")
-    got = []
-    for few in (True, False):
-        monkeypatch.setattr(ranking, "small", lambda df, few=few: few)
-        got.append(sorted((r["id"], r["token"]) for r in ranking.holding(names, ["x", "y"], asked, []).collect()))
-    want = sorted((i, t) for i in range(40) for t in ("NAME1", "b", "q.", "5", "zz") if t.lower() in f"a{i}b_name{i}" or t.lower() in f"q.{i}")
-    assert got == [want, want]
+def test_names_that_hold_a_token(spark, tmp_path):
+    rows = [(i, f"A{i}b_Name{i}", f"q.{i}", None) for i in range(40)] + [(100, "b", "", None), (101, None, "é漢字x", None), (102, "aa", "aaa", None), (103, "aa", "aaa", None)]
+    table = spark.createDataFrame(rows, "id long, x string, y string, name string")
+    tokens = ["NAME1", "b", "q.", "5", "zz", "é漢", "字x", "漢字X", "aa", "AAA", "aaaa", "me12", "", None, "%", "a1b_name1"]
+    asked = spark.createDataFrame([(t,) for t in tokens] * 2, "token string")
+    names = grams.different((table, ["x", "y"]))
+    assert names.count() == 40 * 2 + 4
+    grams.write(names, str(tmp_path / "names"))
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    want = sorted({(i, t) for i, x, y, _ in rows for t in tokens if t and (low(t) in low(x or "") or low(t) in low(y or ""))})
+    for known in (grams.index(names), grams.read(spark, str(tmp_path / "names"))):
+        hits = grams.lookup(asked, known)
+        got = grams.holding(table, ["x", "y"], hits)
+        assert got.columns == [*table.columns, "token"]
+        assert sorted({(r["id"], r["token"]) for r in got.collect()}) == want
+        assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert grams.lookup(asked, grams.index(names.limit(0))).count() == 0 and grams.lookup(asked.limit(0), grams.index(names)).count() == 0
+
+
+def test_find_and_resolve_have_no_nested_loops(engine):
+    plans = [engine.find(ask(engine, "helper")), engine.open(engine.spark.createDataFrame([(0, "demo", "lper")], "ask_id long, repo string, target string"))]
+    for p in plans:
+        text = p._jdf.queryExecution().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+    assert plans[1].first()["symbol_ref"] == "pkg.store.helper"
 
 
 def test_unknown_kinds_find_nothing(engine):
