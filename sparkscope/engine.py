@@ -254,7 +254,7 @@ class Engine:
         every = of("jobs")
         todo = jobs.runnable(every, True, limit)
         outlines = jobs.texts(of("files"), of("symbols"), of("file_facts"), of("modules"), jobs.FACTS_OUTLINED, refs=False).filter("target_type <> 'symbol'")
-        asks = F.concat("text", F.lit("\n\nReturn JSON with short summary, behavior_aliases, likely_queries only."))
+        asks = F.concat("text", F.lit("\n\nAnswer with one JSON object; its keys are among summary (short), behavior_aliases and likely_queries."))
         prompts = outlines.select("target_type", "target_id", asks.alias("prompt"))
         of_symbols = jobs.symbol_prompts(of("symbols"), of("files"), of("symbol_calls"), of("symbol_literals"), of("heuristic_flags"))
         prompts = prompts.unionByName(of_symbols.select(F.lit("symbol").alias("target_type"), "target_id", "prompt"))
@@ -315,6 +315,7 @@ class Engine:
         shown = found.select("target_id", "query_id", "query").join(docs.select("target_id", "text"), "target_id").withColumn("at", F.struct("query_id", "target_id"))
         snippet = lexical.snippets(shown, "at", F.col("text"), T.query_terms(F.col("query"))).select("doc.*", "snippet")
         found = found.join(why, "target_id", "left").join(snippet, ["query_id", "target_id"], "left")
+        # Reasons for what has neither flags nor calls.
         reason = F.coalesce("why", F.when(F.col("lexical_rank").isNull(), "semantic alias match; inspect before trusting").otherwise(F.coalesce("snippet", F.lit("lexical match"))))
         return ranking.rerank(found.withColumn("why", reason).drop("snippet"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,11 +15,10 @@ from sparkscope.session import ship
 
 JOB = "repo string, target_type string, target_id long, job_type string, model string, status string, priority int, input_hash string, tokens long, attempts int, error string"
 OUTPUT = "repo string, target_type string, target_id long, model string, output_type string, json_text string, accepted boolean, rejected_reason string"
-# Priorities by target, fields of answers that are taken or dropped, signs of a service that is away.
+# Priorities by target, fields of answers that are taken, signs of a service that is away.
 ENRICHMENT = {"symbol": 50, "file": 100, "module": 150}
 EMBEDDING = {"symbol": 200, "file": 250, "module": 300}
 ACCEPTED = ("purpose", "summary", "behavior_aliases", "likely_queries", "search_tags")
-REJECTED = ("exact_terms", "safety_tags", "line_ranges", "symbol_inventories", "import_inventories")
 AWAY = ("connection refused", "connection reset", "connection aborted", "remote end closed", "failed to establish a new connection")
 MAX_ATTEMPTS = 3
 FACTS_EMBEDDED, FACTS_OUTLINED = 100, 80
@@ -56,9 +56,10 @@ def symbol_prompts(symbols: DataFrame, files: DataFrame, calls: DataFrame, liter
     every = symbols.join(files.select("file_id", "path"), "file_id")
     for table, value, name in ((calls, F.col("call_text"), "calls"), (literals, F.col("value"), "literals"), (flags, F.concat_ws(":", "flag", "evidence_value"), "flags")):
         every = every.join(of(table, value, name), "symbol_id", "left")
-    parts = [("path", "path"), ("symbol", "symbol_ref"), ("signature", "signature"), ("calls", "calls"), ("literals", "literals"), ("heuristic flags", "flags"), ("docstring", "docstring")]
+    every = every.withColumn("_lines", F.concat_ws("-", "line_start", "line_end"))
+    parts = [("path", "path"), ("symbol", "symbol_ref"), ("lines", "_lines"), ("signature", "signature"), ("calls", "calls"), ("literals", "literals"), ("heuristic flags", "flags"), ("docstring", "docstring")]
     lines = [F.concat(F.lit(f"{title}: "), F.coalesce(F.col(c), F.lit(""))) for title, c in parts]
-    asks = F.lit("Return JSON with purpose, behavior_aliases, likely_queries only.")
+    asks = F.lit("Answer with one JSON object; its keys are among purpose, behavior_aliases and likely_queries.")
     return every.select(F.col("symbol_id").alias("target_id"), F.concat_ws("\n", *lines, F.lit("raw symbol code:"), F.substring("primary_text", 1, 6000), F.lit(""), asks).alias("prompt"))
 
 
@@ -81,48 +82,42 @@ def runnable(jobs: DataFrame, enrichment: bool, limit: int = 100_000) -> DataFra
     return jobs.filter((is_enrichment if enrichment else ~is_enrichment) & ((F.col("status") == "pending") | again)).orderBy("model", "repo", "priority", "target_type", "target_id").limit(limit)
 
 
-def validated(data: object) -> tuple[dict | None, str | None]:
-    """(what is taken of a model's answer, why nothing is)."""
-    if not isinstance(data, dict):
-        return None, "not_json_object"
-    taken = {k: v for k, v in data.items() if k in ACCEPTED}
-    return (taken, None) if taken else (None, "no_accepted_fields")
-
-
-def is_away(error: str) -> bool:
-    return any(sign in error.lower() for sign in AWAY)
-
-
 def enrich(prompts: DataFrame, generate: Callable[[str, str], object]) -> DataFrame:
     """Run ``generate(prompt, model)`` for each of (*job, prompt): the job with its new status, and its output.
 
-    An answer is a dictionary. An error that shows a service to be away leaves the job and all later ones of its
-    partition pending; other errors are the job's own.
+    An answer is a dictionary, of which the fields in ACCEPTED are taken. An error that shows a service to be away leaves
+    the job and all later ones of its partition pending; other errors are the job's own.
     """
     fields = [c.split()[0] for c in JOB.split(", ")]
+    away = re.compile("|".join(map(re.escape, AWAY)), re.IGNORECASE)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        away = None
+        stopped = None
         for frame in frames:
-            rows = []
-            for r in frame.to_dict("records"):
-                status, error, taken, reason, text = "pending", away, None, None, None
-                if away is None:
+            answers, taken, errors = [], [], []
+            for prompt, model in zip(frame["prompt"], frame["model"]):
+                answer = fault = None
+                if stopped is None:
                     try:
-                        answer = generate(r["prompt"], r["model"])
-                        taken, reason = validated(answer)
-                        status, text = "done", json.dumps(taken or answer, sort_keys=True, default=str)
+                        answer = generate(prompt, model)
                     except Exception as e:  # the model's error is the job's
-                        error = str(e)
-                        if is_away(error):
-                            away = error
-                        else:
-                            status = "error"
-                rows.append({**{f: r[f] for f in fields}, "status": status, "attempts": int(r["attempts"]) + (status != "pending"), "error": error, "json_text": text, "accepted": bool(taken), "rejected_reason": reason})
-            yield pd.DataFrame(rows, columns=[*fields, "json_text", "accepted", "rejected_reason"])
+                        fault = str(e)
+                        stopped = fault if away.search(fault) else None
+                failed = stopped or fault
+                errors.append(failed)
+                answers.append(None if failed is not None else json.dumps(answer, sort_keys=True, default=str))
+                wanted = {k: answer[k] for k in ACCEPTED if k in answer} if isinstance(answer, dict) else None
+                taken.append(None if wanted is None else json.dumps(wanted, sort_keys=True, default=str))
+            yield frame[fields].assign(error=errors, _answer=answers, _taken=taken)
 
     ship(prompts.sparkSession)
-    return prompts.select(*fields, "prompt").mapInPandas(run, f"{JOB}, json_text string, accepted boolean, rejected_reason string")
+    ran = prompts.select(*fields, "prompt").mapInPandas(run, f"{JOB}, _answer string, _taken string")
+    pending = F.coalesce(F.col("error").rlike(f"(?i){away.pattern}"), F.lit(False))
+    status = F.when(pending, "pending").when(F.col("error").isNotNull(), "error").otherwise("done")
+    accepted = F.coalesce(F.col("_taken") != "{}", F.lit(False))
+    reason = F.when(F.col("_answer").isNotNull() & ~accepted, F.when(F.col("_taken").isNull(), "not_json_object").otherwise("no_accepted_fields"))
+    told = {"json_text": F.when(accepted, F.col("_taken")).otherwise(F.col("_answer")), "accepted": accepted, "rejected_reason": reason}
+    return ran.withColumns({"status": status, "attempts": F.col("attempts") + F.when(pending, 0).otherwise(1), **told}).drop("_answer", "_taken")
 
 
 def outputs(ran: DataFrame) -> DataFrame:

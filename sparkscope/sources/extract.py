@@ -93,6 +93,19 @@ def plain_facts(text: str) -> list[tuple]:
 # Python --------------------------------------------------------------------------------------------------------------
 
 
+class Source:
+    """A Python text whose nodes' segments are cut by offsets: lines are found once, not for each node."""
+
+    def __init__(self, text: str):
+        self.data = text.encode()
+        self.starts = [0, *[m.end() for m in re.finditer(rb"\r\n|\r|\n", self.data)]]
+
+    def of(self, node: ast.AST) -> str:
+        first = self.starts[node.lineno - 1] + node.col_offset
+        last = self.starts[node.end_lineno - 1] + node.end_col_offset
+        return self.data[first:last].decode("utf-8", "replace")
+
+
 def python(text: str, path: str) -> Extracted:
     out = Extracted()
     try:
@@ -102,10 +115,10 @@ def python(text: str, path: str) -> Extracted:
         found = scan(text, path, "python_scan")
         found.errors = 1
         return found
-    lines = text.splitlines()
+    lines, source = text.splitlines(), Source(text)
     for node in ast.walk(tree):
         if isinstance(node, (ast.Import, ast.ImportFrom)):
-            out.facts.append(("import", ast.get_source_segment(text, node) or "", node.lineno, node.end_lineno))
+            out.facts.append(("import", source.of(node), node.lineno, node.end_lineno))
     for t in tokens:
         if t.type == tokenize.STRING:
             out.facts.append(("string_literal", unquoted(t.string)[:STRING], t.start[0], t.end[0]))
@@ -117,29 +130,29 @@ def python(text: str, path: str) -> Extracted:
     def visit(node: ast.AST, classes: list[str]) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                out.symbols.append(_python_symbol(child, classes, module, path, text, lines))
+                out.symbols.append(_python_symbol(child, classes, module, path, source, lines))
             visit(child, [*classes, child.name] if isinstance(child, ast.ClassDef) else classes)
 
     visit(tree, [])
     return out
 
 
-def _python_symbol(node, classes: list[str], module: str, path: str, text: str, lines: list[str]) -> Symbol:
+def _python_symbol(node, classes: list[str], module: str, path: str, source: Source, lines: list[str]) -> Symbol:
     is_class = isinstance(node, ast.ClassDef)
     first = min([node.lineno, *[d.lineno for d in node.decorator_list]])
     head = lines[first - 1].strip() if first <= len(lines) else node.name
     signature = head.rstrip(":") if is_class else head[:-1].strip() if head.endswith(":") else head
     qualified = ".".join([*classes, node.name])
     doc = "" if node.decorator_list else (ast.get_docstring(node, clean=False) or "")
-    s = Symbol(node.name, qualified, f"{module}.{qualified}" if module else f"{path}::{qualified}", "class" if is_class else "function", signature, first, node.end_lineno or first, " ".join("@" + (ast.get_source_segment(text, d) or "") for d in node.decorator_list), doc[:DOCSTRING])
+    s = Symbol(node.name, qualified, f"{module}.{qualified}" if module else f"{path}::{qualified}", "class" if is_class else "function", signature, first, node.end_lineno or first, " ".join("@" + source.of(d) for d in node.decorator_list), doc[:DOCSTRING])
     for x in ast.walk(node):
         if isinstance(x, ast.Call):
-            called = (ast.get_source_segment(text, x.func) or "").strip()
+            called = source.of(x.func).strip()
             receiver, _, name = called.rpartition(".")
             s.calls.append((called, receiver or None, name, x.lineno, x.end_lineno))
         elif isinstance(x, ast.Constant) and isinstance(x.value, (str, bool, int, float)):
             kind = "bool" if isinstance(x.value, bool) else "string" if isinstance(x.value, str) else "number"
-            s.literals.append((kind, unquoted(ast.get_source_segment(text, x) or "")[:STRING], x.lineno, x.end_lineno))
+            s.literals.append((kind, unquoted(source.of(x))[:STRING], x.lineno, x.end_lineno))
     s.calls.sort(key=lambda c: (c[3], c[0]))
     s.literals.sort(key=lambda v: (v[2], v[1]))
     return _finish(s, path, lines)
@@ -150,7 +163,7 @@ def _python_symbol(node, classes: list[str], module: str, path: str, text: str,
 NAME = r"[A-Za-z_$][\w$]*"
 SLASHES = (r"//[^\n]*", r"/\*.*?\*/")
 QUOTES = (r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'")
-KEYWORDS = frozenset("if for while switch catch return function sizeof new throw typeof elif else do match loop fn impl let const var class struct def in await yield and or not end then local until repeat".split())
+KEYWORDS = frozenset("async if for while switch catch return function sizeof new throw typeof elif else do match loop fn impl let const var class struct def in await yield and or not end then local until repeat".split())
 
 
 @dataclass(frozen=True)
@@ -168,12 +181,13 @@ class Language:
     in_class: bool = False
     join: str = "."
     literals: bool = True
+    facts: bool = True
 
 
 JS = (
     ("function", rf"\bfunction\s*\*?\s*(?P<name>{NAME})\s*\("), ("class", rf"\bclass\s+(?P<name>{NAME})"),
     ("function", rf"\b(?:const|let|var)\s+(?P<name>{NAME})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|{NAME}\s*=>)"),
-    ("method", rf"^[ \t]*(?:static\s+|async\s+|get\s+|set\s+|public\s+|private\s+|protected\s+)*(?P<name>{NAME})\s*\([^()]*\)\s*(?::[^{{\n]+)?\{{"),
+    ("method", rf"(?:^|(?<=[{{;}}]))[ \t]*(?:static\s+|async\s+|get\s+|set\s+|public\s+|private\s+|protected\s+)*(?P<name>{NAME})\s*\([^()]*\)\s*(?::[^{{\n]+)?\{{"),
 )
 JS_STRINGS = (*QUOTES, r"`(?:\\.|[^`\\])*`")
 C_LIKE = (("function", rf"^[ \t]*(?:[\w:<>~*&]+[\s*&]+)+(?P<name>[A-Za-z_~][\w:~]*)\s*\([^;{{}}]*\)\s*(?:const\s*)?\{{"),)
@@ -184,7 +198,7 @@ TABLE = {
     "c": Language(SLASHES, QUOTES, C_LIKE, imports=r"^[ \t]*#[ \t]*include[^\n]*", separators=("::", "->", "."), receivers=False),
     "bash": Language((r"(?<![\w$])#[^\n]*",), QUOTES, (("function", r"^[ \t]*(?:function\s+)?(?P<name>[\w-]+)\s*\(\s*\)\s*\{"), ("function", r"^[ \t]*function\s+(?P<name>[\w-]+)\s*\{")), calls=r"(?:^|[;{|&(]|\bthen\b|\bdo\b|\$\()[ \t]*(?P<call>[A-Za-z_][\w.-]*)(?=[ \t\n;)]|$)", receivers=False, literals=False),
     "lua": Language((r"--\[\[.*?\]\]", r"--[^\n]*"), QUOTES, (("function", r"\bfunction\s+(?P<name>[\w.:]+)\s*\("),), body="end", literals=False),
-    "sql": Language((), (), (("table", r"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?(?P<name>[\w.\"`]+)"),), body="statement", calls=None, literals=False),
+    "sql": Language((r"--[^\n]*", SLASHES[1]), (r"'(?:''|[^'])*'",), (("table", r"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?(?P<name>[\w.\"`]+)"),), body="statement", calls=None, literals=False, facts=False),
     "css": Language((SLASHES[1],), (), (("selector", r"(?P<name>[^{}\s][^{};]*?)\s*\{"),), calls=None, literals=False),
     "python_scan": Language((r"#[^\n]*",), QUOTES, (("function", rf"^[ \t]*(?:async\s+)?def\s+(?P<name>{NAME})"), ("class", rf"^[ \t]*class\s+(?P<name>{NAME})")), body="indent", imports=r"^[ \t]*(?:from|import)\b[^\n]*"),
 }
@@ -194,7 +208,7 @@ TABLE |= {"tsx": TABLE["typescript"], "cpp": TABLE["c"]}
 def _body_end(code: str, start: int, how: str) -> int:
     if how == "indent":
         begin = code.rfind("\n", 0, start) + 1
-        indent = len(code[begin:]) - len(code[begin:].lstrip(" \t"))
+        indent = re.compile(r"[ \t]*").match(code, begin).end() - begin
         at = code.find("\n", start)
         last = at if at >= 0 else len(code)
         while 0 <= at < len(code) - 1:
@@ -212,21 +226,21 @@ def _body_end(code: str, start: int, how: str) -> int:
         return at + 1 if at >= 0 else len(code)
     if how == "end":
         depth = 0
-        for m in re.finditer(r"\b(function|if|for|while|repeat|end|until)\b", code[start:]):
+        for m in re.compile(r"\b(function|if|for|while|repeat|end|until)\b").finditer(code, start):
             depth += -1 if m[1] in ("end", "until") else 1
             if depth <= 0:
-                return start + m.end()
+                return m.end()
         return len(code)
     depth, opened = 0, False
-    for m in re.finditer(r"[{};]", code[start:]):
+    for m in re.compile(r"[{};]").finditer(code, start):
         if m[0] == "{":
             depth, opened = depth + 1, True
         elif m[0] == "}":
             depth -= 1
             if opened and depth <= 0:
-                return start + m.end()
+                return m.end()
         elif not opened:
-            return start + m.end()
+            return m.end()
     return len(code)
 
 
@@ -245,7 +259,9 @@ def scan(text: str, path: str, language: str) -> Extracted:
         pieces, last = [], 0
         for m in re.finditer(pattern, text, re.DOTALL | re.MULTILINE):
             first, final = line_of(m.start()), line_of(max(m.start(), m.end() - 1))
-            if m.lastgroup and m.lastgroup[0] == "c":
+            if not how.facts:
+                pass
+            elif m.lastgroup and m.lastgroup[0] == "c":
                 out.facts.append(("comment", m[0].strip()[:COMMENT], first, final))
             else:
                 out.facts.append(("string_literal", unquoted(m[0])[:STRING], first, final))
@@ -282,11 +298,17 @@ def scan(text: str, path: str, language: str) -> Extracted:
             n = line_of(m.start("call"))
             calls.append((m.start("call"), (called, receiver or None, name, n, n)))
     module = module_ref(path)
+    # Calls and literals are in order, so those of a symbol are a range; classes around a symbol lie on a stack.
+    call_at, literal_at, around = [at for at, _ in calls], [at for at, _ in literals], []
     for begin, end, kind, name in sorted(spans.values()):
+        while around and around[-1][1] <= begin:
+            around.pop()
         if language == "css":
             name = name.split(",", 1)[0].strip()
-        owners = [x[3] for x in sorted(spans.values()) if how.in_class and x[2] == "class" and x[0] < begin and end <= x[1]]
+        owners = [x[2] for x in around if x[0] < begin and end <= x[1]]
         qualified = ".".join([*owners, name])
+        if how.in_class and kind == "class":
+            around.append((begin, end, name))
         if language == "sql":
             ref, signature = f"{module}.create_table_{name}", f"CREATE TABLE {name}"
         elif language == "css":
@@ -294,15 +316,17 @@ def scan(text: str, path: str, language: str) -> Extracted:
         else:
             ref = f"{module}{how.join}{qualified}"
             signature = re.split(r"\{|\n", text[begin:end], maxsplit=1)[0].strip()[:SIGNATURE]
-        inside = lambda at: begin <= at < end  # noqa: B023, E731
-        s = Symbol(name, qualified, ref, kind, signature, line_of(begin), line_of(max(begin, end - 1)), calls=[c for at, c in calls if inside(at)], literals=[v for at, v in literals if inside(at)] if how.literals else [])
+        own_calls = calls[bisect.bisect_left(call_at, begin) : bisect.bisect_left(call_at, end)]
+        own_literals = literals[bisect.bisect_left(literal_at, begin) : bisect.bisect_left(literal_at, end)] if how.literals else []
+        s = Symbol(name, qualified, ref, kind, signature, line_of(begin), line_of(max(begin, end - 1)), calls=[c for _, c in own_calls], literals=[v for _, v in own_literals])
         out.symbols.append(_finish(s, path, lines))
     return out
 
 
 def html(text: str) -> Extracted:
     out = Extracted()
-    line = lambda at: text.count("\n", 0, at) + 1
+    starts = [0, *[m.end() for m in re.finditer("\n", text)]]
+    line = lambda at: bisect.bisect_right(starts, at)
     quiet = text
     for kind, pattern in (("comment", r"<!--.*?-->"), ("section_script", r"(?i)<script\b.*?</script\s*>"), ("section_style", r"(?i)<style\b.*?</style\s*>")):
         for m in re.finditer(pattern, quiet, re.DOTALL):

@@ -8,6 +8,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from sparkscope import cli
 from sparkscope.engine import Engine, normal_path
 from sparkscope.functions import paths, stemmer
 from sparkscope.functions import text as T
@@ -71,8 +72,6 @@ def test_find_search_open_explore(engine):
 
 
 def test_lines_handles_and_folders(engine, capsys):
-    from sparkscope import cli
-
     first = engine.search(ask(engine, "admin logins")).orderBy("final_rank").collect()
     assert (first[0]["line_start"], first[0]["line_end"]) == (4, 6)
     engine.remember("demo", [r.asDict() for r in first])
@@ -183,27 +182,48 @@ def test_paths_and_ignore_rules():
     assert {p: rules.ignores(p) for p in wanted} == wanted
 
 
-@pytest.mark.parametrize(
-    ("language", "path", "text", "symbol", "call"),
-    [
-        ("python", "s.py", "def drop_it(a):\n    box.drop_it(a)\n", "drop_it", "box.drop_it"),
-        ("python", "s.py", "def broken(:\n    x.y()\n", "broken", "x.y"),
-        ("javascript", "s.js", "class A {\n  go(x) { db.put(x); }\n}\nconst f = async (a) => run(a);\n", "go", "db.put"),
-        ("typescript", "s.ts", "export function load(): void { http.get(u); }\n", "load", "http.get"),
-        ("tsx", "s.tsx", "export const Box = () => <div>{make()}</div>;\n", "Box", "make"),
-        ("rust", "s.rs", "fn tidy(){ box_.drop_all(c); }\n", "tidy", "box_.drop_all"),
-        ("c", "s.c", "int main(){ call_it(); return 0; }\n", "main", "call_it"),
-        ("cpp", "s.cpp", "int main(){ call_it(); return 0; }\n", "main", "call_it"),
-        ("bash", "s.sh", "ship(){ curl http://x; }\n", "ship", "curl"),
-        ("lua", "s.lua", "function save() if x then db.put(p) end end\n", "save", "db.put"),
-        ("sql", "s.sql", "CREATE TABLE users (id int);\n", "users", None),
-        ("css", "s.css", ".button, .b { color: red; }\n", ".button", None),
-    ],
-)
-def test_extractors(language, path, text, symbol, call):
-    found = extract.extract(text, path, language)
-    assert symbol in [s.name for s in found.symbols]
-    assert call is None or call in [c[0] for s in found.symbols for c in s.calls]
+@pytest.mark.parametrize("language", sorted(cli.SMOKE))
+def test_extractors(language):
+    path, text, symbol, call = cli.SMOKE[language]
+    found = extract.extract(text, path, language).symbols
+    assert symbol in [s.name for s in found]
+    assert call is None or call in [c[0] for s in found for c in s.calls]
+    assert not [s.name for s in found if "here" in s.name or "ghost" in s.name]
+
+
+def test_extractors_take_broken_and_short_code():
+    broken = extract.extract("def half(:\n    log.write()\n", "b.py", "python").symbols
+    assert broken[0].name == "half" and broken[0].calls[0][0] == "log.write"
+    arrow = extract.extract("const pick = async (a) => choose(a);\n", "p.js", "javascript").symbols
+    assert arrow[0].name == "pick" and arrow[0].calls[0][0] == "choose"
+
+
+def test_extractors_take_linear_time():
+    import ast
+    import time
+
+    make = {
+        "python": lambda i: f"def f{i}(a):\n    x = b.c{i}('é', 'q')\n    return g(x, {i})\n",
+        "javascript": lambda i: f"class A{i} {{ go(x) {{ db.put{i}(x, 'y'); }} }}\nfunction f{i}() {{ return h(1); }}\n",
+        "html": lambda i: f"<p class='x'>\n<b>{i}</b>\n",
+        "lua": lambda i: f"function f{i}()\n  if a then b.c(1) end\nend\n",
+    }
+    for language, of in make.items():
+        took = []
+        for n in (1_000, 8_000):
+            text = "".join(map(of, range(n)))
+            start = time.perf_counter()
+            found = extract.extract(text, "x", language)
+            took.append(time.perf_counter() - start)
+            assert language == "html" and len(found.facts) == 2 * n or len(found.symbols) >= n
+        assert took[1] < 20 * took[0] + 0.5, (language, took)
+    methods = [(s.qualified_name, [c[0] for c in s.calls]) for s in extract.extract("class A { b(x) { db.put(x); } }\n", "a.js", "javascript").symbols]
+    assert methods == [("A", ["db.put"]), ("A.b", ["db.put"])]
+    text = "@d(1)\ndef é(a):\r\n    s = 'ü' + f(a,\n        b)\n"
+    source = extract.Source(text)
+    for node in ast.walk(ast.parse(text)):
+        if hasattr(node, "lineno"):
+            assert source.of(node) == ast.get_source_segment(text, node)
 
 
 def test_stems_match_a_full_text_engine():
