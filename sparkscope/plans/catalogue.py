@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.functions import paths as P
 from sparkscope.functions import text as T
-from sparkscope.operators import graph, heuristics, lexical, ranking, targets, upkeep, vectors
+from sparkscope.operators import cells, graph, heuristics, lexical, ranking, targets, upkeep, vectors
 from sparkscope.plans import relations as R
 from sparkscope.plans import stored
 from sparkscope.plans.relations import sql
@@ -260,6 +260,14 @@ def vector_topk_batch(spark, d):
     return _nearest(spark, d, F.col("target_id") % 50 == 0)
 
 
+@query(NEAREST.format(which="% 50 = 0"))
+def vector_topk_cells(spark, d):
+    """The same through stored cells, in exact mode."""
+    asked = _vectors(spark, d).filter(F.col("target_id") % 50 == 0).select(F.col("target_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = cells.nearest(asked, stored.vector_cells(spark, d), 10, exact=True)
+    return found.select("query_id", "target_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
 def _members(spark, d):
     """Groups of 25 vectors each, as if a question had brought them up."""
     e = R.table(spark, d, "embeddings")

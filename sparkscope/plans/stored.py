@@ -1,4 +1,4 @@
-"""Stored full-text and name indexes of the driver's tables: built once an application, and again when a table's files change."""
+"""Stored indexes of the driver's tables: built once an application, and again when a table's files change."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sparkscope.operators import grams, lexical, ranking
+from sparkscope.operators import cells, grams, lexical, ranking
 from sparkscope.plans import relations as R
 from sparkscope.session import shared_dir
 
@@ -47,3 +47,14 @@ def names(spark: SparkSession, sf_dir: str) -> grams.Names:
         grams.write(ranking.all_names(*[of(spark, sf_dir) for of in (R.files, R.symbols, R.calls, R.literals)]), path)
         _built[key] = path
     return grams.read(spark, _built[key])
+
+
+def vector_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """The vectors of ``embeddings`` by cell."""
+    key = (spark.sparkContext.applicationId, f"{stamp(spark, f'{sf_dir}/embeddings.parquet')}-cells")
+    if key not in _built:
+        path = f"{shared_dir(spark)}/sparkscope/{key[0]}/{key[1]}-{uuid.uuid4().hex}"
+        rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("vector"))
+        cells.write(rows, path)
+        _built[key] = path
+    return cells.read(spark, _built[key])
