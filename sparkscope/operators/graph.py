@@ -1,11 +1,13 @@
 """The name-based call graph: neighbours, callers, blast radius, trails.
 
 A call meets a definition by name. A call's text also meets it by its last dotted part, without regard to ASCII case.
-Both become one equi-join on exploded keys, so no comparison of all calls with all names is needed.
+Each way is an equi-join, so no comparison of all calls with all names is needed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +17,16 @@ from sparkscope.operators.sizes import broadcast_if_small
 CALLEES, CALLERS, BLAST, TRAIL_CALLERS, TRAIL_CALLEES, TRAIL_FLAGS = 2, 6, 8, 10, 12, 6
 
 
-def call_keys(calls: DataFrame, whole_text: bool = False) -> DataFrame:
-    """(caller, key): "=name" for the called name as written, "~name" for the folded last part of a dotted call."""
-    keys = [F.concat(F.lit("="), F.col("function_name")), F.when(F.contains("call_text", F.lit(".")), F.concat(F.lit("~"), fold(last_segment(F.col("call_text")))))]
-    if whole_text:
-        keys.append(F.concat(F.lit("="), F.col("call_text")))
-    return calls.select(F.col("symbol_id").alias("caller"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
-
-
 def callers(targets: DataFrame, calls: DataFrame, symbols: DataFrame, most: int, whole_text: bool = False) -> DataFrame:
     """(*targets, caller, n): distinct symbols that call each target (repo, symbol_id, name), the first ``most`` by position."""
-    named = targets.withColumn("key", F.explode(F.array(F.concat(F.lit("="), F.col("name")), F.concat(F.lit("~"), fold(F.col("name"))))))
+    # By the called name as written, by the folded last part of a dotted call, and by a call's whole text. Calls that meet
+    # no target go before anything is shuffled, where the targets are few.
+    site, text = calls.withColumnRenamed("symbol_id", "caller"), F.col("call_text")
+    ways = [(site, F.col("function_name"), F.col("name")), (site.filter(F.contains(text, F.lit("."))), fold(last_segment(text)), fold(F.col("name")))]
+    ways += [(site, text, F.col("name"))] if whole_text else []
     place = symbols.select(F.col("symbol_id").alias("caller"), F.col("repo").alias("_repo"), F.col("ord").alias("_ord"))
-    # Keys that no target has go before anything is shuffled, where the targets are few.
-    met = call_keys(calls, whole_text).join(broadcast_if_small(named), "key").drop("key").select(*targets.columns, "caller").filter(F.col("caller") != F.col("symbol_id")).distinct()
+    found = [rows.select("caller", key.alias("_key")).join(broadcast_if_small(targets.withColumn("_key", name)), "_key").select(*targets.columns, "caller") for rows, key, name in ways]
+    met = reduce(DataFrame.unionByName, found).filter(F.col("caller") != F.col("symbol_id")).distinct()
     met = met.join(place, "caller").filter(F.col("repo") == F.col("_repo")).drop("_repo")
     order = Window.partitionBy(*[c for c in targets.columns]).orderBy("_ord", "caller")
     return met.withColumn("n", F.row_number().over(order) - 1).filter(F.col("n") < most).drop("_ord")

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkscope.functions.paths import IGNORED, MAX_BYTES, SAMPLE_BYTES
+from sparkscope.operators.sizes import broadcast_if_small
+from sparkscope.operators.upkeep import ancestors
 from sparkscope.session import ship
 
 
@@ -130,12 +131,19 @@ def read_files(spark: SparkSession, root: str, repo: str, paths: list[str] | Dat
 
 
 def match_rules(spark: SparkSession, paths: DataFrame, rules: IgnoreRules, path_col: str = "path") -> DataFrame:
-    """``paths`` with ``ignored``. The rules of a tree are few; the fold over them runs on the executors."""
-    ship(spark)
-    kept = paths.drop("ignored")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(ignored=[bool(p) and rules.ignores(p) for p in frame[path_col]])
+    """``paths`` with ``ignored``; null and empty paths are not ignored.
 
-    return kept.mapInPandas(run, T.StructType([*kept.schema.fields, T.StructField("ignored", T.BooleanType())]))
+    Different paths become rows for themselves and the folders above them, which meet the rules of every folder around
+    them by equality; of what matches, the deepest row's last rule decides.
+    """
+    kept = paths.drop("ignored")
+    compiled = [(i, base, rf"(?d)\A(?:{pattern.pattern.removesuffix(chr(92) + 'Z')})\z", keep, folders_only) for i, (base, pattern, keep, folders_only) in enumerate(rules.rules)]
+    table = spark.createDataFrame(compiled, "_ord int, _base string, _pattern string, _keep boolean, _folders boolean")
+    parts = F.split("_path", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("_n"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("_part"), (n == F.size(parts)).alias("_whole")))
+    each = kept.select(F.col(path_col).alias("_path")).filter("_path <> ''").distinct().select("_path", F.inline(above))
+    around = each.select("*", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), ancestors(F.col("_part"))))).alias("_base"))
+    inner = F.when(F.col("_base") == "", F.col("_part")).otherwise(F.substr("_part", F.length("_base") + 2))
+    met = around.join(broadcast_if_small(table), "_base").filter(~(F.col("_folders") & F.col("_whole")) & F.rlike(inner, F.col("_pattern")))
+    last = met.groupBy("_path").agg(F.max_by(~F.col("_keep"), F.struct("_n", "_ord")).alias("_ignored"))
+    return kept.join(last, kept[path_col] == last["_path"], "left").select(*[kept[c] for c in kept.columns], F.coalesce("_ignored", F.lit(False)).alias("ignored"))

@@ -182,6 +182,23 @@ def test_paths_and_ignore_rules():
     assert {p: rules.ignores(p) for p in wanted} == wanted
 
 
+def test_ignore_rules_as_a_join(spark):
+    import random
+
+    rng = random.Random(6)
+    patterns = ["*.log", "/top", "a/**/z", "only/", "!keep.log", "# no", "**", "a?", "!a/b/", "b", "/a/*", "x y", "[z].(+)", "**/c/", "", "!**/z"]
+    names = ["a", "b", "c", "z", "ab", "x y", "keep.log", "q.log", "only", "top", "[z].(+)", "é"]
+    lines = [(rng.choice(["", "a", "a/b", "c"]), p) for p in patterns * 2]
+    paths = ["/".join(rng.choice(names) for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate([*paths, None, "", paths[0]])], "_n long, path string").withColumn("ignored", F.lit("old"))
+    for chosen in (lines, lines[:5], [x for x in lines if x[1] != "**"], []):
+        rules = tree.IgnoreRules(chosen)
+        found = tree.match_rules(spark, frame, rules)
+        assert found.columns == ["_n", "path", "ignored"] and "Python" not in found._jdf.queryExecution().toString()
+        got = {r["_n"]: (r["path"], r["ignored"]) for r in found.collect()}
+        assert len(got) == 403 and all(bad == bool(p and rules.ignores(p)) for p, bad in got.values()), chosen
+
+
 @pytest.mark.parametrize("language", sorted(cli.SMOKE))
 def test_extractors(language):
     path, text, symbol, call = cli.SMOKE[language]
