@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.functions.text import evidence_terms, fold, is_test, match_score, shortened
 from sparkscope.operators import grams
+from sparkscope.session import written
 
 RRF_K = 60
 TYPE_PRIOR = {"symbol": 0.5, "file": 0.25}
@@ -107,12 +108,16 @@ def find(questions: DataFrame, files: DataFrame, symbols: DataFrame, calls: Data
     searched = {"symbol": (symbols, SYMBOL_NAMES), "call": (calls, CALL_NAMES), "literal": (literals, LITERAL_NAMES), "path": (files, PATH_NAMES)}
     if names is None:
         names = grams.index(grams.different(*[searched[k] for k in searched if k in kinds or (k == "path" and not set(kinds) & set(searched))]))
-    found_names = grams.lookup(asked.select("token"), names)
+    found_names = written(grams.lookup(asked.select("token"), names), "found-names")
 
-    def sites(table: DataFrame, columns: list[str]) -> DataFrame:
-        """Rows of a table of symbol_id whose names hold a token, with their symbol and the questions of its repository."""
+    def sites(table: DataFrame, columns: list[str], score: Column, why: Column, tie: str) -> DataFrame:
+        """The best row of each symbol and token, of a table of symbol_id whose names hold a token, with the symbol and the
+        questions of its repository. Rows of a symbol are reduced where they lie, before anything is joined with them."""
         plain = table.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
-        return grams.holding(plain, columns, found_names).join(base, "symbol_id").join(asked, ["repo", "token"])
+        first = F.min(F.struct((-score).alias("minus"), "line", F.col(tie).alias("tie"), why.alias("why"))).alias("_first")
+        best = grams.holding(plain, columns, found_names).groupBy("symbol_id", "token").agg(first)
+        best = best.select("symbol_id", "token", (-F.col("_first.minus")).alias("score"), "_first.line", "_first.tie", "_first.why")
+        return best.join(base, "symbol_id").join(asked, ["repo", "token"])
 
     owner = symbols.join(files.select("file_id", "path"), "file_id")
     base = owner.select("repo", "symbol_id", "path", F.col("symbol_ref").alias("symbol"), "name", "qualified_name", "signature", "line_start", "line_end")
@@ -122,12 +127,13 @@ def find(questions: DataFrame, files: DataFrame, symbols: DataFrame, calls: Data
         hits = grams.holding(base, ["name", "qualified_name", "symbol"], found_names).join(asked, ["repo", "token"])
         branches.append(hits.select(*target, F.lit("definition").alias("why"), (match_score(F.col("token"), F.col("name")) + 5).alias("score"), F.lit(0).alias("kind_order"), F.lit(0).alias("line"), F.lit("").alias("tie")))
     if "call" in kinds:
-        hits = sites(calls.select("symbol_id", "call_text", "function_name", F.col("line_start").alias("line")), list(CALL_NAMES))
         score = match_score(F.col("token"), F.coalesce(F.when(F.col("function_name") != "", F.col("function_name")), F.col("call_text")))
-        branches.append(hits.select(*target, F.concat(F.lit("call site: "), F.col("call_text")).alias("why"), score.alias("score"), F.lit(1).alias("kind_order"), "line", F.col("call_text").alias("tie")))
+        hits = sites(calls.select("symbol_id", "call_text", "function_name", F.col("line_start").alias("line")), list(CALL_NAMES), score, F.concat(F.lit("call site: "), F.col("call_text")), "call_text")
+        branches.append(hits.select(*target, "why", "score", F.lit(1).alias("kind_order"), "line", "tie"))
     if "literal" in kinds:
-        hits = sites(literals.select("symbol_id", "value", F.col("line_start").alias("line")), list(LITERAL_NAMES))
-        branches.append(hits.select(*target, F.concat(F.lit("literal: "), shortened(F.col("value"))).alias("why"), (match_score(F.col("token"), F.col("value")) - 10).alias("score"), F.lit(2).alias("kind_order"), "line", F.col("value").alias("tie")))
+        score = match_score(F.col("token"), F.col("value")) - 10
+        hits = sites(literals.select("symbol_id", "value", F.col("line_start").alias("line")), list(LITERAL_NAMES), score, F.concat(F.lit("literal: "), shortened(F.col("value"))), "value")
+        branches.append(hits.select(*target, "why", "score", F.lit(2).alias("kind_order"), "line", "tie"))
     if "path" in kinds or not branches:
         hits = grams.holding(files.select("repo", "file_id", "path", "line_count"), list(PATH_NAMES), found_names).join(asked, ["repo", "token"]).filter(F.lit("path" in kinds))
         none = F.lit(None).cast("string")

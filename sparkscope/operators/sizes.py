@@ -15,3 +15,12 @@ def small(df: DataFrame, most: int = MOST_BYTES) -> bool:
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small(df) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small scan, dealt out to all cores by ``key``: a file of one row group is read by one task, which would then do
+    all that follows. A scan of a task's worth of bytes for each core or more is left as it is, so large tables are not
+    shuffled for it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if small(df, cores * 128 * 1024 * 1024) else df

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscope.functions.text import words
+from sparkscope.operators.sizes import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +35,14 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("w", words(F.col("text"))).filter(F.size("w") > 1)
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("w", words(F.col("text"))).filter(F.size("w") > 1)
     called = d.select("doc_id", F.posexplode(F.slice("w", F.lit(2), F.size("w"))).alias("p", "fn"))
     odd = F.col("p") % 2 == 1
     return called.select(F.col("doc_id").alias("symbol_id"), F.when(odd, F.concat(F.lit("self."), "fn")).otherwise(F.col("fn")).alias("call_text"), F.when(odd, "self").alias("receiver"), F.col("fn").alias("function_name"), (F.col("p") + 1).cast("long").alias("line_start"), (F.col("p") + 1).cast("long").alias("line_end"))
 
 
 def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("w", words(F.col("text")))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("w", words(F.col("text")))
     return d.select(F.col("doc_id").alias("symbol_id"), F.posexplode("w").alias("p", "value")).filter(F.length("value") >= 8).select("symbol_id", F.lit("string").alias("literal_type"), "value", (F.col("p") + 1).cast("long").alias("line_start"))
 
 

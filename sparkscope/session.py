@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -48,6 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for what a plan reads several times: it is worked out once, and a lost
+    executor costs a rerun of reading tasks only."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sparkscope/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def session(name: str = "sparkscope", **settings: str) -> SparkSession:
     """A session with what this package relies on; the cluster's own settings win where they are given."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
