@@ -12,7 +12,7 @@ from sparkscope import cli
 from sparkscope.engine import Engine, normal_path
 from sparkscope.functions import paths, stemmer
 from sparkscope.functions import text as T
-from sparkscope.operators import graph, grams, ranking, upkeep, vectors
+from sparkscope.operators import graph, grams, ranking, targets, upkeep, vectors
 from sparkscope.plans import catalogue
 from sparkscope.sources import extract, tree
 
@@ -297,9 +297,10 @@ def test_names_that_hold_a_token(spark, tmp_path):
 
 
 def test_find_and_resolve_have_no_nested_loops(engine):
-    plans = [engine.find(ask(engine, "helper")), engine.open(engine.spark.createDataFrame([(0, "demo", "lper")], "ask_id long, repo string, target string"))]
+    asked = engine.spark.createDataFrame([(0, "demo", "lper")], "ask_id long, repo string, target string")
+    plans = [engine.find(ask(engine, "helper")), targets.resolve(asked, engine.table("files"), engine.table("symbols"), engine.table("modules"), None, engine.names())]
     for p in plans:
-        text = p._jdf.queryExecution().toString()
+        text = p._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in text and "Cartesian" not in text
     assert plans[1].first()["symbol_ref"] == "pkg.store.helper"
 
