@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from sparkscope.llm import common
 
-#: Bytes of benchmark text that are sent to the executors at once; a larger benchmark takes several passes over the index.
-BLOCK_BYTES = 16_000_000
+#: Weight of the benchmark's windows that are sent to the executors at once: a window is one, and so is a word of an item
+#: shorter than a window, or 32 bytes of text. A larger benchmark takes several passes over the index.
+BLOCK_WEIGHT = 200_000
+#: Windows of a piece of an item: long items are cut, with an overlap of a window less a word.
+PIECE_WINDOWS = 1_000
 #: Characters of the documents of a shard, about (one document at least). Rows stay small, and few are read at once: the
 #: JVM's heap grows with values that are large beside its regions.
 SHARD_CHARS = 100_000
@@ -210,14 +213,33 @@ def _lists(batch: pa.RecordBatch, windows: Windows) -> Iterator[tuple[Lists, pa.
         yield Lists(windows, starts.to_numpy(), counts.to_numpy(), terms, *numbers), ids, prints
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark's rows in blocks of bounded size, cut by a hash of the id."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 200)).first()[0] or 0
-    n = -(-total // limit) or 1
+def pieces(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text", most: int = PIECE_WINDOWS) -> DataFrame:
+    """(item, text, weight): the items' words in pieces of at most ``most`` windows, which hold each window of an item and
+    no other one. Equal pieces of an item are one; items without words have none."""
+    folded = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words.alias("words")).filter(F.size("words") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)), F.lit(most))
+    cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, most + width - 1))).alias("words"))
+    weight = F.greatest(F.size("words"), F.octet_length(F.array_join("words", " ")) / 32)
+    return cut.select("item", F.array_join("words", " ").alias("text"), weight.cast("long").alias("weight")).distinct()
+
+
+def _blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+    """The pieces of the benchmark in blocks of at most ``limit`` by weight, or of one piece, cut by a hash."""
+    cut = common.materialise(pieces(benchmark, width, id_col, text_col, max(1, min(PIECE_WINDOWS, limit - width + 1))), "pieces")
+    total = cut.agg(F.sum("weight")).first()[0]
+    n = -(-(total or 0) // limit) or 1
+    of = F.xxhash64("item", "text")
+    while n > 1 and cut.groupBy(F.pmod(of, F.lit(n))).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).filter((F.col("w") > limit) & (F.col("n") > 1)).take(1):
+        n += -(-n // 2)  # blocks by a hash are uneven: more of them, until none is too large
+    if n > 1:  # a block is then read without the others
+        whole, cut = cut, common.materialise(cut.withColumn("block", F.pmod(of, F.lit(n))).repartitionByRange("block").sortWithinPartitions("block"), "pieces")
+        common.discard(whole)
     for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"] or "", r["text"]) for r in block.collect()]
+        block = cut if n == 1 else cut.filter(F.col("block") == k)
+        yield [(r["item"], r["text"]) for r in block.select("item", "text").collect()]
+    common.discard(cut)
 
 
 def frequencies(index: DataFrame, terms: dict[bytes, int]) -> dict[int, int]:
@@ -242,10 +264,10 @@ def frequencies(index: DataFrame, terms: dict[bytes, int]) -> dict[int, int]:
     return found
 
 
-def _search(index: DataFrame, benchmark: DataFrame, answer, schema: str, width: int, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
+def _search(index: DataFrame, benchmark: DataFrame, answer, schema: str, width: int, item_col: str, item_text_col: str, block: int) -> DataFrame:
     """What ``answer(lists, ids, prints)`` gives for each shard and block of the benchmark; each block is written."""
     spark, out = index.sparkSession, None
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    for items in _blocks(benchmark, width, item_col, item_text_col, block):
         windows = Windows.of(items, width)
         windows.rank(frequencies(index, windows.terms) if windows.terms else {})
         shared = spark.sparkContext.broadcast(windows)
@@ -270,7 +292,7 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[at], reach[np.append(at[1:], len(start)) - 1] if len(at) else reach
 
 
-def hits(index: DataFrame, benchmark: DataFrame, width: int = 10, reach: int = REACH, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def hits(index: DataFrame, benchmark: DataFrame, width: int = 10, reach: int = REACH, item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK_WEIGHT) -> DataFrame:
     """(id, print, spans, items, near_items) of the documents of ``index`` with any match.
 
     spans are runs of hit words (start, stop), items those with a window in the document, near_items those with a window
@@ -304,12 +326,12 @@ def hits(index: DataFrame, benchmark: DataFrame, width: int = 10, reach: int = R
         yield pa.RecordBatch.from_arrays([ids.take(taken), prints.take(taken), *columns], ["id", "print", "spans", "items", "near_items"])
 
     schema = f"id {kind}, print long, spans array<struct<start:bigint,stop:bigint>>, items array<string>, near_items array<string>"
-    found = _search(index, benchmark, answer, schema, width, item_col, item_text_col, block_bytes)
+    found = _search(index, benchmark, answer, schema, width, item_col, item_text_col, block)
     united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "items", "near_items")]
     return common.materialise(found.groupBy("id", "print").agg(*united), "hits")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK_WEIGHT) -> DataFrame:
     """One row for each of ``docs``: id, n_words, n_hit (hit words), spans (of hit words), items, near_items, contaminated.
 
     Words: runs of non-ASCII characters, ASCII letters (lower-cased) and digits. A window is ``width`` consecutive
@@ -319,7 +341,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach:
     give no rows or no hits. Other columns are not read, whatever they are called.
     """
     index = build(docs, id_col, text_col)
-    found = hits(index, benchmark, width, reach, item_col, item_text_col, block_bytes)
+    found = hits(index, benchmark, width, reach, item_col, item_text_col, block)
     each = common.materialise(index.select(F.explode(F.arrays_zip("ids", "prints", "counts")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.prints").alias("print"), F.col("d.counts").cast("long").alias("n_words")), "words")
     common.discard(index)
     met = found.select(F.col("id").alias("_id"), F.col("print").alias("_print"), "spans", "items", "near_items")
@@ -359,7 +381,7 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK_WEIGHT) -> DataFrame:
     """Each match as a row: id, item, start (word number), kind.
 
     kind is "phrase" for exact windows. With ``reach``, also "near": places of a window's rarest term that have its
@@ -378,7 +400,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, reach: int |
                 item = [i for w in window.tolist() for i in names[w]]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[own])), pa.array(item, pa.string()), pa.array((position - lists.starts[doc])[own]), pa.array([name] * len(item), pa.string())], ["id", "item", "start", "kind"])
 
-    found = _search(index, benchmark, answer, f"id {kind}, item string, start long, kind string", width, item_col, item_text_col, block_bytes)
+    found = _search(index, benchmark, answer, f"id {kind}, item string, start long, kind string", width, item_col, item_text_col, block)
     common.discard(index)
     return found.withColumnRenamed("id", id_col)
 

@@ -481,9 +481,9 @@ def test_decontamination(spark):
             windows[tuple(w[k : k + 10])].add(str(i))
     docs = frame(spark, texts).withColumn("_hits", F.lit(1)).withColumn("_own_id", F.lit(2)).withColumn("_id", F.lit(3))
     often = collections.Counter(x for t in texts for x in pattern.findall(low(t or "")))
-    for block in (16_000_000, 600):
-        got = {r.doc_id: r for r in phrase_index.report(phrase_index.decontaminate(docs, bench, block_bytes=block)).collect()}
-        left = {r.doc_id for r in phrase_index.clean(docs, bench, block_bytes=block).collect()}
+    for block in (200_000, 150):
+        got = {r.doc_id: r for r in phrase_index.report(phrase_index.decontaminate(docs, bench, block=block)).collect()}
+        left = {r.doc_id for r in phrase_index.clean(docs, bench, block=block).collect()}
         for d, t in enumerate(texts):
             w, hit, found = pattern.findall(low(t or "")), set(), set()
             for size in {len(x) for x in windows}:
@@ -507,3 +507,24 @@ def test_decontamination(spark):
     assert [tuple(r) for r in phrase_index.report(phrase_index.decontaminate(twice, bench)).orderBy("doc_id").collect()] == [tuple(got[d // 2]) for d in range(2 * len(texts))]
     assert phrase_index.report(phrase_index.decontaminate(docs, bench.limit(0))).filter("contaminated").count() == 0
     assert phrase_index.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_blocks_of_a_benchmark(spark):
+    """A long item is cut, blocks keep their bound, and all windows are there; equal rows are one."""
+    long = prose(5_000)
+    items = [("a", long), ("a", long), ("b", long[:3_000]), ("c", "two words"), (None, prose(300)), ("d", None), ("e", "..."), ("f", "x" * 20_000)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    want = set()
+    for i, t in items:
+        w = pattern.findall(low(t or ""))
+        want |= {(i or "", tuple(w[k : k + 10])) for k in range(max(1, len(w) - 9) if w else 0)}
+    blocks = list(phrase_index._blocks(bench, 10, "item_id", "text", 700))
+    got = set()
+    for block in blocks:
+        parts = [phrase_index.words_of(t) for _, t in block]
+        assert len(block) <= 1 or sum(max(len(w), len(b" ".join(w)) // 32) for w in parts) <= 700
+        assert all(len(w) <= 700 for w in parts)
+        got |= {(i, tuple(x.decode() for x in w[k : k + 10])) for (i, _), w in zip(block, parts) for k in range(max(1, len(w) - 9))}
+    assert got == want and sum(map(len, blocks)) < 40 and len(blocks) > 10
+    assert list(phrase_index._blocks(bench.limit(0), 10, "item_id", "text", 700)) == [[]]
