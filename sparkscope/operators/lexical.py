@@ -102,6 +102,10 @@ def expand(questions: DataFrame, vocab: DataFrame, prefix: bool = True, stem: bo
     return asked.join(keyed, "q").select("query_id", "q", "n", "term")
 
 
+def rarity(docs: Column, df: Column) -> Column:
+    return F.greatest(F.log((docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+
+
 def bm25(questions: DataFrame, posted: DataFrame, dl: DataFrame, prefix: bool = False, stem: bool = False, vocab: DataFrame | None = None) -> DataFrame:
     """(query_id, doc, score); lower is better, rows with a match only.
 
@@ -117,8 +121,7 @@ def bm25(questions: DataFrame, posted: DataFrame, dl: DataFrame, prefix: bool =
     found = matched.groupBy("query_id", "n").agg(F.count("*").alias("df"))
     stats = dl.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
     scored = matched.join(found, ["query_id", "n"]).join(dl, "doc").join(F.broadcast(stats))  # one row
-    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = rarity(F.col("docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query_id", "doc").agg((-F.sum(part)).alias("score"))
 
 

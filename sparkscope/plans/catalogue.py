@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.functions import paths as P
 from sparkscope.functions import text as T
-from sparkscope.operators import cells, graph, heuristics, lexical, ranking, targets, upkeep, vectors
+from sparkscope.operators import block_max, cells, graph, heuristics, lexical, ranking, targets, upkeep, vectors
 from sparkscope.plans import relations as R
 from sparkscope.plans import stored
 from sparkscope.plans.relations import sql
@@ -113,6 +113,13 @@ def bm25_multi_query(spark, d):
     return _ranked(_bm25(spark, d, R.chunks(spark, d)), 3)
 
 
+@query(sql("posted dl chunks", "WITH asked AS (SELECT query_id, unnest(string_split(text, ' ')) AS q, generate_subscripts(string_split(text, ' '), 1) AS n FROM chunks), " + BM25.format(matched=EXACT, k=10).strip().removeprefix("WITH ")))
+def bm25_block_topk(spark, d):
+    """All of each item's text, asked in pieces; blocks of postings that cannot reach the first ten are not scored."""
+    found = block_max.top(R.chunks(spark, d), stored.blocks(spark, d), 10)
+    return _ranked(found, 10)
+
+
 @query()
 def bm25_porter_topk(spark, d):
     return _ranked(_bm25(spark, d, R.questions(spark, d), prefix=True, stem=True), 10)

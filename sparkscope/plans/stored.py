@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sparkscope.operators import cells, grams, lexical, ranking
+from sparkscope.operators import block_max, cells, grams, lexical, ranking
 from sparkscope.plans import relations as R
 from sparkscope.session import shared_dir
 
@@ -39,6 +39,17 @@ def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> lexical.Index
     return lexical.read_index(spark, _built[key])
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> block_max.Blocks:
+    """The postings of ``documents`` in blocks."""
+    key = (spark.sparkContext.applicationId, f"{stamp(spark, f'{sf_dir}/documents.parquet')}-blocks")
+    if key not in _built:
+        path = f"{shared_dir(spark)}/sparkscope/{key[0]}/{key[1]}-{uuid.uuid4().hex}"
+        plain = index(spark, sf_dir)
+        block_max.write(plain.postings, plain.lengths, path)
+        _built[key] = path
+    return block_max.read(spark, _built[key])
+
+
 def names(spark: SparkSession, sf_dir: str) -> grams.Names:
     """The index of all names of the relations."""
     key = (spark.sparkContext.applicationId, f"{stamp(spark, f'{sf_dir}/documents.parquet')}-names")
