@@ -208,16 +208,18 @@ class Engine:
         keys = list(_TARGET)
         change.kill(**dict.fromkeys(("vector", "job", "output", "text"), changed))
         texts = self._written(jobs.texts(scope["files"], scope["symbols"], scope["file_facts"], modules).join(changed, keys, "left_semi"), work)
-        embedded = vectors.embed(texts.select(F.concat_ws(":", *keys).alias("target"), "text"), self.embedder, self.settings.embed_batch, id_col="target")
+        wanted = texts.limit(0) if enrich else texts  # embeddings wait for enrichment
+        embedded = vectors.embed(wanted.select(F.concat_ws(":", *keys).alias("target"), "text"), self.embedder, self.settings.embed_batch, id_col="target")
         of_key = F.split("target", ":", 2)
         embedded = self._written(embedded.select(of_key[0].alias("target_type"), of_key[1].cast("long").alias("target_id"), "vector", "error"), work)
         model = self.settings.embed_model
         found = embedded.filter("vector IS NOT NULL").select(*keys, "vector", F.lit(model).alias("model"))
         queued = jobs.fan_out(texts, model, enrich, self.settings.summary_model)
-        # Embeddings are made at once; jobs say how that went.
+        # Embeddings that wait for nothing are made at once; jobs say how that went.
         failed = embedded.select(*keys, F.lit("embedding").alias("job_type"), F.lit(True).alias("_ran"), F.col("error").alias("_error"))
-        status = F.when(F.col("_ran") & F.col("_error").isNull(), "done").when(F.col("_ran"), "error").otherwise(F.col("status"))
-        queued = queued.join(failed, [*keys, "job_type"], "left").withColumns({"status": status, "error": F.coalesce("_error", "error"), "attempts": F.when(F.col("_ran"), 1).otherwise(0)}).select(*[c.split()[0] for c in jobs.JOB.split(", ")])
+        away = jobs.is_away(F.col("_error"))
+        status = F.when(F.col("_ran") & F.col("_error").isNull(), "done").when(F.col("_ran") & ~away, "error").otherwise(F.col("status"))
+        queued = queued.join(failed, [*keys, "job_type"], "left").withColumns({"status": status, "error": F.coalesce("_error", "error"), "attempts": F.when(F.col("_ran") & ~away, 1).otherwise(0)}).select(*[c.split()[0] for c in jobs.JOB.split(", ")])
         change.add(modules=modules, vectors=found, jobs=queued, model_outputs=spark.createDataFrame([], jobs.OUTPUT))
         near_symbols = scope["symbols"].select("symbol_id")
         scope |= {"heuristic_flags": now("heuristic_flags").join(near_symbols, "symbol_id", "left_semi"), "model_outputs": now("model_outputs")}
@@ -248,7 +250,7 @@ class Engine:
         flags = heuristics.all_flags(symbols.drop("file_id"), calls.drop("file_id")).join(symbols.select("repo", "file_id", "symbol_id"), "symbol_id")
         return {"files": files.drop("text"), "symbols": symbols, "symbol_calls": calls, "symbol_literals": literals, "file_facts": facts, "heuristic_flags": flags}
 
-    def enrich(self, generate: Callable[[str, str], object], limit: int = 100_000) -> dict:
+    def enrich(self, generate: Callable[[str, str], object], limit: int | None = None) -> dict:
         """Run pending enrichment jobs through ``generate(prompt, model)`` and make accepted answers searchable."""
         of = lambda n: self.table(n)
         every = of("jobs")
@@ -278,6 +280,28 @@ class Engine:
         stored.delete(self.spark, work)
         return {"ok": not done.get("error"), "processed": done.get("done", 0), "errors": done.get("error", 0), "interrupted": bool(done.get("pending")), "may_embed": jobs.may_embed(self.table("jobs"))}
 
+    def embed(self, limit: int | None = None) -> dict:
+        """Run pending embedding jobs, once no enrichment waits. Where the service is away, jobs stay pending."""
+        every = self.table("jobs")
+        if every is None or not jobs.may_embed(every):
+            return {"ok": False, "processed": 0, "reason": "nothing_indexed" if every is None else "enrichment_pending"}
+        keys, work = list(_TARGET), f"{self.store}/_work-{uuid.uuid4().hex}"
+        texts = jobs.texts(*[self.table(n) for n in ("files", "symbols", "file_facts", "modules")]).select("repo", *keys, "text")
+        ran = self._written(jobs.embed(jobs.runnable(every, False, limit).join(texts, ["repo", *keys]), self.embedder, self.settings.embed_batch), work)
+        names = [c.split()[0] for c in jobs.JOB.split(", ")]
+        for slug in sorted(r["repo"] for r in ran.filter("status <> 'pending'").select("repo").distinct().collect()):
+            mine = ran.filter((F.col("repo") == slug) & (F.col("status") != "pending"))
+            targets_ = self._written(mine.select(*keys).distinct(), work)
+            kept = self.table("jobs", [slug]).join(targets_, keys, "left_semi")
+            every_job = self._written(upkeep.upsert(kept, mine.select(names), [*keys, "job_type", "model", "input_hash"]), work)
+            change = self.tables.begin(slug)
+            change.kill(**dict.fromkeys(("job", "vector"), targets_))
+            change.add(jobs=every_job, vectors=mine.filter("vector IS NOT NULL").select(*keys, "vector", "model"))
+            change.commit()
+        done = {r["status"]: r["count"] for r in ran.groupBy("status").count().collect()}
+        stored.delete(self.spark, work)
+        return {"ok": not done.get("error"), "processed": done.get("done", 0), "errors": done.get("error", 0), "interrupted": bool(done.get("pending"))}
+
     # Questions -------------------------------------------------------------------------------------------------------
 
     def documents(self, table: Callable[[str], DataFrame]) -> DataFrame:

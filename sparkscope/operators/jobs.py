@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkscope.operators import upkeep
+from sparkscope.operators import upkeep, vectors
 from sparkscope.session import ship
 
 JOB = "repo string, target_type string, target_id long, job_type string, model string, status string, priority int, input_hash string, tokens long, attempts int, error string"
 OUTPUT = "repo string, target_type string, target_id long, model string, output_type string, json_text string, accepted boolean, rejected_reason string"
-# Priorities by target, fields of answers that are taken, signs of a service that is away.
+# Priorities by target, fields of answers that are taken.
 ENRICHMENT = {"symbol": 50, "file": 100, "module": 150}
 EMBEDDING = {"symbol": 200, "file": 250, "module": 300}
 ACCEPTED = ("purpose", "summary", "behavior_aliases", "likely_queries", "search_tags")
-AWAY = ("connection refused", "connection reset", "connection aborted", "remote end closed", "failed to establish a new connection")
 MAX_ATTEMPTS = 3
+ORDER = ("model", "repo", "priority", "target_type", "target_id")
 FACTS_EMBEDDED, FACTS_OUTLINED = 100, 80
 
 
@@ -74,12 +73,48 @@ def fan_out(targets: DataFrame, model: str, enrich: bool = False, summary_model:
     return out.unionByName(jobs(F.concat("target_type", F.lit("_enrichment")), summary_model, ENRICHMENT)) if enrich else out
 
 
-def runnable(jobs: DataFrame, enrichment: bool, limit: int = 100_000) -> DataFrame:
-    """Pending jobs of a sort in the order of model, repository, priority and target; failed enrichment comes again up to
-    MAX_ATTEMPTS times."""
+def runnable(jobs: DataFrame, enrichment: bool, limit: int | None = None) -> DataFrame:
+    """Pending jobs of a sort, all of them or the first ``limit`` in the order of ORDER; failed enrichment comes again up
+    to MAX_ATTEMPTS times."""
     is_enrichment = F.col("job_type").endswith("_enrichment")
     again = (F.col("status") == "error") & is_enrichment & (F.col("attempts") < MAX_ATTEMPTS)
-    return jobs.filter((is_enrichment if enrichment else ~is_enrichment) & ((F.col("status") == "pending") | again)).orderBy("model", "repo", "priority", "target_type", "target_id").limit(limit)
+    found = jobs.filter((is_enrichment if enrichment else ~is_enrichment) & ((F.col("status") == "pending") | again))
+    return found if limit is None else found.orderBy(*ORDER).limit(limit)
+
+
+def dealt(jobs: DataFrame) -> DataFrame:
+    """The rows in ranges of ORDER, one a task and sorted in it: jobs of a model and repository run beside one another, and
+    a repository with very many jobs takes several tasks."""
+    return jobs.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+
+
+def is_away(error: Column) -> Column:
+    return F.coalesce(error.rlike(f"(?i){vectors.AWAY.pattern}"), F.lit(False))
+
+
+def embed(todo: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
+    """Run embedding jobs (*job, text): the jobs with their new status, and ``vector``.
+
+    A call has at most ``batch`` texts of one model and repository. If it fails, its texts are tried one by one, and errors
+    are their own; once the service is away, nothing more of the task is tried, and its jobs stay pending. Null texts count
+    as empty.
+    """
+    fields = [c.split()[0] for c in JOB.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = None
+        for frame in frames:
+            for _, part in frame.groupby(["model", "repo"], sort=False, dropna=False):
+                for at in range(0, len(part), batch):
+                    own = part.iloc[at : at + batch]
+                    found, errors, stopped = vectors.attempt(embedder, [t or "" for t in own["text"]], stopped)
+                    yield own[fields].assign(error=errors, vector=found)
+
+    ship(todo.sparkSession)
+    ran = dealt(todo.select(*fields, "text")).mapInPandas(run, f"{JOB}, vector array<float>")
+    pending = is_away(F.col("error"))
+    status = F.when(pending, "pending").when(F.col("error").isNotNull(), "error").otherwise("done")
+    return ran.withColumns({"status": status, "attempts": F.col("attempts") + F.when(pending, 0).otherwise(1)})
 
 
 def enrich(prompts: DataFrame, generate: Callable[[str, str], object]) -> DataFrame:
@@ -89,7 +124,6 @@ def enrich(prompts: DataFrame, generate: Callable[[str, str], object]) -> DataFr
     the job and all later ones of its partition pending; other errors are the job's own.
     """
     fields = [c.split()[0] for c in JOB.split(", ")]
-    away = re.compile("|".join(map(re.escape, AWAY)), re.IGNORECASE)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stopped = None
@@ -102,7 +136,7 @@ def enrich(prompts: DataFrame, generate: Callable[[str, str], object]) -> DataFr
                         answer = generate(prompt, model)
                     except Exception as e:  # the model's error is the job's
                         fault = str(e)
-                        stopped = fault if away.search(fault) else None
+                        stopped = fault if vectors.AWAY.search(fault) else None
                 failed = stopped or fault
                 errors.append(failed)
                 answers.append(None if failed is not None else json.dumps(answer, sort_keys=True, default=str))
@@ -111,8 +145,8 @@ def enrich(prompts: DataFrame, generate: Callable[[str, str], object]) -> DataFr
             yield frame[fields].assign(error=errors, _answer=answers, _taken=taken)
 
     ship(prompts.sparkSession)
-    ran = prompts.select(*fields, "prompt").mapInPandas(run, f"{JOB}, _answer string, _taken string")
-    pending = F.coalesce(F.col("error").rlike(f"(?i){away.pattern}"), F.lit(False))
+    ran = dealt(prompts.select(*fields, "prompt")).mapInPandas(run, f"{JOB}, _answer string, _taken string")
+    pending = is_away(F.col("error"))
     status = F.when(pending, "pending").when(F.col("error").isNotNull(), "error").otherwise("done")
     accepted = F.coalesce(F.col("_taken") != "{}", F.lit(False))
     reason = F.when(F.col("_answer").isNotNull() & ~accepted, F.when(F.col("_taken").isNull(), "not_json_object").otherwise("no_accepted_fields"))

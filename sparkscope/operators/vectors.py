@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -17,6 +18,9 @@ from sparkscope.session import ship
 #: (files below, character budget, cosine floor, family size that stays open)
 TIERS = ((500, 13000, 0.90, 5), (5000, 20000, 0.82, 3), (None, 24000, 0.78, 3))
 
+# Signs of a service that is away.
+AWAY = re.compile("connection refused|connection reset|connection aborted|remote end closed|failed to establish a new connection", re.IGNORECASE)
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -127,27 +131,43 @@ def hashing_embedder(width: int = 256) -> Callable[[list[str]], list[list[float]
     return embed
 
 
+def attempt(embedder: Callable[[list[str]], list[list[float]]], texts: list[str], stopped: str | None = None) -> tuple[list, list[str | None], str | None]:
+    """(vectors, errors, why the service is away): one call for all ``texts``, and where it fails one for each.
+
+    Nothing is called once ``stopped`` says that the service is away; what is left then has this as its error.
+    """
+    try:
+        if stopped is None:
+            return embedder(texts), [None] * len(texts), None
+    except Exception as error:  # the service's error is the texts' own
+        stopped = str(error) if AWAY.search(str(error)) else None
+    found: list = []
+    errors: list[str | None] = []
+    for text in texts:
+        vector, fault = None, stopped
+        if stopped is None:
+            try:
+                vector = embedder([text])[0]
+            except Exception as error:
+                fault = str(error)
+                stopped = fault if AWAY.search(fault) else None
+        found.append(vector)
+        errors.append(fault)
+    return found, errors, stopped
+
+
 def embed(texts: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 32, id_col: str = "target_id", text_col: str = "text") -> DataFrame:
-    """(id, vector, error): ``batch`` texts a call; if a call fails, its texts are tried one by one and errors kept."""
+    """(id, vector, error): ``batch`` texts a call; if a call fails, its texts are tried one by one and errors kept. A
+    service that is away is not called again in the same task."""
     kind = dict(texts.dtypes)[id_col]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = None
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                inputs = [t or "" for t in part[text_col]]
-                errors: list[str | None] = [None] * len(inputs)
-                try:
-                    vectors: list = embedder(inputs)
-                except Exception:
-                    vectors = []
-                    for i, text in enumerate(inputs):
-                        try:
-                            vectors.append(embedder([text])[0])
-                        except Exception as error:
-                            vectors.append(None)
-                            errors[i] = str(error)
-                yield pd.DataFrame({id_col: part[id_col].values, "vector": vectors, "error": errors})
+                found, errors, stopped = attempt(embedder, [t or "" for t in part[text_col]], stopped)
+                yield pd.DataFrame({id_col: part[id_col].values, "vector": found, "error": errors})
 
     ship(texts.sparkSession)
     return texts.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, vector array<float>, error string")

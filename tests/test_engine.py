@@ -12,7 +12,7 @@ from sparkscope import cli
 from sparkscope.engine import Engine, normal_path
 from sparkscope.functions import paths, stemmer
 from sparkscope.functions import text as T
-from sparkscope.operators import graph, grams, ranking, targets, upkeep, vectors
+from sparkscope.operators import graph, grams, jobs, ranking, targets, upkeep, vectors
 from sparkscope.plans import catalogue
 from sparkscope.sources import extract, tree
 
@@ -98,6 +98,7 @@ def test_jobs(engine):
     assert kinds == {(t, "embedding", "done") for t in ("symbol", "file", "module")}
     assert {r["target_type"] for r in engine.table("vectors").collect()} == {"symbol", "file", "module"}
     engine.refresh("demo", full=True, enrich=True)
+    assert engine.embed()["reason"] == "enrichment_pending"
 
     def generate(prompt, model):
         if "path_prefix: tests" in prompt:
@@ -106,6 +107,7 @@ def test_jobs(engine):
 
     done = engine.enrich(generate)
     assert done["errors"] == 1 and not done["interrupted"] and done["may_embed"]
+    assert engine.embed()["processed"] > 0 and engine.table("jobs").filter("job_type = 'embedding' AND status <> 'done'").isEmpty()
     assert engine.search(ask(engine, "zebra")).count() > 0
     outputs = engine.table("model_outputs").collect()
     assert {r["rejected_reason"] for r in outputs} == {None, "no_accepted_fields"} and not any("exact_terms" in r["json_text"] for r in outputs if r["accepted"])
@@ -119,6 +121,44 @@ def test_jobs(engine):
     engine.refresh("demo", full=True)
 
 
+def test_embedding_jobs_wait_for_a_service_that_is_away(engine):
+    embedder, before = engine.embedder, engine.table("vectors").count()
+
+    def away(texts):
+        raise OSError("Connection refused")
+
+    try:
+        engine.embedder = away
+        assert engine.refresh("demo", full=True)["ok"]
+        waiting = engine.table("jobs").filter("status = 'pending' AND attempts = 0").count()
+        assert waiting == before == engine.table("jobs").count() and engine.search(ask(engine, "delete rows")).count() > 0
+        assert engine.embed() == {"ok": True, "processed": 0, "errors": 0, "interrupted": True}
+    finally:
+        engine.embedder = embedder
+    assert engine.embed(limit=3)["processed"] == 3 and engine.table("vectors").count() == 3
+    assert engine.embed()["processed"] == before - 3 and engine.embed()["processed"] == 0
+    assert engine.table("vectors").count() == before and {r["status"] for r in engine.table("jobs").collect()} == {"done"}
+
+
+def test_calls_of_embedding_jobs(spark):
+    """At most 32 texts of one model and repository a call, errors for each text alone, no limit and no single task."""
+    names = [c.split()[0] for c in jobs.JOB.split(", ")]
+    rows = [(r, "file", i, "embedding", f"m{i % 2}", "pending", 250, "h", 1, 0, None, None if i == 5 else f"{r}-m{i % 2}" if i != 7 else "bad") for r in ("a", "b") for i in range(150)]
+    todo = spark.createDataFrame(rows, jobs.JOB + ", text string")
+
+    def embedder(texts):
+        if "bad" in texts:
+            raise ValueError("too long")
+        return [[float(len(texts)), float(len(set(texts) - {""}))] for _ in texts]
+
+    got = jobs.embed(jobs.runnable(todo.select(names), False).join(todo.select("repo", "target_id", "text"), ["repo", "target_id"]), embedder).collect()
+    assert len(got) == 300 and {(r.target_id, r.error) for r in got if r.status != "done"} == {(7, "too long")}
+    assert all(r.vector[0] <= 32 and r.vector[1] <= 1 for r in got if r.vector) and max(r.vector[0] for r in got if r.vector) > 8
+    assert {r.attempts for r in got} == {1}
+    plan = jobs.dealt(jobs.runnable(todo, False))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Limit" not in plan and "rangepartitioning" in plan
+
+
 def test_postings_follow_a_refresh(engine):
     (engine.root / "pkg/extra.py").write_text("def quokka():\n    return helper(1)\n")
     engine.refresh("demo")
