@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,19 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkscope.operators import block_max, cells, grams, lexical, ranking
 from sparkscope.plans import relations as R
+from sparkscope.plans.relations import _built, stamp
 from sparkscope.session import shared_dir
 
-_built: dict[tuple[str, str], str] = {}
-
-
-def stamp(spark: SparkSession, path: str) -> str:
-    """A digest of a table's files: names, sizes and times of change."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    rows = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
-    return hashlib.sha256(repr(rows).encode()).hexdigest()[:24]
-
-
 def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> lexical.Index:
     """The index of ``documents``, of its words or of their stems."""
     source = f"{sf_dir}/documents.parquet"

@@ -2,9 +2,23 @@
 
 from pyspark.sql import functions as F
 
+from sparkscope.operators import graph
 from sparkscope.plans import catalogue
 from sparkscope.sources import extract
 
+
+def shuffled(spark, run):
+    """(result, records written to shuffles while ``run`` was at work)."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def total():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    return run(), total() - before
+
+
 NESTED = "import os\n\nclass A:\n    @d(1)\n    def f(self):\n        if x:\n            def g(): return h('q')\n        try: pass\n        except E:\n            def i(): pass\n        match y:\n            case 1:\n                def j(): k.l(2)\n\nasync def m():\n    for n in o:\n        class P: pass\n"
 
 
@@ -29,3 +43,17 @@ def test_extract_python_is_dealt_out(spark, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     found = catalogue.QUERIES["extract_python"](spark, str(tmp_path))
     assert found.select(F.spark_partition_id().alias("p"), "file_id").distinct().groupBy("p").count().count() > 1
+
+
+def test_callers_of_many_targets_with_one_name(spark):
+    n = 600
+    symbols = spark.range(n).select(F.col("id").alias("symbol_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("repo"), F.lit("the").alias("name"), (-F.col("id")).alias("ord"))
+    calls = spark.range(n).select(F.col("id").alias("symbol_id"), F.explode(F.array(F.lit("the"), F.lit("self.The"), F.lit("the"))).alias("call_text")).withColumn("function_name", F.substring_index("call_text", ".", -1))
+    seeds = symbols.select("repo", "symbol_id", "name")
+    got, records = shuffled(spark, lambda: [tuple(r) for r in graph.callers(seeds, calls, symbols, 4).select("symbol_id", "n", "caller").collect()])
+    want = []
+    for i in range(n):
+        same = [j for j in range(n - 1, -1, -1) if j != i and (j % 3 == 0) == (i % 3 == 0)][:4]
+        want += [(i, k, j) for k, j in enumerate(same)]
+    assert sorted(got) == sorted(want)
+    assert records < 40 * n
