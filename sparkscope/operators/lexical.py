@@ -9,17 +9,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions.stemmer import plain, porter
 from sparkscope.functions.text import query_terms, words
-from sparkscope.session import ship
+from sparkscope.operators.sizes import broadcast_if_small
+from sparkscope.session import ship, written
 
 K1, B = 1.2, 0.75
 #: Inverse frequencies of terms in half of all documents or more are raised to this.
 LEAST_IDF = 1e-6
+#: Documents of a group that is scored at once, about, and words of a batch that all groups hold.
+GROUP_DOCS, MOST_WORDS = 8192, 200_000
+#: Scores this near to the k-th of a group are handed over with it, since rounding may place them before it; of equal ones
+#: the first k documents.
+MARGIN = 2e-9
 #: Folders of a stored index, by a hash of the term: a question reads those of its terms only.
 PARTS = 32
 
@@ -131,6 +139,81 @@ def top(scored: DataFrame, k: int, by: list[Column], key: str = "query_id") -> D
     return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 
 
+def best(questions: DataFrame, index: Index, k: int, prefix: bool = False, stem: bool = False) -> DataFrame:
+    """(query_id, doc, score) of the first ``k`` documents of each question, by the score rounded to nine digits and then the
+    document: the rows of ``bm25``, cut by ``top``.
+
+    Each different word of the batch meets its postings once, whatever the number of questions that ask it. Documents are
+    dealt by hash over groups of about ``GROUP_DOCS``; a group's scores are summed in arrays, and k rows for each question
+    leave it. With ``stem`` the words' stems are matched with those of the vocabulary, so plain postings do. A batch of more than
+    ``MOST_WORDS`` words is scored by joins.
+    """
+    spark, vocab, order = questions.sparkSession, index.vocabulary, [F.round("score", 9), F.col("doc")]
+    known = written(stems(vocab), "stems") if stem else vocab.select("term")
+    wanted = written(expand(questions, known.select(F.col("stem").alias("term")).distinct() if stem else known, prefix, stem), "wanted")
+    pairs = wanted.select("q", "term").distinct()
+    if stem:
+        pairs = pairs.withColumnRenamed("term", "stem").join(known, "stem").select("q", "term")
+    pairs = written(pairs.withColumn("part", part_of(F.col("term"))), "pairs")
+    matched = index.postings.join(broadcast_if_small(pairs), ["part", "term"]).filter("doc IS NOT NULL").select("q", "doc", "tf")
+    if prefix or stem:
+        matched = written(matched.groupBy("q", "doc").agg(F.sum("tf").alias("tf")), "matched")
+    found = matched.groupBy("q").agg(F.count("*").alias("df"))
+    stats = index.lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")).first()
+    asked = wanted.select("query_id", "n", "q").distinct()
+    if asked.count() > MOST_WORDS:
+        rows = asked.join(matched, "q").join(found, "q").join(index.lengths, "doc")
+        part = rarity(F.lit(stats["docs"]), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"])))
+        return top(rows.groupBy("query_id", "doc").agg((-F.sum(part)).alias("score")), k, order).drop("rank")
+    idf = {r["q"]: r["idf"] for r in found.select("q", rarity(F.lit(stats["docs"]), F.col("df")).alias("idf")).collect()}
+    number = {q: i for i, q in enumerate(sorted(idf))}
+    batch: dict = {}
+    for r in asked.collect():
+        if r["q"] in number:
+            batch.setdefault(r["query_id"], []).append(number[r["q"]])
+    shared = spark.sparkContext.broadcast((list(batch.items()), np.array([idf[q] for q in sorted(idf)])))
+    avgdl = stats["avgdl"]
+    kinds = dict(wanted.dtypes)["query_id"], dict(matched.dtypes)["doc"]
+
+    def score(rows: pa.Table, sizes: pa.Table) -> pa.Table:
+        asks, weight = shared.value
+        ids, dl = sizes["doc"].to_numpy(), sizes["dl"].to_numpy()
+        turn = np.argsort(ids, kind="stable")
+        docs, first, times = np.unique(ids[turn], return_index=True, return_counts=True)
+        dl = dl[turn]
+        at, q, tf = np.searchsorted(docs, rows["doc"].to_numpy()), rows["q"].to_numpy(), rows["tf"].to_numpy().astype(float)
+        # A repeated id has several lengths, and its postings count with each.
+        n = times[at]
+        row = np.repeat(np.arange(len(at)), n)
+        slot = first[at][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        share = weight[q] * np.bincount(row, tf[row] * (K1 + 1) / (tf[row] + K1 * (1 - B + B * dl[slot] / avgdl)), len(at))
+        turn = np.argsort(q, kind="stable")
+        at, share, cut = at[turn], share[turn], np.searchsorted(q[turn], np.arange(len(weight) + 1))
+        out = []
+        for query_id, terms in asks:
+            total = np.zeros(len(docs))
+            for t in terms:
+                total[at[cut[t] : cut[t + 1]]] += share[cut[t] : cut[t + 1]]
+            hit = np.flatnonzero(total)
+            if len(hit) > k:
+                hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k] - MARGIN]
+                hit = hit[np.argsort(total[hit], kind="stable")]
+                place = np.arange(len(hit))
+                hit = hit[place - np.maximum.accumulate(np.where(np.diff(total[hit], prepend=-1) != 0, place, 0)) < k]
+            out.append((np.full(len(hit), query_id), docs[hit], -total[hit]))
+        names = ["query_id", "doc", "score"]
+        return pa.table([np.concatenate(x) for x in zip(*out)], names) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
+
+    ship(spark)
+    groups = max(1, -(-stats["docs"] // GROUP_DOCS))
+    group = F.pmod(F.xxhash64("doc"), F.lit(groups)).alias("_group")
+    numbers = F.broadcast(spark.createDataFrame(list(number.items()), "_q string, q int"))
+    left = matched.withColumnRenamed("q", "_q").join(numbers, "_q").select(group, "doc", "q", "tf")
+    right = index.lengths.filter("doc IS NOT NULL").select(group, "doc", "dl")
+    scored = left.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(score, f"query_id {kinds[0]}, doc {kinds[1]}, score double")
+    return top(scored, k, order).drop("rank")
+
+
 def snippets(rows: DataFrame, doc: str, text: Column, terms: Column, width: int = 12) -> DataFrame:
     """(doc, snippet): of each row's text the first window of ``width`` words with most hits, hits in brackets.
 

@@ -12,18 +12,14 @@ from sparkscope.plans import relations as R
 from sparkscope.plans.relations import _built, stamp
 from sparkscope.session import shared_dir
 
-def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> lexical.Index:
-    """The index of ``documents``, of its words or of their stems."""
-    source = f"{sf_dir}/documents.parquet"
-    key = (spark.sparkContext.applicationId, f"{stamp(spark, source)}{'-stems' if stem else ''}")
+def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The index of the words of ``documents``."""
+    key = (spark.sparkContext.applicationId, f"{stamp(spark, f'{sf_dir}/documents.parquet')}-index")
     if key not in _built:
-        path = f"{shared_dir(spark)}/sparkscope/{key[0]}/index-{key[1]}-{uuid.uuid4().hex}"
-        if stem:
-            plain = index(spark, sf_dir)
-            lexical.write_index(lexical.stemmed(plain.postings), plain.lengths, path)
-        else:
-            docs = spark.read.parquet(source).select("doc_id", "text")
-            lexical.write_index(lexical.postings(docs, "doc_id", F.col("text")), lexical.lengths(docs, "doc_id", F.col("text")), path)
+        path = f"{shared_dir(spark)}/sparkscope/{key[0]}/{key[1]}-{uuid.uuid4().hex}"
+        docs = R.documents(spark, sf_dir).select("doc_id", "w")
+        lengths = docs.select(F.col("doc_id").alias("doc"), F.size("w").cast("long").alias("dl"))
+        lexical.write_index(lexical.postings(docs, "doc_id", F.lit(None), by=F.col("w")), lengths, path)
         _built[key] = path
     return lexical.read_index(spark, _built[key])
 

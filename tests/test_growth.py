@@ -1,8 +1,11 @@
 """What lets queries grow with their input: work dealt out to all cores, bounded batches, reduction before shuffles."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from sparkscope.operators import graph
+from sparkscope.operators import graph, lexical
 from sparkscope.plans import catalogue
 from sparkscope.sources import extract
 
@@ -57,3 +60,30 @@ def test_callers_of_many_targets_with_one_name(spark):
         want += [(i, k, j) for k, j in enumerate(same)]
     assert sorted(got) == sorted(want)
     assert records < 40 * n
+
+
+@pytest.mark.parametrize("prefix, stem", [(False, False), (True, False), (True, True)])
+def test_best_is_the_top_of_bm25(spark, tmp_path, monkeypatch, prefix, stem):
+    rng, some = random.Random(3), "run running runs runner retry retried retrying a an and andes the then".split()
+    texts = [" ".join(rng.choices(some, k=rng.randint(0, 9))) for _ in range(120)] + ["run the"] * 40 + [None]
+    docs = spark.createDataFrame([(i % 150, t) for i, t in enumerate(texts)], "doc_id long, text string")  # 11 ids are repeated
+    posted, dl = lexical.postings(docs, "doc_id", F.col("text")), lexical.lengths(docs, "doc_id", F.col("text"))
+    lexical.write_index(posted, dl, str(tmp_path / "index"))
+    index = lexical.read_index(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "run the run"), (2, "an"), (3, "zzz"), (4, "retrying"), (5, "then zzz and")], "query_id long, text string")
+    order = [F.round("score", 9), F.col("doc")]
+    read = lambda df: sorted((r["query_id"], r["doc"], round(r["score"], 9)) for r in df.collect())
+    whole = lexical.bm25(asked, lexical.stemmed(posted) if stem else posted, dl, prefix, stem)
+    want = read(lexical.top(whole, 3, order))
+    monkeypatch.setattr(lexical, "GROUP_DOCS", 20)
+    assert want and read(lexical.best(asked, index, 3, prefix, stem)) == want
+    monkeypatch.setattr(lexical, "MOST_WORDS", 2)
+    assert read(lexical.best(asked, index, 3, prefix, stem)) == want
+
+
+def test_questions_that_share_words_do_not_multiply_postings(spark, tmp_path):
+    docs = spark.range(500).select("id", F.lit("the of").alias("text"))
+    lexical.write_index(lexical.postings(docs, "id", F.col("text")), lexical.lengths(docs, "id", F.col("text")), str(tmp_path / "index"))
+    index, asked = lexical.read_index(spark, str(tmp_path / "index")), spark.range(300).select(F.col("id").alias("query_id"), F.lit("the of").alias("text"))
+    rows, records = shuffled(spark, lambda: lexical.best(asked, index, 2).count())
+    assert rows == 600 and records < 20_000
