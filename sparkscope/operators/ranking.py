@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.functions.text import evidence_terms, fold, is_test, match_score, shortened
 from sparkscope.operators import grams
+from sparkscope.operators.sizes import broadcast_if_small
 from sparkscope.session import written
 
 RRF_K = 60
@@ -105,17 +106,27 @@ def find(questions: DataFrame, files: DataFrame, symbols: DataFrame, calls: Data
     then joined with their rows. Without an index one is made of the tables.
     """
     asked = questions.select("query_id", "repo", F.trim("text").alias("token")).filter("token <> ''")
+    wanted = asked.select("repo", "token").distinct()
     searched = {"symbol": (symbols, SYMBOL_NAMES), "call": (calls, CALL_NAMES), "literal": (literals, LITERAL_NAMES), "path": (files, PATH_NAMES)}
     if names is None:
         names = grams.index(grams.different(*[searched[k] for k in searched if k in kinds or (k == "path" and not set(kinds) & set(searched))]))
     found_names = written(grams.lookup(asked.select("token"), names), "found-names")
 
-    def sites(table: DataFrame, columns: list[str], score: Column, why: Column, tie: str) -> DataFrame:
-        """The best row of each symbol and token, of a table of symbol_id whose names hold a token, with the symbol and the
-        questions of its repository. Rows of a symbol are reduced where they lie, before anything is joined with them."""
-        plain = table.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
+    def sites(table: DataFrame, columns: list[str], score: Column, why: Column, tie: str, kind: int) -> DataFrame:
+        """The best rows of a table of symbol_id whose names hold a token, with the symbol and the questions of its
+        repository. Of a target that is among a question's first ``limit`` by score and path the whole row is worked out;
+        for all others numbers and ids only."""
+        named = table.select("symbol_id", *columns).withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
+        held = grams.holding(named, columns, found_names).select("symbol_id", "token", (-score).alias("minus"))
+        best = held.groupBy("symbol_id", "token").agg(F.min("minus").alias("minus"))
+        near = best.join(base.select("repo", "symbol_id", "path"), "symbol_id").join(broadcast_if_small(wanted), ["repo", "token"], "left_semi")
+        order = Window.partitionBy("repo", "token").orderBy("minus", "path", "symbol_id")
+        # Targets with equal places in the order (repeated ids) are one target: all rows of the first ``limit`` stay.
+        near = near.withColumn("_at", F.dense_rank().over(order)).filter(F.col("_at") <= limit).select("symbol_id", "token").distinct()
+        near = written(near, f"near-{kind}")
+        plain = table.join(broadcast_if_small(near.select("symbol_id").distinct()), "symbol_id", "left_semi").withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
         first = F.min(F.struct((-score).alias("minus"), "line", F.col(tie).alias("tie"), why.alias("why"))).alias("_first")
-        best = grams.holding(plain, columns, found_names).groupBy("symbol_id", "token").agg(first)
+        best = grams.holding(plain, columns, found_names).join(broadcast_if_small(near), ["symbol_id", "token"], "left_semi").groupBy("symbol_id", "token").agg(first)
         best = best.select("symbol_id", "token", (-F.col("_first.minus")).alias("score"), "_first.line", "_first.tie", "_first.why")
         return best.join(base, "symbol_id").join(asked, ["repo", "token"])
 
@@ -128,11 +139,11 @@ def find(questions: DataFrame, files: DataFrame, symbols: DataFrame, calls: Data
         branches.append(hits.select(*target, F.lit("definition").alias("why"), (match_score(F.col("token"), F.col("name")) + 5).alias("score"), F.lit(0).alias("kind_order"), F.lit(0).alias("line"), F.lit("").alias("tie")))
     if "call" in kinds:
         score = match_score(F.col("token"), F.coalesce(F.when(F.col("function_name") != "", F.col("function_name")), F.col("call_text")))
-        hits = sites(calls.select("symbol_id", "call_text", "function_name", F.col("line_start").alias("line")), list(CALL_NAMES), score, F.concat(F.lit("call site: "), F.col("call_text")), "call_text")
+        hits = sites(calls.select("symbol_id", "call_text", "function_name", F.col("line_start").alias("line")), list(CALL_NAMES), score, F.concat(F.lit("call site: "), F.col("call_text")), "call_text", 1)
         branches.append(hits.select(*target, "why", "score", F.lit(1).alias("kind_order"), "line", "tie"))
     if "literal" in kinds:
         score = match_score(F.col("token"), F.col("value")) - 10
-        hits = sites(literals.select("symbol_id", "value", F.col("line_start").alias("line")), list(LITERAL_NAMES), score, F.concat(F.lit("literal: "), shortened(F.col("value"))), "value")
+        hits = sites(literals.select("symbol_id", "value", F.col("line_start").alias("line")), list(LITERAL_NAMES), score, F.concat(F.lit("literal: "), shortened(F.col("value"))), "value", 2)
         branches.append(hits.select(*target, "why", "score", F.lit(2).alias("kind_order"), "line", "tie"))
     if "path" in kinds or not branches:
         hits = grams.holding(files.select("repo", "file_id", "path", "line_count"), list(PATH_NAMES), found_names).join(asked, ["repo", "token"]).filter(F.lit("path" in kinds))

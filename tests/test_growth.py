@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkscope.operators import graph, lexical
+from sparkscope.operators import graph, lexical, ranking
 from sparkscope.plans import catalogue
 from sparkscope.sources import extract
 
@@ -87,3 +87,18 @@ def test_questions_that_share_words_do_not_multiply_postings(spark, tmp_path):
     index, asked = lexical.read_index(spark, str(tmp_path / "index")), spark.range(300).select(F.col("id").alias("query_id"), F.lit("the of").alias("text"))
     rows, records = shuffled(spark, lambda: lexical.best(asked, index, 2).count())
     assert rows == 600 and records < 20_000
+
+
+def test_find_works_out_whole_rows_of_the_first_only(spark):
+    n, long = 300, "the " * 500
+    files = spark.range(n).select(F.lit("r").alias("repo"), F.col("id").alias("file_id"), F.format_string("p%04d", "id").alias("path"), F.lit(1).cast("long").alias("line_count"))
+    symbols = spark.range(n).select(F.lit("r").alias("repo"), F.col("id").alias("symbol_id"), F.col("id").alias("file_id"), *[F.lit("x").alias(c) for c in ("name", "qualified_name", "symbol_ref", "signature")], F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
+    calls = spark.range(n).select(F.col("id").alias("symbol_id"), F.explode(F.array(F.lit("a.the"), F.lit("the"))).alias("call_text"), F.lit("the").alias("function_name"), (F.col("id") + 5).alias("line_start"))
+    literals = spark.range(n).filter("id % 2 = 1").select(F.col("id").alias("symbol_id"), F.lit(long).alias("value"), F.lit(1).cast("long").alias("line_start"))
+    asked = spark.createDataFrame([(1, "r", "the"), (2, "r", "The"), (3, "q", "the")], "query_id long, repo string, text string")
+    got = sorted((r["query_id"], r["rank"], r["target_id"], r["score"], r["why"]) for r in ranking.find(asked, files, symbols, calls, literals, ("call", "literal"), limit=4).collect())
+    assert got == [(q, i, i, 100, "call site: a.the") for q in (1, 2) for i in range(4)]
+    got = sorted((r["query_id"], r["rank"], r["target_id"], r["score"]) for r in ranking.find(asked, files, symbols, calls, literals, ("literal",), limit=4).collect())
+    assert got == [(q, i, 2 * i + 1, 50) for q in (1, 2) for i in range(4)]
+    plan = ranking.find(asked, files, symbols, calls, literals, ("call",), limit=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "near-1" in plan or plan.count("LeftSemi") >= 2
