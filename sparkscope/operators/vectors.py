@@ -7,7 +7,9 @@ import re
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from sparkscope.session import ship
 #: (files below, character budget, cosine floor, family size that stays open)
 TIERS = ((500, 13000, 0.90, 5), (5000, 20000, 0.82, 3), (None, 24000, 0.78, 3))
 
+#: Rows of a block of vectors or questions that are scored at once, about.
+BLOCK = 2048
+
 # Signs of a service that is away.
 AWAY = re.compile("connection refused|connection reset|connection aborted|remote end closed|failed to establish a new connection", re.IGNORECASE)
 
@@ -42,16 +47,76 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int = 10, within: str |
 
     ``within`` names a column of both sides; a question then meets only the vectors that share its value.
 
-    The questions are a bounded batch: each vector is scored against all of them where it lies, and only k rows for
-    each question and partition are shuffled.
+    Blocks of questions meet blocks of vectors; about k rows for each question and block are shuffled.
     """
-    asked = questions.withColumn("_qn", norm(F.col("query_vector")))
-    kept = vectors.withColumn("_n", norm(F.col("vector")))
+    keys = [within] if within else []
+    asked, kept = questions.select("query_id", "query_vector", *keys), vectors.select("target_id", "vector", *keys)
+    order = [F.desc(F.round("cosine", 9)), F.asc("target_id")]
+    # Plain vectors are scored by blocks; those with missing or non-finite components one by one.
+    sound_q, sound_v = F.coalesce(_finite(F.col("query_vector")), F.lit(False)), F.coalesce(_finite(F.col("vector")), F.lit(False))
+    blocks = _block_scores(asked.filter(sound_q), kept.filter(sound_v), k, keys)
+    scored = blocks.unionByName(_single_scores(asked.filter(~sound_q), kept, keys)).unionByName(_single_scores(asked.filter(sound_q), kept.filter(~sound_v), keys))
+    return lexical.top(scored, k, order)
+
+
+def _finite(vector: Column) -> Column:
+    return vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
+
+
+def _single_scores(asked: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    asked, kept = asked.withColumn("_qn", norm(F.col("query_vector"))), kept.withColumn("_n", norm(F.col("vector")))
     # A batch of questions over the bound is compared in a join as well, whose sides Spark deals out.
-    pairs = kept.join(broadcast_if_small(asked), within)
+    pairs = kept.join(broadcast_if_small(asked), keys or None)
     size = F.col("_n") * F.col("_qn")
-    scored = pairs.select("query_id", "target_id", F.when(size == 0, 0.0).otherwise(dot(F.col("vector"), F.col("query_vector")) / size).alias("cosine"))
-    return lexical.top(scored, k, [F.desc(F.round("cosine", 9)), F.asc("target_id")])
+    return pairs.select("query_id", "target_id", F.when(size == 0, 0.0).otherwise(dot(F.col("vector"), F.col("query_vector")) / size).alias("cosine"))
+
+
+def _block_scores(asked: DataFrame, kept: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(query_id, target_id, cosine): for each block of questions and block of vectors at least the first ``k`` of each
+    question, by products of matrices. Blocks hold about ``BLOCK`` rows, dealt by hash."""
+    kinds = dict(asked.dtypes)["query_id"], dict(kept.dtypes)["target_id"]
+
+    def packed(rows: DataFrame, id_col: str, vector: str, name: str) -> DataFrame:
+        deal = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-rows.count() // BLOCK)))).alias("_deal")
+        grouped = rows.select(*keys, deal, id_col, vector).groupBy(*keys, "_deal")
+        return grouped.agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias(name)).drop("_deal")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(rows) -> np.ndarray:
+            flat, size = rows.values.field("v"), len(rows.values)
+            lengths = np.diff(flat.offsets.to_numpy())
+            x = np.zeros((size, lengths.max(initial=0)))
+            x[np.arange(x.shape[1]) < lengths[:, None]] = flat.flatten().to_numpy()
+            norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, v = (pa.concat_arrays([batch.column(c).slice(i, 1)]) for c in ("_q", "_v"))
+                q, v = (pa.ListArray.from_arrays([0, len(x.flatten())], x.flatten()) for x in (q, v))
+                qx, vx = unit(q), unit(v)
+                width = min(qx.shape[1], vx.shape[1])
+                near = np.clip(qx[:, :width] @ vx[:, :width].T, -1, 1)
+                # Rounding may place scores this near to the k-th before it; of equal ones the first k ids are needed.
+                turn = np.argsort(np.asarray(v.values.field("id").to_pylist()), kind="stable")
+                near = near[:, turn]
+                ids_q, ids_v = q.values.field("id").to_pylist(), [v.values.field("id")[int(t)].as_py() for t in turn]
+                out_q, out_v, out_c = [], [], []
+                for r in range(len(near)):
+                    row = near[r]
+                    hit = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 2e-9) if len(row) > k else np.arange(len(row))
+                    hit = hit[np.argsort(-row[hit], kind="stable")]
+                    at = np.arange(len(hit))
+                    hit = hit[at - np.maximum.accumulate(np.where(np.diff(row[hit], prepend=2.0) != 0, at, 0)) < k]
+                    out_q += [ids_q[r]] * len(hit)
+                    out_v += [ids_v[h] for h in hit]
+                    out_c.append(row[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(out_q, q.values.field("id").type), pa.array(out_v, v.values.field("id").type), pa.array(np.concatenate(out_c))], ["query_id", "target_id", "cosine"])
+
+    ship(asked.sparkSession)
+    left, right = packed(kept, "target_id", "vector", "_v"), packed(asked, "query_id", "query_vector", "_q")
+    pairs = left.join(right, keys) if keys else left.crossJoin(right)
+    return pairs.select("_q", "_v").repartition(F.xxhash64("_q", "_v")).mapInArrow(run, f"query_id {kinds[0]}, target_id {kinds[1]}, cosine double")
 
 
 def similar_pairs(members: DataFrame, floor: Column | float, group: str = "query_id") -> DataFrame:

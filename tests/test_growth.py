@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkscope.operators import graph, lexical, ranking
+from sparkscope.operators import graph, lexical, ranking, vectors
 from sparkscope.plans import catalogue
 from sparkscope.sources import extract
 
@@ -102,3 +102,18 @@ def test_find_works_out_whole_rows_of_the_first_only(spark):
     assert got == [(q, i, 2 * i + 1, 50) for q in (1, 2) for i in range(4)]
     plan = ranking.find(asked, files, symbols, calls, literals, ("call",), limit=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "near-1" in plan or plan.count("LeftSemi") >= 2
+
+
+def test_nearest_by_blocks_is_the_plain_result(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)] + [(90 + i, [1.0, 1.0, 0.0, 0.0]) for i in range(30)]
+    rows += [(120, None), (121, [0.0] * 4), (122, [1.0, None, 0.0, 0.0]), (123, [1.0, 1.0]), (124, [])]
+    table = spark.createDataFrame(rows, "target_id long, vector array<float>")
+    asked = table.filter("target_id % 9 = 0 or target_id > 119").select(F.col("target_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    order = [F.desc(F.round("cosine", 9)), F.asc("target_id")]
+    read = lambda df: sorted((r["query_id"], r["rank"], r["target_id"], r["cosine"] and round(r["cosine"], 9)) for r in df.collect())
+    want = read(lexical.top(vectors._single_scores(asked, table, []), 5, order))
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    got = read(vectors.nearest(asked, table, 5))
+    assert got == want, ([x for x in got if x not in want][:4], [x for x in want if x not in got][:4], len(got), len(want))
+    assert "MapInArrow" in vectors.nearest(asked, table, 5)._jdf.queryExecution().analyzed().toString()
