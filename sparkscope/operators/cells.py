@@ -9,19 +9,21 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkscope.operators import lexical
-from sparkscope.operators.vectors import dot, norm
+from sparkscope.operators.sizes import MOST_BYTES
+from sparkscope.operators.vectors import BLOCK, firsts, taken, unit
 from sparkscope.operators.vectors import nearest as vectors_nearest
-from sparkscope.session import ship
+from sparkscope.session import ship, written
 from sparkscope.sources import files as stored
 
 #: Rows that centroids are fitted on, at most, and cells at most: both bound what the driver and each worker hold.
@@ -30,17 +32,20 @@ SAMPLE_ROWS, MOST_CELLS = 10_000, 2048
 ASKED, NEIGHBOURS, RECALL = 64, 10, 0.95
 #: The cell of vectors without a direction; it is always read.
 NOWHERE = -1
+#: Cells of each question that are scored first; of further ones only what reaches the k-th cosine by then is handed over.
+FIRST = 8
 ROUNDS, SEED = 12, 7
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Stored vectors (target_id, vector, further columns, cell), unit centroids by cell, each cell's radius (an angle), and
-    the number of cells that a question needs for the wanted recall."""
+    """Stored vectors (target_id, vector, further columns, cell), unit centroids by cell, each cell's radius (an angle) and
+    number of vectors, and the number of cells that a question needs for the wanted recall."""
 
     vectors: DataFrame
     centroids: np.ndarray
     radii: dict[int, float]
+    sizes: dict[int, int]
     probes: int = 1
 
 
@@ -101,9 +106,9 @@ def write(vectors: DataFrame, path: str, centroids: np.ndarray | None = None) ->
     placed.write.parquet(f"{path}/_placed")
     placed = spark.read.parquet(f"{path}/_placed")
     placed.drop("angle").repartition("cell", F.pmod(F.xxhash64("target_id"), F.lit(4))).write.partitionBy("cell").parquet(f"{path}/vectors")
-    radii = {r["cell"]: r["radius"] for r in placed.groupBy("cell").agg(F.max("angle").alias("radius")).collect()}
+    found = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("size")).collect()  # a row for each cell
     stored.delete(spark, f"{path}/_placed")
-    told = {"centroids": centroids.tolist(), "radii": {str(c): r for c, r in radii.items()}, "schema": vectors.schema.jsonValue(), "probes": 1}
+    told = {"centroids": centroids.tolist(), "radii": {str(r["cell"]): r["radius"] for r in found}, "sizes": {str(r["cell"]): r["size"] for r in found}, "schema": vectors.schema.jsonValue(), "probes": 1}
     stored.write_text(spark, f"{path}/cells.json", json.dumps(told))
     told["probes"] = probes_for(read(spark, path))
     stored.write_text(spark, f"{path}/cells.json", json.dumps(told))
@@ -115,7 +120,7 @@ def probes_for(index: Cells, recall: float = RECALL) -> int:
     if not index.radii:
         return 1
     sample = index.vectors.select("target_id", "vector").orderBy(F.xxhash64("vector", "target_id")).limit(ASKED).collect()
-    asked = index.vectors.sparkSession.createDataFrame([(r["target_id"], list(r["vector"])) for r in sample], f"query_id {dict(index.vectors.dtypes)['target_id']}, query_vector array<double>")
+    asked = written(index.vectors.sparkSession.createDataFrame([(r["target_id"], list(r["vector"])) for r in sample], f"query_id {dict(index.vectors.dtypes)['target_id']}, query_vector array<double>"), "asked")  # so that its size is known
     near = vectors_nearest(asked, index.vectors, NEIGHBOURS + 1).filter("query_id <> target_id")
     turns = near.join(index.vectors.select("target_id", "cell"), "target_id").join(_bounds(asked, index), ["query_id", "cell"])
     found = sorted(r["turn"] for r in turns.select("turn").collect())
@@ -126,59 +131,135 @@ def read(spark: SparkSession, path: str) -> Cells:
     told = json.loads(stored.read_text(spark, f"{path}/cells.json"))
     schema = T.StructType([*T.StructType.fromJson(told["schema"]).fields, T.StructField("cell", T.IntegerType())])
     rows = spark.read.schema(schema).parquet(f"{path}/vectors") if told["radii"] else spark.createDataFrame([], schema)
-    return Cells(rows, np.array(told["centroids"], dtype=np.float64), {int(c): r for c, r in told["radii"].items()}, told["probes"])
+    return Cells(rows, np.array(told["centroids"], dtype=np.float64), *[{int(c): r for c, r in told[n].items()} for n in ("radii", "sizes")], told["probes"])
+
+
+def _known(index: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells with a direction, their centroids and radii."""
+    known = np.array([c for c in sorted(index.radii) if c != NOWHERE], dtype=np.int64)
+    return known, index.centroids[known] if len(known) else np.zeros((0, 0)), np.array([index.radii[c] for c in known])
+
+
+def _turns(x: np.ndarray, centroids: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(turn, bound) of unit vectors and cells, the cell without a direction last."""
+    angle = np.arccos(np.clip(x @ centroids.T, -1, 1)) if len(centroids) else np.zeros((len(x), 0))
+    bound = np.where(np.abs(x).sum(axis=1, keepdims=True) > 0, np.cos(np.maximum(0, angle - radii)), 0.0)
+    turn = np.empty(angle.shape, dtype=np.int64)
+    np.put_along_axis(turn, np.argsort(angle, axis=1, kind="stable"), np.arange(angle.shape[1])[None, :], axis=1)
+    last = np.zeros((len(x), 1))
+    return np.hstack([turn, last.astype(np.int64)]), np.hstack([bound, last])
 
 
 def _bounds(questions: DataFrame, index: Cells) -> DataFrame:
     """(query_id, cell, turn, bound) of each question and cell: turn 0 is the nearest, bound the largest cosine that a
     member may have. One row for each of a bounded number of cells."""
-    spark, known = questions.sparkSession, np.array([c for c in sorted(index.radii) if c != NOWHERE], dtype=np.int64)
+    spark = questions.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((known, index.centroids[known] if len(known) else np.zeros((0, 0)), np.array([index.radii[c] for c in known])))
-    nowhere = NOWHERE in index.radii
+    shared, nowhere = spark.sparkContext.broadcast(_known(index)), NOWHERE in index.radii
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, centroids, radii = shared.value
+        known, centroids, radii = shared.value
+        cells = [*known, *[NOWHERE] * nowhere]
         for frame in frames:
             for query_id, vector in zip(frame["query_id"], frame["query_vector"]):
-                q = _unit(np.array([vector], dtype=np.float64))[0]
-                angle = np.arccos(np.clip(centroids @ q, -1, 1)) if len(cells) else np.zeros(0)
-                flat = not np.abs(q).sum()
-                bound = np.zeros(len(cells)) if flat else np.cos(np.maximum(0, angle - radii))
-                turn = np.empty(len(cells), dtype=np.int64)
-                turn[np.argsort(angle, kind="stable")] = np.arange(len(cells))
-                more = [1] if nowhere else []
-                yield pd.DataFrame({"query_id": [query_id] * (len(cells) + len(more)), "cell": [*cells, *[NOWHERE] * len(more)], "turn": [*turn, *[0] * len(more)], "bound": [*bound, *[0.0] * len(more)]})
+                turn, bound = _turns(_unit(np.array([vector], dtype=np.float64)), centroids, radii)
+                yield pd.DataFrame({"query_id": [query_id] * len(cells), "cell": cells, "turn": turn[0, : len(cells)], "bound": bound[0, : len(cells)]})
 
     kind = dict(questions.dtypes)["query_id"]
     asked = questions.filter(_sound(F.col("query_vector"))).select("query_id", "query_vector")
     return asked.mapInPandas(run, f"query_id {kind}, cell int, turn long, bound double")
 
 
+def _scored(asked: DataFrame, index: Cells, k: int, wanted: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], within: str | None) -> DataFrame:
+    """(query_id, target_id, cosine): for each question (query_id, query_vector, worst) and block of vectors at least the first
+    ``k`` of the cells that ``wanted`` tells of (turn, bound, worst), less what lies below ``worst``, by products of matrices.
+
+    Neighbouring cells make blocks of about ``BLOCK`` vectors, and a large cell several; each block meets the blocks of
+    questions. A question carries its cells as bits, so there are no rows of questions and cells.
+    """
+    spark, keys = asked.sparkSession, [within] if within else []
+    ship(spark)
+    shared = spark.sparkContext.broadcast(_known(index))
+    kinds = dict(asked.dtypes)["query_id"], dict(index.vectors.dtypes)["target_id"]
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, centroids, radii = shared.value
+        for frame in frames:
+            for at in range(0, len(frame), 256):
+                part = frame.iloc[at : at + 256]
+                x = _unit(np.array(part["query_vector"].tolist(), dtype=np.float64))
+                chosen = wanted(*_turns(x, centroids, radii), part["worst"].to_numpy(dtype=np.float64)[:, None])
+                yield part.assign(cells=[row.tobytes() for row in np.packbits(chosen, axis=1)])
+
+    def cells_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = [*shared.value[0], NOWHERE]
+        for frame in frames:
+            if len(frame):
+                bits = np.unpackbits(np.array([np.frombuffer(c, dtype=np.uint8) for c in frame["cells"]]), axis=1)
+                yield pd.DataFrame({"cell": [known[i] for i in np.flatnonzero(bits.any(axis=0)) if i < len(known)]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, v = (taken(batch.column(c), i) for c in ("_q", "_v"))
+                ids = v.values.field("id")
+                turn = np.argsort(np.asarray(ids.to_pylist()), kind="stable")
+                cell = v.values.field("cell").to_numpy()[turn]
+                bits = np.unpackbits(np.array([np.frombuffer(c, dtype=np.uint8) for c in q.values.field("cells").to_pylist()]), axis=1)
+                met = bits[:, np.where(cell == NOWHERE, len(known), np.searchsorted(known, cell))].astype(bool)
+                some = np.flatnonzero(met.any(axis=1))
+                if not len(some):
+                    continue
+                qx, vx = unit(q)[some], unit(v)[turn]
+                width = min(qx.shape[1], vx.shape[1])
+                near = np.clip(qx[:, :width] @ vx[:, :width].T, -1, 1)
+                worst = q.values.field("worst").to_numpy(zero_copy_only=False)[some, None]
+                near[~met[some] | (near < worst - 1e-8)] = -np.inf
+                r, c = firsts(near, k)
+                yield pa.RecordBatch.from_arrays([q.values.field("id").take(pa.array(some[r])), ids.take(pa.array(turn[c])), pa.array(near[r, c])], ["query_id", "target_id", "cosine"])
+
+    found = asked.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"), F.coalesce("worst", F.lit(-math.inf)).alias("worst"), *keys)
+    marked = written(found.mapInPandas(mark, T.StructType([*found.schema.fields, T.StructField("cells", T.BinaryType())])), "marked")
+    cells = sorted({r["cell"] for r in marked.mapInPandas(cells_of, "cell int").distinct().collect()} & set(index.sizes))
+    blocks, at, room = [], -1, 0
+    for c in cells:
+        size = index.sizes[c]
+        if size > room:
+            first, at, room = at + 1, at + -(-size // BLOCK), BLOCK if size < BLOCK else 0
+        else:
+            first = at
+        room -= size
+        blocks.append((c, first, max(1, at - first + 1)))
+    dealt = F.broadcast(spark.createDataFrame(blocks, "cell int, _first int, _parts int"))  # a row for each cell
+    count = max(1, at + 1)
+    block = (F.col("_first") + F.pmod(F.xxhash64("target_id"), F.col("_parts"))).alias("_block")
+    rows = index.vectors.filter(F.col("cell").isin(cells)).join(dealt, "cell").select(*keys, block, F.struct(F.col("target_id").alias("id"), F.col("vector").cast("array<double>").alias("v"), "cell").alias("e"))
+    # As many tasks as blocks: what a task does with a block is work, however few its bytes.
+    left = rows.repartition(count, "_block").groupBy(*keys, "_block").agg(F.collect_list("e").alias("_v"))
+    number, wide = marked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("query_vector")), F.lit(0)).alias("w")).first()
+    deal = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-number // BLOCK)))).alias("_deal")
+    entry = F.struct(F.col("query_id").alias("id"), F.col("query_vector").alias("v"), "worst", "cells").alias("e")
+    right = marked.select(*keys, deal, entry).groupBy(*keys, "_deal").agg(F.collect_list("e").alias("_q")).drop("_deal")
+    right = F.broadcast(right) if number * wide * 8 <= MOST_BYTES else right
+    pairs = left.join(right, keys) if keys else left.crossJoin(right)
+    return pairs.select("_q", "_v").mapInArrow(run, f"query_id {kinds[0]}, target_id {kinds[1]}, cosine double")
+
+
 def nearest(questions: DataFrame, index: Cells, k: int = 10, probes: int | None = None, exact: bool = False, within: str | None = None) -> DataFrame:
     """(query_id, target_id, cosine, rank): the k best of each (query_id, query_vector) among the stored vectors.
 
-    The questions are a bounded batch; their cells (at most ``MOST_CELLS``) are collected, so that the scan lists those
-    cells' folders only; ``probes`` are by default what was measured. With ``exact`` the result is that of scoring every vector. ``within`` names a column of both
-    sides that must agree. Questions without a sound vector find nothing.
+    The first cells of each question are scored first, and the k-th cosine so far bounds what comes of the others. The cells
+    that any question reads (at most ``MOST_CELLS``) are collected, so that the scan lists those cells' folders only;
+    ``probes`` are by default what was measured. With ``exact`` the result is that of scoring every vector. ``within`` names
+    a column of both sides that must agree. Questions without a sound vector find nothing.
     """
     probes = index.probes if probes is None else probes
-    bounds = _bounds(questions, index).cache()
-    asked = questions.select("query_id", "query_vector", norm(F.col("query_vector")).alias("_qn"), *([within] if within else []))
-
-    def scored(wanted: DataFrame) -> DataFrame:
-        cells = [r["cell"] for r in wanted.select("cell").distinct().collect()]
-        rows = index.vectors.filter(F.col("cell").isin(cells)).withColumn("_n", norm(F.col("vector")))
-        met = rows.join(wanted.join(asked, "query_id"), ["cell", *([within] if within else [])])
-        size = F.col("_n") * F.col("_qn")
-        return met.select("query_id", "target_id", F.when(size == 0, 0.0).otherwise(dot(F.col("vector"), F.col("query_vector")) / size).alias("cosine"))
-
+    start = min(FIRST, probes)
+    asked = questions.filter(_sound(F.col("query_vector"))).select("query_id", "query_vector", *([within] if within else []))
     order = [F.desc(F.round("cosine", 9)), F.asc("target_id")]
-    first = scored(bounds.filter(F.col("turn") < probes).select("query_id", "cell"))
-    if not exact:
-        return lexical.top(first, k, order)
-    best = lexical.top(first, k, order).cache()
-    worst = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("cosine")).alias("_worst"))
-    more = bounds.filter(F.col("turn") >= probes).join(worst, "query_id", "left").filter(F.col("_worst").isNull() | (F.col("bound") >= F.col("_worst") - 1e-8))
-    rest = scored(more.select("query_id", "cell"))
+    first = _scored(asked.withColumn("worst", F.lit(None).cast("double")), index, k, lambda turn, bound, worst: turn < start, within)
+    best = written(lexical.top(first, k, order), "best")
+    reached = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("cosine")).alias("worst"))
+    rest = _scored(asked.join(reached, "query_id", "left"), index, k, lambda turn, bound, worst: (turn >= start) & ((turn < probes) | exact) & (bound >= worst - 1e-8), within)
     return lexical.top(best.drop("rank").unionByName(rest), k, order)

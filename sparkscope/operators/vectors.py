@@ -82,18 +82,9 @@ def _block_scores(asked: DataFrame, kept: DataFrame, k: int, keys: list[str]) ->
         return grouped.agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias(name)).drop("_deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(rows) -> np.ndarray:
-            flat, size = rows.values.field("v"), len(rows.values)
-            lengths = np.diff(flat.offsets.to_numpy())
-            x = np.zeros((size, lengths.max(initial=0)))
-            x[np.arange(x.shape[1]) < lengths[:, None]] = flat.flatten().to_numpy()
-            norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
-            return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-
         for batch in batches:
             for i in range(batch.num_rows):
-                q, v = (pa.concat_arrays([batch.column(c).slice(i, 1)]) for c in ("_q", "_v"))
-                q, v = (pa.ListArray.from_arrays([0, len(x.flatten())], x.flatten()) for x in (q, v))
+                q, v = (taken(batch.column(c), i) for c in ("_q", "_v"))
                 qx, vx = unit(q), unit(v)
                 width = min(qx.shape[1], vx.shape[1])
                 near = np.clip(qx[:, :width] @ vx[:, :width].T, -1, 1)
@@ -101,17 +92,8 @@ def _block_scores(asked: DataFrame, kept: DataFrame, k: int, keys: list[str]) ->
                 turn = np.argsort(np.asarray(v.values.field("id").to_pylist()), kind="stable")
                 near = near[:, turn]
                 ids_q, ids_v = q.values.field("id").to_pylist(), [v.values.field("id")[int(t)].as_py() for t in turn]
-                out_q, out_v, out_c = [], [], []
-                for r in range(len(near)):
-                    row = near[r]
-                    hit = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 2e-9) if len(row) > k else np.arange(len(row))
-                    hit = hit[np.argsort(-row[hit], kind="stable")]
-                    at = np.arange(len(hit))
-                    hit = hit[at - np.maximum.accumulate(np.where(np.diff(row[hit], prepend=2.0) != 0, at, 0)) < k]
-                    out_q += [ids_q[r]] * len(hit)
-                    out_v += [ids_v[h] for h in hit]
-                    out_c.append(row[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, q.values.field("id").type), pa.array(out_v, v.values.field("id").type), pa.array(np.concatenate(out_c))], ["query_id", "target_id", "cosine"])
+                r, c = firsts(near, k)
+                yield pa.RecordBatch.from_arrays([pa.array([ids_q[i] for i in r], q.values.field("id").type), pa.array([ids_v[i] for i in c], v.values.field("id").type), pa.array(near[r, c])], ["query_id", "target_id", "cosine"])
 
     ship(asked.sparkSession)
     left, right = packed(kept, "target_id", "vector", "_v"), packed(asked, "query_id", "query_vector", "_q")
@@ -119,6 +101,36 @@ def _block_scores(asked: DataFrame, kept: DataFrame, k: int, keys: list[str]) ->
     return pairs.select("_q", "_v").repartition(F.xxhash64("_q", "_v")).mapInArrow(run, f"query_id {kinds[0]}, target_id {kinds[1]}, cosine double")
 
 
+def taken(column: pa.ListArray, i: int) -> pa.ListArray:
+    """The list at ``i`` of a column, without what lies before and after it."""
+    flat = column.slice(i, 1).flatten()
+    return pa.ListArray.from_arrays([0, len(flat)], flat)
+
+
+def unit(rows: pa.ListArray) -> np.ndarray:
+    """The vectors ``v`` of a list of structs at length 1; shorter ones end in zeros, and those of length 0 stay."""
+    flat, size = rows.values.field("v"), len(rows.values)
+    lengths = np.diff(flat.offsets.to_numpy())
+    x = np.zeros((size, lengths.max(initial=0)))
+    x[np.arange(x.shape[1]) < lengths[:, None]] = flat.flatten().to_numpy()
+    norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+
+def firsts(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of at least the ``k`` highest finite values of each row, and of those so near to the k-th that rounding
+    may place them before it; of equal values the first ``k``."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None] - 2e-9 if near.shape[1] > k else -np.inf
+    r, c = np.nonzero((near >= least) & (near > -np.inf))
+    turn = np.lexsort((c, -near[r, c], r))
+    r, c = r[turn], c[turn]
+    at, value = np.arange(len(r)), near[r, c]
+    begins = np.ones(len(r), dtype=bool)
+    begins[1:] = (r[1:] != r[:-1]) | (value[1:] != value[:-1])
+    kept = at - np.maximum.accumulate(np.where(begins, at, 0)) < k
+    return r[kept], c[kept]
+
+
 def similar_pairs(members: DataFrame, floor: Column | float, group: str = "query_id") -> DataFrame:
     """(group, a, b, cosine) of members (group, id, position, vector) of the same group with cosine >= floor; a before b.
 

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkscope.operators import cells, vectors
+from test_growth import shuffled
 
 SF = "/root/testdata/sf0.01"
 
@@ -64,3 +65,17 @@ def test_empty_and_single(spark, tmp_path):
     assert cells.nearest(asked.limit(0), one, exact=True).count() == 0
     flat = stored_cells(spark, spark.createDataFrame([(7, [0.0, 0.0])], "target_id long, vector array<float>"), tmp_path / "flat")
     assert cells.nearest(asked, flat, exact=True).first()["cosine"] == 0.0
+
+
+def test_questions_meet_blocks_of_cells(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(2000)], "target_id long, vector array<float>")
+    index = stored_cells(spark, rows, tmp_path / "cells")
+    assert sum(index.sizes.values()) == 2000 and len(index.sizes) > 20
+    asked = rows.filter("target_id % 5 = 0").select(F.col("target_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    run = lambda: cells.nearest(asked, index, 3, probes=12, exact=True)
+    got, records = shuffled(spark, lambda: sorted(tuple(r)[:2] + (r["rank"],) for r in run().collect()))
+    assert got == sorted(tuple(r)[:2] + (r["rank"],) for r in vectors.nearest(asked, rows, 3).collect())
+    # No rows of questions and cells, and no pairs of questions and vectors outside the products.
+    assert records < 12_000, records
+    assert "MapInArrow" in run()._jdf.queryExecution().analyzed().toString()
