@@ -45,10 +45,10 @@ def part_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
-def write_index(posted: DataFrame, dl: DataFrame, path: str) -> None:
-    """Store an index under ``path``: postings in folders by a hash of the term, sorted by term, so that few row groups
-    hold a term."""
-    posted.withColumn("part", part_of(F.col("term"))).repartition("part", F.pmod(F.xxhash64("doc"), F.lit(4))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
+def write_index(posted: DataFrame, dl: DataFrame, path: str, splits: int = 4) -> None:
+    """Store an index under ``path``: postings in folders by a hash of the term, ``splits`` files each, sorted by term, so that
+    few row groups hold a term."""
+    posted.withColumn("part", part_of(F.col("term"))).repartition(PARTS * splits, "part", F.pmod(F.xxhash64("doc"), F.lit(splits))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
     dl.write.parquet(f"{path}/lengths")
     vocabulary(posted.sparkSession.read.parquet(f"{path}/postings")).write.parquet(f"{path}/vocabulary")
 

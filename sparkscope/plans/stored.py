@@ -14,12 +14,13 @@ from sparkscope.session import shared_dir
 
 def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """The index of the words of ``documents``."""
-    key = (spark.sparkContext.applicationId, f"{stamp(spark, f'{sf_dir}/documents.parquet')}-index")
+    source = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, f"{stamp(spark, source)}-index")
     if key not in _built:
         path = f"{shared_dir(spark)}/sparkscope/{key[0]}/{key[1]}-{uuid.uuid4().hex}"
         docs = R.documents(spark, sf_dir).select("doc_id", "w")
         lengths = docs.select(F.col("doc_id").alias("doc"), F.size("w").cast("long").alias("dl"))
-        lexical.write_index(lexical.postings(docs, "doc_id", F.lit(None), by=F.col("w")), lengths, path)
+        lexical.write_index(lexical.postings(docs, "doc_id", F.lit(None), by=F.col("w")), lengths, path, max(4, R.pieces(spark, source) // 8))
         _built[key] = path
     return lexical.read_index(spark, _built[key])
 

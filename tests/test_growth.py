@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.operators import graph, lexical, ranking, vectors
 from sparkscope.plans import catalogue
+from sparkscope.plans import relations as R
 from sparkscope.sources import extract
 
 
@@ -117,3 +118,17 @@ def test_nearest_by_blocks_is_the_plain_result(spark, monkeypatch):
     got = read(vectors.nearest(asked, table, 5))
     assert got == want, ([x for x in got if x not in want][:4], [x for x in want if x not in got][:4], len(got), len(want))
     assert "MapInArrow" in vectors.nearest(asked, table, 5)._jdf.queryExecution().analyzed().toString()
+
+
+def test_candidates_and_seeds_are_worked_out_once(spark):
+    for name in ("explore", "rrf_fuse", "search_ranked", "relevance_gate"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroups" not in plan and "MapInArrow" not in plan, name
+
+
+def test_lengths_need_no_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "A b,c"), (2, None), (3, "")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(R._built)
+    assert sorted(tuple(r) for r in catalogue.QUERIES["fts_doc_len"](spark, str(tmp_path)).collect()) == [(1, 3), (2, 0), (3, 0)]
+    assert set(R._built) == before
