@@ -218,11 +218,35 @@ def snippets(rows: DataFrame, doc: str, text: Column, terms: Column, width: int
     """(doc, snippet): of each row's text the first window of ``width`` words with most hits, hits in brackets.
 
     A hit is a word that starts with one of ``terms``. An approximation of an engine's snippets, meant for the few
-    rows that are shown; repeated ids are one text.
+    rows that are shown; repeated ids are one text. Texts of different ids are cut where they lie, as arrays; only repeated
+    ids become rows of words, which meet in a shuffle.
     """
+    told = rows.select(F.col(doc).alias("doc"), terms.alias("_terms"), F.split(F.coalesce(text, F.lit("")), r"\s+").alias("_words"))
+    again = written(rows.groupBy(F.col(doc).alias("_again")).count().filter("count > 1").select("_again"), "repeated")
+    if again.isEmpty():
+        return _windows(told, width)
+    repeated, same = broadcast_if_small(again), F.col("doc").eqNullSafe(F.col("_again"))
+    return _windows(told.join(repeated, same, "left_anti"), width).unionByName(_windows_of_ids(told.join(repeated, same, "left_semi"), width))
+
+
+def _windows(told: DataFrame, width: int) -> DataFrame:
+    """(doc, snippet) of (doc, _terms, _words), a row each."""
+    # What a lambda uses is used outside of it as well, so that it stays a column that is worked out once a row.
+    starts = F.transform("_words", lambda w: F.exists("_terms", lambda t: F.lower(w).startswith(F.lower(t))))
+    cut = told.withColumn("_hit", F.when(F.size("_terms") > 0, starts).otherwise(F.array_repeat(F.lit(False), F.size("_words"))))
+    # A window has more hits than all before it only if it ends with one.
+    ends = F.filter(F.transform("_hit", lambda h, i: F.when(h, i)), lambda i: i >= width)
+    windows = F.concat(F.array(F.lit(0)), F.transform(ends, lambda i: i - width + 1))
+    counted = F.transform(windows, lambda i: F.struct((-F.size(F.filter(F.slice("_hit", i + 1, F.lit(width)), lambda h: h))).alias("minus"), i.alias("at")))
+    cut = cut.withColumn("_start", F.array_min(counted)["at"])
+    shown = F.zip_with(F.slice("_words", F.col("_start") + 1, F.lit(width)), F.slice("_hit", F.col("_start") + 1, F.lit(width)), lambda w, h: F.when(h, F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    return cut.select("doc", F.concat(F.when(F.col("_start") > 0, "...").otherwise(""), F.array_join(shown, " "), F.when(F.col("_start") + width < F.size("_words"), "...").otherwise("")).alias("snippet"))
+
+
+def _windows_of_ids(told: DataFrame, width: int) -> DataFrame:
+    """(doc, snippet) of (doc, _terms, _words) with rows of one id as one text."""
     # The terms are worked out below the explode, once for each row.
-    cut = rows.select(F.col(doc).alias("doc"), terms.alias("_terms"), F.split(F.coalesce(text, F.lit("")), r"\s+").alias("_words"))
-    cut = cut.select("doc", "_terms", F.posexplode("_words").alias("at", "word"))
+    cut = told.select("doc", "_terms", F.posexplode("_words").alias("at", "word"))
     cut = cut.withColumn("hit", F.exists("_terms", lambda t: F.lower("word").startswith(F.lower(t)))).drop("_terms")
     order = Window.partitionBy("doc").orderBy("at")
     counted = cut.withColumn("hits", F.sum(F.col("hit").cast("int")).over(order.rowsBetween(0, width - 1)))
