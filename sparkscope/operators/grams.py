@@ -72,6 +72,11 @@ def read(spark: SparkSession, path: str) -> Names:
     return Names(*[spark.read.parquet(f"{path}/{n}") for n in ("names", "lists", "counts")])
 
 
+def both(a: Names, b: Names) -> Names:
+    """One index of two; names of both lie in it twice, which ``lookup`` allows for."""
+    return Names(a.names.unionByName(b.names), a.lists.unionByName(b.lists), a.counts.unionByName(b.counts))
+
+
 def lookup(tokens: DataFrame, known: Names) -> DataFrame:
     """(token, name): the folded names that hold each ``token``. Null and empty tokens find nothing."""
     asked = tokens.select("token", fold(F.col("token")).alias("_t")).filter("_t <> ''").distinct()

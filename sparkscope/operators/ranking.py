@@ -43,6 +43,19 @@ def evidence(query: Column, symbol: Column, path: Column, why: Column) -> Column
     return F.size(F.filter(evidence_terms(query), lambda t: F.contains(text, t)))
 
 
+def evidence_of_all(questions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(query_id, symbol_id, evidence) of all (query_id, repo, query) and the (repo, symbol_id, symbol, path, why) of their
+    repository: ``evidence``, with each different term looked for once in a symbol's text, not once for each question."""
+    blank = F.lit("")
+    asked = questions.select("query_id", "repo", evidence_terms(F.col("query")).alias("_terms"))
+    wanted = asked.groupBy("repo").agg(F.array_distinct(F.flatten(F.collect_list("_terms"))).alias("_wanted"))
+    text = F.translate(F.lower(F.concat_ws(" ", F.coalesce("symbol", blank), F.coalesce("path", blank), F.coalesce("why", blank))), "_", " ")
+    # Two uses of the text keep it from being worked out for each term.
+    held = symbols.select("repo", "symbol_id", text.alias("_text")).join(F.broadcast(wanted), "repo")  # a row for each repository
+    held = held.select("repo", "symbol_id", F.when(F.length("_text") > 0, F.filter("_wanted", lambda t: F.contains("_text", t))).otherwise(F.array().cast("array<string>")).alias("_held"))
+    return held.join(broadcast_if_small(asked), "repo").select("query_id", "symbol_id", F.size(F.filter("_terms", lambda t: F.array_contains("_held", t))).alias("evidence"))
+
+
 def rerank(found: DataFrame, limit: int | None = None, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (query_id, query, position, lexical_rank, vector_rank, record_type, path, symbol, why).
 

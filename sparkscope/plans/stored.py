@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +37,22 @@ def blocks(spark: SparkSession, sf_dir: str) -> block_max.Blocks:
     return block_max.read(spark, _built[key])
 
 
-def names(spark: SparkSession, sf_dir: str) -> grams.Names:
-    """The index of all names of the relations."""
-    key = (spark.sparkContext.applicationId, f"{stamp(spark, f'{sf_dir}/documents.parquet')}-names")
-    if key not in _built:
-        path = f"{shared_dir(spark)}/sparkscope/{key[0]}/{key[1]}-{uuid.uuid4().hex}"
-        grams.write(ranking.all_names(*[of(spark, sf_dir) for of in (R.files, R.symbols, R.calls, R.literals)]), path)
-        _built[key] = path
-    return grams.read(spark, _built[key])
+#: The relations that hold names of each kind, and in which columns.
+NAMED = {"symbol": (R.symbols, ranking.SYMBOL_NAMES), "call": (R.calls, ranking.CALL_NAMES), "literal": (R.literals, ranking.LITERAL_NAMES), "path": (R.files, ranking.PATH_NAMES)}
+
+
+def names(spark: SparkSession, sf_dir: str, *kinds: str) -> grams.Names:
+    """The index of the names of some kinds, all of them by default; each kind is stored by itself."""
+    found = []
+    for kind in kinds or NAMED:
+        key = (spark.sparkContext.applicationId, f"{stamp(spark, f'{sf_dir}/documents.parquet')}-names-{kind}")
+        if key not in _built:
+            path = f"{shared_dir(spark)}/sparkscope/{key[0]}/{key[1]}-{uuid.uuid4().hex}"
+            relation, columns = NAMED[kind]
+            grams.write(grams.different((relation(spark, sf_dir), columns)), path)
+            _built[key] = path
+        found.append(grams.read(spark, _built[key]))
+    return reduce(grams.both, found)
 
 
 def vector_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
