@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkscope.operators import graph, lexical, ranking, vectors
 from sparkscope.plans import catalogue
 from sparkscope.plans import relations as R
+from sparkscope.plans import stored
 from sparkscope.sources import extract
 
 
@@ -132,3 +133,27 @@ def test_lengths_need_no_index(spark, tmp_path):
     before = set(R._built)
     assert sorted(tuple(r) for r in catalogue.QUERIES["fts_doc_len"](spark, str(tmp_path)).collect()) == [(1, 3), (2, 0), (3, 0)]
     assert set(R._built) == before
+
+
+def test_snippets_are_cut_where_texts_lie(spark):
+    rows = [(1, "a b c d e f"), (2, None), (3, "x y b c x x x b c"), (4, "b c"), (4, "z b")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    plain = lexical.snippets(docs.filter("id < 4"), "id", F.col("text"), F.array(F.lit("b"), F.lit("C")), 3)
+    assert {r["doc"]: r["snippet"] for r in plain.collect()} == {1: "a [b] [c]...", 2: "", 3: "...y [b] [c]..."}
+    assert "Window" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert lexical.snippets(docs, "id", F.col("text"), F.array(F.lit("b")), 3).filter("doc = 4").count() > 0
+
+
+def test_evidence_of_all_is_the_evidence_of_each_pair(spark):
+    asked = spark.createDataFrame([(1, "r", "a_b the the"), (2, "r", ""), (3, "q", "x:y"), (4, "r", None)], "query_id long, repo string, query string")
+    symbols = spark.createDataFrame([("r", 1, "The.a", "p", None), ("r", 2, None, None, None), ("q", 3, "x", "y_", "z")], "repo string, symbol_id long, symbol string, path string, why string")
+    want = asked.join(symbols, "repo").select("query_id", "symbol_id", ranking.evidence(F.col("query"), F.col("symbol"), F.col("path"), F.col("why")).alias("e"))
+    read = lambda df: sorted(tuple(r) for r in df.collect())
+    assert read(ranking.evidence_of_all(asked, symbols)) == read(want)
+
+
+def test_names_of_one_kind_are_indexed_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Alpha beta gammagamma", "en", "s")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["name"] for r in stored.names(spark, str(tmp_path), "literal").names.collect()] == ["gammagamma"]
+    assert [r["name"] for r in stored.names(spark, str(tmp_path), "path").names.collect()] == ["src/s/doc_1.txt"]
