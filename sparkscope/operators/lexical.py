@@ -139,6 +139,17 @@ def top(scored: DataFrame, k: int, by: list[Column], key: str = "query_id") -> D
     return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 
 
+def leading(total: np.ndarray, k: int) -> np.ndarray:
+    """Where the highest ``k`` sums are, with those within ``MARGIN`` of the k-th, of equal ones the first k; zeros do not count."""
+    hit = np.flatnonzero(total)
+    if len(hit) > k:
+        hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k] - MARGIN]
+        hit = hit[np.argsort(total[hit], kind="stable")]
+        place = np.arange(len(hit))
+        hit = hit[place - np.maximum.accumulate(np.where(np.diff(total[hit], prepend=-1) != 0, place, 0)) < k]
+    return hit
+
+
 def best(questions: DataFrame, index: Index, k: int, prefix: bool = False, stem: bool = False) -> DataFrame:
     """(query_id, doc, score) of the first ``k`` documents of each question, by the score rounded to nine digits and then the
     document: the rows of ``bm25``, cut by ``top``.
@@ -194,12 +205,7 @@ def best(questions: DataFrame, index: Index, k: int, prefix: bool = False, stem:
             total = np.zeros(len(docs))
             for t in terms:
                 total[at[cut[t] : cut[t + 1]]] += share[cut[t] : cut[t + 1]]
-            hit = np.flatnonzero(total)
-            if len(hit) > k:
-                hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k] - MARGIN]
-                hit = hit[np.argsort(total[hit], kind="stable")]
-                place = np.arange(len(hit))
-                hit = hit[place - np.maximum.accumulate(np.where(np.diff(total[hit], prepend=-1) != 0, place, 0)) < k]
+            hit = leading(total, k)
             out.append((np.full(len(hit), query_id), docs[hit], -total[hit]))
         names = ["query_id", "doc", "score"]
         return pa.table([np.concatenate(x) for x in zip(*out)], names) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)

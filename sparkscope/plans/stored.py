@@ -31,8 +31,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> block_max.Blocks:
     key = (spark.sparkContext.applicationId, f"{stamp(spark, f'{sf_dir}/documents.parquet')}-blocks")
     if key not in _built:
         path = f"{shared_dir(spark)}/sparkscope/{key[0]}/{key[1]}-{uuid.uuid4().hex}"
-        plain = index(spark, sf_dir)
-        block_max.write(plain.postings, plain.lengths, path)
+        block_max.write_documents(R.table(spark, sf_dir, "documents"), "doc_id", "text", path)
         _built[key] = path
     return block_max.read(spark, _built[key])
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkscope.operators import graph, lexical, ranking, vectors
+from sparkscope.operators import block_max, graph, lexical, ranking, vectors
 from sparkscope.plans import catalogue
 from sparkscope.plans import relations as R
 from sparkscope.plans import stored
@@ -157,3 +157,47 @@ def test_names_of_one_kind_are_indexed_alone(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert [r["name"] for r in stored.names(spark, str(tmp_path), "literal").names.collect()] == ["gammagamma"]
     assert [r["name"] for r in stored.names(spark, str(tmp_path), "path").names.collect()] == ["src/s/doc_1.txt"]
+
+
+def test_blocks_shuffle_each_text_once_and_no_postings_by_question(spark, tmp_path):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghijklmnop", k=60))) for i in range(400)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(i, " ".join(rng.choices("abcdefghijklmnop", k=60))) for i in range(30)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows, records = shuffled(spark, lambda: catalogue.QUERIES["bm25_block_topk"](spark, str(tmp_path)).count())
+    assert rows == 3000  # 300 questions of words in nearly every document, and some 6,400 postings
+    assert records < 13_000  # the first ten of each question and group several times over
+
+
+@pytest.mark.parametrize("group, batch", [(10_000, 10_000), (40, 7)])
+def test_blocks_of_odd_ids_equal_the_sql(spark, tmp_path, monkeypatch, group, batch):
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(block_max, "GROUP_DOCS", group)
+    monkeypatch.setattr(block_max, "MOST_WORDS", batch)
+    rng, some = random.Random(4), [f"w{i}" for i in range(25)]
+    texts = [" ".join(rng.choices(some, weights=range(1, 26), k=rng.choice((0, 1, 3, 12, 150)))) for _ in range(600)]
+    # 40 ids are there twice with other texts, one is null; some texts are null, and a tenth are copies.
+    rows = [(None if i == 77 else i % 560, None if i % 50 == 9 else texts[i // 10 if i % 10 == 3 else i]) for i in range(600)] + [(None, "w0 w1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(i, " ".join(rng.choices([*some, "unknown"], k=11))) for i in range(8)] + [(8, "unknown"), (9, None), (10, "w3 w3 w3 w4")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    base = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        base.execute(f"CREATE VIEW {name} AS SELECT *{', 1 AS n_chars' * (name == 'documents')} FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(base.execute(catalogue.ORACLES["bm25_block_topk"]).fetchall())
+    got = sorted(tuple(r) for r in catalogue.QUERIES["bm25_block_topk"](spark, str(tmp_path)).collect())
+    assert len(want) > 100 and got == want
+
+
+def test_blocks_are_sorted_by_term_and_bounded(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", "x " * i) for i in range(20)] + [("none", None)], "id string, text string")
+    block_max.write_documents(docs, "id", "text", str(tmp_path / "blocks"), size=4)
+    found = block_max.read(spark, str(tmp_path / "blocks"))
+    rows = [(r["term"], r["n"], [e["dl"] for e in r["entries"]]) for r in found.entries.orderBy("block").collect()]
+    assert [sorted(lengths) for _, _, lengths in rows] == [[1, 2], [3, 4, 5, 6], [7, 8, 9, 10], [11, 12, 13, 14], [15, 16, 17, 18], [19]]
+    assert [n for _, n, _ in rows] == [2, 4, 4, 4, 4, 1] and found.vocabulary.first()["df"] == 19
+    asked = spark.createDataFrame([("q", "x y")], "query_id string, text string")
+    assert [r["doc"] for r in block_max.top(asked, found, 2).orderBy("score", "doc").collect()] == ["d19", "d18"]
+    block_max.write_documents(docs.filter("id = 'none'"), "id", "text", str(tmp_path / "none"))
+    assert block_max.top(asked, block_max.read(spark, str(tmp_path / "none")), 2).count() == 0
