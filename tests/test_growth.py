@@ -43,6 +43,41 @@ def test_extracted_rows_are_handed_over_in_batches(spark, monkeypatch):
     assert found == {i: ["A", "f", "g", "i", "j", "m", "P"] if i % 2 else [] for i in range(20)}
 
 
+PLAIN = "def f(a):\n    return b.c(a, 1)\n\ndef g(): pass\n"
+#: Texts that can be cut before definitions, and texts that can't.
+APART = ["", "\n", PLAIN, PLAIN.strip(), f"import os\n{PLAIN}{PLAIN}", "def f(): h(1); g('x', 2.5)\n\n\n# end", f"{NESTED}def last(): return z(1)(2)\n", PLAIN.replace("\n", "\r\n"), "\n\ndef f():\n    'doc'\n    def g(): return x.y(True)\n    return g", "class A:\n  x: int = 1\ndef f[T](a: T = q(3), *b, c=d(4), **e) -> r(5): ..."]
+WHOLE = ["x = '\'\'\ndef f(): pass\n\'\'\'\ndef g(): pass\n", '"""\ndef f(): pass\n"""\ndef g(): pass\n', "@d\ndef f(): pass\n", "def f(): pass\n@d(1)\ndef g(): pass\n", "x = (1,\ndef f(): pass\n", "x = 1\n\\\ndef f(): g()\n", "def f(): pass\n\x0cdef g(): h()\n\ndef i(): pass\n", "def f():\rdef g(): pass\n", "from __future__ import x\ndef f(): pass\n", "def f(:\n  g()\ndef h(): pass\n", "if x:\ndef f(): pass\n", "def f(): return 1\u2028\ndef g(): h()\n", "def f(): pass\0\ndef g(): pass"]
+
+
+@pytest.mark.parametrize("path", ["a/b.py", "__init__.py"])
+def test_blocks_of_python_texts_are_the_whole_text(path):
+    leaves = tuple(extract._leaves(tuple(extract.KINDS)))
+    for text in APART * 2 + WHOLE:
+        out = [["kept"] for _ in leaves]
+        n, whole = extract.python_blocks(text, path, leaves, out), extract.python(text, path, facts=False)
+        assert (n is None) == (text in WHOLE), text
+        assert n in (None, len(whole.symbols)) and (n is None or not whole.errors)
+        assert [x[1:] for x in out] == [list(x) if n is not None else [] for x in extract._columns(whole.symbols, leaves)], text
+
+
+def test_repeated_blocks_are_parsed_once(monkeypatch):
+    parsed, parse = [], extract.ast.parse
+    monkeypatch.setattr(extract.ast, "parse", lambda text: parsed.append(text) or parse(text))
+    leaves, out = ("name", "calls", "calls.call_text"), [[], [], []]
+    for i in range(100):
+        assert extract.python_blocks(f"def repeated_{i % 3}(): return f({i % 3})\n" * 20, f"p{i}.py", leaves, out) == 20
+    assert len(parsed) == 3 and out[0][:21] == ["repeated_0"] * 20 + ["repeated_1"] and out[2][-1] == "f" and len(out[2]) == 2000
+
+
+def test_parts_of_calls_and_literals_can_be_named(spark):
+    rows = [(1, "python", PLAIN), (2, "python", "@d\n" + PLAIN), (3, "javascript", "function f() { g(1) }"), (4, "python", None), (5, "python", "def f(:")]
+    files = spark.createDataFrame([("r", i, "a/b.py", k, t) for i, k, t in rows], "repo string, file_id long, path string, language string, text string")
+    whole = extract.extract_files(files).select("file_id", "parse_errors", F.expr("transform(symbols, s -> struct(s.symbol_ref, s.line_start, transform(s.calls, c -> struct(c.call_text)) as calls, transform(s.literals, l -> struct(l.value, l.line_end)) as literals)) as symbols"))
+    parts = extract.extract_files(files, facts=False, fields=("symbol_ref", "line_start", "calls.call_text", "literals.value", "literals.line_end")).select(whole.columns)
+    assert parts.schema["symbols"].dataType.elementType.names == ["symbol_ref", "line_start", "calls", "literals"]
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_extract_python_is_dealt_out(spark, tmp_path):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("src").alias("source"), F.lit("en").alias("lang"))
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
