@@ -1,6 +1,7 @@
 """What lets queries grow with their input: work dealt out to all cores, bounded batches, reduction before shuffles."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,9 +61,25 @@ def test_blocks_of_python_texts_are_the_whole_text(path):
         assert [x[1:] for x in out] == [list(x) if n is not None else [] for x in extract._columns(whole.symbols, leaves)], text
 
 
+def test_blocks_that_differ_in_names_only(monkeypatch):
+    shapes = ["def A(B):\n    return C.A_B(B)\n", "def A(): B(C(1)); C(B(2)); A()\n", "async def A(B, *, C=1.5): await B.C(A)(C % B)['x']\n", "def A():\n  x = {B: C(1), 2: 1.5}\n  def B(): return C(3 % A)\n  match B:\n    case C.A: pass\n    case _: A(True)\n", "def A(B: C) -> B: return [B(C) for C in A if not B is C.C]\n", "def A(): return 1.B\n", "def A(): return 1if B(1)else C\n", "def A(): # B\n  return f'{C()}'\n", "def A(): return 0zq1q + B\n", "class X:\n  @A\n  def B(C): C()\n"]
+    names = ["x", "zq1q", "match", "type", "_", "e5", "nöt", "__debug__", "if", "True", "j", "aa", "zz"]
+    rng, leaves = random.Random(7), tuple(extract._leaves(tuple(extract.KINDS)))
+    for _ in range(150):
+        made = {k: rng.choice(names) for k in "ABC"}
+        text = "".join(re.sub(r"[ABC](?![a-z])", lambda m: made[m[0]], x) for x in rng.choices(shapes, k=rng.choice((1, 1, 2))))
+        out = [[] for _ in leaves]
+        n, whole = extract.python_blocks(text, "a/b.py", leaves, out), extract.python(text, "a/b.py", facts=False)
+        assert n == (None if whole.errors else len(whole.symbols)) and (n is None or out == [list(x) for x in extract._columns(whole.symbols, leaves)]), text
+    parsed, parse = [], extract.ast.parse
+    monkeypatch.setattr(extract.ast, "parse", lambda *a, **b: parsed.append(a) or parse(*a, **b))
+    text = "".join(f"def f_{i}(a):\n    return other.delete_{i}(a + 77)\n" for i in range(200))
+    assert extract.python_blocks(text, "b.py", leaves, [[] for _ in leaves]) == 200 and len(parsed) == 1
+
+
 def test_repeated_blocks_are_parsed_once(monkeypatch):
     parsed, parse = [], extract.ast.parse
-    monkeypatch.setattr(extract.ast, "parse", lambda text: parsed.append(text) or parse(text))
+    monkeypatch.setattr(extract.ast, "parse", lambda *a, **b: parsed.append(a) or parse(*a, **b))
     leaves, out = ("name", "calls", "calls.call_text"), [[], [], []]
     for i in range(100):
         assert extract.python_blocks(f"def repeated_{i % 3}(): return f({i % 3})\n" * 20, f"p{i}.py", leaves, out) == 20
