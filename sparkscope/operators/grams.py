@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions.text import fold
+from sparkscope.operators.sizes import broadcast_if_small
+from sparkscope.session import written
 
 GRAM = 3
 #: Lists of a token that are intersected before names are looked at.
@@ -85,21 +87,24 @@ def lookup(tokens: DataFrame, known: Names) -> DataFrame:
     rarity = known.counts.groupBy("gram").agg(F.sum("n").alias("n"))
     long = asked.filter(size >= GRAM).select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), size - GRAM + 1), lambda i: F.substr("_t", i, F.lit(GRAM))))).alias("gram"))
     order = Window.partitionBy("token").orderBy(F.coalesce("n", F.lit(0)), "gram")
-    ranked = long.join(rarity, "gram", "left").select("token", "_t", "gram", part_of(F.col("gram")).alias("part"), F.row_number().over(order).alias("_rank"))
-    found = ranked.filter("_rank = 1").join(known.lists, ["part", "gram"]).select("token", "_t", "name_id")
-    for rank in range(2, DEPTH + 1):
-        more = ranked.filter(F.col("_rank") == rank).select("token", "gram", "part")
-        both = found.join(more, "token").join(known.lists, ["part", "gram", "name_id"], "left_semi").select(found.columns)
-        found = both.unionByName(found.join(more, "token", "left_anti"))
+    ranked = long.join(rarity, "gram", "left").select("token", "_t", "gram", F.row_number().over(order).alias("_rank")).filter(F.col("_rank") <= DEPTH)
     # Shorter tokens begin grams: all lists of these.
     begins = rarity.select("gram", F.explode(F.array(*[F.substring("gram", 1, n) for n in range(1, GRAM)])).alias("_t"))
-    short = asked.filter(size < GRAM).join(begins, "_t").select("token", "_t", "gram", part_of(F.col("gram")).alias("part")).distinct()
-    found = found.unionByName(short.join(known.lists, ["part", "gram"]).select("token", "_t", "name_id").distinct())
+    short = asked.filter(size < GRAM).join(begins, "_t").select("token", "_t", "gram", F.lit(0).alias("_rank")).distinct()
+    # The grams are stored, so that Spark knows how few they are, and lists need not be shuffled to meet them.
+    ranked = written(ranked.unionByName(short).withColumn("part", part_of(F.col("gram"))), "grams")
+    found = known.lists.join(broadcast_if_small(ranked.filter("_rank = 1")), ["part", "gram"]).select("token", "_t", "name_id")
+    for rank in range(2, DEPTH + 1):
+        more = ranked.filter(F.col("_rank") == rank).select("token", "gram", "part")
+        some = known.lists.join(broadcast_if_small(more.select("part", "gram").distinct()), ["part", "gram"], "left_semi")
+        both = found.join(broadcast_if_small(more), "token").join(some, ["part", "gram", "name_id"], "left_semi").select(found.columns)
+        found = both.unionByName(found.join(broadcast_if_small(more), "token", "left_anti"))
+    found = found.unionByName(known.lists.join(broadcast_if_small(ranked.filter("_rank = 0")), ["part", "gram"]).select("token", "_t", "name_id").distinct())
     return found.join(known.names, "name_id").filter(F.contains("name", "_t")).select("token", "name").distinct()
 
 
 def holding(rows: DataFrame, columns: list[str], hits: DataFrame) -> DataFrame:
     """``rows`` with ``token`` of each of ``hits`` (token, name) that one of ``columns`` holds; once for each such column."""
     names = F.array_distinct(F.array(*[fold(F.coalesce(F.col(c), F.lit(""))) for c in columns]))
-    met = rows.withColumn("_name", F.explode(names)).join(hits.select("token", F.col("name").alias("_name")), "_name")
+    met = rows.withColumn("_name", F.explode(names)).join(broadcast_if_small(hits.select("token", F.col("name").alias("_name"))), "_name")
     return met.drop("_name")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,56 +113,115 @@ def all_names(files: DataFrame, symbols: DataFrame, calls: DataFrame, literals:
     return grams.different((files, PATH_NAMES), (symbols, SYMBOL_NAMES), (calls, CALL_NAMES), (literals, LITERAL_NAMES))
 
 
-def find(questions: DataFrame, files: DataFrame, symbols: DataFrame, calls: DataFrame, literals: DataFrame, kinds: tuple[str, ...] = ("symbol", "call", "literal", "path"), limit: int = 10, names: grams.Names | None = None) -> DataFrame:
+#: Targets of each repository, the first by path, whose rows are read for a token before its names are looked up.
+AHEAD = 256
+
+
+def first_sites(rows: DataFrame, columns: tuple[str, ...], value: Column, wanted: DataFrame, places: DataFrame, names: Callable[[], grams.Names], limit: int, what: str) -> DataFrame:
+    """(symbol_id, token) of the first ``limit`` targets, by score and path, of each of ``wanted`` (repo, token): those that
+    one of ``columns`` of ``rows`` (symbol_id, …) holds, with the score of ``value``. places: (repo, symbol_id, path).
+
+    There are four rounds, each for the tokens that have found fewer than ``limit`` targets so far: values that are a token;
+    values that begin with one; all rows of each repository's first targets by path; all rows with a name that holds a token,
+    by the index ``names``. No target of a later round that was not found before stands before those of an earlier one. So
+    rows meet tokens, and go through no shuffle before they have been found, as long as tokens are few, and common ones,
+    which many names hold, need no names. Targets with equal places in the order (repeated ids) are one target.
+    """
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in columns}).select("symbol_id", *columns, F.lower(F.coalesce(value, F.lit(""))).alias("_value"))
+    held = reduce(Column.__or__, [F.contains(fold(F.col(c)), fold(F.col("token"))) for c in columns])
+    minus = -match_score(F.col("token"), F.col("_value"))
+
+    def words(left: DataFrame, key: Column) -> DataFrame:
+        return left.select("token").distinct().withColumn("_low", F.lower("token")).withColumn("_key", key)
+
+    def same(left: DataFrame) -> DataFrame:
+        return rows.withColumn("_key", F.col("_value")).join(broadcast_if_small(words(left, F.col("_low"))), "_key").filter(held)
+
+    def prefixes(left: DataFrame) -> DataFrame:
+        begun = words(left, F.substring("_low", 1, grams.GRAM))
+        lengths = sorted(r[0] for r in begun.select(F.length("_key")).distinct().collect())
+        begins = F.array(*[F.substring("_value", 1, n) for n in lengths])
+        return rows.withColumn("_key", F.explode(begins)).join(broadcast_if_small(begun), "_key").filter(F.startswith("_value", "_low") & held)
+
+    def ahead(left: DataFrame) -> DataFrame:
+        order = Window.partitionBy("repo").orderBy("path", "symbol_id")
+        some = places.join(broadcast_if_small(left.select("repo").distinct()), "repo", "left_semi").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= AHEAD)
+        some = written(some.select("repo", "symbol_id").distinct(), f"ahead-{what}")
+        return rows.join(broadcast_if_small(some), "symbol_id").distinct().join(broadcast_if_small(left), "repo").filter(held & (minus < 0))
+
+    def rest(left: DataFrame) -> DataFrame:
+        hits = written(grams.lookup(left.select("token"), names()), f"found-names-{what}")
+        return grams.holding(rows, list(columns), hits)
+
+    found, left = None, wanted
+    for n, sites in enumerate((same, prefixes, ahead, rest)):
+        best = sites(left).groupBy("symbol_id", "token").agg(F.min(minus).alias("minus"))
+        best = best.join(places, "symbol_id").join(broadcast_if_small(left), ["repo", "token"], "left_semi")
+        order = Window.partitionBy("repo", "token").orderBy("minus", "path", "symbol_id")
+        best = written(best.withColumn("_at", F.dense_rank().over(order)).filter(F.col("_at") <= limit).drop("_at"), f"first-{what}-{n}")
+        found = best if found is None else found.unionByName(best)
+        done = found.filter("minus < 0").groupBy("repo", "token").agg(F.count_distinct("path", "symbol_id").alias("_n")).filter(F.col("_n") >= limit)
+        left = written(left.join(done, ["repo", "token"], "left_anti"), f"left-{what}-{n}")
+        if left.isEmpty():
+            break
+    found = found.groupBy("repo", "token", "symbol_id", "path").agg(F.min("minus").alias("minus"))
+    order = Window.partitionBy("repo", "token").orderBy("minus", "path", "symbol_id")
+    return written(found.withColumn("_at", F.dense_rank().over(order)).filter(F.col("_at") <= limit).select("symbol_id", "token").distinct(), f"near-{what}")
+
+
+def find(questions: DataFrame, files: DataFrame, symbols: DataFrame, calls: DataFrame, literals: DataFrame, kinds: tuple[str, ...] = ("symbol", "call", "literal", "path"), limit: int = 10, names: grams.Names | Callable[[str], grams.Names] | None = None) -> DataFrame:
     """Exact lookup of each question's token in names, calls, literals and paths: the best reason for each target.
 
     Matching ignores ASCII case and takes the token literally. Scores: 100 same, 60 prefix, 30 part; 5 more for a
     definition, 10 less for a literal. Of equal scores of a target, the earlier kind wins, then the earlier line.
-    Unknown kinds find nothing. Different names are matched once, through the index ``names`` of all that is searched,
-    then joined with their rows. Without an index one is made of the tables.
+    Unknown kinds find nothing. ``names`` is the index of all that is searched, or gives the one of a kind when it is
+    asked for; without it one is made of the tables. Of symbols, calls and literals the targets are found first
+    (``first_sites``), and whole rows are worked out for these alone.
     """
     asked = questions.select("query_id", "repo", F.trim("text").alias("token")).filter("token <> ''")
-    wanted = asked.select("repo", "token").distinct()
+    wanted = written(asked.select("repo", "token").filter("repo IS NOT NULL").distinct(), "wanted")
     searched = {"symbol": (symbols, SYMBOL_NAMES), "call": (calls, CALL_NAMES), "literal": (literals, LITERAL_NAMES), "path": (files, PATH_NAMES)}
-    if names is None:
-        names = grams.index(grams.different(*[searched[k] for k in searched if k in kinds or (k == "path" and not set(kinds) & set(searched))]))
-    found_names = written(grams.lookup(asked.select("token"), names), "found-names")
-
-    def sites(table: DataFrame, columns: list[str], score: Column, why: Column, tie: str, kind: int) -> DataFrame:
-        """The best rows of a table of symbol_id whose names hold a token, with the symbol and the questions of its
-        repository. Of a target that is among a question's first ``limit`` by score and path the whole row is worked out;
-        for all others numbers and ids only."""
-        named = table.select("symbol_id", *columns).withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
-        held = grams.holding(named, columns, found_names).select("symbol_id", "token", (-score).alias("minus"))
-        best = held.groupBy("symbol_id", "token").agg(F.min("minus").alias("minus"))
-        near = best.join(base.select("repo", "symbol_id", "path"), "symbol_id").join(broadcast_if_small(wanted), ["repo", "token"], "left_semi")
-        order = Window.partitionBy("repo", "token").orderBy("minus", "path", "symbol_id")
-        # Targets with equal places in the order (repeated ids) are one target: all rows of the first ``limit`` stay.
-        near = near.withColumn("_at", F.dense_rank().over(order)).filter(F.col("_at") <= limit).select("symbol_id", "token").distinct()
-        near = written(near, f"near-{kind}")
-        plain = table.join(broadcast_if_small(near.select("symbol_id").distinct()), "symbol_id", "left_semi").withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
-        first = F.min(F.struct((-score).alias("minus"), "line", F.col(tie).alias("tie"), why.alias("why"))).alias("_first")
-        best = grams.holding(plain, columns, found_names).join(broadcast_if_small(near), ["symbol_id", "token"], "left_semi").groupBy("symbol_id", "token").agg(first)
-        best = best.select("symbol_id", "token", (-F.col("_first.minus")).alias("score"), "_first.line", "_first.tie", "_first.why")
-        return best.join(base, "symbol_id").join(asked, ["repo", "token"])
+
+    def known(kind: str) -> grams.Names:
+        return names(kind) if callable(names) else names or grams.index(grams.different(searched[kind]))
 
     owner = symbols.join(files.select("file_id", "path"), "file_id")
-    base = owner.select("repo", "symbol_id", "path", F.col("symbol_ref").alias("symbol"), "name", "qualified_name", "signature", "line_start", "line_end")
+    places = written(owner.select("repo", "symbol_id", "path").distinct(), "places") if {"symbol", "call", "literal"} & set(kinds) else None
+
+    def holds(columns: tuple[str, ...]) -> Column:
+        return reduce(Column.__or__, [F.contains(fold(F.coalesce(c, F.lit(""))), fold(F.col("token"))) for c in columns])
+
+    def chosen(near: DataFrame) -> DataFrame:
+        """The symbols of the first targets."""
+        some = symbols.join(broadcast_if_small(near.select("symbol_id").distinct()), "symbol_id", "left_semi").join(files.select("file_id", "path"), "file_id")
+        return some.select("repo", "symbol_id", "path", F.col("symbol_ref").alias("symbol"), "name", "qualified_name", "signature", "line_start", "line_end")
+
+    def sites(kind: str, rows: DataFrame, value: Column, bonus: int, why: Column, tie: str) -> DataFrame:
+        """The best row of each of the first targets and tokens, with the symbol and the questions of its repository."""
+        columns = searched[kind][1]
+        near = first_sites(rows, columns, value, wanted, places, lambda: known(kind), limit, kind)
+        plain = rows.join(broadcast_if_small(near.select("symbol_id").distinct()), "symbol_id", "left_semi").withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
+        first = F.min(F.struct((-(match_score(F.col("token"), value) + bonus)).alias("minus"), "line", F.col(tie).alias("tie"), why.alias("why"))).alias("_first")
+        best = plain.join(broadcast_if_small(near), "symbol_id").filter(holds(columns)).groupBy("symbol_id", "token").agg(first)
+        best = best.select("symbol_id", "token", (-F.col("_first.minus")).alias("score"), "_first.line", "_first.tie", "_first.why")
+        return best.join(chosen(near), "symbol_id").join(asked, ["repo", "token"])
+
     branches = []
     target = [F.col("query_id"), F.lit("symbol").alias("record_type"), F.col("symbol_id").alias("target_id"), F.col("path"), F.col("symbol"), F.col("signature"), F.col("line_start"), F.col("line_end")]
     if "symbol" in kinds:
-        hits = grams.holding(base, ["name", "qualified_name", "symbol"], found_names).join(asked, ["repo", "token"])
+        near = first_sites(symbols.select("symbol_id", *SYMBOL_NAMES), SYMBOL_NAMES, F.col("name"), wanted, places, lambda: known("symbol"), limit, "symbol")
+        hits = chosen(near).join(broadcast_if_small(near), "symbol_id").filter(holds(("name", "qualified_name", "symbol"))).join(asked, ["repo", "token"])
         branches.append(hits.select(*target, F.lit("definition").alias("why"), (match_score(F.col("token"), F.col("name")) + 5).alias("score"), F.lit(0).alias("kind_order"), F.lit(0).alias("line"), F.lit("").alias("tie")))
     if "call" in kinds:
-        score = match_score(F.col("token"), F.coalesce(F.when(F.col("function_name") != "", F.col("function_name")), F.col("call_text")))
-        hits = sites(calls.select("symbol_id", "call_text", "function_name", F.col("line_start").alias("line")), list(CALL_NAMES), score, F.concat(F.lit("call site: "), F.col("call_text")), "call_text", 1)
+        value = F.coalesce(F.when(F.col("function_name") != "", F.col("function_name")), F.col("call_text"))
+        hits = sites("call", calls.select("symbol_id", "call_text", "function_name", F.col("line_start").alias("line")), value, 0, F.concat(F.lit("call site: "), F.col("call_text")), "call_text")
         branches.append(hits.select(*target, "why", "score", F.lit(1).alias("kind_order"), "line", "tie"))
     if "literal" in kinds:
-        score = match_score(F.col("token"), F.col("value")) - 10
-        hits = sites(literals.select("symbol_id", "value", F.col("line_start").alias("line")), list(LITERAL_NAMES), score, F.concat(F.lit("literal: "), shortened(F.col("value"))), "value", 2)
+        hits = sites("literal", literals.select("symbol_id", "value", F.col("line_start").alias("line")), F.col("value"), -10, F.concat(F.lit("literal: "), shortened(F.col("value"))), "value")
         branches.append(hits.select(*target, "why", "score", F.lit(2).alias("kind_order"), "line", "tie"))
     if "path" in kinds or not branches:
-        hits = grams.holding(files.select("repo", "file_id", "path", "line_count"), list(PATH_NAMES), found_names).join(asked, ["repo", "token"]).filter(F.lit("path" in kinds))
+        hits = written(grams.lookup((asked if "path" in kinds else asked.limit(0)).select("token"), known("path")), "found-names")
+        hits = grams.holding(files.select("repo", "file_id", "path", "line_count"), list(PATH_NAMES), hits).join(asked, ["repo", "token"]).filter(F.lit("path" in kinds))
         none = F.lit(None).cast("string")
         branches.append(hits.select("query_id", F.lit("file").alias("record_type"), F.col("file_id").alias("target_id"), "path", none.alias("symbol"), none.alias("signature"), F.lit(1).alias("line_start"), F.least(F.col("line_count"), F.lit(80)).alias("line_end"), F.lit("path").alias("why"), match_score(F.col("token"), F.col("path")).alias("score"), F.lit(3).alias("kind_order"), F.lit(0).alias("line"), F.lit("").alias("tie")))
     found = branches[0]

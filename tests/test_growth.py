@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sparkscope.operators import block_max, graph, lexical, ranking, vectors
+from sparkscope.operators import block_max, grams, graph, lexical, ranking, vectors
 from sparkscope.plans import catalogue
 from sparkscope.plans import relations as R
 from sparkscope.plans import stored
@@ -158,6 +158,66 @@ def test_find_works_out_whole_rows_of_the_first_only(spark):
     assert "near-1" in plan or plan.count("LeftSemi") >= 2
 
 
+def some_code(spark, n, seed=11):
+    """(rows, tables) of files, symbols, calls and literals with names of a few letters."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("aAbcé", k=rng.randint(0, 4)))
+    files = [("rs"[i % 2], i, f"p{rng.randint(0, 9)}/{i}", 100) for i in range(n)]
+    symbols = [("rs"[i % 2], i, i, word() or None, word(), f"{word()}.{i}", "sig", 1, 2) for i in range(n)]
+    calls = [(i, rng.choice(("", "self.")) + w, rng.choice((w, w, None, "")), rng.randint(1, 5)) for i in range(n) for w in [word() for _ in range(3)]]
+    literals = [(i, rng.choice((word() * 3, None)), rng.randint(1, 5)) for i in range(0, n, 2)]
+    rows = files, symbols, calls, literals
+    kinds = "repo string, file_id long, path string, line_count int", "repo string, symbol_id long, file_id long, name string, qualified_name string, symbol_ref string, signature string, line_start int, line_end int", "symbol_id long, call_text string, function_name string, line_start int", "symbol_id long, value string, line_start int"
+    return rows, [spark.createDataFrame(r, k) for r, k in zip(rows, kinds)]
+
+
+@pytest.mark.parametrize("ahead, limit, kinds", [(2, 3, ("symbol", "call", "literal", "path")), (10, 3, ("call",)), (1, 40, ("symbol", "call"))])
+def test_find_in_rounds_is_the_plain_result(spark, tmp_path, monkeypatch, ahead, limit, kinds):
+    (files, symbols, calls, literals), tables = some_code(spark, 60)
+    tokens = ["a", "AB", "abc", "s", "self.", "é", "É", "f.a", "zz", "p1/", "aa", "elf", "1", "bcab"]
+    asked = [(i, "rsq"[i % 3], t) for i, t in enumerate(t for t in tokens for _ in range(3))] + [(99, "r", None), (98, "s", " "), (97, None, "a")]
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    score = lambda t, v: 0 if not v else 100 if v.lower() == t.lower() else 60 if v.lower().startswith(t.lower()) else 30 if t.lower() in v.lower() else 0
+    want = []
+    for q, repo, t in asked:
+        if not (t or "").strip() or not repo:
+            continue
+        found, held = {}, lambda *names: any(low(t) in low(x) for x in names)
+        rows = [(i, score(t, a) + 5, 0, 0, "", "definition", "symbol") for _, i, _, a, b, c, *_ in symbols if held(a, b, c)] * ("symbol" in kinds)
+        rows += [(i, score(t, f or c), 1, line, c, f"call site: {c}", "symbol") for i, c, f, line in calls if held(c, f)] * ("call" in kinds)
+        rows += [(i, score(t, v) - 10, 2, line, v, f"literal: {v}", "symbol") for i, v, line in literals if held(v)] * ("literal" in kinds)
+        rows += [(i, score(t, p), 3, 0, "", "path", "file") for _, i, p, _ in files if held(p)] * ("path" in kinds)
+        for i, points, *order, why, record in rows:
+            if files[i][0] == repo:
+                found[record, i] = min(found.get((record, i), (1000,)), (-points, *order, why))
+        ranked = sorted((v[0], v[1], files[i][2], i, record, v[-1]) for (record, i), v in found.items())[:limit]
+        want += [(q, n, record, i, -m, why) for n, (m, _, _, i, record, why) in enumerate(ranked)]
+    monkeypatch.setattr(ranking, "AHEAD", ahead)
+    questions = spark.createDataFrame(asked, "query_id long, repo string, text string")
+    for names in (None, lambda kind: grams.index(grams.different(({"symbol": tables[1], "call": tables[2], "literal": tables[3], "path": tables[0]}[kind], {"symbol": ranking.SYMBOL_NAMES, "call": ranking.CALL_NAMES, "literal": ranking.LITERAL_NAMES, "path": ranking.PATH_NAMES}[kind])))):
+        got = ranking.find(questions, *tables, kinds, limit, names).select("query_id", "rank", "record_type", "target_id", "score", "why").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_find_shuffles_what_it_finds_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranking, "AHEAD", 32, raising=False)
+    n, each = 500, 60
+    files = spark.range(n).select(F.lit("r").alias("repo"), F.col("id").alias("file_id"), F.format_string("p%04d", "id").alias("path"), F.lit(1).cast("long").alias("line_count"))
+    symbols = files.select("repo", F.col("file_id").alias("symbol_id"), "file_id", *[F.lit("x").alias(c) for c in ("name", "qualified_name", "symbol_ref", "signature")], F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
+    calls = spark.range(n * each).select((F.col("id") % n).alias("symbol_id"), F.concat(F.lit("self.w"), F.col("id") % 5000).alias("call_text"), F.concat(F.lit("w"), F.col("id") % 5000).alias("function_name"), F.lit(1).alias("line_start"))
+    calls.write.parquet(str(tmp_path / "calls"))
+    calls, literals = spark.read.parquet(str(tmp_path / "calls")), symbols.select("symbol_id", F.col("name").alias("value"), "line_start").limit(0)
+    grams.write(grams.different((calls, ranking.CALL_NAMES)), str(tmp_path / "names"))
+    asked = spark.createDataFrame([(1, "r", "w7"), (2, "r", "w"), (3, "r", "4999"), (4, "r", "lf")], "query_id long, repo string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with names that are too many for it
+    try:
+        got, records = shuffled(spark, lambda: ranking.find(asked, files, symbols, calls, literals, ("call",), names=grams.read(spark, str(tmp_path / "names"))).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [sum(r["query_id"] == q for r in got) for q in (1, 2, 3, 4)] == [10, 10, 1, 10]
+    assert records < 2 * n * each  # one pass of the two names of each row
+
+
 def test_nearest_by_blocks_is_the_plain_result(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)] + [(90 + i, [1.0, 1.0, 0.0, 0.0]) for i in range(30)]
