@@ -1,7 +1,8 @@
 """Which names hold a token, without regard to ASCII case: a stored index of three-character grams over different names.
 
-Posting lists of a token's grams are intersected from the rarest, and what is left is verified on the name. All joins
-are on equality, whatever the numbers of names and tokens.
+Posting lists of a token's grams are intersected from the rarest, and what is left is verified on the name. Tokens of
+``WINDOW`` characters and more go by longer runs, which names are cut into when asked. All joins are on equality,
+whatever the numbers of names and tokens.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from sparkscope.operators.sizes import broadcast_if_small
 from sparkscope.session import written
 
 GRAM = 3
+#: Characters from which a token is looked up by runs of so many characters.
+WINDOW = 8
 #: Lists of a token that are intersected before names are looked at.
 DEPTH = 2
 #: Folders of stored lists, by a hash of the gram.
@@ -79,10 +82,34 @@ def both(a: Names, b: Names) -> Names:
     return Names(a.names.unionByName(b.names), a.lists.unionByName(b.lists), a.counts.unionByName(b.counts))
 
 
+def windows(text: str, size: int) -> Column:
+    """The different runs of ``size`` characters of a column; none of a shorter text."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(F.col(text), i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(cut))
+
+
+def by_windows(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(token, name) of the names that hold each of ``asked`` (token, _t), of ``WINDOW`` characters at least: names with the
+    rarest of a token's runs of ``WINDOW`` characters are looked at.
+
+    A run of three is in so many names that with as many tokens as names all pairs would be looked at. Longer ones are not
+    stored: names are cut as they are read, and only runs that are asked for are counted.
+    """
+    asked = written(asked.select("token", "_t", F.explode(windows("_t", WINDOW)).alias("_run")), "runs")
+    cut = names.select("name", F.explode(windows("name", WINDOW)).alias("_run"))
+    counted = cut.join(broadcast_if_small(asked.select("_run").distinct()), "_run").groupBy("_run").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("token").orderBy("n", "_run")
+    # A token with a run that no name has is in none.
+    all_met = asked.join(counted, "_run", "left").withColumn("_least", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("token"))).filter("_least > 0")
+    rarest = written(all_met.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select("token", "_t", "_run"), "rarest")
+    return cut.join(broadcast_if_small(rarest), "_run").filter(F.contains("name", "_t")).select("token", "name")
+
+
 def lookup(tokens: DataFrame, known: Names) -> DataFrame:
     """(token, name): the folded names that hold each ``token``. Null and empty tokens find nothing."""
     asked = tokens.select("token", fold(F.col("token")).alias("_t")).filter("_t <> ''").distinct()
     size = F.length("_t")
+    whole, asked = by_windows(asked.filter(size >= WINDOW), known.names), asked.filter(size < WINDOW)
     # Several segments of an index may count a gram; rarity orders lists and decides nothing else.
     rarity = known.counts.groupBy("gram").agg(F.sum("n").alias("n"))
     long = asked.filter(size >= GRAM).select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), size - GRAM + 1), lambda i: F.substr("_t", i, F.lit(GRAM))))).alias("gram"))
@@ -100,7 +127,7 @@ def lookup(tokens: DataFrame, known: Names) -> DataFrame:
         both = found.join(broadcast_if_small(more), "token").join(some, ["part", "gram", "name_id"], "left_semi").select(found.columns)
         found = both.unionByName(found.join(broadcast_if_small(more), "token", "left_anti"))
     found = found.unionByName(known.lists.join(broadcast_if_small(ranked.filter("_rank = 0")), ["part", "gram"]).select("token", "_t", "name_id").distinct())
-    return found.join(known.names, "name_id").filter(F.contains("name", "_t")).select("token", "name").distinct()
+    return found.join(known.names, "name_id").filter(F.contains("name", "_t")).select("token", "name").unionByName(whole).distinct()
 
 
 def holding(rows: DataFrame, columns: list[str], hits: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.functions.text import directory
 from sparkscope.operators import grams
+from sparkscope.operators.sizes import broadcast_if_small
 from sparkscope.operators.upkeep import ancestors
+from sparkscope.session import written
 
 FUZZY = 6
 COLUMNS = ("type", "target_id", "path", "symbol_ref", "line_start", "line_end")
@@ -28,6 +32,8 @@ def resolve(asked: DataFrame, files: DataFrame, symbols: DataFrame, modules: Dat
     the symbols.
     """
     named = symbols.join(files.select("file_id", "path"), "file_id").select("repo", F.lit("symbol").alias("type"), F.col("symbol_id").alias("target_id"), "path", "symbol_ref", "line_start", "line_end", "name", "qualified_name", "ord")
+    # Both are read by each step; stored, Spark knows how few the questions are, and symbols need not be shuffled to meet them.
+    asked, named = written(asked.select("ask_id", "repo", "target"), "asked"), written(named, "named")
     none = F.lit(None).cast("string")
     as_files = files.select("repo", F.lit("file").alias("type"), F.col("file_id").alias("target_id"), "path", none.alias("symbol_ref"), F.lit(1).alias("line_start"), F.least("line_count", F.lit(80)).alias("line_end"), F.col("path").alias("_key"))
     as_modules = modules.select("repo", F.lit("module").alias("type"), F.col("module_id").alias("target_id"), F.col("path_prefix").alias("path"), none.alias("symbol_ref"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.col("path_prefix").alias("_key"))
@@ -36,9 +42,9 @@ def resolve(asked: DataFrame, files: DataFrame, symbols: DataFrame, modules: Dat
     def step(n: int, found: DataFrame, *order: Column) -> DataFrame:
         return found.select(*own, F.lit(n).alias("step"), F.row_number().over(Window.partitionBy("ask_id").orderBy(*order, "target_id")).alias("n"))
 
-    def met(table: DataFrame, key: Column) -> DataFrame:
-        wanted = asked.select("ask_id", F.col("repo").alias("_repo"), key.alias("_asked"))
-        return wanted.join(table, (F.col("_repo") == F.col("repo")) & (F.col("_asked") == F.col("_key")))
+    def met(table: DataFrame, key: Column, by: DataFrame = asked) -> DataFrame:
+        wanted = by.select("ask_id", F.col("repo").alias("_repo"), key.alias("_asked"))
+        return table.join(broadcast_if_small(wanted), (F.col("_repo") == F.col("repo")) & (F.col("_asked") == F.col("_key")))
 
     target = F.col("target")
     steps = []
@@ -47,23 +53,33 @@ def resolve(asked: DataFrame, files: DataFrame, symbols: DataFrame, modules: Dat
     steps.append(step(2, met(named.withColumn("_key", F.col("symbol_ref")), target), F.col("ord")).filter("n = 1"))
     steps.append(step(3, met(as_files, target), F.col("path")).filter("n = 1"))
     steps.append(step(4, met(as_modules, F.rtrim(target, F.lit("/"))), F.col("path")).filter("n = 1"))
-    steps.append(step(5, met(named.withColumn("_key", F.col("name")), target), F.col("path"), F.col("line_start")))
+    early = written(reduce(DataFrame.unionByName, steps), "resolved")
+    left = written(asked.filter("ask_id IS NOT NULL").join(early.select("ask_id").distinct(), "ask_id", "left_anti").withColumn("_asks", F.count("*").over(Window.partitionBy("ask_id"))), "left")
+    # Bare names: a row for each question and symbol, so symbols are numbered once for each name, not for each question, and
+    # questions meet them last. Questions that share an id are numbered together.
+    bare = named.withColumn("_key", F.col("name"))
+    keys = left.select("repo", target.alias("_key")).distinct()
+    bare = bare.join(broadcast_if_small(keys), ["repo", "_key"], "left_semi")
+    same = Window.partitionBy("repo", "_key")
+    numbered = bare.select("repo", "_key", *COLUMNS, F.row_number().over(same.orderBy("path", "line_start", "target_id")).alias("n"), F.count("*").over(same).alias("_many"))
+    spark = asked.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    numbered = written(numbered.repartition(tasks, "target_id", "n"), "numbered")
+    once, shared = left.filter("_asks = 1"), left.filter("_asks > 1")
+    by_name = met(numbered, target, once).select(*own, F.lit(5).alias("step"), "n", "_many")
+    together = step(5, met(bare, target, shared), F.col("path"), F.col("line_start"))
     # Only what no earlier step has resolved is looked for in parts of names.
-    met_before = steps[0].select("ask_id")
-    for s in steps[1:]:
-        met_before = met_before.unionByName(s.select("ask_id"))
-    rest = asked.filter(target != "").join(met_before.distinct(), "ask_id", "left_anti").select("ask_id", "repo", target.alias("token"))
+    named_so = left.join(numbered.filter("n = 1").select("repo", F.col("_key").alias("target")), ["repo", "target"], "left_semi")
+    named_so = written(named_so.select("ask_id", "_asks").distinct(), "named")
+    rest = written(left.filter(target != "").join(broadcast_if_small(named_so), "ask_id", "left_anti").select("ask_id", "repo", target.alias("token")), "rest")
     parts = ["symbol_ref", "qualified_name"]
-    hits = grams.lookup(rest.select("token"), names or grams.index(grams.different((symbols, parts))))
-    close = grams.holding(named, parts, hits).join(rest, ["repo", "token"]).dropDuplicates(["ask_id", "target_id"])
-    steps.append(step(6, close, F.length("symbol_ref"), F.col("symbol_ref")).filter(F.col("n") <= FUZZY))
-    every = steps[0]
-    for s in steps[1:]:
-        every = every.unionByName(s)
+    hits = written(grams.lookup(rest.select("token"), names or grams.index(grams.different((symbols, parts)))), "hits")
+    close = grams.holding(named, parts, hits).join(broadcast_if_small(rest), ["repo", "token"]).dropDuplicates(["ask_id", "target_id"])
+    close = step(6, close, F.length("symbol_ref"), F.col("symbol_ref")).filter(F.col("n") <= FUZZY)
     whole = Window.partitionBy("ask_id")
-    first = every.withColumn("_first", F.min("step").over(whole)).filter(F.col("step") == F.col("_first"))
+    first = early.unionByName(together).unionByName(close).withColumn("_first", F.min("step").over(whole)).filter(F.col("step") == F.col("_first"))
     first = first.withColumn("_many", F.count("*").over(whole)).drop("_first")
-    out = asked.select("ask_id").join(first, "ask_id", "left")
+    out = asked.select("ask_id").join(broadcast_if_small(named_so.filter("_asks = 1")), "ask_id", "left_anti").join(first, "ask_id", "left").unionByName(by_name)
     status = F.when(F.col("step").isNull(), "not_found").when((F.col("_many") > 1) & (F.col("step") >= 5), "ambiguous").otherwise("ok")
     return out.select("ask_id", status.alias("status"), "step", "n", *COLUMNS)
 

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sparkscope.operators import block_max, grams, graph, lexical, ranking, vectors
+from sparkscope.operators import block_max, grams, graph, lexical, ranking, targets, vectors
 from sparkscope.plans import catalogue
 from sparkscope.plans import relations as R
 from sparkscope.plans import stored
@@ -218,6 +218,47 @@ def test_find_shuffles_what_it_finds_only(spark, tmp_path, monkeypatch):
     assert records < 2 * n * each  # one pass of the two names of each row
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_resolve_is_the_plain_result(spark, shared):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("ab", k=rng.randint(1, 3)))
+    files = [("rs"[i % 2], i, f"{word()}/{i}.x", 90) for i in range(60)]
+    symbols = [(repo, i, i, word(), f"q.{word()}", f"{word()}.module_{i}.{word()}", "sig", 1, 2, -i) for repo, i, *_ in files]
+    modules = [(repo, i, f"d{i}") for i, repo in enumerate("rs" * 3)]
+    targets_of = [s[3] for s in symbols[:20]] + [s[5] for s in symbols[20:26]] + [f[2] for f in files[26:32]] + ["d1/", "d2", "module_", "module_11", "odule_7.", ".module_4", "q.ab", "Q.A", "zz", "", None, "b", "a", "1"]
+    asks = [(n // 2 if shared else n, rng.choice("rs"), t) for n, t in enumerate(targets_of)] + [(500, None, "a"), (501, "r", "a")]
+    low = lambda t: t.lower()
+    want = []
+    for ask in sorted({a[0] for a in asks}):
+        found = []
+        for _, repo, t in [a for a in asks if a[0] == ask and a[1] and a[2]]:
+            own = [s for s in symbols if s[0] == repo]
+            row = lambda s: ("symbol", s[1], files[s[1]][2], s[5], 1, 2)
+            found += [(2, (s[9], s[1]), row(s)) for s in own if s[5] == t]
+            found += [(3, (f[2], f[1]), ("file", f[1], f[2], None, 1, 80)) for f in files if f[0] == repo and f[2] == t]
+            found += [(4, (m[2], m[1]), ("module", m[1], m[2], None, 1, 1)) for m in modules if m[0] == repo and m[2] == t.rstrip("/")]
+            found += [(5, (files[s[1]][2], 1, s[1]), row(s)) for s in own if s[3] == t]
+            found += [(6, (len(s[5]), s[5], s[1]), row(s)) for s in own if low(t) in low(s[5]) or low(t) in low(s[4])]
+        first = min((f[0] for f in found), default=None)
+        kept = sorted({f for f in found if f[0] == first} if first == 6 else [f for f in found if f[0] == first], key=lambda f: f[1])[: {5: None, 6: 6}.get(first, 1)]
+        status = "not_found" if not kept else "ambiguous" if len(kept) > 1 and first >= 5 else "ok"
+        want += [(ask, status, first, n, *f[2]) for n, f in enumerate(kept, 1)] or [(ask, status, *[None] * 8)]
+    tables = [spark.createDataFrame(*x) for x in ((asks, "ask_id long, repo string, target string"), (files, "repo string, file_id long, path string, line_count int"), (symbols, "repo string, symbol_id long, file_id long, name string, qualified_name string, symbol_ref string, signature string, line_start int, line_end int, ord long"), (modules, "repo string, module_id long, path_prefix string"))]
+    got = {tuple(r) for r in targets.resolve(*tables).collect()}
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_resolve_shuffles_no_row_for_each_question_and_symbol(spark):
+    n = 1200
+    files = spark.range(n).select(F.lit("r").alias("repo"), F.col("id").alias("file_id"), F.format_string("p/%04d", "id").alias("path"), F.lit(1).alias("line_count"))
+    symbols = files.select("repo", F.col("file_id").alias("symbol_id"), "file_id", F.lit("the").alias("name"), F.lit("q.the").alias("qualified_name"), F.format_string("src.word.%07d", "file_id").alias("symbol_ref"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"), F.col("file_id").alias("ord"))
+    asked = spark.range(200).select(F.col("id").alias("ask_id"), F.lit("r").alias("repo"), F.when(F.col("id") % 2 == 0, "the").otherwise(F.format_string("rd.%07d", "id")).alias("target"))
+    modules = files.select("repo", F.lit(1).alias("module_id"), F.lit("p").alias("path_prefix")).limit(1)
+    got, records = shuffled(spark, lambda: targets.resolve(asked, files, symbols, modules).groupBy("step", "status").count().collect())
+    assert sorted(map(tuple, got)) == [(5, "ambiguous", 100 * n), (6, "ok", 100)]
+    assert records < 40 * n
+
+
 def test_nearest_by_blocks_is_the_plain_result(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)] + [(90 + i, [1.0, 1.0, 0.0, 0.0]) for i in range(30)]
